@@ -32,6 +32,18 @@ def speaker_label(speaker_id: Column | str, base: int = 1) -> Column:
     return F.concat(F.lit("Speaker "), (_col(speaker_id) + base).cast("string"))
 
 
+def title_case(text: Column) -> Column:
+    """Upper case for a letter after a non-letter, lower case for the others."""
+    chars = F.split(text, "")
+    return F.array_join(
+        F.transform(
+            chars,
+            lambda c, i: F.when((i > 0) & F.get(chars, i - 1).rlike(r"\p{L}"), F.lower(c)).otherwise(F.upper(c)),
+        ),
+        "",
+    )
+
+
 def pretty_speaker(label: Column | str) -> Column:
     """`SPEAKER_07` to `Speaker 8`; other labels in title case."""
     label = _col(label)
@@ -39,7 +51,7 @@ def pretty_speaker(label: Column | str) -> Column:
     return (
         F.when(F.coalesce(label, F.lit("")) == "", "Speaker Unknown")
         .when(number != "", F.concat(F.lit("Speaker "), (number.try_cast("bigint") + 1).cast("string")))
-        .otherwise(F.initcap(F.replace(label, F.lit("_"), F.lit(" "))))
+        .otherwise(title_case(F.replace(label, F.lit("_"), F.lit(" "))))
     )
 
 
