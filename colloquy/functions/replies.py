@@ -18,21 +18,35 @@ def reply_content(response: Column | str) -> Column:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """Bind a value once, so a long expression is not repeated in the plan."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _valid(text: Column) -> Column:
+    return F.when(F.try_parse_json(text).isNotNull() & (text != ""), text)
+
+
+def _unfenced(raw: Column) -> Column:
+    bare = F.regexp_replace(F.regexp_replace(raw, r"^```[a-zA-Z0-9_-]*\s*", ""), r"\s*```$", "")
+    return F.when(raw.startswith("```"), F.btrim(bare)).otherwise(raw)
+
+
 def parse_model_json(reply: Column | str) -> Column:
     """The JSON object in a reply as text, NULL when there is none.
 
     Code fences are removed first; if the rest is not JSON, the span from the
     first `{` to the last `}` is tried.
     """
-    raw = F.btrim(F.coalesce(_col(reply), F.lit("")))
-    fenced = F.regexp_replace(F.regexp_replace(raw, r"^```[a-zA-Z0-9_-]*\s*", ""), r"\s*```$", "")
-    raw = F.when(raw.startswith("```"), F.btrim(fenced)).otherwise(raw)
-    inner = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
-    return F.when(F.try_parse_json(raw).isNotNull() & (raw != ""), raw).when(
-        F.try_parse_json(inner).isNotNull() & (inner != ""), inner
+    trimmed = F.btrim(F.coalesce(_col(reply), F.lit("")))
+    return _let(
+        trimmed,
+        lambda raw: _let(
+            _unfenced(raw),
+            lambda text: F.coalesce(_valid(text), _valid(F.regexp_extract(text, r"(?s)\{.*\}", 0))),
+        ),
     )
 
 
-ASSIGNMENTS = "struct<assignments:array<struct<speaker:string,role:string,confidence:string>>,notes:string>"
 PAIR = "struct<host_speaker:string,guest_speaker:string,confidence:double,evidence:array<string>>"
 MAPPING = "struct<mapping:map<string,string>,reasoning_brief:map<string,string>,confidence:map<string,double>>"

@@ -43,7 +43,9 @@ def normalize_text(text: Column | str) -> Column:
     The step order is part of the meaning: lines are stripped before runs of
     blanks collapse. Only the first step lacks a Spark built-in.
     """
-    t = _nfkc(_col(text))
+    # Plain ASCII is already in that form, so it does not travel to Python.
+    raw = _col(text)
+    t = F.coalesce(_nfkc(F.when(raw.rlike(r"[^\x00-\x7f]"), raw)), raw)
     t = F.translate(t, PUNCT_FROM, PUNCT_TO)
     t = F.replace(t, F.lit("\u2026"), F.lit("..."))
     t = F.regexp_replace(t, "[\\u200b-\\u200d\\ufeff]", "")

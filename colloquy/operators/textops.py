@@ -26,7 +26,7 @@ def split_sentences(docs: DataFrame, text: str = "text") -> DataFrame:
     are followed by white space or the end, and not after common abbreviations.
     """
     flat = F.regexp_replace(F.col(text), "[\r\n]+", " ")
-    guarded = F.regexp_replace(flat, r"(?i)\b(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.", "$1" + _MASK)
+    guarded = F.regexp_replace(flat, r"(?iU)\b(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.", "$1" + _MASK)
     marked = F.regexp_replace(guarded, r"([.?!]+)\s+", "$1\n")
     pieces = F.transform(F.split(marked, "\n"), lambda s: F.replace(s, F.lit(_MASK), F.lit(".")))
     others = [c for c in docs.columns if c != text]

@@ -73,37 +73,29 @@ def gap_sessions(words: DataFrame, gap: str = "800 milliseconds", lateness: str
 def gap_segments(words: DataFrame, gap_ms: int = 800) -> DataFrame:
     """Closed segments of a word stream by the exact batch rule.
 
-    The state per episode is the open segment: its speaker, start, end and
-    tokens. A word with speaker -1 and no token closes it (end of the feed).
-    Words of an episode arrive in order from batch to batch.
+    The state per episode is its open segment, which the next words extend or
+    close. Words of an episode arrive in order from batch to batch.
     """
     out = "episode_id bigint, head_idx bigint, speaker int, start_ms bigint, end_ms bigint, text string"
     held = "head_idx bigint, speaker int, start_ms bigint, end_ms bigint, text string"
-
-    def advance(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        words_now = pd.concat(list(batches)).sort_values("word_idx")
-        current = tuple(state.get) if state.exists else None
-        closed = []
-        for idx, spk, start, end, token in words_now[["word_idx", "speaker", "start_ms", "end_ms", "token"]].itertuples(
-            index=False
-        ):
-            cut = current is None or spk != current[1] or start - current[3] > gap_ms
-            if cut:
-                if current is not None:
-                    closed.append(current)
-                current = None if spk < 0 else (int(idx), int(spk), int(start), int(end), token)
-            else:
-                current = (current[0], current[1], current[2], int(end), f"{current[4]} {token}")
-        if current is None:
-            state.remove()
-        else:
-            state.update(current)
-        rows = pd.DataFrame(closed, columns=["head_idx", "speaker", "start_ms", "end_ms", "text"])
-        rows.insert(0, "episode_id", key[0])
-        rows["text"] = rows["text"].str.strip()
-        yield rows
+    fields = ["head_idx", "speaker", "start_ms", "end_ms", "text"]
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = pd.concat(list(batches)).rename(columns={"word_idx": "head_idx", "token": "text"})[fields]
+        now = now.sort_values("head_idx")
+        if state.exists:
+            now = pd.concat([pd.DataFrame([tuple(state.get)], columns=fields), now], ignore_index=True)
+        before = now.shift(1)
+        cut = (now["speaker"] != before["speaker"]) | (now["start_ms"] - before["end_ms"] > gap_ms)
+        runs = now.groupby(cut.cumsum(), sort=True).agg(
+            head_idx=("head_idx", "first"), speaker=("speaker", "first"), start_ms=("start_ms", "first"),
+            end_ms=("end_ms", "last"), text=("text", " ".join),
+        )
+        last = runs.iloc[-1]
+        state.update((int(last["head_idx"]), int(last["speaker"]), int(last["start_ms"]), int(last["end_ms"]), last["text"]))
+        closed = runs.iloc[:-1].reset_index(drop=True)
+        closed.insert(0, "episode_id", key[0])
+        yield closed.assign(text=closed["text"].str.strip())
 
     return (
         words.select("episode_id", "word_idx", "speaker", "start_ms", "end_ms", "token")
