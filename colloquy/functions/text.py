@@ -18,6 +18,13 @@ from colloquy.functions.numeric import _col
 # plus the four separators that only Python counts as white space.
 WS = r"[\s\x1c-\x1f]"
 
+# --- fixed values: all white space characters ---------------------------------
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # --- fixed values: typographic characters and their plain forms ---------------
 PUNCT_FROM = (
     "\u2018\u2019\u201a\u201b"
@@ -26,10 +33,12 @@ PUNCT_FROM = (
     "\u00a0\u2007\u202f\u2009\u200a"
 )
 PUNCT_TO = "''''" + '""""""' + "-------" + "     "
+# zero-width characters and the byte-order mark have no counterpart: they go
+DROPPED = "\u200b\u200c\u200d\ufeff"
 
 
 def strip_ws(text: Column | str) -> Column:
-    return F.regexp_replace(_col(text), f"(?U)^{WS}+|{WS}+$", "")
+    return F.btrim(_col(text), F.lit(WS_CHARS))
 
 
 @F.pandas_udf(StringType())
@@ -41,17 +50,18 @@ def normalize_text(text: Column | str) -> Column:
     """Clean one text: compatibility forms, plain punctuation, tidy white space.
 
     The step order is part of the meaning: lines are stripped before runs of
-    blanks collapse. Only the first step lacks a Spark built-in.
+    blanks collapse. Only the first step lacks a Spark built-in; it also turns an
+    ellipsis into three dots and most odd spaces into plain ones, which leaves
+    the white space named in `edge`.
     """
     # Plain ASCII is already in that form, so it does not travel to Python.
     raw = _col(text)
     t = F.coalesce(_nfkc(F.when(raw.rlike(r"[^\x00-\x7f]"), raw)), raw)
-    t = F.translate(t, PUNCT_FROM, PUNCT_TO)
-    t = F.replace(t, F.lit("\u2026"), F.lit("..."))
-    t = F.regexp_replace(t, "[\\u200b-\\u200d\\ufeff]", "")
-    t = F.regexp_replace(t, "\r\n|\r", "\n")
-    t = F.regexp_replace(t, r"[\p{Cc}&&[^\n\t]]", "")
-    t = F.regexp_replace(t, r"(?U)(?<![^\n])[\s&&[^\n]]+|[\s&&[^\n]]+(?![^\n])", "")
+    t = F.translate(t, PUNCT_FROM + DROPPED, PUNCT_TO)
+    t = F.regexp_replace(t, "\r\n?", "\n")
+    t = F.regexp_replace(t, r"[\p{Cc}&&[^\n\t]]+", "")
+    edge = "[ \\t\\u1680\\u2028\\u2029]"
+    t = F.regexp_replace(t, f"(?dm)^{edge}+|{edge}+$", "")
     t = F.regexp_replace(t, "[ \t]{2,}", " ")
     t = F.regexp_replace(t, "\n{3,}", "\n\n")
     return strip_ws(t)
@@ -68,7 +78,8 @@ def lower_copy(text: Column | str) -> Column:
 
 
 def squash_ws(text: Column | str) -> Column:
-    return strip_ws(F.regexp_replace(_col(text), f"(?U){WS}+", " "))
+    # single plain spaces are left alone, which spares most replacements
+    return F.btrim(F.regexp_replace(_col(text), f"(?U){WS}{{2,}}|[\\s\\x1c-\\x1f&&[^ ]]", " "))
 
 
 def truncate_ellipsis(text: Column | str, n: int = 220) -> Column:
@@ -118,9 +129,10 @@ def is_question_segment(text: Column | str) -> Column:
 def is_question_sentence(sentence: Column | str) -> Column:
     """Ends with `?`, or opens with a question word, or is short and holds one."""
     s = strip_ws(F.lower(F.coalesce(_col(sentence), F.lit(""))))
-    words = r"(?iU)\b(" + "|".join(lexicons.QUESTION_WORDS) + r")\b"
-    first = F.coalesce(F.get(tokens(s), F.lit(0)), F.lit(""))
-    return s.endswith("?") | first.rlike(words) | (s.rlike(words) & (F.length(s) < 140))
+    words = r"(?U)\b(?:" + "|".join(lexicons.QUESTION_WORDS) + r")\b"
+    # within the first token, or anywhere in a short sentence
+    first = r"(?U)^\S*?\b(?:" + "|".join(w for w in lexicons.QUESTION_WORDS if " " not in w) + r")\b"
+    return s.endswith("?") | F.when(F.length(s) < 140, s.rlike(words)).otherwise(s.rlike(first))
 
 
 def question_mark_flag(text: Column | str, variant: str = "final") -> Column:

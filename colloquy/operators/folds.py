@@ -11,8 +11,11 @@ second run per block writes the result. No task ever sees more than a block.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from itertools import product
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import groupby, product
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -65,6 +68,49 @@ def _unflicker(raw: list[str], before: list[str], first: int, total: int) -> lis
     return labels[offset:]
 
 
+@dataclass(frozen=True)
+class _Block:
+    """One block of an episode with the raw labels around it."""
+
+    episode: object
+    number: int
+    total: int
+    state: str | None
+    context: list[str]
+    body: list[str]
+    places: list[int]
+
+    def begin(self, size: int) -> int:
+        return self.number * size
+
+
+_BLOCK_COLUMNS = ["episode_id", "__b", "__pos", "__raw", "__n", "__state"]
+
+
+def _blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[_Block]:
+    """Blocks of a partition that is sorted by episode, block and position."""
+    rows = (row for batch in batches for row in zip(*[batch[c].tolist() for c in _BLOCK_COLUMNS]))
+    for (episode, number), group in groupby(rows, key=itemgetter(0, 1)):
+        members = list(group)
+        labels, places = [m[3] for m in members], [m[2] for m in members]
+        cut = bisect_left(places, number * size)
+        state = members[0][5]
+        yield _Block(
+            episode, number, members[0][4], state if isinstance(state, str) else None,
+            labels[:cut], labels[cut:], places[cut:],
+        )
+
+
+def _per_block(spread: DataFrame, work, schema: T.StructType) -> DataFrame:
+    """Apply `work` to the blocks; many small episodes share one call."""
+    return (
+        spread.repartition("episode_id", "__b")
+        .sortWithinPartitions("episode_id", "__b", "__pos")
+        .select(*_BLOCK_COLUMNS)
+        .mapInPandas(work, schema)
+    )
+
+
 def _fold(
     df: DataFrame,
     order: str,
@@ -97,56 +143,45 @@ def _fold(
         ),
         lambda b: b.isNotNull(),
     )
-    spread = slim.withColumn("__last", last_block).withColumn("__b", F.explode(targets))
-
-    def parts(pdf: pd.DataFrame) -> tuple[list[str], list[str], list[int], int, int]:
-        pdf = pdf.sort_values("__pos")
-        begin = int(pdf["__b"].iloc[0]) * block
-        labels, places = pdf["__raw"].tolist(), pdf["__pos"].tolist()
-        cut = sum(1 for p in places if p < begin)
-        return labels[:cut], labels[cut:], places[cut:], begin, int(pdf["__n"].iloc[0])
+    copies = slim.withColumn("__last", last_block).withColumn("__b", F.explode(targets))
+    id_field = T.StructField("episode_id", df.schema["episode_id"].dataType)
 
-    def end_labels(body: list[str], start: list[str], begin: int, total: int, own: int) -> list[str]:
+    def ends(body: list[str], start: list[str], begin: int, total: int, own: int) -> list[str]:
         return (start + run(body, start, begin, total)[:own])[-memory:]
 
-    def table(pdf: pd.DataFrame) -> pd.DataFrame:
-        context, body, _, begin, total = parts(pdf)
-        own = min(block, total - begin)
-        if begin == 0:
-            starts: list[tuple[str, ...]] = [()]
-        else:
-            whole = context + body
-            near = range(max(0, len(context) - memory), len(context))
-            starts = list(product(*[sorted(options(whole, j)) for j in near]))
-        pairs = {}
-        reference = end_labels(body, list(starts[0]), begin, total, own)
-        pairs[SEP.join(starts[0])] = SEP.join(reference)
-        for start in starts[1:]:
+    def pairs(b: _Block) -> dict[str, str]:
+        """Labels before the block to labels at its end, for every possible start."""
+        begin, own = b.begin(block), min(block, b.total - b.begin(block))
+        whole = b.context + b.body
+        near = range(max(0, len(b.context) - memory), len(b.context))
+        starts = list(product(*[sorted(options(whole, j)) for j in near]))
+        lead = list(starts[0])
+        found = {SEP.join(lead): SEP.join(ends(b.body, lead, begin, b.total, own))}
+        for start in map(list, starts[1:]):
             # Two runs whose last labels agree somewhere agree from there on.
-            reach = 64
-            while reach < own:
-                piece = body[:reach + lookahead]
-                if end_labels(piece, list(start), begin, total, reach) == end_labels(
-                    piece, list(starts[0]), begin, total, reach
-                ):
-                    break
+            reach, met = 64, False
+            while reach < own and not met:
+                piece = b.body[:reach + lookahead]
+                met = ends(piece, start, begin, b.total, reach) == ends(piece, lead, begin, b.total, reach)
                 reach *= 4
-            met = reach < own
-            labels = reference if met else end_labels(body, list(start), begin, total, own)
-            pairs[SEP.join(start)] = SEP.join(labels)
-        return pd.DataFrame(
-            {"episode_id": [pdf["episode_id"].iloc[0]], "__b": [pdf["__b"].iloc[0]],
-             "frm": [list(pairs.keys())], "to": [list(pairs.values())]}
-        )
+            labels = found[SEP.join(lead)] if met else SEP.join(ends(b.body, start, begin, b.total, own))
+            found[SEP.join(start)] = labels
+        return found
+
+    def tabulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _blocks(batches, block):
+            found = pairs(b)
+            yield pd.DataFrame(
+                {"episode_id": [b.episode], "__b": [b.number], "frm": [list(found)], "to": [list(found.values())]}
+            )
 
-    id_type = df.schema["episode_id"].dataType
+    labels_type = T.ArrayType(T.StringType())
     table_schema = T.StructType(
-        [
-            T.StructField("episode_id", id_type), T.StructField("__b", T.LongType()),
-            T.StructField("frm", T.ArrayType(T.StringType())), T.StructField("to", T.ArrayType(T.StringType())),
-        ]
+        [id_field, T.StructField("__b", T.LongType()), T.StructField("frm", labels_type), T.StructField("to", labels_type)]
     )
-    tables = spread.filter(F.col("__b") < F.col("__last")).groupBy("episode_id", "__b").applyInPandas(table, table_schema)
+    unfinished = copies.filter(F.col("__b") < F.col("__last")).withColumn("__state", F.lit(None).cast("string"))
+    tables = _per_block(unfinished, tabulate, table_schema)
+
     # Most tables end in the same labels from every start, so what precedes such
     # a block does not matter: a chain runs only from one of these to the next.
     settled = F.size(F.array_distinct("to")) == 1
@@ -168,27 +203,22 @@ def _fold(
         .select("episode_id", (F.col("chain") + F.col("__p") + 1).cast("bigint").alias("__b"), "__state")
     )
 
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, body, places, begin, total = parts(pdf)
-        state = pdf["__state"].iloc[0]
-        before = state.split(SEP) if isinstance(state, str) and begin else []
-        own = min(block, total - begin)
-        return pd.DataFrame(
-            {"episode_id": pdf["episode_id"].iloc[0], "__pos": places[:own],
-             "__new": run(body, before, begin, total)[:own]}
-        )
-
-    apply_schema = T.StructType(
-        [
-            T.StructField("episode_id", id_type), T.StructField("__pos", T.LongType()),
-            T.StructField("__new", T.StringType()),
-        ]
-    )
-    labelled = (
-        spread.join(states, ["episode_id", "__b"], "left")
-        .groupBy("episode_id", "__b")
-        .applyInPandas(apply, apply_schema)
-    )
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, places, labels = [], [], []
+        for b in _blocks(batches, block):
+            begin, own = b.begin(block), min(block, b.total - b.begin(block))
+            before = b.state.split(SEP) if b.state is not None else []
+            ids += [b.episode] * own
+            places += b.places[:own]
+            labels += run(b.body, before, begin, b.total)[:own]
+            if len(ids) >= block:
+                yield pd.DataFrame({"episode_id": ids, "__pos": places, "__new": labels})
+                ids, places, labels = [], [], []
+        if ids:
+            yield pd.DataFrame({"episode_id": ids, "__pos": places, "__new": labels})
+
+    done_schema = T.StructType([id_field, T.StructField("__pos", T.LongType()), T.StructField("__new", T.StringType())])
+    labelled = _per_block(copies.join(states, ["episode_id", "__b"], "left"), finish, done_schema)
     return (
         numbered.join(labelled, ["episode_id", "__pos"])
         .withColumn(out, F.col("__new"))

@@ -7,7 +7,7 @@ order and the first that yields a host wins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy import lexicons
@@ -103,30 +103,23 @@ def _episode_evidence(segments: DataFrame, variant: str) -> DataFrame:
             F.max(F.when(voted, n)).alias(f"lead_{name}"),
         ]
     asks = known & (F.col("q") > 0)
-    asker = F.struct(F.col("f_q").alias("f"), F.col("speaker").alias("s"), F.col("q").alias("n"))
-    first_asker = F.min(F.when(asks, asker))
     aggs += [
         F.sum(F.when(known, F.col("q")).otherwise(0)).alias("q_total"),
         F.max(F.when(asks, F.col("q"))).alias("q_max"),
         F.max_by("speaker", F.when(asks, F.struct(F.col("q"), -F.col("f_q")))).alias("q_top"),
-        first_asker.alias("q_first"),
+        *[F.max(F.when(F.col("ask_rank") == i, F.struct("speaker", "q"))).alias(f"asker_{i}") for i in (1, 2)],
         F.min_by("speaker", F.when(known, F.col("first_idx"))).alias("first_speaker"),
         F.max_by("speaker", F.when(known, F.col("last_idx"))).alias("last_speaker"),
         F.sum(F.when(known, F.col("ms")).otherwise(0)).alias("ms_total"),
         F.max_by("speaker", F.when(known, F.struct(F.col("ms"), -F.col("first_idx")))).alias("ms_top"),
         F.max(F.when(known, F.col("ms"))).alias("ms_max"),
     ]
-    per_speaker = _evidence(segments, variant)
-    episode = per_speaker.groupBy("episode_id").agg(*aggs)
-    # The lead is measured against the first other asker, which needs the winner.
-    others = (
-        per_speaker.filter(asks)
-        .join(episode.select("episode_id", "q_top"), "episode_id")
-        .filter(F.col("speaker") != F.col("q_top"))
-        .groupBy("episode_id")
-        .agg(F.min_by("q", "f_q").alias("q_other"))
-    )
-    return episode.join(others, "episode_id", "left").withColumn("q_other", F.coalesce("q_other", F.lit(0)))
+    # The lead is measured against the first asker other than the winner, who is
+    # among the first two.
+    in_order = Window.partitionBy("episode_id").orderBy(F.when(asks, F.col("f_q")).asc_nulls_last())
+    ranked = _evidence(segments, variant).withColumn("ask_rank", F.when(asks, F.row_number().over(in_order)))
+    other = F.when(F.col("asker_1.speaker") == F.col("q_top"), F.col("asker_2.q")).otherwise(F.col("asker_1.q"))
+    return ranked.groupBy("episode_id").agg(*aggs).withColumn("q_other", F.coalesce(other, F.lit(0)))
 
 
 def _verdict(host: Column, confidence: Column, method: Column, detection: Column) -> Column:

@@ -100,14 +100,25 @@ def summarize_median(segments: DataFrame) -> DataFrame:
     facts = utterance_facts(segments, question="any")
     keys = ["episode_id", "speaker"]
     base = facts.groupBy(*keys).agg(*_speaker_measures(wpm_places=1, rate_places=2))
+    values = facts.select(
+        *keys,
+        F.explode(
+            F.array(
+                F.struct(F.lit("duration").alias("metric"), F.col("dur_ms").alias("value")),
+                F.struct(F.lit("words").alias("metric"), F.col("n_words").alias("value")),
+            )
+        ).alias("m"),
+    ).select(*keys, "m.metric", "m.value")
     upper = {"median": F.floor(F.col("n") / 2).cast("bigint")}
-    dur = order_statistics(facts, keys, "dur_ms", upper).select(
-        *keys, (F.col("median") / 1000).alias("duration_median")
-    )
-    words = order_statistics(facts, keys, "n_words", upper).select(
-        *keys, F.col("median").cast("double").alias("words_median")
+    medians = (
+        order_statistics(values, [*keys, "metric"], "value", upper)
+        .groupBy(*keys)
+        .agg(
+            (F.max(F.when(F.col("metric") == "duration", F.col("median"))) / 1000).alias("duration_median"),
+            F.max(F.when(F.col("metric") == "words", F.col("median"))).cast("double").alias("words_median"),
+        )
     )
-    return base.join(dur, keys).join(words, keys)
+    return base.join(medians, keys)
 
 
 def talk_time_turns(segments: DataFrame) -> DataFrame:

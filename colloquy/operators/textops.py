@@ -14,7 +14,6 @@ from colloquy.operators.folds import chunk_lines
 
 # --- fixed values: abbreviations that do not end a sentence -------------------
 ABBREVIATIONS = ["mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "vs", "etc", "e.g", "i.e"]
-_MASK = "\u0001"
 
 PART_BITS = 12
 
@@ -25,16 +24,12 @@ def split_sentences(docs: DataFrame, text: str = "text") -> DataFrame:
     Deviation: instead of a trained splitter this cuts after runs of `.?!` that
     are followed by white space or the end, and not after common abbreviations.
     """
-    flat = F.regexp_replace(F.col(text), "[\r\n]+", " ")
-    guarded = F.regexp_replace(flat, r"(?iU)\b(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.", "$1" + _MASK)
-    marked = F.regexp_replace(guarded, r"([.?!]+)\s+", "$1\n")
-    pieces = F.transform(F.split(marked, "\n"), lambda s: F.replace(s, F.lit(_MASK), F.lit(".")))
+    known = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    boundary = rf"(?iU)(?<=[.?!])(?<!\b(?:{known})\.) "
     others = [c for c in docs.columns if c != text]
-    return (
-        docs.select(*others, F.posexplode(pieces).alias("sentence_idx", "sentence"))
-        .withColumn("sentence", squash_ws("sentence"))
-        .filter(F.col("sentence") != "")
-    )
+    return docs.select(
+        *others, F.posexplode(F.split(squash_ws(text), boundary)).alias("sentence_idx", "sentence")
+    ).filter(F.col("sentence") != "")
 
 
 def extract_questions(docs: DataFrame, text: str = "text") -> DataFrame:

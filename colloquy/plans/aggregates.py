@@ -166,7 +166,7 @@ def ag13(spark, sf):
       (length(text) - length(replace(replace(replace(text, '.', ''), '?', ''), '!', '')))::BIGINT AS sentence_count FROM documents""",
 )
 def ag14(spark, sf):
-    docs = V.table(spark, sf, "documents").select(F.concat(F.lit("ep"), "doc_id").alias("episode"), "text")
+    docs = V.documents(spark, sf).select(F.concat(F.lit("ep"), "doc_id").alias("episode"), "text")
     return stats.document_stats(docs)
 
 
@@ -202,7 +202,7 @@ def ag16(spark, sf):
 
 def batch_results(spark, sf):
     """One batch item per document; the item fails when its text is short."""
-    return V.table(spark, sf, "documents").select(
+    return V.documents(spark, sf).select(
         F.concat(F.lit("ep"), "doc_id", F.lit(".wav")).alias("file"),
         (F.col("n_chars") >= 300).alias("ok"),
         F.when(F.col("n_chars") >= 300, 200).otherwise(400).alias("status"),

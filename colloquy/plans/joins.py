@@ -165,7 +165,7 @@ def j08(spark, sf):
 
 
 def _inputs_outputs(spark, sf):
-    docs = V.table(spark, sf, "documents")
+    docs = V.documents(spark, sf)
     inputs = docs.select(F.concat(F.lit("ep"), "doc_id").alias("stem"))
     done = V.table(spark, sf, "labels")
     outputs = done.select(F.concat(F.lit("ep"), "doc_id").alias("stem"), F.lit("json").alias("kind")).unionByName(
@@ -197,7 +197,7 @@ _EXT = "CASE doc_id % 7 WHEN 0 THEN '.flac' WHEN 1 THEN '.mp3' WHEN 2 THEN '.mp4
     FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id""",
 )
 def j10(spark, sf):
-    docs, extra = V.table(spark, sf, "documents"), V.table(spark, sf, "labels")
+    docs, extra = V.documents(spark, sf), V.table(spark, sf, "labels")
 
     def media(df, ext):
         stem = F.concat(F.lit("ep"), "doc_id")
@@ -246,7 +246,7 @@ def set01(spark, sf):
     FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
 )
 def set02(spark, sf):
-    docs, done = V.table(spark, sf, "documents").select("doc_id"), V.table(spark, sf, "labels").select("doc_id")
+    docs, done = V.documents(spark, sf).select("doc_id"), V.table(spark, sf, "labels").select("doc_id")
     translated = setops.intersection(docs, done, ["doc_id"]).withColumn("origin", F.lit("translated"))
     copied = setops.difference(docs, done, ["doc_id"]).withColumn("origin", F.lit("copied"))
     return setops.union_formats(translated, copied)
@@ -259,11 +259,11 @@ def set03(spark, sf):
 
 @query("set04_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def set04(spark, sf):
-    docs, done = V.table(spark, sf, "documents").select("doc_id"), V.table(spark, sf, "labels")
+    docs, done = V.documents(spark, sf).select("doc_id"), V.table(spark, sf, "labels")
     return setops.difference(docs, done, ["doc_id"])
 
 
 @query("set05_intersection", "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels WHERE quality = 1")
 def set05(spark, sf):
-    docs, done = V.table(spark, sf, "documents"), V.table(spark, sf, "labels").filter("quality = 1")
+    docs, done = V.documents(spark, sf), V.table(spark, sf, "labels").filter("quality = 1")
     return setops.intersection(docs, done, ["doc_id"])

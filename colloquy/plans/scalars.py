@@ -194,7 +194,7 @@ def fn11(spark, sf):
 )
 def fn12(spark, sf):
     stem = F.concat(F.lit("ep"), F.col("doc_id"))
-    return V.table(spark, sf, "documents").select(
+    return V.documents(spark, sf).select(
         "doc_id",
         labels.output_name(F.concat(stem, F.lit(".deepgram.json")), "diarized").alias("diarized"),
         labels.output_name(F.concat(stem, F.lit("_raw.txt")), "cleaned").alias("cleaned"),
@@ -214,7 +214,7 @@ def messy(spark, sf):
     expr = _MESSY
     for code in codes:
         expr = expr.replace(f"{{c}}({code})", f"'\\u{code:04x}'")
-    return V.table(spark, sf, "documents").withColumn("text", F.expr(expr))
+    return V.documents(spark, sf).withColumn("text", F.expr(expr))
 
 
 _CLEAN = "(" + _MESSY.replace("{c}", "chr") + ")"
@@ -234,7 +234,7 @@ def fn13(spark, sf):
 
 @query("fn14_lower_copy", "SELECT doc_id, lower(text) AS lowered FROM documents")
 def fn14(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", text.lower_copy("text").alias("lowered"))
+    return V.documents(spark, sf).select("doc_id", text.lower_copy("text").alias("lowered"))
 
 
 @query(
@@ -242,7 +242,7 @@ def fn14(spark, sf):
     "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS squashed FROM documents",
 )
 def fn15(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", text.squash_ws("text").alias("squashed"))
+    return V.documents(spark, sf).select("doc_id", text.squash_ws("text").alias("squashed"))
 
 
 @query(
@@ -250,12 +250,12 @@ def fn15(spark, sf):
     "SELECT doc_id, CASE WHEN length(text) > 220 THEN left(text, 219) || chr(8230) ELSE text END AS cut FROM documents",
 )
 def fn16(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", text.truncate_ellipsis("text").alias("cut"))
+    return V.documents(spark, sf).select("doc_id", text.truncate_ellipsis("text").alias("cut"))
 
 
 @query("fn17_word_count", f"SELECT doc_id, {wc('text')} AS n_words FROM documents")
 def fn17(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", text.word_count("text").alias("n_words"))
+    return V.documents(spark, sf).select("doc_id", text.word_count("text").alias("n_words"))
 
 
 @query(
@@ -263,7 +263,7 @@ def fn17(spark, sf):
     "SELECT doc_id, (length(text) - length(replace(replace(replace(text, '.', ''), '?', ''), '!', '')))::BIGINT AS n_marks FROM documents",
 )
 def fn18(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", text.sentence_mark_count("text").alias("n_marks"))
+    return V.documents(spark, sf).select("doc_id", text.sentence_mark_count("text").alias("n_marks"))
 
 
 @query(
@@ -272,7 +272,7 @@ def fn18(spark, sf):
       '[\\x{0900}-\\x{097F}]') AS devanagari FROM documents""",
 )
 def fn19(spark, sf):
-    docs = V.table(spark, sf, "documents")
+    docs = V.documents(spark, sf)
     mixed = F.expr("CASE WHEN doc_id % 5 = 0 THEN concat(text, '\\u0928') ELSE text END")
     return docs.select("doc_id", text.has_devanagari(mixed).alias("devanagari"))
 
@@ -591,7 +591,7 @@ def fn39(spark, sf):
         }
     )
     pairs = F.transform(F.array_sort(F.map_entries(params)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return V.table(spark, sf, "documents").select("doc_id", F.array_join(pairs, "&").alias("params"))
+    return V.documents(spark, sf).select("doc_id", F.array_join(pairs, "&").alias("params"))
 
 
 @query(
@@ -603,7 +603,7 @@ def fn40(spark, sf):
     path = F.expr(
         "concat('/in/ep', doc_id, CASE doc_id % 4 WHEN 0 THEN '.wav' WHEN 1 THEN '.MP3' WHEN 2 THEN '.xyz' ELSE '.mp4' END)"
     )
-    return V.table(spark, sf, "documents").select("doc_id", labels.guess_media_type(path).alias("media_type"))
+    return V.documents(spark, sf).select("doc_id", labels.guess_media_type(path).alias("media_type"))
 
 
 @query(
@@ -669,7 +669,7 @@ _MIXED = (
 def mixed_language(spark, sf):
     """Documents of which some are blank and some hold Devanagari."""
     expr = _MIXED.replace("{c}(10)", "'\\n'").replace("{c}(2344)", "'\\u0928'")
-    return V.table(spark, sf, "documents").withColumn("text", F.expr(expr))
+    return V.documents(spark, sf).withColumn("text", F.expr(expr))
 
 
 MIXED_SQL = f"mixed AS (SELECT doc_id, {_MIXED.replace('{c}', 'chr')} AS text FROM documents)"

@@ -150,7 +150,7 @@ LINE_LIST = "CASE WHEN ends_with(text, chr(10)) THEN list_slice(string_split(tex
     SELECT doc_id, (k - 1)::INTEGER AS chunk_idx, chunks[k] AS chunk FROM done, range(1, len(chunks) + 1) t(k)""",
 )
 def seq10(spark, sf):
-    return folds.chunk_lines(V.table(spark, sf, "documents").select("doc_id", "text"))
+    return folds.chunk_lines(V.documents(spark, sf).select("doc_id", "text"))
 
 
 @query("seq11_even_sample", f"WITH {FEED}, {EVEN} SELECT episode_id, speaker, idx FROM picked")
@@ -164,4 +164,4 @@ def seq11(spark, sf):
     SELECT doc_id, (k - 1)::INTEGER AS line_idx, lines[k] AS line FROM l, range(1, len(lines) + 1) t(k)""",
 )
 def seq12(spark, sf):
-    return sequences.split_lines(V.table(spark, sf, "documents").select("doc_id", "text"))
+    return sequences.split_lines(V.documents(spark, sf).select("doc_id", "text"))

@@ -203,7 +203,7 @@ def src08(spark, sf):
 
 def _document_table(spark, sf) -> str:
     path = scratch_path(spark, "raw")
-    V.table(spark, sf, "documents").select(
+    V.documents(spark, sf).select(
         F.concat(F.lit("ep"), "doc_id", F.lit(".txt")).alias("name"),
         F.concat(F.lit("ep"), "doc_id").alias("episode_id"),
         F.lit(0).cast("bigint").alias("offset"), F.col("text").alias("value"),
@@ -322,7 +322,7 @@ def snk03(spark, sf):
       (length(text) - length(replace(replace(replace(text, '.', ''), '?', ''), '!', '')))::BIGINT AS sentence_count FROM documents""",
 )
 def snk04(spark, sf):
-    docs = V.table(spark, sf, "documents").select(F.concat(F.lit("ep"), "doc_id").alias("episode"), "text")
+    docs = V.documents(spark, sf).select(F.concat(F.lit("ep"), "doc_id").alias("episode"), "text")
     path = scratch_path(spark, "csv")
     writers.write_stats_csv(stats.document_stats(docs), path)
     return spark.read.schema("episode string, word_count bigint, sentence_count bigint").csv(path, header=True)

@@ -21,7 +21,7 @@ SENTENCES = f"""d AS (SELECT doc_id, regexp_replace({_ASKING}, '[\\r\\n]+', ' ',
 
 
 def asking(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", F.expr(_ASKING).alias("text"))
+    return V.documents(spark, sf).select("doc_id", F.expr(_ASKING).alias("text"))
 
 
 @query("tx01_split_sentences", f"WITH {SENTENCES} SELECT * FROM sent WHERE sentence <> ''")

@@ -65,7 +65,7 @@ def tk05(spark, sf):
       || array_to_string(x[n - w + 1:n], chr(10)) || chr(10), 1500) AS sample FROM n""",
 )
 def tk06(spark, sf):
-    docs = V.table(spark, sf, "documents").selectExpr("doc_id AS episode_id", "text")
+    docs = V.documents(spark, sf).selectExpr("doc_id AS episode_id", "text")
     lines = sequences.split_lines(docs).withColumn("line_idx", F.col("line_idx").cast("bigint"))
     return ranking.head_mid_tail_lines(lines, edge=8, middle=12, max_chars=1500)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE does the run-time work the operators rely on: it splits skewed join
 # partitions, coalesces small ones and turns a join into a broadcast only once
@@ -41,6 +41,16 @@ def build_session(
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly if the scan has fewer splits than the cluster has cores.
+
+    For row-wise work that is dear per row, such as text cleaning, on a few large
+    files. An input with enough splits is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder all executors share.
 
