@@ -103,26 +103,43 @@ def has_devanagari(text: Column | str) -> Column:
     return F.coalesce(_col(text).rlike("[\\u0900-\\u097f]"), F.lit(False))
 
 
-def _alternation(phrases: Sequence[str]) -> str:
-    return "|".join(re.escape(p.lower()).replace("\\ ", " ") for p in phrases)
+def phrase_pattern(phrases: Sequence[str], anchored: bool = False) -> str:
+    """Regular expression for any of the phrases, lower-cased, sharing prefixes.
+
+    A plain alternation tries every phrase at every position; sharing prefixes
+    leaves one branch per first letter. Phrases that contain another one match
+    nothing more and are left out; `anchored` is for matching at the start only.
+    """
+    wanted = {p.lower() for p in phrases}
+    covers = str.startswith if anchored else str.__contains__
+    wanted = {p for p in wanted if not any(q != p and covers(p, q) for q in wanted)}
+
+    def build(rest: set[str]) -> str:
+        if "" in rest:
+            return ""
+        heads = sorted({p[0] for p in rest})
+        parts = [re.escape(h).replace("\\ ", " ") + build({p[1:] for p in rest if p[0] == h}) for h in heads]
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    return build(wanted)
 
 
 def contains_keywords(text: Column | str, phrases: Sequence[str]) -> Column:
     """Lower-cased substring match of any phrase; not bound to whole words."""
-    return F.coalesce(F.lower(_col(text)).rlike(_alternation(phrases)), F.lit(False))
+    return F.coalesce(F.lower(_col(text)).rlike(phrase_pattern(phrases)), F.lit(False))
 
 
 def contains_keywords_nopunct(text: Column | str, phrases: Sequence[str]) -> Column:
     """As above, after punctuation in the text became single spaces."""
     clean = F.regexp_replace(F.lower(_col(text)), r"(?U)[^\w\s]", " ")
     clean = F.regexp_replace(clean, f"(?U){WS}+", " ")
-    return F.coalesce(clean.rlike(_alternation(phrases)), F.lit(False))
+    return F.coalesce(clean.rlike(phrase_pattern(phrases)), F.lit(False))
 
 
 def is_question_segment(text: Column | str) -> Column:
     """Ends with `?` or starts with a question starter (prefix match)."""
     stripped = strip_ws(F.coalesce(_col(text), F.lit("")))
-    starters = "^(" + _alternation(lexicons.QUESTION_STARTERS) + ")"
+    starters = "^" + phrase_pattern(lexicons.QUESTION_STARTERS, anchored=True)
     return stripped.endswith("?") | F.lower(stripped).rlike(starters)
 
 

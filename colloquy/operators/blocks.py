@@ -11,7 +11,8 @@ inside a block, and carry one small row per block forward:
 
 `bits` are the block widths as powers of two, from fine to coarse. A dense list
 position needs one level: a block then holds at most 2**16 rows and an episode
-of n rows has n / 2**16 carry rows. Sparse positions add a second level.
+of n rows has n / 2**16 carry rows. A second width adds a second level, for
+orders that are both long and sparse.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 POSITION_BITS = (16,)
-# Word positions are `segment position * 2**24 + word`, hence sparse.
-WORD_BITS = (30, 12)
+# Word positions are `segment position * 2**24 + word`: 2**14 segments a block.
+WORD_BITS = (38,)
 # Millisecond times: blocks of about a minute, deduplicated per millisecond.
 TIME_BITS = (16,)
 
@@ -51,18 +52,19 @@ def _combine(op: str, carry: Column, local: Column) -> Column:
 def with_running(
     df: DataFrame,
     keys: Sequence[str],
-    order: str,
+    order: str | Sequence[str],
     runs: Sequence[Run],
     bits: Sequence[int] = POSITION_BITS,
 ) -> DataFrame:
     """Add one column per run: its value over the rows of the same `keys` up to here.
 
-    `order` is a bigint; rows equal in it count as one step only for the sort,
-    so callers make it unique per key. Key columns must not be NULL.
+    `order` names bigint columns that are unique per key; blocks are cut on the
+    first. Key columns must not be NULL.
     """
     keys = list(keys)
+    orders = [order] if isinstance(order, str) else list(order)
     if not bits:
-        frame = Window.partitionBy(*keys).orderBy(order)
+        frame = Window.partitionBy(*keys).orderBy(*orders)
         return df.withColumns(
             {
                 r.name: _AGG[r.op](r.value).over(
@@ -72,13 +74,13 @@ def with_running(
             }
         )
     block = f"__block{len(bits)}"
-    rows = df.withColumn(block, F.shiftright(F.col(order), bits[0]))
+    rows = df.withColumn(block, F.shiftright(F.col(orders[0]), bits[0]))
     per_block = rows.groupBy(*keys, block).agg(*[_AGG[r.op](r.value).alias(f"__t_{r.name}") for r in runs])
     carry_runs = [Run(f"__c{len(bits)}_{r.name}", r.op, F.col(f"__t_{r.name}"), True) for r in runs]
     carries = with_running(per_block, keys, block, carry_runs, bits[1:]).select(
         *keys, block, *[c.name for c in carry_runs]
     )
-    frame = Window.partitionBy(*keys, block).orderBy(order)
+    frame = Window.partitionBy(*keys, block).orderBy(*orders)
     local = rows.withColumns(
         {
             f"__l_{r.name}": _AGG[r.op](r.value).over(
@@ -132,17 +134,21 @@ def with_rank(
 ) -> DataFrame:
     """1-based position by (`value`, `tie`), safe when many rows share one value.
 
-    Rows with a smaller value are counted from a per-value count; rows with the
-    same value by their tie position. So neither a crowded key nor a crowded
-    value forms one large window.
+    Rows are counted per (value, tie block) first. The window over these counts
+    gives how many rows come before such a cell, the window inside the cell the
+    rest. So neither a crowded key nor a crowded value forms one large window.
     """
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    keys = list(keys)
+    cell = [*keys, value, "__tie_block"]
+    rows = df.withColumn("__tie_block", F.shiftright(F.col(tie), tie_bits[0]))
+    counts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"))
     before = with_running(
-        counts, keys, value, [Run("__before", "sum", F.col("__n"), True)], value_bits
+        counts, keys, [value, "__tie_block"], [Run("__before", "sum", F.col("__n"), True)], value_bits
     ).drop("__n")
-    within = with_row_number(df, [*keys, value], tie, "__within", tie_bits)
+    within = F.row_number().over(Window.partitionBy(*cell).orderBy(tie))
     return (
-        within.join(before, [*keys, value])
+        rows.withColumn("__within", within)
+        .join(before, cell)
         .withColumn(name, F.col("__before") + F.col("__within"))
         .select(*df.columns, name)
     )

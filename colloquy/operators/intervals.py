@@ -118,51 +118,54 @@ def assign_word_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:
     )
 
 
-def _edges(df: DataFrame, at: str, sign: int, genders: list[str]) -> DataFrame:
-    deltas = [
-        F.when(F.col("gender") == g, F.lit(sign)).otherwise(0).cast("bigint").alias(f"__d_{g}") for g in genders
-    ]
-    return df.select("episode_id", F.col(at).alias("t"), *deltas)
+def _marks(df: DataFrame, sign: int, *columns: Column) -> DataFrame:
+    """Both ends of each interval as (episode_id, t, w): `sign` at the start, the opposite at the end."""
+    ends = F.array(
+        *[
+            F.struct(F.col(at).alias("t"), F.lit(w).cast("bigint").alias("w"))
+            for at, w in (("start_ms", sign), ("end_ms", -sign))
+        ]
+    )
+    return df.select("episode_id", *columns, F.explode(ends).alias("m")).select(
+        "episode_id", *df.select(*columns).columns, "m.t", "m.w"
+    )
 
 
 def gender_overlap(segments: DataFrame, regions: DataFrame, speaker: str = "speaker") -> DataFrame:
     """Overlap in ms per (episode, speaker) with male and with female regions.
 
-    Speakers without any overlap are absent.
+    Speakers without any overlap are absent. At time t the covered time is
+    open * t - origin, with `open` the regions open at t and `origin` the sum of
+    their edges; an edge at t itself adds nothing, so the order within one
+    millisecond does not matter.
     """
     genders = ["male", "female"]
     voiced = positive_length(voiced_gender_only(regions))
     spoken = positive_length(drop_unknown_speaker(segments, speaker))
+    none = F.lit(0).cast("bigint")
 
-    marks = spoken.select(
-        "episode_id",
-        F.col(speaker).alias("speaker"),
-        F.explode(
-            F.array(
-                F.struct(F.col("start_ms").alias("t"), F.lit(-1).cast("bigint").alias("weight")),
-                F.struct(F.col("end_ms").alias("t"), F.lit(1).cast("bigint").alias("weight")),
-            )
-        ).alias("m"),
-    )
-    weights = marks.groupBy("episode_id", "speaker", F.col("m.t").alias("t")).agg(F.sum("m.weight").alias("weight"))
-
-    edges = _edges(voiced, "start_ms", 1, genders).unionByName(_edges(voiced, "end_ms", -1, genders))
-    zeros = [F.lit(0).cast("bigint").alias(f"__d_{g}") for g in genders]
-    points = weights.select("episode_id", "t", *zeros)
-    steps = (
-        edges.unionByName(points)
-        .groupBy("episode_id", "t")
-        .agg(*[F.sum(f"__d_{g}").alias(f"__d_{g}") for g in genders])
-    )
-    runs = [Run(f"__open_{g}", "sum", F.col(f"__d_{g}")) for g in genders]
-    runs += [Run(f"__from_{g}", "sum", F.col(f"__d_{g}") * F.col("t")) for g in genders]
-    covered = with_running(steps, ["episode_id"], "t", runs, TIME_BITS).select(
-        "episode_id", "t", *[(F.col(f"__open_{g}") * F.col("t") - F.col(f"__from_{g}")).alias(f"__c_{g}") for g in genders]
+    edges = _marks(voiced, 1, F.col("gender"))
+    edges = edges.groupBy("episode_id", "t").agg(
+        *[F.sum(F.when(F.col("gender") == g, F.col("w")).otherwise(0)).cast("bigint").alias(f"d_{g}") for g in genders]
     )
+    points = _marks(spoken, -1, F.col(speaker).alias("speaker"))
+    points = points.groupBy("episode_id", "t", "speaker").agg(F.sum("w").alias("weight"))
+    # unique order at one t: the edge first, then the speakers by name
+    steps = edges.select(
+        "episode_id", "t", F.lit(None).cast("string").alias("speaker"), none.alias("weight"), "d_male", "d_female"
+    ).unionByName(points.select("episode_id", "t", "speaker", "weight", none.alias("d_male"), none.alias("d_female")))
+    runs = [Run(f"open_{g}", "sum", F.col(f"d_{g}")) for g in genders]
+    runs += [Run(f"origin_{g}", "sum", F.col(f"d_{g}") * F.col("t")) for g in genders]
+    covered = with_running(steps, ["episode_id"], ["t", "speaker"], runs, TIME_BITS)
     return (
-        weights.join(covered, ["episode_id", "t"])
+        covered.filter(F.col("speaker").isNotNull())
         .groupBy("episode_id", "speaker")
-        .agg(*[F.sum(F.col("weight") * F.col(f"__c_{g}")).cast("bigint").alias(f"{g}_ms") for g in genders])
+        .agg(
+            *[
+                F.sum(F.col("weight") * (F.col(f"open_{g}") * F.col("t") - F.col(f"origin_{g}"))).cast("bigint").alias(f"{g}_ms")
+                for g in genders
+            ]
+        )
         .filter((F.col("male_ms") > 0) | (F.col("female_ms") > 0))
     )
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from colloquy.functions.labels import render_line
 from colloquy.functions.text import squash_ws, strip_ws, truncate_ellipsis
 from colloquy.functions.timefmt import duration, fmt_hms
-from colloquy.operators.blocks import with_row_number
 
 
 def first_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str | None = None) -> DataFrame:
@@ -92,10 +91,11 @@ def head_mid_tail_lines(
 ) -> DataFrame:
     """A text sample per episode from its beginning, middle and end.
 
-    The parts may repeat lines. Every line costs at least one character, so at
+    `line_idx` is the position in the document, from 0 without holes. The parts
+    may repeat lines. Every line costs at least one character, so at
     most `max_chars` lines of a part can show; more are not gathered.
     """
-    numbered = with_row_number(lines, ["episode_id"], "line_idx", "__rn").withColumn("__i", F.col("__rn") - 1)
+    numbered = lines.withColumn("__i", F.col("line_idx"))
     sizes = lines.groupBy("episode_id").agg(F.count(F.lit(1)).alias("__n"))
     i, n = F.col("__i"), F.col("__n")
     wing = F.least(n, F.greatest(F.lit(edge), F.floor(n / 10)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import line_list, strip_ws
@@ -30,17 +30,23 @@ def words_to_segments(words: DataFrame, gap_ms: int = 800, drop_blank: bool = Fa
 
     Words without speaker, start or end are left out first, so they do not
     break the chain. `drop_blank` removes segments whose text is empty.
+
+    Words are joined to pieces inside a block of the episode. Only the first
+    piece of a block can belong to an earlier segment; one row per block decides
+    that, and the pieces of a segment are then put together.
     """
-    usable = valid_words(words)
-    linked = with_previous(usable, EP, "word_idx", ["speaker", "end_ms"], "__p", WORD_BITS)
-    is_head = (
-        F.col("__p").isNull()
-        | (F.col("speaker") != F.col("__p.speaker"))
-        | (F.col("start_ms") - F.col("__p.end_ms") > gap_ms)
-    )
-    runs = with_islands(linked, EP, "word_idx", is_head, "head_idx", WORD_BITS)
-    segments = (
-        runs.groupBy("episode_id", "head_idx")
+
+    def follows(last_speaker: Column, last_end: Column, speaker: Column, start: Column) -> Column:
+        return (last_speaker == speaker) & (start - last_end <= gap_ms)
+
+    rows = valid_words(words).withColumn("__b", F.shiftright(F.col("word_idx"), WORD_BITS[0]))
+    inside = Window.partitionBy("episode_id", "__b").orderBy("word_idx")
+    linked = rows.withColumns({"__spk": F.lag("speaker").over(inside), "__end": F.lag("end_ms").over(inside)})
+    going_on = follows(F.col("__spk"), F.col("__end"), F.col("speaker"), F.col("start_ms"))
+    head = F.when(~F.coalesce(going_on, F.lit(False)), F.col("word_idx"))
+    pieces = (
+        linked.withColumn("__head", F.max(head).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("episode_id", "__b", "__head")
         .agg(
             F.min_by("speaker", "word_idx").alias("speaker"),
             F.min_by("start_ms", "word_idx").alias("start_ms"),
@@ -48,6 +54,40 @@ def words_to_segments(words: DataFrame, gap_ms: int = 800, drop_blank: bool = Fa
             F.count(F.lit(1)).alias("n_tokens"),
             _joined("word_idx", "token").alias("text"),
         )
+    )
+
+    blocks = pieces.groupBy("episode_id", "__b").agg(
+        F.min(F.struct("__head", "speaker", "start_ms")).alias("first"),
+        F.max(F.struct("__head", "speaker", "end_ms")).alias("last"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    across = Window.partitionBy("episode_id").orderBy("__b")
+    joined = F.coalesce(
+        follows(
+            F.lag("last.speaker").over(across), F.lag("last.end_ms").over(across), F.col("first.speaker"), F.col("first.start_ms")
+        ),
+        F.lit(False),
+    )
+    blocks = blocks.withColumn("joined", joined)
+    opened = F.when(~(F.col("joined") & (F.col("n") == 1)), F.col("last.__head"))
+    earlier = F.max(opened).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    links = (
+        blocks.withColumn("__earlier", earlier)
+        .filter("joined")
+        .select("episode_id", "__b", F.col("first.__head").alias("__head"), "__earlier")
+    )
+
+    segments = (
+        pieces.join(links, ["episode_id", "__b", "__head"], "left")
+        .withColumn("head_idx", F.coalesce("__earlier", "__head"))
+        .groupBy("episode_id", "head_idx")
+        .agg(
+            F.min_by("speaker", "__head").alias("speaker"),
+            F.min_by("start_ms", "__head").alias("start_ms"),
+            F.max_by("end_ms", "__head").alias("end_ms"),
+            F.sum("n_tokens").alias("n_tokens"),
+            _joined("__head", "text").alias("text"),
+        )
         .withColumn("text", strip_ws("text"))
     )
     return segments.filter(F.col("text") != "") if drop_blank else segments
@@ -115,7 +155,8 @@ def adaptive_gap(segments: DataFrame, floor_ms: int = 300, default_ms: int = 800
         "q3": F.floor(n * 3 / 4).cast("bigint"),
     }
     quartiles = order_statistics(gaps, EP, "gap", at)
-    gap_ms = F.greatest(F.lit(float(floor_ms)), F.col("med") + 0.5 * (F.col("q3") - F.col("q1")))
+    spread = F.col("med") + 0.5 * (F.col("q3") - F.col("q1"))
+    gap_ms = F.when(F.col("med").isNotNull(), F.greatest(F.lit(float(floor_ms)), spread))
     return (
         segments.select("episode_id")
         .distinct()

@@ -32,14 +32,13 @@ def raw_documents(spark: SparkSession, path: str, layout: str = "files", glob: s
     if layout == "table":
         return spark.read.schema(schemas.RAW_DOCUMENT).parquet(path)
     return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", glob)
-        .text(path)
+        spark.read.option("pathGlobFilter", glob)
+        .text(path, wholetext=True)
         .select(
             F.col("_metadata.file_name").alias("name"),
             _stem(F.url_decode(F.col("_metadata.file_name"))).alias("episode_id"),
             F.lit(0).cast("bigint").alias("offset"),
-            "value",
+            F.make_valid_utf8("value").alias("value"),
         )
     )
 
