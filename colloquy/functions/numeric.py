@@ -1,7 +1,9 @@
-"""Exact rounding of integer ratios, so results do not depend on float order."""
+"""Small column helpers: exact rounding of integer ratios, binding a value once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value once, so that a costly expression is not repeated in the plan."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def safe_div(a: Column | str, b: Column | str) -> Column:
     """a / b, 0.0 when b is 0."""
     a, b = _col(a), _col(b)

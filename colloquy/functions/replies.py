@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from colloquy.functions.numeric import _col
+from colloquy.functions.numeric import _col, let
 
 
 def reply_content(response: Column | str) -> Column:
@@ -18,11 +18,6 @@ def reply_content(response: Column | str) -> Column:
     )
 
 
-def _let(value: Column, body) -> Column:
-    """Bind a value once, so a long expression is not repeated in the plan."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _valid(text: Column) -> Column:
     return F.when(F.try_parse_json(text).isNotNull() & (text != ""), text)
 
@@ -39,9 +34,9 @@ def parse_model_json(reply: Column | str) -> Column:
     first `{` to the last `}` is tried.
     """
     trimmed = F.btrim(F.coalesce(_col(reply), F.lit("")))
-    return _let(
+    return let(
         trimmed,
-        lambda raw: _let(
+        lambda raw: let(
             _unfenced(raw),
             lambda text: F.coalesce(_valid(text), _valid(F.regexp_extract(text, r"(?s)\{.*\}", 0))),
         ),

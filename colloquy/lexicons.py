@@ -166,27 +166,31 @@ QUESTION_WORDS = [
     "do you", "can you", "is it", "would", "could", "should",
 ]
 
-# --- fixed values: host-likeness scoring patterns (matched on lower-cased text)
+# --- fixed values: host-likeness scoring patterns, matched as whole words on
+# lower-cased text
 HOST_SCORE_QUESTION_CUES = [
-    r"\?$", r"\bwhy\b", r"\bhow\b", r"\bwhat\b", r"\bwhen\b", r"\bwhere\b",
-    r"\bdo you\b", r"\bcan you\b", r"\btell me\b", r"\bhelp me\b", r"\bwalk me through\b",
+    "why", "how", "what", "when", "where",
+    "do you", "can you", "tell me", "help me", "walk me through",
 ]
 HOST_SCORE_PHRASES = [
-    r"\btoday'?s episode\b", r"\bwelcome\b", r"\bsubscribe\b", r"\bcomment(s)?\b",
-    r"\bshare (it|this)\b", r"\benjoy (the )?show\b",
-    r"\bthank you for (watching|listening)\b", r"\bwe spoke to\b", r"\bintroduc(e|ing)\b",
+    "today'?s episode", "welcome", "subscribe", "comment(?:s)?",
+    "share (?:it|this)", "enjoy (?:the )?show",
+    "thank you for (?:watching|listening)", "we spoke to", "introduc(?:e|ing)",
 ]
 HOST_SCORE_INTERJECTION = (
     r"^\s*(yeah|yes|right|okay|ok|hmm|interesting|true|got it)\s*[\.\!]*\s*$"
 )
 
-# --- fixed values: early-snippet cues of the fallback host score --------------
+# --- fixed values: early-snippet cues of the fallback host score, whole words --
 HOST_CUES = [
-    r"\bepisode\b", r"\bpodcast\b", r"\bwelcome\b", r"\bthank(s)?\b",
-    r"\bspecial thanks\b", r"\bsubscribe\b", r"\bfollow\b", r"\bTRS\b",
-    r"\bshow\b", r"\bwe('ve)?\b",
+    "episode", "podcast", "welcome", "thank(?:s)?", "special thanks",
+    "subscribe", "follow", "TRS", "show", "we(?:'ve)?",
 ]
-HOST_CUES_ASR = [*HOST_CUES, r"\?"]
+
+
+def whole_words(patterns: list[str]) -> str:
+    return r"\b(?:" + "|".join(patterns) + r")\b"
+
 
 # Detection variants: categories in priority order. `strip_punct` says whether
 # punctuation in the text becomes a space before matching.

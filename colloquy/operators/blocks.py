@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 POSITION_BITS = (16,)
-# Word positions are `segment position * 2**24 + word`: 2**14 segments a block.
-WORD_BITS = (38,)
+# Word positions are `segment position * 2**24 + word`: 2**12 segments a block.
+WORD_BITS = (36,)
 # Millisecond times: blocks of about a minute, deduplicated per millisecond.
 TIME_BITS = (16,)
 

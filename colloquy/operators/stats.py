@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy import lexicons
 from colloquy.functions.labels import classify_pitch
 from colloquy.functions.numeric import round_ratio, safe_div
 from colloquy.functions.text import (
@@ -226,14 +225,13 @@ def heuristic_host_score(samples: DataFrame, asr: bool = False) -> DataFrame:
 
     `asr` counts `?` as a cue and adds 5 for each.
     """
-    cues = lexicons.HOST_CUES_ASR if asr else lexicons.HOST_CUES
     marks = F.regexp_count("sample", F.lit(r"\?")) if asr else F.lit(0)
     early = Window.partitionBy("episode_id", "speaker").orderBy("seg_idx")
     first_ten = samples.withColumn("__rn", F.row_number().over(early)).filter(F.col("__rn") <= 10)
     return first_ten.groupBy("episode_id", "speaker").agg(
         (
             F.min_by("start_ms", "seg_idx") * F.lit(-0.5) / 1000
-            + F.sum(cue_hits("sample", cues)) * 10.0
+            + F.sum(cue_hits("sample", asr)) * 10.0
             + F.sum(F.length("sample")) * F.lit(0.01)
             + F.sum(marks) * 5.0
         ).alias("score"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colloquy import lexicons
 from colloquy.operators import intervals, lookups, ranking, sequences, stats, textops
 from colloquy.plans import views as V
 from colloquy.plans.joins import GENDERED, OVERLAPS, SAMPLES, feed_segments, regions
@@ -179,10 +178,9 @@ def ag15(spark, sf):
 
 
 def score_sql(asr: bool) -> str:
-    cues = lexicons.HOST_CUES_ASR if asr else lexicons.HOST_CUES
     marks = "sum(length(sample) - length(replace(sample, '?', '')))" if asr else "0"
     return (
-        f"arg_min(start_ms, seg_idx) * -0.5::DOUBLE / 1000 + sum({cue_hits_sql('sample', cues)}) * 10.0::DOUBLE "
+        f"arg_min(start_ms, seg_idx) * -0.5::DOUBLE / 1000 + sum({cue_hits_sql('sample', asr)}) * 10.0::DOUBLE "
         f"+ sum(length(sample)) * 0.01::DOUBLE + {marks} * 5.0::DOUBLE"
     )
 

@@ -351,9 +351,9 @@ def fn24(spark, sf):
 def host_score_sql(col: str) -> str:
     t = f"trim({_ascii(f'lower({col})')}, ' ' || chr(10))"
     parts = [
-        f"CASE WHEN regexp_matches({t}, '{_sql('|'.join(lexicons.HOST_SCORE_QUESTION_CUES))}') THEN 2.0 ELSE 0.0 END",
+        f"CASE WHEN regexp_matches({t}, '{_sql(chr(92) + '?$|' + lexicons.whole_words(lexicons.HOST_SCORE_QUESTION_CUES))}') THEN 2.0 ELSE 0.0 END",
         f"CASE WHEN ends_with({t}, '?') THEN 2.0 ELSE 0.0 END",
-        *[f"CASE WHEN regexp_matches({t}, '{_sql(p)}') THEN 3.0 ELSE 0.0 END" for p in lexicons.HOST_SCORE_PHRASES],
+        *[f"CASE WHEN regexp_matches({t}, '{_sql(lexicons.whole_words([p]))}') THEN 3.0 ELSE 0.0 END" for p in lexicons.HOST_SCORE_PHRASES],
         f"CASE WHEN regexp_matches({t}, '{_sql(lexicons.HOST_SCORE_INTERJECTION)}') THEN 0.75 ELSE 0.0 END",
     ]
     return "(" + " + ".join(parts) + ")::DOUBLE"
@@ -364,18 +364,19 @@ def fn25(spark, sf):
     return V.segments(spark, sf).select(*ID, text.host_score_text("text").alias("score"))
 
 
-def cue_hits_sql(col: str, cues: list[str]) -> str:
-    return f"len(regexp_extract_all({_ascii(col)}, '(?i){_sql('|'.join(cues))}'))"
+def cue_hits_sql(col: str, count_questions: bool = False) -> str:
+    pattern = "(?i)" + lexicons.whole_words(lexicons.HOST_CUES) + ("|\\?" if count_questions else "")
+    return f"len(regexp_extract_all({_ascii(col)}, '{_sql(pattern)}'))"
 
 
 @query(
     "fn26_cue_hits",
-    f"""WITH {SEG} SELECT episode_id, seg_idx, {cue_hits_sql('text', lexicons.HOST_CUES)} AS hits,
-      {cue_hits_sql('text', lexicons.HOST_CUES_ASR)} AS hits_asr FROM seg""",
+    f"""WITH {SEG} SELECT episode_id, seg_idx, {cue_hits_sql('text')} AS hits,
+      {cue_hits_sql('text', True)} AS hits_asr FROM seg""",
 )
 def fn26(spark, sf):
     return V.segments(spark, sf).select(
-        *ID, text.cue_hits("text").alias("hits"), text.cue_hits("text", lexicons.HOST_CUES_ASR).alias("hits_asr")
+        *ID, text.cue_hits("text").alias("hits"), text.cue_hits("text", True).alias("hits_asr")
     )
 
 

@@ -120,7 +120,7 @@ def simple_diarized_from(raw: DataFrame) -> DataFrame:
 def document_kind(raw: DataFrame) -> DataFrame:
     """Add `kind`: sentences or asr, by file suffix and then by structure."""
     v = F.col("value")
-    has = lambda field: F.get_json_object(v, f"$.{field}").isNotNull()
+    has = lambda field: F.array_contains(F.json_object_keys(v), field)
     return raw.withColumn(
         "kind",
         F.when(F.col("name").endswith(".sentences.json"), "sentences")

@@ -136,7 +136,7 @@ def test_white_space_and_words(spark):
         assert row[4] == s.splitlines()
 
 
-def test_phrase_pattern_matches_like_contains(spark):
+def test_keywords_match_like_contains(spark):
     rng = random.Random(9)
     phrases = lexicons.HOST_V5 + lexicons.SPONSOR_V4
     bits = " ".join(phrases).split() + ["%", "off", "subscribed"]
