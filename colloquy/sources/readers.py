@@ -31,12 +31,14 @@ def raw_documents(spark: SparkSession, path: str, layout: str = "files", glob: s
     """Documents as (name, episode_id, offset, value)."""
     if layout == "table":
         return spark.read.schema(schemas.RAW_DOCUMENT).parquet(path)
+    # file names come percent-encoded, but a plus sign stands for itself
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
     return (
         spark.read.option("pathGlobFilter", glob)
         .text(path, wholetext=True)
         .select(
-            F.col("_metadata.file_name").alias("name"),
-            _stem(F.url_decode(F.col("_metadata.file_name"))).alias("episode_id"),
+            name.alias("name"),
+            _stem(name).alias("episode_id"),
             F.lit(0).cast("bigint").alias("offset"),
             F.make_valid_utf8("value").alias("value"),
         )

@@ -20,8 +20,9 @@ def _write(folder, name, content):
 def test_captions(spark, tmp_path):
     _write(tmp_path, "ep001_raw.json", [{"text": " a "}, {"text": ""}, {"start": 1.0}, {"text": "b", "duration": 2}])
     _write(tmp_path, "ep002_raw.json", "not json")
-    got = readers.read_captions(spark, str(tmp_path)).orderBy("item_idx").collect()
-    assert [tuple(r) for r in got] == [("ep001", 0, "a"), ("ep001", 3, "b")]
+    _write(tmp_path, "ep 3 + 50%_raw.json", [{"text": "c"}])
+    got = readers.read_captions(spark, str(tmp_path)).orderBy("episode_id", "item_idx").collect()
+    assert [tuple(r) for r in got] == [("ep 3 + 50%", 0, "c"), ("ep001", 0, "a"), ("ep001", 3, "b")]
 
 
 def test_asr_documents(spark, tmp_path):
