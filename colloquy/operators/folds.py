@@ -78,13 +78,13 @@ class _Block:
     state: str | None
     context: list[str]
     body: list[str]
-    places: list[int]
+    keys: list[int]
 
     def begin(self, size: int) -> int:
         return self.number * size
 
 
-_BLOCK_COLUMNS = ["episode_id", "__b", "__pos", "__raw", "__n", "__state"]
+_BLOCK_COLUMNS = ["episode_id", "__b", "__pos", "__raw", "__n", "__state", "__key"]
 
 
 def _blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[_Block]:
@@ -97,7 +97,7 @@ def _blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[_Block]:
         state = members[0][5]
         yield _Block(
             episode, number, members[0][4], state if isinstance(state, str) else None,
-            labels[:cut], labels[cut:], places[cut:],
+            labels[:cut], labels[cut:], [m[6] for m in members[cut:]],
         )
 
 
@@ -130,7 +130,9 @@ def _fold(
     left = memory + 1
     numbered = with_row_number(df, ["episode_id"], order, "__rn").withColumn("__pos", F.col("__rn") - 1).drop("__rn")
     sizes = df.groupBy("episode_id").agg(F.count(F.lit(1)).alias("__n"))
-    slim = numbered.select("episode_id", "__pos", F.col(label).alias("__raw")).join(sizes, "episode_id")
+    slim = numbered.select(
+        "episode_id", "__pos", F.col(label).alias("__raw"), F.col(order).alias("__key")
+    ).join(sizes, "episode_id")
 
     home = F.floor(F.col("__pos") / block).cast("bigint")
     inside = F.pmod(F.col("__pos"), F.lit(block))
@@ -184,8 +186,10 @@ def _fold(
 
     # Most tables end in the same labels from every start, so what precedes such
     # a block does not matter: a chain runs only from one of these to the next.
+    # With one row per block left, a plain window over an episode's blocks will do.
     settled = F.size(F.array_distinct("to")) == 1
-    chained = with_islands(tables.withColumn("settled", settled), ["episode_id"], "__b", F.col("settled"), "chain")
+    tables = tables.withColumn("settled", settled)
+    chained = with_islands(tables, ["episode_id"], "__b", F.col("settled"), "chain", bits=())
     follow = F.aggregate(
         F.col("steps"),
         F.array().cast("array<string>"),
@@ -204,26 +208,22 @@ def _fold(
     )
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, places, labels = [], [], []
+        ids, keys, labels = [], [], []
         for b in _blocks(batches, block):
             begin, own = b.begin(block), min(block, b.total - b.begin(block))
             before = b.state.split(SEP) if b.state is not None else []
             ids += [b.episode] * own
-            places += b.places[:own]
+            keys += b.keys[:own]
             labels += run(b.body, before, begin, b.total)[:own]
             if len(ids) >= block:
-                yield pd.DataFrame({"episode_id": ids, "__pos": places, "__new": labels})
-                ids, places, labels = [], [], []
+                yield pd.DataFrame({"episode_id": ids, order: keys, out: labels})
+                ids, keys, labels = [], [], []
         if ids:
-            yield pd.DataFrame({"episode_id": ids, "__pos": places, "__new": labels})
+            yield pd.DataFrame({"episode_id": ids, order: keys, out: labels})
 
-    done_schema = T.StructType([id_field, T.StructField("__pos", T.LongType()), T.StructField("__new", T.StringType())])
+    done_schema = T.StructType([id_field, T.StructField(order, T.LongType()), T.StructField(out, T.StringType())])
     labelled = _per_block(copies.join(states, ["episode_id", "__b"], "left"), finish, done_schema)
-    return (
-        numbered.join(labelled, ["episode_id", "__pos"])
-        .withColumn(out, F.col("__new"))
-        .drop("__pos", "__new")
-    )
+    return df.join(labelled, ["episode_id", order])
 
 
 def smooth_turns(
