@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, quality, tokencounts
+from colloquy.llm import bpe, media, quality, tokencounts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,14 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op2_media_columns")
+def media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
+        "width", "height", "bit_depth",
+    )
+
+
 @query("op6_byte_bpe")
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_documents(
@@ -49,3 +57,23 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_token_counts")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"))
+
+
+@query(
+    "op7_warc_revisits",
+    """
+    WITH p AS (
+      SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+    ), r AS (
+      SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST) AS place,
+        max(page_id) OVER (PARTITION BY payload_digest) AS last_id
+      FROM p
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+      CASE WHEN payload_bytes >= 1000 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN payload_bytes >= 1000 AND place > 1 THEN last_id END AS refers_to
+    FROM r
+    """,
+)
+def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.deduplicated(table(spark, sf_dir, "pages")).withColumnRenamed("row_id", "page_id")
