@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, media, quality, tokencounts, warc
+from colloquy.llm import bpe, media, quality, tokencounts, tokenfiles, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,12 @@ def media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_token_files")
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = tokenfiles.stored_tokens(table(spark, sf_dir, "documents"), tokenizers.path("word_bpe_49k.json"))
+    return stored.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query("op6_byte_bpe")
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_documents(
