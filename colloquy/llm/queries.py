@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, media, quality, tokencounts, tokenfiles, warc
+from colloquy.llm import bpe, media, quality, simhash, tokencounts, tokenfiles, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,3 +83,8 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.deduplicated(table(spark, sf_dir, "pages")).withColumnRenamed("row_id", "page_id")
+
+
+@query("op10_simhash")
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
