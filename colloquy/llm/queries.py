@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, media, passages, quality, simhash, tokencounts, tokenfiles, warc
+from colloquy.llm import bpe, media, mixing, passages, quality, simhash, tokencounts, tokenfiles, urlrules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,105 @@ def media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op3_source_mix",
+    r"""
+    WITH d AS (
+      SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens,
+        md5(coalesce(CAST(doc_id AS VARCHAR), '-')) AS doc_key
+      FROM documents
+    ), s AS (
+      SELECT source, sum(n_tokens) AS tokens, max(sum(n_tokens)) OVER () AS most,
+        list_sum(list_transform(range(12), lambda i: CASE WHEN count(*) > 1024 * pow(16, i) THEN 1 ELSE 0 END)) AS digits
+      FROM d GROUP BY source
+    ), grid AS (
+      SELECT k FROM range(4097) g(k) JOIN s ON s.tokens > 0
+      GROUP BY k HAVING max(pow(s.most / s.tokens, 1 - k / 4096.0::DOUBLE)) <= 1.5 OR k = 4096
+    ), q AS (
+      SELECT source, digits, tokens,
+        CASE WHEN tokens > 0 THEN CAST(floor(tokens * pow(most / tokens, 1 - (SELECT min(k) FROM grid) / 4096.0::DOUBLE) + 0.5) AS BIGINT) END AS quota
+      FROM s
+    ), p AS (
+      SELECT source, CAST(digits AS INTEGER) AS digits, CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END AS whole,
+        CASE WHEN tokens > 0 THEN quota % tokens ELSE 0 END AS rest
+      FROM q
+    ), u AS (
+      SELECT d.*, left(doc_key, digits) AS block, whole, rest, unnest(range(CAST(whole + 1 AS BIGINT))) AS epoch
+      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+    ), k AS (
+      SELECT *, md5('mix:' || epoch || ':' || coalesce(source, '-') || ':' || block) AS pass_key FROM u
+    ), r AS (
+      SELECT *, sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY pass_key, doc_key RANGE UNBOUNDED PRECEDING) AS upto FROM k
+    )
+    SELECT doc_id, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(epoch AS INTEGER) AS epoch, block, pass_key
+    FROM r WHERE epoch < whole OR rest > 0 AND upto <= rest
+    """,
+)
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "epoch", "block", "pass_key")
+
+
+# --- fixed values: the URL list, (host, path, verdict) --------------------------
+URL_LIST = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+@query(
+    "op4_url_rules",
+    r"""
+    WITH u AS (
+      SELECT page_id, coalesce(url, '') AS url,
+        translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+      FROM pages
+    ), t AS (
+      SELECT page_id, host, path, list_sort(list_distinct(
+        ['h:' || x for x in string_split(host, '.') if x <> '']
+        || ['p:' || x for x in string_split(regexp_replace(path, '[0-9]+', '0', 'g'), '/') if x <> '']
+        || ['q:' || regexp_extract(x, '^([^=]*)', 1) for x in string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&')
+            if regexp_extract(x, '^([^=]*)', 1) <> '']
+        || ['f:' || x for x in [regexp_extract(url, '#(.*)', 1)] if x <> ''])) AS tokens,
+        regexp_extract(path, '/([0-9]+)', 1) AS number
+      FROM u
+    ), l AS (
+      SELECT CAST(doc_id AS VARCHAR) AS number, bool_or(coalesce(quality = 0 OR toxic = 1, false)) AS blocked
+      FROM labels WHERE doc_id IS NOT NULL GROUP BY 1
+    ), b AS (
+      SELECT row_number() OVER () AS row_no, tokens, blocked FROM t JOIN l USING (number)
+    ), e AS (
+      SELECT row_no, blocked, unnest(tokens) AS token FROM b
+    ), c AS (
+      SELECT [token] AS items, blocked FROM e
+      UNION ALL SELECT [x.token, y.token], x.blocked FROM e x JOIN e y USING (row_no) WHERE x.token < y.token
+      UNION ALL SELECT [x.token, y.token, z.token], x.blocked
+        FROM e x JOIN e y USING (row_no) JOIN e z USING (row_no) WHERE x.token < y.token AND y.token < z.token
+    ), m AS (
+      SELECT items FROM c GROUP BY items
+      HAVING count(*) FILTER (blocked) >= greatest(10, (SELECT ceil(0.0005::DOUBLE * count(*)) FROM b))
+        AND count(*) FILTER (blocked)::DOUBLE / count(*) >= 0.6::DOUBLE
+    ), h AS (
+      SELECT DISTINCT tokens FROM (SELECT DISTINCT tokens FROM t) JOIN m ON list_has_all(tokens, items)
+    )
+    SELECT page_id, host, path,
+      CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+        WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+        WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
+      CASE rule WHEN 'example.net/en/' THEN 'allow' WHEN 'example.com/de/' THEN 'block' WHEN 'org/fr/' THEN 'allow'
+        WHEN 'net/' THEN 'block' ELSE CASE WHEN h.tokens IS NULL THEN 'allow' ELSE 'block' END END AS verdict
+    FROM t LEFT JOIN h ON t.tokens = h.tokens
+    """,
+)
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = urlrules.mine_rules(urlrules.labelled_urls(pages, table(spark, sf_dir, "labels")))
+    return urlrules.judge_urls(pages, rules, URL_LIST)
+
+
 @query("op5_token_files")
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = tokenfiles.stored_tokens(table(spark, sf_dir, "documents"), tokenizers.path("word_bpe_49k.json"))
