@@ -427,8 +427,22 @@ def spans(places: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def whole_characters(text: bytes, a: int, b: int) -> tuple[int, int]:
+    """The part of bytes a..b that holds whole UTF-8 characters."""
+    while a < b and text[a] & 0xC0 == 0x80:
+        a += 1
+    while b > a and b < len(text) and text[b] & 0xC0 == 0x80:
+        b -= 1
+    return a, b
+
+
 def remove_repeats(
-    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] = ()
+    docs: DataFrame,
+    window: int = WINDOW,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: Iterable[str] = (),
+    characters: bool = False,
 ) -> DataFrame:
     """Every text without the bytes covered by a `window`-byte string that also starts earlier.
 
@@ -438,7 +452,8 @@ def remove_repeats(
     `in_<name>`; others are left out. One output row per input row. Of rows with
     one id the order is fixed within the run; null ids come last; a null text has
     no bytes; texts shorter than `window` stay whole; an empty table gives an
-    empty result.
+    empty result. With `characters` a character goes only if all its bytes do, so
+    that what is left is text.
     """
     spark, anchor, kept = docs.sparkSession, window // 2, list(keep)
     source = picked(docs, doc_id=id_col, text=text_col, **{f"in_{c}": c for c in kept})
@@ -486,6 +501,8 @@ def remove_repeats(
         for rows in _Texts(file, names):
             for doc, row, text, *others in rows:
                 gone = spans(repeated.get(row, []), window)
+                if characters:
+                    gone = [(a, b) for a, b in (whole_characters(text, *span) for span in gone) if a < b]
                 at, left = 0, []
                 for a, b in gone:
                     left.append(text[at:a])

@@ -55,15 +55,16 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`doc_id`, `bits`: the fingerprint of every whole text as a signed 64-bit number."""
-    schema = pa.schema([("doc_id", pa.int64()), ("bits", pa.int64())])
+    """`doc_id`, `mark` (a hash of the text) and `bits`, the fingerprint of every whole text as a signed number."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("bits", pa.int64())])
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = np.array([fingerprint(t.as_py()) for t in part.column(1)], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(found)], schema=schema)
+            found = np.array([fingerprint(t.as_py()) for t in part.column(2)], "<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array(found)], schema=schema)
 
-    return picked(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, bits long")
+    source = picked(docs, doc_id=id_col, text=text_col).select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    return source.mapInArrow(run, "doc_id long, mark long, bits long")
 
 
 def block_masks(blocks: int) -> list[int]:
@@ -207,6 +208,15 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def _grouped(rows: DataFrame, distance: int) -> DataFrame:
+    """`bits` and `label`, the least fingerprint (as a signed number) of its component; each fingerprint once."""
+    distinct = written(rows.select("bits").distinct(), "distinct")
+    labels = connected(links(distinct, distance))
+    return distinct.join(labels, distinct["bits"] == labels["node"], "left").select(
+        "bits", F.coalesce("label", "bits").alias("label")
+    )
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc_id`, `fingerprint` (16 hex digits), `component_id`: the smallest id linked to the row, directly or through others.
 
@@ -216,14 +226,32 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
     than all others (a component of null ids alone has none). Other columns are
     left out; an empty table gives an empty result.
     """
-    rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = written(rows.groupBy("bits").agg(F.min("doc_id").alias("first")), "distinct")
-    labels = connected(links(distinct.select("bits"), distance))
-    placed = distinct.join(labels, distinct["bits"] == labels["node"], "left").select(
-        "bits", "first", F.coalesce("label", "bits").alias("label")
-    )
-    lowest = placed.groupBy("label").agg(F.min("first").alias("component_id"))
+    rows = written(fingerprints(docs, id_col, text_col).drop("mark"), "fingerprints")
+    placed = _grouped(rows, distance)
+    first = rows.groupBy("bits").agg(F.min("doc_id").alias("first"))
+    lowest = placed.join(first, "bits").groupBy("label").agg(F.min("first").alias("component_id"))
     component = placed.join(lowest, "label").select("bits", "component_id")
     return rows.join(component, "bits").select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def representatives(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row of each component: that with the smallest id, then the least text hash; all columns stay.
+
+    Null ids come after all others. Only ids and hashes are grouped; texts are
+    shuffled once, to the rows that stay.
+    """
+    rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    best = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    of_bits = rows.groupBy("bits").agg(F.min(best).alias("best"))
+    stays = of_bits.join(_grouped(rows, distance), "bits").groupBy("label").agg(F.min("best").alias("best"))
+    stays = stays.select(F.coalesce("best.doc_id", F.lit(0)).alias("_id"), F.col("best.unnamed").alias("_unnamed"), F.col("best.mark").alias("_mark"))
+    marked = docs.select(
+        "*",
+        F.coalesce(F.col(f"`{id_col}`"), F.lit(0)).cast("long").alias("_id"),
+        F.col(f"`{id_col}`").isNull().alias("_unnamed"),
+        F.xxhash64(F.col(f"`{text_col}`")).alias("_mark"),
+    )
+    keys = ["_id", "_unnamed", "_mark"]
+    return marked.join(stays, keys, "left_semi").dropDuplicates(keys).select(docs.columns)

@@ -4,13 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from colloquy.llm import bpe, mixing, passages, quality, simhash
 from colloquy.llm.runtime import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the text rules and the classifier keep; it is fitted on the labelled ones among `docs`."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    judged = quality.apply_rules(docs, model, keep=COLUMNS[1:])
+    return judged.where("kept").select("doc_id", *(F.col(f"in_{c}").alias(c) for c in COLUMNS[1:]))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.representatives(docs).select(COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that an earlier document, or an earlier place of the same one, has."""
+    cut = passages.remove_repeats(docs, keep=["lang", "source"], characters=True)
+    text = F.col("kept").cast("string")
+    return cut.select(
+        "doc_id", text.alias("text"), F.col("in_lang").alias("lang"), F.col("in_source").alias("source"),
+        F.length(text).cast("long").alias("n_chars"),
+    )
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document once, those of smaller sources again up to their weight."""
+    return mixing.realised(docs, mixing.mixing_plan(mixing.token_table(docs))).select(COLUMNS)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every text, little-endian unsigned 32-bit."""
+    return bpe.encode_documents(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("passages", repeated_passages),
+    ("mix", source_mix),
+    ("token_ids", token_ids),
+]
 
 # The classifier of the first stage has no SQL; tests compare the stages to brute force.
 ORACLE_SQL: str | None = None
