@@ -95,7 +95,7 @@ def runs(buffer: np.ndarray, starts: np.ndarray, stops: np.ndarray, window: int,
 
     Text number, first window, number of windows after it, hash of the anchor.
     """
-    letters, powers, inverse = once_per_process(("passage tables",), _tables)
+    letters, powers, inverse = once_per_process(("passage tables", BUFFER), _tables)
     n = len(buffer)
     whole = np.flatnonzero(stops - starts >= window)
     none = np.zeros(0, np.int64)

@@ -10,7 +10,7 @@ verified on the fingerprints themselves.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -236,8 +236,10 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
     )
 
 
-def representatives(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each component: that with the smallest id, then the least text hash; all columns stay.
+def representatives(
+    docs: DataFrame, keep: Sequence[str], distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The columns `keep` of one row of each component: that with the smallest id, then the least text hash.
 
     Null ids come after all others. Only ids and hashes are grouped; texts are
     shuffled once, to the rows that stay.
@@ -246,12 +248,11 @@ def representatives(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
     best = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
     of_bits = rows.groupBy("bits").agg(F.min(best).alias("best"))
     stays = of_bits.join(_grouped(rows, distance), "bits").groupBy("label").agg(F.min("best").alias("best"))
-    stays = stays.select(F.coalesce("best.doc_id", F.lit(0)).alias("_id"), F.col("best.unnamed").alias("_unnamed"), F.col("best.mark").alias("_mark"))
-    marked = docs.select(
-        "*",
-        F.coalesce(F.col(f"`{id_col}`"), F.lit(0)).cast("long").alias("_id"),
-        F.col(f"`{id_col}`").isNull().alias("_unnamed"),
-        F.xxhash64(F.col(f"`{text_col}`")).alias("_mark"),
-    )
-    keys = ["_id", "_unnamed", "_mark"]
-    return marked.join(stays, keys, "left_semi").dropDuplicates(keys).select(docs.columns)
+    keys = ["id", "unnamed", "mark"]
+    stays = stays.select(F.coalesce("best.doc_id", F.lit(0)).alias("id"), "best.unnamed", "best.mark")
+    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    marked = picked(
+        docs, id=F.coalesce(key.cast("long"), F.lit(0)), unnamed=key.isNull(), mark=F.xxhash64(text),
+        **{f"in_{i}": c for i, c in enumerate(keep)},
+    )
+    return marked.join(stays, keys, "left_semi").dropDuplicates(keys).drop(*keys).toDF(*keep)
