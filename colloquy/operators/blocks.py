@@ -49,6 +49,13 @@ def _combine(op: str, carry: Column, local: Column) -> Column:
     return F.greatest(carry, local) if op == "max" else F.least(carry, local)
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns that may be NULL: NULL keys match each other, as they do in a groupBy."""
+    other = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(other, same, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def with_running(
     df: DataFrame,
     keys: Sequence[str],
@@ -59,7 +66,7 @@ def with_running(
     """Add one column per run: its value over the rows of the same `keys` up to here.
 
     `order` names bigint columns that are unique per key; blocks are cut on the
-    first. Key columns must not be NULL.
+    first. A NULL key is a key of its own.
     """
     keys = list(keys)
     orders = [order] if isinstance(order, str) else list(order)
@@ -89,7 +96,7 @@ def with_running(
             for r in runs
         }
     )
-    joined = local.join(carries, [*keys, block], "left")
+    joined = join_on(local, carries, [*keys, block], "left")
     out = joined.withColumns(
         {
             r.name: _combine(r.op, F.col(c.name), F.col(f"__l_{r.name}"))
@@ -147,8 +154,7 @@ def with_rank(
     ).drop("__n")
     within = F.row_number().over(Window.partitionBy(*cell).orderBy(tie))
     return (
-        rows.withColumn("__within", within)
-        .join(before, cell)
+        join_on(rows.withColumn("__within", within), before, cell)
         .withColumn(name, F.col("__before") + F.col("__within"))
         .select(*df.columns, name)
     )
@@ -170,7 +176,7 @@ def order_statistics(
     cumulative = with_running(counts, keys, value, [Run("__upto", "sum", F.col("__n"))], value_bits)
     totals = counts.groupBy(*keys).agg(F.sum("__n").alias("n"))
     return (
-        cumulative.join(totals, list(keys))
+        join_on(cumulative, totals, list(keys))
         .groupBy(*keys)
         .agg(
             F.max("n").alias("n"),

@@ -26,6 +26,8 @@ from colloquy.functions.text import line_list
 from colloquy.operators.blocks import with_islands, with_row_number
 
 SEP = "\x1f"
+# Stands for a NULL label inside the folds: a label like any other.
+NONE = "\x00"
 
 
 def _smooth(raw: list[str], before: list[str], first: int, total: int, k: int, share: float) -> list[str]:
@@ -84,7 +86,7 @@ class _Block:
         return self.number * size
 
 
-_BLOCK_COLUMNS = ["episode_id", "__b", "__pos", "__raw", "__n", "__state", "__key"]
+_BLOCK_COLUMNS = ["__ep", "__b", "__pos", "__raw", "__n", "__state", "__key"]
 
 
 def _blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[_Block]:
@@ -104,8 +106,8 @@ def _blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[_Block]:
 def _per_block(spread: DataFrame, work, schema: T.StructType) -> DataFrame:
     """Apply `work` to the blocks; many small episodes share one call."""
     return (
-        spread.repartition("episode_id", "__b")
-        .sortWithinPartitions("episode_id", "__b", "__pos")
+        spread.repartition("__ep", "__b")
+        .sortWithinPartitions("__ep", "__b", "__pos")
         .select(*_BLOCK_COLUMNS)
         .mapInPandas(work, schema)
     )
@@ -128,11 +130,14 @@ def _fold(
     before `memory` rows is available as context.
     """
     left = memory + 1
-    numbered = with_row_number(df, ["episode_id"], order, "__rn").withColumn("__pos", F.col("__rn") - 1).drop("__rn")
-    sizes = df.groupBy("episode_id").agg(F.count(F.lit(1)).alias("__n"))
+    # a NULL episode is one of its own
+    rows = df.withColumn("__ep", F.coalesce(F.col("episode_id").cast("string"), F.lit(NONE)))
+    numbered = with_row_number(rows, ["__ep"], order, "__rn").withColumn("__pos", F.col("__rn") - 1).drop("__rn")
+    sizes = rows.groupBy("__ep").agg(F.count(F.lit(1)).alias("__n"))
     slim = numbered.select(
-        "episode_id", "__pos", F.col(label).alias("__raw"), F.col(order).alias("__key")
-    ).join(sizes, "episode_id")
+        "__ep", "__pos", F.coalesce(label, F.lit(NONE)).alias("__raw"), F.col(order).alias("__key")
+    )
+    slim = slim.join(sizes, "__ep")
 
     home = F.floor(F.col("__pos") / block).cast("bigint")
     inside = F.pmod(F.col("__pos"), F.lit(block))
@@ -146,7 +151,7 @@ def _fold(
         lambda b: b.isNotNull(),
     )
     copies = slim.withColumn("__last", last_block).withColumn("__b", F.explode(targets))
-    id_field = T.StructField("episode_id", df.schema["episode_id"].dataType)
+    id_field = T.StructField("__ep", T.StringType())
 
     def ends(body: list[str], start: list[str], begin: int, total: int, own: int) -> list[str]:
         return (start + run(body, start, begin, total)[:own])[-memory:]
@@ -174,7 +179,7 @@ def _fold(
         for b in _blocks(batches, block):
             found = pairs(b)
             yield pd.DataFrame(
-                {"episode_id": [b.episode], "__b": [b.number], "frm": [list(found)], "to": [list(found.values())]}
+                {"__ep": [b.episode], "__b": [b.number], "frm": [list(found)], "to": [list(found.values())]}
             )
 
     labels_type = T.ArrayType(T.StringType())
@@ -189,7 +194,7 @@ def _fold(
     # With one row per block left, a plain window over an episode's blocks will do.
     settled = F.size(F.array_distinct("to")) == 1
     tables = tables.withColumn("settled", settled)
-    chained = with_islands(tables, ["episode_id"], "__b", F.col("settled"), "chain", bits=())
+    chained = with_islands(tables, ["__ep"], "__b", F.col("settled"), "chain", bits=())
     follow = F.aggregate(
         F.col("steps"),
         F.array().cast("array<string>"),
@@ -201,10 +206,10 @@ def _fold(
         ),
     )
     states = (
-        chained.groupBy("episode_id", "chain")
+        chained.groupBy("__ep", "chain")
         .agg(F.sort_array(F.collect_list(F.struct("__b", "settled", "frm", "to"))).alias("steps"))
-        .select("episode_id", "chain", F.posexplode(follow).alias("__p", "__state"))
-        .select("episode_id", (F.col("chain") + F.col("__p") + 1).cast("bigint").alias("__b"), "__state")
+        .select("__ep", "chain", F.posexplode(follow).alias("__p", "__state"))
+        .select("__ep", (F.col("chain") + F.col("__p") + 1).cast("bigint").alias("__b"), "__state")
     )
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,14 +221,15 @@ def _fold(
             keys += b.keys[:own]
             labels += run(b.body, before, begin, b.total)[:own]
             if len(ids) >= block:
-                yield pd.DataFrame({"episode_id": ids, order: keys, out: labels})
+                yield pd.DataFrame({"__ep": ids, order: keys, out: labels})
                 ids, keys, labels = [], [], []
         if ids:
-            yield pd.DataFrame({"episode_id": ids, order: keys, out: labels})
+            yield pd.DataFrame({"__ep": ids, order: keys, out: labels})
 
     done_schema = T.StructType([id_field, T.StructField(order, T.LongType()), T.StructField(out, T.StringType())])
-    labelled = _per_block(copies.join(states, ["episode_id", "__b"], "left"), finish, done_schema)
-    return df.join(labelled, ["episode_id", order])
+    labelled = _per_block(copies.join(states, ["__ep", "__b"], "left"), finish, done_schema)
+    labelled = labelled.withColumn(out, F.nullif(F.col(out), F.lit(NONE)))
+    return rows.join(labelled, ["__ep", order]).select(*df.columns, out)
 
 
 def smooth_turns(

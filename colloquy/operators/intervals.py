@@ -5,7 +5,10 @@ Two plans cover the need:
 * the best or the total partner per interval needs real pairs. Both sides go to
   time bins, so the join key is (episode, bin) and a pair is formed only when
   the two really overlap; a hot episode spreads over its bins. Equal intervals
-  are merged before the join, so copies add no pairs.
+  are merged before the join, so copies add no pairs. Bins have widths by levels,
+  and an interval lies in two bins of a level at most, however long it is. A bin
+  that very many turns share forms no pairs: its intervals are compared in arrays,
+  and only the result per interval leaves the task.
 * a total overlap per group needs no pairs at all. With C(t) the covered time
   of all regions up to t, a segment's overlap is C(end) - C(start), and C comes
   from running sums over the region edges.
@@ -13,41 +16,143 @@ Two plans cover the need:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colloquy.functions.numeric import round_ratio
 from colloquy.functions.timefmt import overlap
-from colloquy.operators.blocks import TIME_BITS, Run, with_running
+from colloquy.operators.blocks import TIME_BITS, Run, join_on, with_running
 from colloquy.operators.filters import drop_unknown_speaker, positive_length, voiced_gender_only
 
-BIN_BITS = 16  # about 65 seconds
+BIN_BITS = 16  # about 65 seconds on the finest level
+LEVEL_BITS = 4
+LEVELS = 12
+# Turns of one bin from which they are compared in arrays instead of a join.
+CROWD = 2000
+# Intervals compared with all turns of a crowded bin at a time.
+CHUNK = 128
+
+BIN = ["episode_id", "level", "bin"]
+
+
+def _level(start: str, end: str) -> Column:
+    """The finest level whose bins are as wide as the interval."""
+    length = F.col(end) - F.col(start)
+    return sum(F.when(length > (1 << BIN_BITS + LEVEL_BITS * i), 1).otherwise(0) for i in range(LEVELS))
+
+
+def _with_bins(df: DataFrame, start: str, end: str, levels: DataFrame) -> DataFrame:
+    """Copies of each interval for the bins of its own level and of the coarser ones in use."""
+    own = df.withColumn("own", _level(start, end))
+    placed = join_on(own, levels, ["episode_id"]).withColumn("level", F.explode(F.filter("levels", lambda v: v >= F.col("own"))))
+    first, last = (_position(F.col(start)), _position(F.col(end) - 1))
+    bins = F.array_distinct(F.array(first, last))
+    return placed.withColumn("bin", F.explode(bins)).drop("levels")
+
+
+def _position(at: Column) -> Column:
+    """The bin of a time on the row's level."""
+    wide = F.lit(None).cast("bigint")
+    for i in range(LEVELS, -1, -1):
+        wide = F.when(F.col("level") == i, F.shiftright(at, BIN_BITS + LEVEL_BITS * i)).otherwise(wide)
+    return wide
+
 
+def _in_arrays(kind: T.DataType, per_speaker: bool):
+    """Compare a bin's intervals with its turns; rows (s0, s1, speaker, smallest index, overlap)."""
+    columns = ["episode_id", "s0", "s1", "__spk", "__idx", "ov"]
 
-def _with_bins(df: DataFrame, start: str, end: str) -> DataFrame:
-    first = F.shiftright(F.col(start), BIN_BITS)
-    last = F.shiftright(F.col(end) - 1, BIN_BITS)
-    return df.withColumn("bin", F.explode(F.sequence(first, last)))
+    def compare(probes: pd.DataFrame, turns: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        level, at = int(probes["level"].iloc[0]), int(probes["bin"].iloc[0])
+        shift = BIN_BITS + LEVEL_BITS * level
+        name = turns["__spk"]
+        code = pd.factorize(name, use_na_sentinel=False)[0] if per_speaker else np.zeros(len(turns), np.int64)
+        order = np.lexsort((turns["__idx"].to_numpy(), code))
+        t0, t1, idx, n, own = (turns[c].to_numpy()[order] for c in ("t0", "t1", "__idx", "__copies", "own"))
+        name, code = name.iloc[order].reset_index(drop=True), code[order]
+        heads = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        for k in range(0, len(probes), CHUNK):
+            part = probes.iloc[k : k + CHUNK]
+            s0, s1, mine = (part[c].to_numpy()[:, None] for c in ("s0", "s1", "own"))
+            later = np.maximum(s0, t0)
+            ov = np.minimum(s1, t1) - later
+            # each pair belongs to one level and there to the bin where the later of the two begins
+            ov[(later >> shift != at) | (np.maximum(mine, own) != level) | (ov < 0)] = 0
+            if per_speaker:
+                total = np.add.reduceat(ov * n, heads, axis=1)
+                first = np.minimum.reduceat(np.where(ov > 0, idx, np.iinfo(np.int64).max), heads, axis=1)
+                i, j = np.nonzero(total)
+                found = (total[i, j], first[i, j], heads[j])
+            else:
+                best = ov.argmax(axis=1)
+                i = np.flatnonzero(ov[np.arange(len(part)), best])
+                found = (ov[i, best[i]], idx[best[i]], best[i])
+            yield pd.DataFrame(
+                {
+                    "episode_id": part["episode_id"].iloc[i].to_numpy(), "s0": s0[i, 0], "s1": s1[i, 0],
+                    "__spk": name.iloc[found[2]].to_numpy(), "__idx": found[1], "ov": found[0],
+                },
+                columns=columns,
+            )
 
+    return compare
 
-def overlapping_pairs(probes: DataFrame, builds: DataFrame) -> DataFrame:
-    """Pairs of `probes(episode_id, s0, s1)` and `builds(episode_id, t0, t1, …)`.
 
-    A pair that shares several bins is kept only in the bin where the later of
-    the two begins. Adds `ov`, the overlap in ms. Intervals have positive length.
+def overlapping(probes: DataFrame, turns: DataFrame, per_speaker: bool) -> DataFrame:
+    """Overlaps of `probes(episode_id, s0, s1)` with `turns(episode_id, t0, t1, __spk, __idx, __copies)`.
+
+    Rows (episode_id, s0, s1, __spk, __idx, ov): one per overlapping pair, or for
+    crowded bins one per interval (its best turn) or per interval and speaker (the
+    sum over the speaker's turns). A pair that shares several bins counts only in
+    the one where the later of the two begins. Intervals have positive length.
     """
-    left, right = _with_bins(probes, "s0", "s1"), _with_bins(builds, "t0", "t1")
-    later_start = F.greatest(F.col("s0"), F.col("t0"))
-    return (
-        left.join(right, ["episode_id", "bin"])
+    levels = (
+        probes.select("episode_id", _level("s0", "s1").alias("level"))
+        .union(turns.select("episode_id", _level("t0", "t1").alias("level")))
+        .groupBy("episode_id")
+        .agg(F.collect_set("level").alias("levels"))  # LEVELS + 1 of them at most
+    )
+    left, right = _with_bins(probes, "s0", "s1", levels), _with_bins(turns, "t0", "t1", levels)
+    crowded = right.groupBy(*BIN).count().filter(F.col("count") > CROWD).select(*BIN)
+    many = crowded.withColumn("__crowd", F.lit(True))
+    marked = join_on(right, many, BIN, "left")
+    later = F.greatest(F.col("s0"), F.col("t0"))
+    sparse = marked.filter(F.col("__crowd").isNull()).withColumnsRenamed({"own": "__own"})
+    pairs = (
+        join_on(left, sparse, BIN)
         .filter(
             (F.col("s0") < F.col("t1"))
             & (F.col("t0") < F.col("s1"))
-            & (F.col("bin") == F.shiftright(later_start, BIN_BITS))
+            & (F.greatest("own", "__own") == F.col("level"))
+            & (F.col("bin") == _position(later))
         )
-        .withColumn("ov", overlap("s0", "s1", "t0", "t1"))
-        .drop("bin")
+        .select("episode_id", "s0", "s1", "__spk", "__idx", (overlap("s0", "s1", "t0", "t1") * F.col("__copies")).alias("ov"))
+    )
+    out = T.StructType(
+        [turns.schema["episode_id"], T.StructField("s0", T.LongType()), T.StructField("s1", T.LongType()), turns.schema["__spk"]]
+        + [T.StructField("__idx", T.LongType()), T.StructField("ov", T.LongType())]
     )
+    dense = (
+        join_on(left, crowded, BIN)
+        .groupBy(*BIN)
+        .cogroup(marked.filter("__crowd").drop("__crowd").groupBy(*BIN))
+        .applyInPandas(_dense(_in_arrays(turns.schema["__spk"].dataType, per_speaker)), out)
+    )
+    return pairs.unionByName(dense)
+
+
+def _dense(compare):
+    def run(probes: pd.DataFrame, turns: pd.DataFrame) -> pd.DataFrame:
+        if probes.empty or turns.empty:
+            return pd.DataFrame({c: [] for c in ("episode_id", "s0", "s1", "__spk", "__idx", "ov")})
+        return pd.concat(list(compare(probes, turns)), ignore_index=True)
+
+    return run
 
 
 def _distinct_intervals(df: DataFrame) -> DataFrame:
@@ -60,7 +165,7 @@ def _distinct_intervals(df: DataFrame) -> DataFrame:
 
 def _attach(df: DataFrame, best: DataFrame) -> DataFrame:
     keyed = best.withColumnsRenamed({"s0": "start_ms", "s1": "end_ms"})
-    return df.join(keyed, ["episode_id", "start_ms", "end_ms"], "left")
+    return join_on(df, keyed, ["episode_id", "start_ms", "end_ms"], "left")
 
 
 def assign_speaker(segments: DataFrame, turns: DataFrame, min_overlap_ms: int = 100) -> DataFrame:
@@ -73,8 +178,9 @@ def assign_speaker(segments: DataFrame, turns: DataFrame, min_overlap_ms: int =
         positive_length(turns)
         .groupBy("episode_id", F.col("start_ms").alias("t0"), F.col("end_ms").alias("t1"))
         .agg(F.min_by("speaker", "turn_idx").alias("__spk"), F.min("turn_idx").alias("__idx"))
+        .withColumn("__copies", F.lit(1).cast("bigint"))
     )
-    pairs = overlapping_pairs(_distinct_intervals(segments), builds)
+    pairs = overlapping(_distinct_intervals(segments), builds, per_speaker=False)
     best = pairs.groupBy("episode_id", "s0", "s1").agg(
         F.max_by("__spk", F.struct(F.col("ov"), -F.col("__idx"))).alias("__best"),
         F.max("ov").alias("overlap_ms"),
@@ -100,10 +206,10 @@ def assign_word_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:
         .groupBy("episode_id", F.col("start_ms").alias("t0"), F.col("end_ms").alias("t1"), F.col("speaker").alias("__spk"))
         .agg(F.min("turn_idx").alias("__idx"), F.count(F.lit(1)).alias("__copies"))
     )
-    pairs = overlapping_pairs(_distinct_intervals(words), builds)
+    pairs = overlapping(_distinct_intervals(words), builds, per_speaker=True)
     best = (
         pairs.groupBy("episode_id", "s0", "s1", "__spk")
-        .agg(F.sum(F.col("ov") * F.col("__copies")).alias("__ov"), F.min("__idx").alias("__idx"))
+        .agg(F.sum("ov").alias("__ov"), F.min("__idx").alias("__idx"))
         .groupBy("episode_id", "s0", "s1")
         .agg(
             F.max_by("__spk", F.struct(F.col("__ov"), -F.col("__idx"))).alias("__best"),

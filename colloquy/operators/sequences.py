@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from colloquy.functions.text import line_list, strip_ws
 from colloquy.operators.blocks import (
     WORD_BITS,
+    join_on,
     order_statistics,
     with_islands,
     with_previous,
@@ -78,7 +79,7 @@ def words_to_segments(words: DataFrame, gap_ms: int = 800, drop_blank: bool = Fa
     )
 
     segments = (
-        pieces.join(links, ["episode_id", "__b", "__head"], "left")
+        join_on(pieces, links, ["episode_id", "__b", "__head"], "left")
         .withColumn("head_idx", F.coalesce("__earlier", "__head"))
         .groupBy("episode_id", "head_idx")
         .agg(
@@ -158,9 +159,7 @@ def adaptive_gap(segments: DataFrame, floor_ms: int = 300, default_ms: int = 800
     spread = F.col("med") + 0.5 * (F.col("q3") - F.col("q1"))
     gap_ms = F.when(F.col("med").isNotNull(), F.greatest(F.lit(float(floor_ms)), spread))
     return (
-        segments.select("episode_id")
-        .distinct()
-        .join(quartiles, "episode_id", "left")
+        join_on(segments.select("episode_id").distinct(), quartiles, ["episode_id"], "left")
         .select("episode_id", (F.coalesce(gap_ms, F.lit(float(default_ms))) / 1000).alias("gap_s"))
     )
 
@@ -191,7 +190,7 @@ def even_sample(rows: DataFrame, k: int = 10, order: str = "seg_idx") -> DataFra
         lambda i: F.floor(i * (F.col("__n") - 1) / (k - 1)).cast("bigint"),
     )
     return (
-        numbered.join(sizes, keys)
+        join_on(numbered, sizes, keys)
         .filter((F.col("__n") <= k) | F.array_contains(picks, position))
         .drop("__rn", "__n")
     )

@@ -21,7 +21,7 @@ from colloquy.functions.text import (
     word_count,
 )
 from colloquy.functions.timefmt import duration
-from colloquy.operators.blocks import order_statistics
+from colloquy.operators.blocks import join_on, order_statistics
 from colloquy.operators.filters import UNKNOWN_LABELS, drop_unknown_speaker
 
 
@@ -117,7 +117,7 @@ def summarize_median(segments: DataFrame) -> DataFrame:
             F.max(F.when(F.col("metric") == "words", F.col("median"))).cast("double").alias("words_median"),
         )
     )
-    return base.join(medians, keys)
+    return join_on(base, medians, keys)
 
 
 def talk_time_turns(segments: DataFrame) -> DataFrame:
