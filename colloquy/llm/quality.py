@@ -13,7 +13,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -196,7 +195,7 @@ def shares(text: str) -> tuple[np.ndarray, np.ndarray]:
     for half in (total[:BUCKETS], total[BUCKETS:]):
         half /= max(half.sum(), 1)
     where = np.flatnonzero(total)
-    return where.astype(np.int32), total[where]
+    return where.astype(np.int32), total[where].astype(np.float32)
 
 
 def fit(labels: np.ndarray, features: list[tuple[np.ndarray, np.ndarray]], held_out: float = 0.3) -> Model | None:
@@ -209,11 +208,11 @@ def fit(labels: np.ndarray, features: list[tuple[np.ndarray, np.ndarray]], held_
         if len(part) == 0 or part.min() == part.max():
             return None
     scale, penalty = 30.0, 1e-4
-    x = [np.concatenate([f[i] for f in features]) for i in (0, 1)]
-    x[1] = x[1] * scale
-    row = np.repeat(np.arange(len(features)), [len(f[0]) for f in features])
-    train = row < cut
-    cols, vals, rows, y = x[0][train], x[1][train], row[train], labels[:cut].astype(float)
+    def table(part: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cols, vals = (np.concatenate([f[i] for f in part]) for i in (0, 1))
+        return cols, vals * np.float32(scale), np.repeat(np.arange(len(part), dtype=np.int32), [len(f[0]) for f in part])
+
+    (cols, vals, rows), y = table(features[:cut]), labels[:cut].astype(float)
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         z = w[-1] + np.bincount(rows, weights=w[cols] * vals, minlength=cut)
@@ -224,7 +223,8 @@ def fit(labels: np.ndarray, features: list[tuple[np.ndarray, np.ndarray]], held_
         return float(np.mean(np.logaddexp(0, z) - y * z) + penalty / 2 * (w[:-1] @ w[:-1])), slope
 
     w = minimised(loss, np.zeros(2 * BUCKETS + 1))
-    score = w[-1] + np.bincount(row, weights=w[x[0]] * x[1], minlength=len(features))[cut:]
+    cols, vals, rows = table(features[cut:])
+    score = w[-1] + np.bincount(rows, weights=w[cols] * vals, minlength=len(labels) - cut)
     slope, offset = calibrated(score, labels[cut:].astype(float))
     return Model(w[:-1] * scale, float(w[-1]), slope, offset)
 
@@ -317,19 +317,27 @@ def train(
 ) -> Model | None:
     """The model for `docs` from a bounded sample of labelled rows; None without rows of both classes.
 
-    `max_rows` and `max_chars` bound the sample, and so what the driver fits on.
+    `max_rows` and `max_chars` bound the sample, which one task fits on; only the
+    weights come to the driver.
     """
     sample = labelled_sample(docs, labels, max_rows, max_chars, id_col, text_col, label_col)
 
-    def featurise(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers, features = [], []
         for part in parts:
-            found = [shares(t) for t in part["text"]]
-            yield pd.DataFrame(
-                {"label": part["label"].to_numpy(), "cols": [f[0] for f in found], "vals": [f[1] for f in found]}
-            )
-
-    rows = sample.mapInPandas(featurise, "label int, cols array<int>, vals array<double>").toPandas()
-    return fit(rows["label"].to_numpy(), [(np.asarray(c), np.asarray(v)) for c, v in zip(rows["cols"], rows["vals"])])
+            answers += part.column(0).to_pylist()
+            features += [shares(t.as_py()) for t in part.column(1)]
+        model = fit(np.array(answers), features)
+        if model:
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "weights": [model.weights.astype("<f4").tobytes()], "bias": [model.bias], "slope": [model.slope],
+                    "offset": [model.offset],
+                }
+            )
+
+    found = sample.coalesce(1).mapInArrow(run, "weights binary, bias double, slope double, offset double").first()
+    return found and Model(np.frombuffer(found.weights, "<f4"), found.bias, found.slope, found.offset)
 
 
 def apply_rules(
