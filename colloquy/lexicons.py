@@ -24,7 +24,17 @@ CTA_STRICT = [
     "support the channel", "support the show",
     "patreon",
 ]
-CTA_STRICT_THIS = ["subscribe to this channel", *CTA_STRICT]
+CTA_STRICT_THIS = [
+    "subscribe to this channel", "subscribe to the channel",
+    "subscribe to my channel", "hit the subscribe button",
+    "like and subscribe", "subscribe below", "click subscribe",
+    "smash that subscribe", "don't forget to subscribe",
+    "hit the bell", "notification bell",
+    "leave a like", "hit the like button",
+    "check out the description", "link in the description",
+    "support the channel", "support the show",
+    "patreon",
+]
 CTA_FULL = [
     "subscribe to this channel", "subscribe to the channel",
     "subscribe to my channel", "subscribe to our channel",
@@ -134,7 +144,17 @@ SPONSOR_V2 = [
     "before we get started", "before we dive in",
     "quick word from our sponsor", "message from our sponsor",
 ]
-SPONSOR_GENDERED = [*SPONSOR_V2, "thanks to our sponsor"]
+SPONSOR_GENDERED = [
+    "sponsor", "brought to you by", "today's sponsor",
+    "this episode is sponsored", "this podcast is brought",
+    "promo code", "discount code", "coupon code",
+    "percent off", "% off", "discount",
+    "audible", "squarespace", "hellofresh", "betterhelp",
+    "nordvpn", "athletic greens",
+    "before we get started", "before we dive in",
+    "quick word from our sponsor", "message from our sponsor",
+    "thanks to our sponsor",
+]
 SPONSOR_V4 = [
     "sponsor", "brought to you by", "today's sponsor",
     "this episode is sponsored", "this podcast is brought",

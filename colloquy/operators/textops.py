@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import is_question_sentence, lower_copy, normalize_text, squash_ws, strip_ws
+from colloquy.operators.blocks import join_on
 from colloquy.operators.filters import needs_translation
 from colloquy.operators.folds import chunk_lines
 
@@ -44,23 +45,40 @@ def normalize_documents(docs: DataFrame, text: str = "text") -> DataFrame:
 def reassemble_text(
     pieces: DataFrame, key: str = "episode_id", order: str = "seg_idx", text: str = "text", part_bits: int = PART_BITS
 ) -> DataFrame:
-    """Ordered pieces joined by newlines, as (key, part, text).
+    """Ordered pieces joined by newlines, as (key, part, text, n_parts, n_pieces).
 
     A part covers 2**part_bits positions, so a very long document stays in
     several bounded rows; their texts joined by newlines are the document.
+    `n_parts` and `n_pieces` are those of the whole document.
     """
     in_order = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-    return (
-        pieces.withColumn("part", F.shiftright(F.col(order), part_bits))
-        .groupBy(key, "part")
-        .agg(F.array_join(F.transform(in_order, lambda x: x["t"]), "\n").alias("text"))
-    )
+    parts = pieces.withColumn("part", F.shiftright(F.col(order), part_bits))
+    texts = parts.groupBy(key, "part").agg(F.array_join(F.transform(in_order, lambda x: x["t"]), "\n").alias("text"))
+    return join_on(texts, part_totals(parts, key), [key])
+
+
+def part_totals(parts: DataFrame, key: str) -> DataFrame:
+    """Number of parts and of rows per document; counted per part first."""
+    sizes = parts.groupBy(key, "part").agg(F.count(F.lit(1)).alias("__n"))
+    return sizes.groupBy(key).agg(F.count(F.lit(1)).alias("n_parts"), F.sum("__n").alias("n_pieces"))
 
 
 def identity_provider() -> Callable[[pd.Series], pd.Series]:
     return lambda texts: texts
 
 
+def attempted(translate: Callable[[pd.Series], pd.Series], chunks: pd.Series) -> tuple[pd.Series, pd.Series]:
+    """Translations and errors; if the call fails, each chunk on its own."""
+    try:
+        return translate(chunks), pd.Series([None] * len(chunks), index=chunks.index, dtype=object)
+    except Exception as error:
+        if len(chunks) == 1:
+            said = f"{type(error).__name__}: {error}"
+            return pd.Series([None], index=chunks.index, dtype=object), pd.Series([said], index=chunks.index)
+    single = [attempted(translate, chunks.iloc[i : i + 1]) for i in range(len(chunks))]
+    return pd.concat([s[0] for s in single]), pd.concat([s[1] for s in single])
+
+
 def translate_documents(
     docs: DataFrame,
     provider: Callable[[], Callable[[pd.Series], pd.Series]] = identity_provider,
@@ -72,8 +90,10 @@ def translate_documents(
 
     `provider()` is called once per partition and returns a function from a
     series of chunks to a series of the same length. `parallel_calls` bounds how
-    many partitions call it at a time. A failed or unchanged chunk keeps its
-    text and counts as a fallback.
+    many partitions call it at a time. A call that fails is made again for each
+    of its chunks, so one bad chunk costs no other its translation. A failed or
+    unchanged chunk keeps its text and counts as a fallback; `errors` lists what
+    the failed ones said.
     """
     routed = needs_translation(docs.select(key, "text"))
     chunks = chunk_lines(routed.filter(F.col("route") == "translate").drop("route"), max_len).withColumn(
@@ -85,23 +105,22 @@ def translate_documents(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         translate = provider()
         for batch in batches:
-            try:
-                done = translate(batch["chunk"])
-            except Exception:
-                done = batch["chunk"]
-            yield batch.assign(translated=done.where(done.notna(), batch["chunk"]))
+            done, errors = attempted(translate, batch["chunk"])
+            yield batch.assign(translated=done.where(done.notna(), batch["chunk"]), error=errors)
 
     key_type = docs.schema[key].dataType.simpleString()
-    translated = chunks.mapInPandas(run, f"{key} {key_type}, chunk_idx int, chunk string, translated string")
+    translated = chunks.mapInPandas(run, f"{key} {key_type}, chunk_idx int, chunk string, translated string, error string")
     in_order = F.sort_array(F.collect_list(F.struct("chunk_idx", "translated")))
     unchanged = (strip_ws("translated") == F.col("chunk")) & (F.col("chunk") != "")
     rebuilt = translated.groupBy(key).agg(
         F.array_join(F.transform(in_order, lambda x: x["translated"]), "\n").alias("text"),
         F.count_if(unchanged).alias("n_fallback"),
+        F.array_sort(F.collect_set("error")).alias("errors"),
         F.count(F.lit(1)).alias("n_chunks"),
         F.lit("translate").alias("route"),
     )
     copied = routed.filter(F.col("route") == "copy").select(
-        key, "text", F.lit(0).cast("bigint").alias("n_fallback"), F.lit(0).cast("bigint").alias("n_chunks"), "route"
-    )
+        key, "text", F.lit(0).cast("bigint").alias("n_fallback"), F.array().cast("array<string>").alias("errors"),
+        F.lit(0).cast("bigint").alias("n_chunks"), "route",
+    )
     return rebuilt.unionByName(copied)

@@ -240,7 +240,8 @@ def ag19(spark, sf):
 
 @query(
     "ag20_reassemble_text",
-    f"""WITH {SEG} SELECT episode_id, seg_idx // 4096 AS part, string_agg({TRIMMED}, chr(10) ORDER BY seg_idx) AS text
+    f"""WITH {SEG} SELECT episode_id, seg_idx // 4096 AS part, string_agg({TRIMMED}, chr(10) ORDER BY seg_idx) AS text,
+      count(*) OVER (PARTITION BY episode_id) AS n_parts, sum(count(*)) OVER (PARTITION BY episode_id)::BIGINT AS n_pieces
     FROM seg WHERE {TRIMMED} <> '' GROUP BY 1, 2""",
 )
 def ag20(spark, sf):

@@ -263,7 +263,7 @@ def set04(spark, sf):
     return setops.difference(docs, done, ["doc_id"])
 
 
-@query("set05_intersection", "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels WHERE quality = 1")
+@query("set05_intersection", "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
 def set05(spark, sf):
-    docs, done = V.documents(spark, sf), V.table(spark, sf, "labels").filter("quality = 1")
+    docs, done = V.documents(spark, sf), V.table(spark, sf, "labels")
     return setops.intersection(docs, done, ["doc_id"])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import strip_ws, tokens
-from colloquy.operators import roles, stats, textops
+from colloquy.operators import asrstats, roles, stats, textops
 from colloquy.plans import views as V
 from colloquy.plans.aggregates import BATCH, FACTS, _speaker_sql, _summary, batch_results
 from colloquy.plans.joins import map_replies
@@ -126,7 +126,8 @@ def src04(spark, sf):
 
 @query(
     "src05_read_best_transcript",
-    f"""WITH {SEG} SELECT episode_id::VARCHAR AS episode_id, seg_idx AS "offset", CASE WHEN turn % 4 = 0 THEN '' ELSE text END AS transcript FROM seg""",
+    f"""WITH {SEG} SELECT episode_id::VARCHAR AS episode_id,
+      coalesce(arg_min(text, seg_idx) FILTER (turn % 4 <> 0 AND text <> ''), '') AS transcript FROM seg GROUP BY 1""",
 )
 def src05(spark, sf):
     alternative = F.struct(F.array(F.struct(F.col("text").alias("transcript"))).alias("alternatives"))
@@ -168,11 +169,13 @@ def src06(spark, sf):
 @query(
     "src07_read_any",
     f"""WITH {WORD}, w AS (SELECT *, row_number() OVER (PARTITION BY episode_id, coalesce(speaker, 0) ORDER BY start_ms, word_idx) AS rn,
-        coalesce(speaker, 0) AS spk FROM word)
-    SELECT episode_id::VARCHAR AS episode_id, start_ms, end_ms, text, speaker_raw, {_SENTENCE_SPEAKER} AS speaker FROM seg
+        coalesce(speaker, 0) AS spk FROM word), a AS (
+    SELECT episode_id::VARCHAR AS episode_id, start_ms, end_ms, text, speaker_raw, {_SENTENCE_SPEAKER} AS speaker, 0 AS t1, seg_idx AS t2 FROM seg
     UNION ALL SELECT 'w' || episode_id, arg_min(start_ms, rn), arg_max(end_ms, rn),
-      string_agg(CASE WHEN pos % 3 = 0 THEN lower(token) ELSE token END, ' ' ORDER BY rn), format('SPEAKER_{{:02d}}', spk), 'Speaker ' || (spk + 1)
-    FROM w GROUP BY episode_id, spk, (rn - 1) // 12""",
+      string_agg(CASE WHEN pos % 3 = 0 THEN lower(token) ELSE token END, ' ' ORDER BY rn), format('SPEAKER_{{:02d}}', spk), 'Speaker ' || (spk + 1),
+      spk, (rn - 1) // 12
+    FROM w GROUP BY episode_id, spk, (rn - 1) // 12)
+    SELECT * EXCLUDE (t1, t2), row_number() OVER (PARTITION BY episode_id ORDER BY start_ms, t1, t2) - 1 AS seg_idx FROM a""",
 )
 def src07(spark, sf):
     """Both document kinds in one folder, some recognised by suffix, some by structure."""
@@ -246,12 +249,6 @@ def src11(spark, sf):
     return readers.read_url_list(spark, path, layout="table", start=3, skip_comments=True)
 
 
-@query("src12_list_media")
-def src12(spark, sf):
-    """Listing by extension, shown on the tables' own files."""
-    return readers.list_media(spark, sf, [".parquet"]).select("stem", "ext", "length")
-
-
 # --- sinks ---------------------------------------------------------------------
 
 _LINE = f"'[' || {clock('start_ms')} || ' - ' || {clock('end_ms')} || '] ' || speaker || ': ' || {TRIMMED}"
@@ -259,13 +256,14 @@ _LINE = f"'[' || {clock('start_ms')} || ' - ' || {clock('end_ms')} || '] ' || sp
 
 @query(
     "snk01_write_transcript_text",
-    f"""WITH {SEG} SELECT episode_id, {PART} AS part, string_agg({_LINE}, chr(10) ORDER BY seg_idx) AS text
+    f"""WITH {SEG} SELECT episode_id, {PART} AS part, string_agg({_LINE}, chr(10) ORDER BY seg_idx) AS text,
+      count(*) OVER (PARTITION BY episode_id) AS n_parts, sum(count(*)) OVER (PARTITION BY episode_id)::BIGINT AS n_pieces
     FROM seg WHERE {TRIMMED} <> '' GROUP BY 1, 2""",
 )
 def snk01(spark, sf):
     path = scratch_path(spark, "lines")
     writers.write_transcript_text(V.segments(spark, sf), path)
-    return spark.read.schema("episode_id bigint, part bigint, text string").json(path)
+    return spark.read.schema("episode_id bigint, part bigint, text string, n_parts bigint, n_pieces bigint").json(path)
 
 
 @query(
@@ -331,25 +329,25 @@ def snk04(spark, sf):
 @query(
     "snk05_write_sentence_json",
     f"""WITH {SEG}, u AS (SELECT conv_id, turn // 4096 AS part, list({{'t': {TRIMMED}, 'l': 'Speaker ' || (speaker_id + 1)}} ORDER BY turn) AS segs
-      FROM seg WHERE role = 'system' GROUP BY 1, 2)
-    SELECT e.conv_id AS episode_id, coalesce(u.part, 0) AS part, len(u.segs)::INTEGER AS num_segments,
-      CASE WHEN u.segs IS NULL THEN 'No results.utterances found. Re-run with --utterances --diarize.' END AS error,
+      FROM seg GROUP BY 1, 2)
+    SELECT e.doc_id AS episode_id, coalesce(u.part, 0) AS part, sum(len(u.segs)) OVER (PARTITION BY e.doc_id)::BIGINT AS num_segments,
+      count(u.segs) OVER (PARTITION BY e.doc_id) AS n_parts, CASE WHEN u.segs IS NULL THEN '{writers.NO_UTTERANCES}' END AS error,
       coalesce(len(u.segs), 0)::INTEGER AS listed, u.segs[1].t AS transcript, u.segs[1].l AS label
-    FROM (SELECT DISTINCT conv_id FROM seg) e LEFT JOIN u ON u.conv_id = e.conv_id""",
+    FROM documents e LEFT JOIN u ON u.conv_id = e.doc_id""",
 )
 def snk05(spark, sf):
-    """Each conversation is an episode; its utterances are the system turns, if any."""
-    s = V.segments(spark, sf).select(F.col("conv_id").alias("episode_id"), F.col("turn").alias("seg_idx"), "speaker_id", "text", "start_ms", "end_ms", "role")
+    """Each document is an episode; its utterances are the conversation of that number, if there is one."""
+    s = V.segments(spark, sf).select(F.col("conv_id").alias("episode_id"), F.col("turn").alias("seg_idx"), "speaker_id", "text", "start_ms", "end_ms")
     path = scratch_path(spark, "sentences")
-    writers.write_sentence_json(s, s.filter("role = 'system'"), path)
+    writers.write_sentence_json(V.documents(spark, sf).select(F.col("doc_id").alias("episode_id")), s, path)
     schema = (
-        "episode_id bigint, part bigint, num_segments int, error string, "
+        "episode_id bigint, part bigint, num_segments bigint, n_parts bigint, error string, "
         "segments array<struct<speaker_label:string,transcript:string>>"
     )
     docs = spark.read.schema(schema).json(path)
     first = F.get("segments", F.lit(0))
     return docs.select(
-        "episode_id", "part", "num_segments", "error", F.size("segments").alias("listed"),
+        "episode_id", "part", "num_segments", "n_parts", "error", F.size("segments").alias("listed"),
         first["transcript"].alias("transcript"), first["speaker_label"].alias("label"),
     )
 
@@ -480,9 +478,44 @@ def st01(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+@query(
+    "e1_asr_statistics",
+    f"""WITH {WORD}, uttered AS (SELECT * FROM seg WHERE episode_id % 3 <> 1), fact AS (SELECT episode_id, speaker_id, greatest(0, end_ms - start_ms) AS d,
+        {wc('text')} AS w, regexp_matches(text, '\\?\\s*$')::BIGINT AS q FROM uttered),
+      lagged AS (SELECT *, lag(speaker) OVER o AS ps, lag(end_ms) OVER o AS pe FROM word WHERE speaker IS NOT NULL AND episode_id % 3 = 1
+        WINDOW o AS (PARTITION BY episode_id ORDER BY word_idx)),
+      marked AS (SELECT *, sum(CASE WHEN ps IS NULL OR ps <> speaker OR start_ms - pe > 800 THEN 1 ELSE 0 END)
+        OVER (PARTITION BY episode_id ORDER BY word_idx) AS island FROM lagged),
+      built AS (SELECT episode_id, island, min(speaker) AS speaker, arg_max(end_ms, word_idx) - arg_min(start_ms, word_idx) AS d FROM marked GROUP BY 1, 2)
+    SELECT episode_id::VARCHAR AS episode_id, speaker_id::INTEGER AS speaker_id, 'utterance (sentence-like)' AS unit, count(*) AS num_sentences,
+      sum(d)::DOUBLE / 1000 AS total_speech_s, sum(w)::BIGINT AS total_words, sum(q)::BIGINT AS question_count,
+      NULL::DOUBLE AS talk_time_s, NULL::BIGINT AS turns, NULL::BIGINT AS num_segments FROM fact GROUP BY 1, 2
+    UNION ALL SELECT episode_id::VARCHAR, speaker::INTEGER, 'segment (fallback)', NULL, NULL, NULL, NULL, sum(greatest(0, d))::DOUBLE / 1000, count(*),
+      sum(count(*)) OVER (PARTITION BY episode_id)::BIGINT FROM built GROUP BY episode_id, speaker""",
+)
+def e1(spark, sf):
+    """Responses of which some have utterances and words, some words only and some utterances only."""
+    s = V.segments(spark, sf)
+    item = F.struct(
+        _seconds("start").alias("start"), _seconds("end").alias("end"), F.col("speaker_id").alias("speaker"),
+        F.col("text").alias("transcript"), "confidence",
+    )
+    wrap = lambda items: F.struct(F.struct(items.alias("utterances")).alias("results"))
+    uttered = _raw_table(s.filter("episode_id % 3 <> 1"), "seg_idx", item, wrap)
+    heard = _word_table(V.words_of(s.filter("episode_id % 3 <> 2")))
+    raw = readers.raw_documents(spark, uttered, "table").unionByName(readers.raw_documents(spark, heard, "table"))
+    found = asrstats.response_statistics(readers.asr_utterances_from(raw, keep_empty=True), readers.asr_words_from(raw))
+    return found.select(
+        "episode_id", "speaker_id", "unit", "num_sentences", "total_speech_s", "total_words", "question_count",
+        "talk_time_s", "turns", "num_segments",
+    )
+
+
 @query("st02_streaming_speaker_stats", f"WITH {SEG}, {FACTS} SELECT episode_id, speaker, {_speaker_sql()} FROM fact GROUP BY 1, 2")
 def st02(spark, sf):
-    return _collected(live.streaming_speaker_stats(V.segments_of(_stream(spark, sf))), "complete")
+    path = scratch_path(spark, "stream")
+    live.keep_speaker_stats(V.segments_of(_stream(spark, sf)), path, scratch_path(spark, "checkpoint"))
+    return live.latest_speaker_stats(spark, path)
 
 
 def _live_words(spark, sf) -> DataFrame:
@@ -504,10 +537,12 @@ def st03(spark, sf):
 @query(
     "st03_streaming_gap_segments",
     f"""WITH {WORD}, {ISLANDS}, i AS (SELECT episode_id, island, min(word_idx) AS head_idx, min(speaker) AS speaker, arg_min(start_ms, word_idx) AS start_ms,
-      arg_max(end_ms, word_idx) AS end_ms, trim(string_agg(token, ' ' ORDER BY word_idx)) AS text, max(island) OVER (PARTITION BY episode_id) AS last_island
+      arg_max(end_ms, word_idx) AS end_ms, trim(string_agg(token, ' ' ORDER BY word_idx)) AS text
       FROM marked GROUP BY episode_id, island)
-    SELECT episode_id, head_idx, speaker, start_ms, end_ms, text FROM i WHERE island < last_island""",
+    SELECT episode_id, head_idx, speaker, start_ms, end_ms, text FROM i""",
 )
 def st03_exact(spark, sf):
-    """All closed segments; the last one of an episode stays open in the state."""
-    return _collected(live.gap_segments(_live_words(spark, sf)), "append")
+    """All segments: the closed ones, and at the end of the feed those still open."""
+    path = scratch_path(spark, "stream")
+    live.keep_gap_segments(_live_words(spark, sf), path, scratch_path(spark, "checkpoint"))
+    return live.all_gap_segments(spark, path)

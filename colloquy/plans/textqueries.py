@@ -67,3 +67,36 @@ def tx05(spark, sf):
     """With the identity provider all but white space must come back unchanged."""
     out = textops.translate_documents(mixed_language(spark, sf))
     return out.select("doc_id", "route", F.regexp_replace("text", r"\s+", "").alias("letters"))
+
+
+def _upper_or_fail():
+    """A provider that turns text to upper case and fails for a whole call if a chunk has a lone x."""
+
+    def translate(chunks):
+        if chunks.str.contains(r"(?:^|\s)[xX](?:\s|$)").any():
+            raise ValueError("cannot translate")
+        return chunks.str.upper()
+
+    return translate
+
+
+# Short documents of one chunk each, so that SQL needs no chunk rule.
+SHORT_SQL = """short AS (SELECT conv_id * 100000 + turn AS doc_id, CASE WHEN conv_id % 2 = 0 THEN 'अ ' ELSE '' END
+  || CASE turn % 3 WHEN 0 THEN 'x ' WHEN 1 THEN '' ELSE '42 ' END || role AS text FROM conversations)"""
+
+
+@query(
+    "tx05_failing_provider",
+    f"""WITH {SHORT_SQL}, t AS (SELECT *, contains(text, 'अ') AS asked, contains(text, 'x ') AS bad FROM short)
+    SELECT doc_id, CASE WHEN asked THEN 'translate' ELSE 'copy' END AS route,
+      CASE WHEN asked AND NOT bad THEN upper(text) ELSE text END AS text,
+      (asked AND bad)::INTEGER::BIGINT AS n_fallback, asked::INTEGER::BIGINT AS n_chunks,
+      CASE WHEN asked AND bad THEN 'ValueError: cannot translate' END AS error FROM t""",
+)
+def tx05_failing(spark, sf):
+    docs = V.table(spark, sf, "conversations").selectExpr(
+        "conv_id * 100000 + turn AS doc_id",
+        "CASE WHEN conv_id % 2 = 0 THEN 'अ ' ELSE '' END || CASE turn % 3 WHEN 0 THEN 'x ' WHEN 1 THEN '' ELSE '42 ' END || role AS text",
+    )
+    out = textops.translate_documents(docs, _upper_or_fail)
+    return out.select("doc_id", "route", "text", "n_fallback", "n_chunks", F.get("errors", F.lit(0)).alias("error"))

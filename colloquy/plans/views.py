@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import WS
-from colloquy.session import spread
 
 # Four conversations make one episode; a turn's list position keeps 2**36 room.
 SEGMENT_SQL = """
@@ -86,7 +85,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents"))
+    return table(spark, sf, "documents")
 
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:

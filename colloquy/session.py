@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # AQE does the run-time work the operators rely on: it splits skewed join
 # partitions, coalesces small ones and turns a join into a broadcast only once
@@ -16,6 +18,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Text rows are dear to work on: splits of 32 MB spread a table over more cores.
+    "spark.sql.files.maxPartitionBytes": "32m",
     "spark.ui.enabled": "false",
 }
 
@@ -41,16 +45,6 @@ def build_session(
     return builder.getOrCreate()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out evenly if the scan has fewer splits than the cluster has cores.
-
-    For row-wise work that is dear per row, such as text cleaning, on a few large
-    files. An input with enough splits is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder all executors share.
 
@@ -66,5 +60,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         app_id = context.applicationId
         if app_id not in _local_roots:
             _local_roots[app_id] = tempfile.mkdtemp(prefix="colloquy-")
+            # what this process made for itself goes with it
+            atexit.register(shutil.rmtree, _local_roots[app_id], ignore_errors=True)
         root = _local_roots[app_id]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

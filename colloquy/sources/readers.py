@@ -16,7 +16,7 @@ from colloquy import schemas
 from colloquy.functions.labels import speaker_label
 from colloquy.functions.text import line_list, strip_ws
 from colloquy.functions.timefmt import to_ms
-from colloquy.operators.blocks import with_row_number
+from colloquy.operators.blocks import with_rank, with_row_number
 from colloquy.operators.filters import drop_empty_text
 from colloquy.operators.sequences import chunk_words
 
@@ -91,9 +91,12 @@ def asr_words_from(raw: DataFrame) -> DataFrame:
 
 
 def best_transcripts_from(raw: DataFrame) -> DataFrame:
+    """One row per document: the first transcript that is not empty, by the parts' offsets."""
     doc = raw.select("episode_id", "offset", F.from_json("value", schemas.ASR_RESPONSE).alias("doc"))
-    best = F.expr("get(get(doc.results.channels, 0).alternatives, 0).transcript")
-    return doc.select("episode_id", "offset", F.coalesce(best, F.lit("")).alias("transcript"))
+    best = F.nullif(F.expr("get(get(doc.results.channels, 0).alternatives, 0).transcript"), F.lit(""))
+    rows = doc.select("episode_id", "offset", best.alias("transcript"))
+    first = F.min_by("transcript", F.when(F.col("transcript").isNotNull(), F.col("offset")))
+    return rows.groupBy("episode_id").agg(F.coalesce(first, F.lit("")).alias("transcript"))
 
 
 def sentences_from(raw: DataFrame) -> DataFrame:
@@ -133,19 +136,21 @@ def document_kind(raw: DataFrame) -> DataFrame:
 
 
 def any_from(raw: DataFrame) -> DataFrame:
-    """Segments of either document kind in one schema, ordered by start.
+    """Segments of either document kind in one schema; `seg_idx` is their position by start.
 
-    Word documents are cut every twelve words per speaker. Documents of neither
-    kind are listed by `unreadable_from`.
+    Word documents are cut every twelve words per speaker. Equal starts keep the
+    order of the list, or of speaker and chunk. Documents of neither kind are
+    listed by `unreadable_from`.
     """
     kinds = document_kind(raw)
-    spoken = sentences_from(kinds.filter(F.col("kind") == "sentences")).drop("seg_idx")
+    spoken = sentences_from(kinds.filter(F.col("kind") == "sentences")).withColumnRenamed("seg_idx", "__tie")
     chunks = chunk_words(asr_words_from(kinds.filter(F.col("kind") == "asr"))).select(
-        "episode_id", "start_ms", "end_ms", "text",
-        F.format_string("SPEAKER_%02d", "speaker").alias("speaker_raw"),
+        "episode_id", (F.shiftleft(F.col("speaker").cast("bigint"), 32) + F.col("chunk")).alias("__tie"),
+        "start_ms", "end_ms", "text", F.format_string("SPEAKER_%02d", "speaker").alias("speaker_raw"),
         speaker_label("speaker").alias("speaker"),
-    )
-    return spoken.unionByName(chunks)
+    )
+    placed = with_rank(spoken.unionByName(chunks), ["episode_id"], "start_ms", "__tie", "__rn")
+    return placed.withColumn("seg_idx", F.col("__rn") - 1).drop("__rn", "__tie")
 
 
 def unreadable_from(raw: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from colloquy.functions.labels import render_line, speaker_label
 from colloquy.functions.text import strip_ws
 from colloquy.operators.stats import episode_stats, speaker_stats, talk_time_turns
-from colloquy.operators.textops import PART_BITS, reassemble_text
+from colloquy.operators.blocks import join_on
+from colloquy.operators.textops import PART_BITS, part_totals, reassemble_text
 
 
 def transcript_lines(
@@ -45,13 +46,13 @@ def write_transcript_text(segments: DataFrame, path: str, style: str = "range",
 
 
 def _parts(df: DataFrame, order: str, item: Column, name: str) -> DataFrame:
-    """Group rows to (episode_id, part, offset, name) with an ordered list."""
+    """Group rows to (episode_id, part, offset, name) with an ordered list, and totals of the whole episode."""
     in_order = F.sort_array(F.collect_list(F.struct(F.col(order).alias("__o"), item.alias("__i"))))
-    return (
-        df.withColumn("part", F.shiftright(F.col(order), PART_BITS))
-        .groupBy("episode_id", "part")
-        .agg(F.min(order).alias("offset"), F.transform(in_order, lambda x: x["__i"]).alias(name))
+    parts = df.withColumn("part", F.shiftright(F.col(order), PART_BITS))
+    listed = parts.groupBy("episode_id", "part").agg(
+        F.min(order).alias("offset"), F.transform(in_order, lambda x: x["__i"]).alias(name)
     )
+    return join_on(listed, part_totals(parts, "episode_id"), ["episode_id"])
 
 
 def labeled_documents(segments: DataFrame, provenance: DataFrame) -> DataFrame:
@@ -114,10 +115,15 @@ def write_stats_csv(stats: DataFrame, path: str) -> None:
     )
 
 
+# --- fixed value: what a document without utterances says ----------------------
+NO_UTTERANCES = "No results.utterances found. Re-run with --utterances --diarize."
+
+
 def sentence_documents(episodes: DataFrame, utterances: DataFrame) -> DataFrame:
     """Sentence documents; an episode without utterances gets an error document.
 
-    Utterances with empty text are kept.
+    Utterances with empty text are kept. `num_segments` counts the whole episode,
+    however many parts it is written in.
     """
     item = F.struct(
         "speaker_id", speaker_label("speaker_id").alias("speaker_label"), (F.col("start_ms") / 1000).alias("start"),
@@ -132,8 +138,8 @@ def sentence_documents(episodes: DataFrame, utterances: DataFrame) -> DataFrame:
         .select(
             "episode_id", F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
             F.lit("utterance (sentence-like)").alias("unit"),
-            F.when(missing, "No results.utterances found. Re-run with --utterances --diarize.").alias("error"),
-            F.when(~missing, F.size("segments")).alias("num_segments"),
+            F.when(missing, NO_UTTERANCES).alias("error"),
+            F.col("n_pieces").alias("num_segments"), F.coalesce("n_parts", F.lit(0).cast("bigint")).alias("n_parts"),
             F.coalesce("segments", F.array()).alias("segments"),
         )
     )

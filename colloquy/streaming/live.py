@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from colloquy.operators.blocks import join_on
+from colloquy.operators.sequences import words_to_segments
 from colloquy.operators.stats import speaker_stats
 
 
@@ -47,20 +47,34 @@ def incremental_ingest(
     run_available(stream, checkpoint, handle, "append")
 
 
-def streaming_speaker_stats(utterances: DataFrame) -> DataFrame:
+def keep_speaker_stats(utterances: DataFrame, path: str, checkpoint: str) -> None:
     """Speaker statistics kept up to date as utterances arrive.
 
     The same expressions as the batch form; the state is one row per speaker of
-    an episode. The median form is batch only.
+    an episode. A batch writes the rows it changed, not all of them, to a folder
+    of its own; `latest_speaker_stats` reads the last row of each speaker. The
+    median form is batch only.
     """
-    return speaker_stats(utterances)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    run_available(speaker_stats(utterances), checkpoint, handle, "update")
+
+
+def latest_speaker_stats(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of each (episode, speaker)."""
+    rows = spark.read.parquet(path)
+    found = [c for c in rows.columns if c not in ("episode_id", "speaker", "batch")]
+    newest = rows.groupBy("episode_id", "speaker").agg(F.max_by(F.struct(*found), "batch").alias("row"))
+    return newest.select("episode_id", "speaker", "row.*")
 
 
 def gap_sessions(words: DataFrame, gap: str = "800 milliseconds", lateness: str = "1 minute") -> DataFrame:
     """Speech sessions per (episode, speaker) of a live word feed with event time `ts`.
 
     Spark's session window measures from start to start and other speakers do
-    not end a session; `gap_segments` is the exact rule.
+    not end a session; `keep_gap_segments` is the exact rule.
     """
     return (
         words.withWatermark("ts", lateness)
@@ -70,35 +84,40 @@ def gap_sessions(words: DataFrame, gap: str = "800 milliseconds", lateness: str
     )
 
 
-def gap_segments(words: DataFrame, gap_ms: int = 800) -> DataFrame:
-    """Closed segments of a word stream by the exact batch rule.
+FIELDS = ["episode_id", "head_idx", "speaker", "start_ms", "end_ms", "text"]
 
-    The state per episode is its open segment, which the next words extend or
-    close. Words of an episode arrive in order from batch to batch.
+
+def keep_gap_segments(words: DataFrame, path: str, checkpoint: str, gap_ms: int = 800) -> None:
+    """Segments of a word stream by the exact batch rule, below `path`.
+
+    What is open at the end of a batch, one segment per episode, goes to a table
+    of its own; the next batch takes it in as if it were a word. So a batch is cut
+    by the batch operator, which splits long episodes, and the state has one row
+    per episode. Words of an episode arrive in order from batch to batch. Batches
+    overwrite their own folders, so one that is run again adds nothing.
     """
-    out = "episode_id bigint, head_idx bigint, speaker int, start_ms bigint, end_ms bigint, text string"
-    held = "head_idx bigint, speaker int, start_ms bigint, end_ms bigint, text string"
-    fields = ["head_idx", "speaker", "start_ms", "end_ms", "text"]
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = pd.concat(list(batches)).rename(columns={"word_idx": "head_idx", "token": "text"})[fields]
-        now = now.sort_values("head_idx")
-        if state.exists:
-            now = pd.concat([pd.DataFrame([tuple(state.get)], columns=fields), now], ignore_index=True)
-        before = now.shift(1)
-        cut = (now["speaker"] != before["speaker"]) | (now["start_ms"] - before["end_ms"] > gap_ms)
-        runs = now.groupby(cut.cumsum(), sort=True).agg(
-            head_idx=("head_idx", "first"), speaker=("speaker", "first"), start_ms=("start_ms", "first"),
-            end_ms=("end_ms", "last"), text=("text", " ".join),
-        )
-        last = runs.iloc[-1]
-        state.update((int(last["head_idx"]), int(last["speaker"]), int(last["start_ms"]), int(last["end_ms"]), last["text"]))
-        closed = runs.iloc[:-1].reset_index(drop=True)
-        closed.insert(0, "episode_id", key[0])
-        yield closed.assign(text=closed["text"].str.strip())
 
-    return (
-        words.select("episode_id", "word_idx", "speaker", "start_ms", "end_ms", "token")
-        .groupBy("episode_id")
-        .applyInPandasWithState(advance, out, held, "append", GroupStateTimeout.NoTimeout)
-    )
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = batch.select("episode_id", "word_idx", "speaker", "start_ms", "end_ms", "token")
+        if batch_id:
+            held = spark.read.parquet(f"{path}/open/batch={batch_id - 1}")
+            new = new.unionByName(held.withColumnsRenamed({"head_idx": "word_idx", "text": "token"}))
+        found = f"{path}/found/batch={batch_id}"
+        words_to_segments(new, gap_ms).select(*FIELDS).write.mode("overwrite").parquet(found)
+        rows = spark.read.parquet(found)
+        last = rows.groupBy("episode_id").agg(F.max("head_idx").alias("head_idx")).withColumn("__open", F.lit(True))
+        marked = join_on(rows, last, ["episode_id", "head_idx"], "left")
+        for is_open, name in ((False, "closed"), (True, "open")):
+            kept = marked.filter(F.col("__open").isNotNull() == is_open).drop("__open")
+            kept.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+
+    run_available(words, checkpoint, handle, "append")
+
+
+def all_gap_segments(spark: SparkSession, path: str) -> DataFrame:
+    """Segments closed so far, and those open after the last batch: the end of the feed closes them."""
+    still_open = spark.read.parquet(f"{path}/open")
+    newest = still_open.agg(F.max("batch").alias("batch"))
+    last = still_open.join(newest, "batch", "left_semi")
+    return spark.read.parquet(f"{path}/closed").select(*FIELDS).unionByName(last.select(*FIELDS))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
+from colloquy.operators import asrstats, stats, textops
 from colloquy.plans import views
 from colloquy.sources import readers, writers
 from colloquy.streaming import live
@@ -113,23 +114,75 @@ def test_stream_equals_batch_over_several_batches(spark, sf, tmp_path):
     cuts = [f"word_idx <= {bounds[0]}", f"word_idx > {bounds[0]} AND word_idx <= {bounds[1]}", f"word_idx > {bounds[1]}"]
     for cut in cuts:
         words.filter(cut).coalesce(1).write.mode("append").parquet(feed)
-    out = str(tmp_path / "out")
-
-    def store(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    stream = live.gap_segments(live.file_stream(spark, feed, words.schema, max_files=1))
-    live.run_available(stream, str(tmp_path / "cp"), store, "append")
-    got = spark.read.option("recursiveFileLookup", True).schema(stream.schema).parquet(out)
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    live.keep_gap_segments(live.file_stream(spark, feed, words.schema, max_files=1), out, checkpoint)
+    assert len(list((tmp_path / "out" / "closed").glob("batch=*"))) == 3
     from colloquy.operators.sequences import words_to_segments
 
-    batch = words_to_segments(words).select("episode_id", "head_idx", "speaker", "start_ms", "end_ms", "text")
-    last = batch.groupBy("episode_id").agg(F.max("head_idx").alias("head_idx"))
-    want = batch.join(last, ["episode_id", "head_idx"], "left_anti").select(got.columns)
+    got = live.all_gap_segments(spark, out)
+    want = words_to_segments(words).select(got.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert got.count() > 0
 
 
+def test_stream_of_words_with_speaker_names(spark, tmp_path):
+    schema = "episode_id bigint, word_idx bigint, speaker string, start_ms bigint, end_ms bigint, token string"
+    rows = [(1, 0, "A", 0, 100, "a"), (1, 1, "A", 200, 300, "b"), (1, 2, "B", 300, 400, "c")]
+    feed = str(tmp_path / "feed")
+    for row in rows:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(feed)
+    words = spark.read.parquet(feed).schema
+    live.keep_gap_segments(live.file_stream(spark, feed, words, max_files=1), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = live.all_gap_segments(spark, str(tmp_path / "out")).orderBy("head_idx").collect()
+    assert [(r.speaker, r.text) for r in got] == [("A", "a b"), ("B", "c")]
+
+
+def test_statistics_of_a_stream_in_batches(spark, sf, tmp_path):
+    segments = views.segments(spark, sf)
+    feed = str(tmp_path / "feed")
+    for k in range(2):
+        segments.filter(f"seg_idx % 2 = {k}").coalesce(1).write.mode("append").parquet(feed)
+    out = str(tmp_path / "out")
+    live.keep_speaker_stats(live.file_stream(spark, feed, segments.schema, max_files=1), out, str(tmp_path / "cp"))
+    want = stats.speaker_stats(segments)
+    got = live.latest_speaker_stats(spark, out).select(want.columns)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_long_episodes_are_counted_whole(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("1L episode_id", "id seg_idx", "0 speaker_id", "id start_ms", "id + 1 end_ms", "'x' text")
+    writers.write_sentence_json(rows, rows, str(tmp_path / "docs"))
+    docs = spark.read.json(str(tmp_path / "docs")).collect()
+    assert sorted((r.part, r.num_segments, r.n_parts, len(r.segments)) for r in docs) == [(0, 5000, 2, 4096), (1, 5000, 2, 904)]
+
+
+def test_failing_chunks_cost_no_others(spark):
+    docs = spark.createDataFrame([(i, f"अ {'bad' if i == 3 else 'good'} {i}") for i in range(8)], "doc_id bigint, text string")
+
+    def provider():
+        def translate(chunks):
+            if chunks.str.contains("bad").any():
+                raise ValueError("no")
+            return chunks.str.upper()
+
+        return translate
+
+    got = {r.doc_id: r for r in textops.translate_documents(docs.coalesce(1), provider).collect()}
+    assert [got[i].n_fallback for i in range(8)] == [0, 0, 0, 1, 0, 0, 0, 0]
+    assert got[3].errors == ["ValueError: no"] and got[3].text == "अ bad 3" and got[4].text == "अ GOOD 4"
+
+
+def test_response_without_any_list_has_no_segments(spark):
+    raw = spark.createDataFrame(
+        [("ep1", "1", 0, '{"results": {}}'), ("ep2", "2", 0, '{"results": {"utterances": [{"start": 0, "end": 1, "transcript": " "}]}}')],
+        "name string, episode_id string, offset bigint, value string",
+    )
+    uttered, words = readers.asr_utterances_from(raw, keep_empty=True), readers.asr_words_from(raw)
+    assert asrstats.response_segments(uttered, words).count() == 0
+    found = asrstats.response_statistics(uttered, words).collect()
+    assert [(r.episode_id, r.num_sentences, r.total_words) for r in found] == [("2", 1, 0)]
+
+
 @pytest.mark.parametrize("name", ["j01_assign_speaker", "j02_gender_overlap", "seq01_words_to_segments", "rl11_labeled_transcript"])
 def test_no_nested_loop_or_cross_join(spark, sf, name):
     plan = queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
