@@ -16,8 +16,8 @@ a suffix per run, taken as long as its windows reach (its context), is enough:
    and others not. Only for those runs the windows themselves, as suffixes of 100
    bytes, go through the same two steps.
 
-Order is (id, part, row, position). Contexts and windows are compared by 128-bit
-fingerprints.
+Order is (id, part, row, position). Contexts and windows are compared by 96 bits
+of a 128-bit fingerprint.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ from colloquy.session import scratch_path
 WINDOW = 100
 ANCHOR = 50
 # Bytes that are hashed at a time, and bytes of texts that form a batch.
-BUFFER = 2 << 20
-BATCH = 32 << 20
+BUFFER = 1 << 20
+BATCH = 16 << 20
 BUCKETS_PER_TASK = 4
 LAST = np.iinfo(np.int64).max
 
@@ -53,27 +53,34 @@ DUPLICATE, PARTIAL, CLAIM = 0, 1, 2
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of equal length as bytes; signed numbers as differences from the least, in the narrowest type."""
-    out = [struct.pack("<IB", len(columns[0]), len(columns))]
+    """Columns of equal length as planes of bytes, without the leading bytes that are zero in all rows.
+
+    Signed numbers are stored as differences from the least one. Planes of like
+    bytes also compress well on their way to other tasks.
+    """
+    n = len(columns[0])
+    out = [struct.pack("<IB", n, len(columns))]
     for c in columns:
         hashes = c.dtype == _U
-        base = 0 if hashes or not len(c) else int(c.min())
-        kind = np.dtype(_U) if hashes or not len(c) else np.min_scalar_type(int(c.max()) - base)
-        out.append(struct.pack("<?qc", hashes, base, kind.char.encode()))
-        out.append((c if hashes else c - np.int64(base)).astype(kind).tobytes())
+        base = 0 if hashes or not n else int(c.min())
+        plain = np.ascontiguousarray(c if hashes else (c - np.int64(base)).view(_U))
+        width = (int(plain.max()).bit_length() + 7) // 8 if n else 0
+        out.append(struct.pack("<?qB", hashes, base, width))
+        out.append(plain.view(np.uint8).reshape(n, 8)[:, :width].T.tobytes())
     return b"".join(out)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
     """The columns of `pack`: hashes as unsigned, all others as signed 64-bit numbers."""
-    n, width = struct.unpack_from("<IB", data)
+    n, many = struct.unpack_from("<IB", data)
     at, out = 5, []
-    for _ in range(width):
-        hashes, base, kind = struct.unpack_from("<?qc", data, at)
-        dtype = np.dtype(kind.decode())
-        found = np.frombuffer(data, dtype, n, at + 10)
-        out.append(found if hashes else found.astype(np.int64) + np.int64(base))
-        at += 10 + n * dtype.itemsize
+    for _ in range(many):
+        hashes, base, width = struct.unpack_from("<?qB", data, at)
+        plain = np.zeros((n, 8), np.uint8)
+        plain[:, :width] = np.frombuffer(data, np.uint8, n * width, at + 10).reshape(width, n).T
+        found = plain.view(_U)[:, 0]
+        out.append(found if hashes else found.view(np.int64) + np.int64(base))
+        at += 10 + n * width
     return out
 
 
@@ -126,7 +133,7 @@ def runs(buffer: np.ndarray, starts: np.ndarray, stops: np.ndarray, window: int,
 
 @dataclass
 class Claims:
-    """Suffixes of one batch: anchor, fingerprint in two halves, and place."""
+    """Suffixes of one batch: 40 bits of the anchor's hash, fingerprint (64 and 32 bits), and place."""
 
     anchor: np.ndarray
     high: np.ndarray
@@ -283,8 +290,9 @@ def _pieces(texts: list[bytes], window: int) -> Iterator[list[tuple[int, int, by
         yield held
 
 
-def _fingerprints(slices: Iterable[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, slices)), "<u8").reshape(-1, 2)
+def _fingerprints(slices: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, slices)), "<u8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1] >> _U(32)
 
 
 def context_claims(part: int, rows: list[tuple], window: int, anchor: int) -> Claims | None:
@@ -299,10 +307,11 @@ def context_claims(part: int, rows: list[tuple], window: int, anchor: int) -> Cl
         piece, first, more, key = runs(np.frombuffer(data, np.uint8), starts, stops, window, anchor)
         if not len(piece):
             continue
-        marks = _fingerprints(data[a:b] for a, b in zip(first.tolist(), (first + more + window).tolist()))
+        high, low = _fingerprints(data[a:b] for a, b in zip(first.tolist(), (first + more + window).tolist()))
         number = np.array([p[0] for p in pieces])[piece]
         start = first - starts[piece] + np.array([p[1] for p in pieces])[piece]
-        made.append(Claims(key, marks[:, 0], marks[:, 1], doc[number], np.full(len(key), part), row[number], start, more))
+        key = key >> _U(24)
+        made.append(Claims(key, high, low, doc[number], np.full(len(key), part), row[number], start, more))
     return Claims.joined(made) if made else None
 
 
@@ -314,14 +323,12 @@ def window_claims(part: int, rows: list[tuple], wanted: dict[int, list[tuple[int
             made.append((doc, row, first, more, text))
     if not made:
         return None
-    marks = _fingerprints(t[i : i + window] for _, _, a, m, t in made for i in range(a, a + m + 1))
+    high, low = _fingerprints(t[i : i + window] for _, _, a, m, t in made for i in range(a, a + m + 1))
     doc, row, first, more = (np.array([m[i] for m in made], np.int64) for i in range(4))
     times = more + 1
     start = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - first, times)
     zero = np.zeros(len(start), np.int64)
-    return Claims(
-        marks[:, 0], marks[:, 0], marks[:, 1], np.repeat(doc, times), zero + part, np.repeat(row, times), start, zero
-    )
+    return Claims(zero.view(_U), high, low, np.repeat(doc, times), zero + part, np.repeat(row, times), start, zero)
 
 
 # What tasks hand on: `to` is a part (places settled there) or a bucket (claims).
@@ -334,8 +341,8 @@ def _settled(kind: int, part: int, found: Claims) -> tuple:
 
 
 def _sent(part: int, found: Claims, buckets: int) -> Iterator[tuple]:
-    """Claims of one batch, a parcel for each bucket."""
-    bucket = (found.anchor % _U(buckets)).astype(np.int64)
+    """Claims of one batch, a parcel for each bucket: by anchor, or by fingerprint where there is none."""
+    bucket = ((found.anchor if found.anchor.any() else found.high) % _U(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     found, bucket = found.take(order), bucket[order]
     edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
@@ -358,19 +365,26 @@ def _by_part(kind: int, found: Claims) -> Iterator[tuple]:
         yield _settled(kind, int(found.part[a]), found.take(slice(a, b)))
 
 
-def family_scan(claims: DataFrame, buckets: int, partial: bool) -> DataFrame:
-    """Take in all claims bucket by bucket; parcels with the repeated places, and with runs of shared anchors if `partial`."""
+def family_scan(parcels: DataFrame, buckets: int, partial: bool) -> DataFrame:
+    """Take in all claims bucket by bucket; parcels with the repeated places, and with runs of shared anchors if `partial`.
 
-    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, repeated = IndexFamily(), []
+    Parcels of places that are settled already are passed on.
+    """
 
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for parcels in parts:
-                for part, data in zip(parcels.column(0).to_pylist(), parcels.column(1)):
-                    repeated.extend(family.add(_received(part, data.as_py())))
-            every = [r for r in repeated if len(r)]
-            if every:
-                yield from _by_part(DUPLICATE, Claims.joined(every))
+            family, repeated = IndexFamily(), []
+            for part in parts:
+                for kind, to, sender, data in zip(*(c.to_pylist() for c in part.columns)):
+                    if kind != CLAIM:
+                        yield kind, to, sender, data
+                        continue
+                    repeated += [r for r in family.add(_received(sender, data)) if len(r)]
+                    if sum(map(len, repeated)) > 200_000:
+                        yield from _by_part(DUPLICATE, Claims.joined(repeated))
+                        repeated = []
+            if repeated:
+                yield from _by_part(DUPLICATE, Claims.joined(repeated))
             left = family.all() if partial else None
             if left is not None:
                 yield from _by_part(PARTIAL, left.take(shared_anchor(left)))
@@ -378,8 +392,7 @@ def family_scan(claims: DataFrame, buckets: int, partial: bool) -> DataFrame:
         yield from batches(rows(), PARCEL, sized=3)
 
     tasks = max(1, buckets // BUCKETS_PER_TASK)
-    dealt = claims.where(F.col("kind") == CLAIM).repartition(tasks, "to").select("part", "data")
-    return dealt.mapInArrow(run, PARCEL_DDL)
+    return parcels.repartition(tasks, "to").mapInArrow(run, PARCEL_DDL)
 
 
 def _per_part(files: DataFrame, parcels: DataFrame, n_parts: int, work, schema: pa.Schema, ddl: str, sized: int) -> DataFrame:
@@ -511,15 +524,13 @@ def remove_repeats(
                 removed = sum(b - a for a, b in gone)
                 yield (None if doc == LAST else doc, len(text), removed, len(gone), b"".join(left), *(o.as_py() for o in others))
 
-    contexts = written(_per_part(files, nothing, n_parts, index_part, PARCEL, PARCEL_DDL, 3), "passage-contexts")
-    settled = written(family_scan(contexts, buckets, partial=True), "passage-settled")
-    local = contexts.where(F.col("kind") != CLAIM)
-    windows = written(
-        _per_part(files, local.union(settled).where(F.col("kind") == PARTIAL), n_parts, index_windows, PARCEL, PARCEL_DDL, 3),
-        "passage-windows",
-    )
-    settled_windows = written(family_scan(windows, buckets, partial=False), "passage-windows-settled")
-    repeated = local.union(settled).union(windows).union(settled_windows).where(F.col("kind") == DUPLICATE)
+    def parcels(asked: DataFrame, work) -> DataFrame:
+        return _per_part(files, asked, n_parts, work, PARCEL, PARCEL_DDL, 3)
+
+    settled = written(family_scan(parcels(nothing, index_part), buckets, partial=True), "passage-runs")
+    asked = settled.where(F.col("kind") == PARTIAL)
+    windows = written(family_scan(parcels(asked, index_windows), buckets, partial=False), "passage-windows")
+    repeated = settled.union(windows).where(F.col("kind") == DUPLICATE)
     return _per_part(files, repeated, n_parts, cut_part, out, ddl, 4)
 
 
