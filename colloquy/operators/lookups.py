@@ -7,6 +7,8 @@ shuffles and AQE splits a hot episode.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +30,12 @@ def apply_gender(rows: DataFrame, genders: DataFrame) -> DataFrame:
     return rows.join(side, ["episode_id", "speaker"], "left").fillna({"gender": "unknown", "gender_confidence": 0.0})
 
 
-def apply_host(segments: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Relabel speakers as Host, Guest or Unknown by `hosts(episode_id, host)`."""
-    joined = segments.join(hosts.select("episode_id", "host"), "episode_id", "left")
+def apply_host(segments: DataFrame, hosts: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Relabel speakers as Host, Guest or Unknown by `hosts(episode_id, host)`.
+
+    `carry` names further columns of `hosts` to add, such as the method.
+    """
+    joined = segments.join(hosts.select("episode_id", "host", *carry), "episode_id", "left")
     label = relabel_host_guest("speaker", "host")
     return (
         joined.withColumn("__l", label)

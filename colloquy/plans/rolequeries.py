@@ -12,6 +12,7 @@ from colloquy.plans.joins import BEST_TURN, MAPPING, SAMPLES
 from colloquy.plans.registry import query
 from colloquy.plans.scalars import IS_QUESTION, PLAIN, REPLY, TRIMMED, _or, host_score_sql
 from colloquy.plans.views import SEG, TURN, pct
+from colloquy.session import scratch_path
 
 
 def category_sql(variant: str) -> str:
@@ -281,10 +282,7 @@ def rl11(spark, sf):
     """Segments to Host/Guest transcript in one plan, method attached."""
     s = V.segments(spark, sf)
     hosts = roles.identify_host_keywords_first(s, "v5")
-    labelled = lookups.apply_host(s, hosts)
-    return labelled.join(hosts.select("episode_id", "method"), "episode_id").select(
-        "episode_id", "seg_idx", "speaker", "method"
-    )
+    return lookups.apply_host(s, hosts, carry=["method"]).select("episode_id", "seg_idx", "speaker", "method")
 
 
 @query(
@@ -303,5 +301,9 @@ def rl12(spark, sf):
     s, t = V.segments(spark, sf), V.turns(spark, sf)
     assigned = intervals.assign_speaker(s.drop("speaker"), t)
     mapped = lookups.map_speakers(assigned, ranking.speaker_mapping(t), on="assigned").withColumnRenamed("mapped", "speaker")
+    # the rules and the counts both read it: written once, it is not joined again
+    path = scratch_path(spark, "mapped")
+    mapped.write.parquet(path)
+    mapped = spark.read.schema(mapped.schema).parquet(path)
     hosts = roles.identify_host_questions_first(mapped, "combined", interview_style=True)
     return stats.category_counts(lookups.apply_host(mapped, hosts)).join(hosts, "episode_id")

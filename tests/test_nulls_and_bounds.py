@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from colloquy.operators import blocks, folds, intervals, sequences, stats
 
 SCHEMA = "episode_id bigint, idx bigint, speaker string, start_ms bigint, end_ms bigint"
@@ -134,3 +135,20 @@ def test_a_turn_without_a_sane_end_is_one_interval(spark):
     turns = spark.createDataFrame([(1, 0, "A", 0, 10**15), (1, 1, "B", 5500, 7000)], SCHEMA.replace("idx", "turn_idx", 1))
     got = intervals.assign_speaker(segments, turns).orderBy("seg_idx").collect()
     assert [(r.assigned, r.overlap_ms) for r in got] == [("A", 1000), ("A", 500)]
+
+
+# Two for each input; the last four read their input once more for totals.
+SCANS = {
+    "ag04_summarize_median": 2, "seq03_chunk_words": 2, "rl01_classify_segments_v5": 2, "rl11_labeled_transcript": 2,
+    "rl12_diarized_to_roles": 2, "j02_gender_overlap": 4, "j03_assign_word_speakers": 5, "j01_assign_speaker": 5,
+    "seq07_adaptive_gap": 3, "seq04_smooth_turns": 4,
+}
+
+
+@pytest.mark.parametrize("name", sorted(SCANS))
+def test_scans_of_the_inputs(spark, sf, name):
+    """As run: adaptive execution reuses the exchanges that plan branches share."""
+    df = queries()[name](spark, sf)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") <= SCANS[name]
