@@ -18,6 +18,7 @@ from itertools import groupby, product
 from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -255,41 +256,46 @@ def fix_flicker(segments: DataFrame, out: str = "fixed", block: int = 65536) ->
     )
 
 
+def pack_lines(lengths: list[int], max_len: int) -> list[tuple[int, int, int]]:
+    """Chunks of lines as (first line, number of lines, offset in the line); hard cuts have 0 lines."""
+    chunks, first, size = [], 0, 0
+    for i, length in enumerate(lengths):
+        if length > max_len or size + length + 1 > max_len:
+            if i > first:
+                chunks.append((first, i - first, 0))
+            first, size = i, 0
+        if length > max_len:
+            chunks += [(i, 0, at) for at in range(0, length, max_len)]
+            first = i + 1
+        else:
+            size += length + 1
+    if len(lengths) > first:
+        chunks.append((first, len(lengths) - first, 0))
+    return chunks
+
+
 def chunk_lines(docs: DataFrame, max_len: int = 1200, text: str = "text") -> DataFrame:
     """Pack the lines of a text greedily into chunks of at most `max_len` characters.
 
     A line costs its length plus one. A longer line is cut hard, after what was
-    collected so far. The fold is per text cell, so it needs no shuffle.
+    collected so far. The fold sees the lengths of a text's lines only and takes
+    one step per line; it needs no shuffle.
     """
-    lines = line_list(text)
-    lines = F.transform(lines, lambda s: F.regexp_replace(s, "(?U)[\\s\\x1c-\\x1f]+$", ""))
-
-    empty = F.array().cast("array<string>")
-    zero = F.lit(0)
-
-    def state(chunks, held, size):
-        return F.struct(chunks.alias("chunks"), held.alias("held"), size.alias("size"))
-
-    def flushed(acc):
-        return F.when(
-            F.size(acc["held"]) > 0, F.array_append(acc["chunks"], F.array_join(acc["held"], "\n"))
-        ).otherwise(acc["chunks"])
-
-    def step(acc, line):
-        cost = F.length(line) + 1
-        pieces = F.transform(
-            F.sequence(zero, F.floor((F.length(line) - 1) / max_len).cast("int")),
-            lambda i: F.substr(line, i * max_len + 1, F.lit(max_len)),
-        )
-        return (
-            F.when(F.length(line) > max_len, state(F.concat(flushed(acc), pieces), empty, zero))
-            .when(
-                acc["size"] + cost <= max_len,
-                state(acc["chunks"], F.array_append(acc["held"], line), acc["size"] + cost),
-            )
-            .otherwise(state(flushed(acc), F.array(line), cost))
-        )
-
-    chunks = F.aggregate(lines, state(empty, empty, zero), step, flushed)
+    lines = F.transform(line_list(text), lambda s: F.regexp_replace(s, "(?U)[\\s\\x1c-\\x1f]+$", ""))
+
+    @F.arrow_udf("array<struct<first:int,n:int,at:int>>")
+    def pack(lengths: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("at", pa.int32())]))
+        rows = (None if row is None else pack_lines(row, max_len) for row in lengths.to_pylist())
+        return pa.array([row and [dict(zip(("first", "n", "at"), c)) for c in row] for row in rows], type=kind)
+
+    held = docs.withColumn("__lines", lines)
+    cut = held.withColumn("__cuts", pack(F.transform("__lines", F.length)))
+    chunk = F.transform(
+        "__cuts",
+        lambda c: F.when(c["n"] == 0, F.substr(F.get("__lines", c["first"]), c["at"] + 1, F.lit(max_len))).otherwise(
+            F.array_join(F.slice("__lines", c["first"] + 1, c["n"]), "\n")
+        ),
+    )
     others = [c for c in docs.columns if c != text]
-    return docs.select(*others, F.posexplode(chunks).alias("chunk_idx", "chunk"))
+    return cut.select(*others, F.posexplode(chunk).alias("chunk_idx", "chunk"))
