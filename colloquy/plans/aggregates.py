@@ -84,6 +84,17 @@ def ag06(spark, sf):
     return intervals.speaker_gender(intervals.gender_overlap(V.feed(spark, sf), regions(spark, sf)))
 
 
+@query(
+    "ag06_speaker_gender_strict",
+    f"""WITH {FEED}, {OVERLAPS}, {GENDERED} SELECT episode_id, speaker,
+      CASE WHEN greatest(male_ms, female_ms)::DOUBLE / total::DOUBLE > 0.6::DOUBLE THEN CASE WHEN male_ms >= female_ms THEN 'male' ELSE 'female' END
+        ELSE 'unknown' END AS gender, male_ms::DOUBLE / 1000 AS male_time, female_ms::DOUBLE / 1000 AS female_time,
+      total::DOUBLE / 1000 AS total_gendered_time, conf AS confidence FROM gender""",
+)
+def ag06_strict(spark, sf):
+    return intervals.speaker_gender(intervals.gender_overlap(V.feed(spark, sf), regions(spark, sf)), strict=True)
+
+
 EVEN = """num AS (SELECT *, row_number() OVER (PARTITION BY episode_id, speaker ORDER BY idx) - 1 AS i,
       count(*) OVER (PARTITION BY episode_id, speaker) AS n FROM feed),
     picked AS (SELECT * FROM num WHERE n <= 10 OR i IN (0, (n - 1) // 9, 2 * (n - 1) // 9, 3 * (n - 1) // 9, 4 * (n - 1) // 9,
@@ -159,6 +170,21 @@ def ag13(spark, sf):
     return stats.turn_stats(V.segments(spark, sf).withColumn("text", strip_ws("text")))
 
 
+@query(
+    "ag13_turn_stats_drop_empty",
+    f"""WITH {SEG}, l AS (SELECT episode_id, speaker, seg_idx, {TRIMMED} AS text FROM seg WHERE {TRIMMED} <> ''),
+    p AS (SELECT episode_id, speaker, count(*) AS turn_count, sum(length(text))::DOUBLE / count(*) AS avg_utterance_chars,
+      min(seg_idx) AS f FROM l GROUP BY 1, 2)
+    SELECT episode_id, speaker, turn_count, avg_utterance_chars,
+      first_value(speaker) OVER (PARTITION BY episode_id ORDER BY f) AS first_speaker,
+      (sum(turn_count) OVER (PARTITION BY episode_id))::BIGINT AS num_turns FROM p""",
+)
+def ag13_drop_empty(spark, sf):
+    from colloquy.functions.text import strip_ws
+
+    return stats.turn_stats(V.segments(spark, sf).withColumn("text", strip_ws("text")), drop_empty=True)
+
+
 @query(
     "ag14_document_stats",
     f"""SELECT 'ep' || doc_id AS episode, {wc('text')} AS word_count,

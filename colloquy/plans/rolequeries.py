@@ -212,6 +212,17 @@ def rl07(spark, sf):
     return roles.host_by_score(V.segments(spark, sf))
 
 
+_SCORED_ASR = _SCORED.replace("ORDER BY score DESC", "ORDER BY score_asr DESC")
+
+
+@query(
+    "rl07_host_by_score_asr",
+    f"WITH {SEG}, {_SCORED_ASR} SELECT episode_id, speaker, CASE WHEN r = 1 THEN 'HOST' ELSE 'GUEST' END AS role FROM ranked",
+)
+def rl07_asr(spark, sf):
+    return roles.host_by_score(V.segments(spark, sf), asr=True)
+
+
 # One response per episode; its form and the host it names follow from the id.
 _NAMED = "'Speaker ' || (episode_id * 3 % 4)"
 _RESPONSE_OBJ = "'{\"host_speaker_raw\": \"' || " + _NAMED + " || '\"}'"
@@ -226,18 +237,35 @@ def responses(spark, sf):
     return V.segments(spark, sf).select("episode_id").distinct().withColumn("response", envelope)
 
 
-@query(
-    "rl08_resolve_roles",
-    f"""WITH {SEG}, {_SCORED}, c AS (SELECT DISTINCT episode_id, CASE WHEN episode_id % 5 < 3 THEN {_NAMED} END AS named FROM seg),
+def _resolved_sql(scored: str) -> str:
+    return f"""WITH {SEG}, {scored}, c AS (SELECT DISTINCT episode_id, CASE WHEN episode_id % 5 < 3 THEN {_NAMED} END AS named FROM seg),
     h AS (SELECT r.episode_id, max(CASE WHEN r.speaker = c.named THEN c.named END) AS accepted, max(CASE WHEN r.r = 1 THEN r.speaker END) AS scored
       FROM ranked r JOIN c ON c.episode_id = r.episode_id GROUP BY 1)
     SELECT r.episode_id, r.speaker, CASE WHEN r.speaker = coalesce(h.accepted, h.scored) THEN 'HOST' ELSE 'GUEST' END AS role,
-      CASE WHEN h.accepted IS NULL THEN 'score' ELSE 'model' END AS source FROM ranked r JOIN h ON h.episode_id = r.episode_id""",
-)
+      CASE WHEN h.accepted IS NULL THEN 'score' ELSE 'model' END AS source FROM ranked r JOIN h ON h.episode_id = r.episode_id"""
+
+
+@query("rl08_resolve_roles", _resolved_sql(_SCORED))
 def rl08(spark, sf):
     return roles.resolve_roles(responses(spark, sf), V.segments(spark, sf))
 
 
+@query("rl08_resolve_roles_asr", _resolved_sql(_SCORED_ASR))
+def rl08_asr(spark, sf):
+    return roles.resolve_roles(responses(spark, sf), V.segments(spark, sf), asr=True)
+
+
+@query(
+    "rl02_identify_host_forced",
+    f"""WITH {SEG}, s AS (SELECT episode_id, array_agg(DISTINCT speaker) FILTER (speaker IN ('Speaker 1', 'Speaker 2')) AS known FROM seg GROUP BY 1)
+    SELECT episode_id, 'Speaker 2' AS host, 'manual_override' AS method FROM s""",
+)
+def rl02_forced(spark, sf):
+    """A host named by hand overrides all rules."""
+    found = roles.identify_host_keywords_first(V.segments(spark, sf), "v5", force_host="Speaker 2")
+    return found.select("episode_id", "host", "method")
+
+
 _PAIR = (
     "CASE episode_id % 4 WHEN 0 THEN '{\"host_speaker\":\"Speaker 2\",\"guest_speaker\":\"Speaker 1\"}' "
     "WHEN 1 THEN '```json{\"host_speaker\":\"Speaker 1\",\"guest_speaker\":\"Speaker 1\"}```' "

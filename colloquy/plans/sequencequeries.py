@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from colloquy.operators import folds, sequences
 from colloquy.plans import views as V
 from colloquy.plans.aggregates import EVEN
@@ -25,6 +27,18 @@ def seq01(spark, sf):
     return sequences.words_to_segments(V.words(spark, sf))
 
 
+@query(
+    "seq01_words_to_segments_drop_blank",
+    f"""WITH {WORD}, blank AS (SELECT * REPLACE (CASE WHEN word_idx % 3 = 0 THEN '' ELSE token END AS token) FROM word),
+    {ISLANDS.replace("FROM word", "FROM blank")} SELECT episode_id, min(word_idx) AS head_idx, min(speaker) AS speaker, arg_min(start_ms, word_idx) AS start_ms,
+      arg_max(end_ms, word_idx) AS end_ms, count(*) AS n_tokens, trim(string_agg(token, ' ' ORDER BY word_idx)) AS text
+    FROM marked GROUP BY episode_id, island HAVING trim(string_agg(token, ' ' ORDER BY word_idx)) <> ''""",
+)
+def seq01_drop_blank(spark, sf):
+    words = V.words(spark, sf).withColumn("token", F.when(F.col("word_idx") % 3 == 0, "").otherwise(F.col("token")))
+    return sequences.words_to_segments(words, drop_blank=True)
+
+
 def _merged(source: str, idx: str, minimum: int) -> str:
     return f"""h AS (SELECT *, sum(CASE WHEN end_ms - start_ms >= {minimum} THEN 1 ELSE 0 END) OVER w AS raw_island
       FROM {source} WINDOW w AS (PARTITION BY episode_id ORDER BY {idx}))

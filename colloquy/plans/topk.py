@@ -70,6 +70,19 @@ def tk06(spark, sf):
     return ranking.head_mid_tail_lines(lines, edge=8, middle=12, max_chars=1500)
 
 
+@query(
+    "tk06_head_mid_tail_wide",
+    f"""WITH l AS (SELECT doc_id, {LINE_LIST} AS x FROM documents), n AS (SELECT *, len(x) AS n, least(len(x), greatest(60, len(x) // 10)) AS w FROM l)
+    SELECT doc_id AS episode_id, left('=== BEGINNING ===' || chr(10) || array_to_string(x[1:w], chr(10)) || chr(10) || chr(10) || '=== MIDDLE ===' || chr(10)
+      || array_to_string(x[greatest(0, n // 2 - 40) + 1:greatest(0, n // 2 - 40) + 80], chr(10)) || chr(10) || chr(10) || '=== END ===' || chr(10)
+      || array_to_string(x[n - w + 1:n], chr(10)) || chr(10), 12000) AS sample FROM n""",
+)
+def tk06_wide(spark, sf):
+    docs = V.documents(spark, sf).selectExpr("doc_id AS episode_id", "text")
+    lines = sequences.split_lines(docs).withColumn("line_idx", F.col("line_idx").cast("bigint"))
+    return ranking.head_mid_tail_lines(lines, edge=60, middle=80)
+
+
 @query(
     "tk07_argmax_speaker",
     f"""WITH {FEED}, c AS (SELECT episode_id, speaker, count(*) AS n, min(idx) AS f FROM feed GROUP BY 1, 2)
