@@ -1,7 +1,7 @@
 """Media columns: payloads in tar shards, addressed by their content.
 
-A payload is stored once, as a grey 8-bit PNG of 192 samples a row, in a tar
-member named by the payload's SHA-256. Rows carry digest, shard, offset and
+A payload is stored as a grey 8-bit PNG of 192 samples a row, in a tar member
+named by the payload's SHA-256. Rows carry digest, shard, offset and
 length; a range read of a member's first bytes fills the metadata columns
 without touching the samples.
 """
@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.runtime import batches, open_store, picked, shared_folder, written
+from colloquy.llm.runtime import batches, forget, open_store, picked, shared_folder, written
 
 ROW = 192
 # Bytes of a PNG's signature and header chunk.
 HEAD = 33
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
+# Bytes after which a task starts another shard.
+SHARD_BYTES = 256 << 20
 # Media bytes that one task reads back.
 TASK_BYTES = 16 << 20
 
@@ -39,6 +41,10 @@ def payload_of(text: Column) -> Column:
     return F.concat(text, F.repeat(F.lit(" "), (full - size).cast("int"))).cast("binary")
 
 
+def digest_of(payload: str | Column) -> Column:
+    return F.unhex(F.sha2(payload, 256))
+
+
 def png(payload: bytes) -> bytes:
     """The payload as a grey 8-bit image of 192 samples a row."""
     height = len(payload) // ROW
@@ -49,7 +55,7 @@ def png(payload: bytes) -> bytes:
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
     head = struct.pack(">IIBBBBB", ROW, height, 8, 0, 0, 0, 0)
-    return SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
+    return SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 9)) + chunk(b"IEND", b"")
 
 
 def png_header(head: bytes) -> tuple[int, int, int, int]:
@@ -86,59 +92,64 @@ def feature(payload: bytes) -> str:
     )
 
 
-def store_media(docs: DataFrame, folder: str, text_col: str = "text") -> DataFrame:
-    """Write every distinct payload once; the index: `digest`, `shard`, `offset`, `length`, `media_sha256`.
+class _Shard:
+    """A tar file of one task's attempt, under a name of its own."""
 
-    Copies inside a task are dropped before the shuffle, so a digest reaches the
-    task that writes it once per task at most, however many rows share it. A
-    shard is named anew by each attempt of a task, and the written index names
-    only shards of attempts that succeeded.
-    """
-    blob = pa.schema([("digest", pa.string()), ("media", pa.binary())])
-    entry = pa.schema(
-        [(n, pa.string()) for n in ("digest", "shard")] + [(n, pa.int64()) for n in ("offset", "length")] + [("media_sha256", pa.string())]
-    )
+    def __init__(self, folder: str):
+        self.files, path = open_store(folder)
+        self.name, self.at = f"shard-{uuid.uuid4().hex}.tar", 0
+        self.sink = self.files.open_output_stream(f"{path}/{self.name}", compression=None)
 
-    def encode(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()
+    def add(self, digest: bytes, media: bytes) -> tuple[str, int, int]:
+        member = tarfile.TarInfo(f"{digest.hex()}.png")
+        member.size = len(media)
+        head = member.tobuf(tarfile.GNU_FORMAT)
+        self.sink.write(head + media + bytes(-len(media) % 512))
+        place = self.name, self.at + len(head), len(media)
+        self.at += len(head) + len(media) + -len(media) % 512
+        return place
 
-        def rows() -> Iterator[tuple]:
-            for part in parts:
-                for digest, payload in zip(part.column(0).to_pylist(), part.column(1)):
-                    if digest not in seen:
-                        seen.add(digest)
-                        yield digest, png(payload.as_py())
+    def close(self) -> None:
+        self.sink.write(bytes(1024))
+        self.sink.close()
 
-        yield from batches(rows(), blob, sized=1)
 
-    def shard(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, path = open_store(folder)
-        name, sink, at, seen = f"shard-{uuid.uuid4().hex}.tar", None, 0, set()
+def store_media(docs: DataFrame, folder: str, text_col: str = "text") -> DataFrame:
+    """Write the payloads to tar shards; the index: `digest` (SHA-256), `shard`, `offset`, `length`, one row per digest.
+
+    Payloads are written by the task that reads them, each once per task, and
+    never shuffled; of the places where a digest lies the index names one, found
+    by a combined minimum over the small index rows. Copies that other tasks wrote
+    are left without a reference. A shard is named anew by each attempt of a task,
+    and the written index names only shards of attempts that succeeded.
+    """
+    entry = pa.schema([("digest", pa.binary()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        seen: set[bytes] = set()
+        shard = None
         for part in parts:
             found = []
-            for digest, media in zip(part.column(0).to_pylist(), part.column(1)):
+            for digest, payload in zip(part.column(0).to_pylist(), part.column(1)):
                 if digest in seen:
                     continue
                 seen.add(digest)
-                media = media.as_py()
-                member = tarfile.TarInfo(f"{digest}.png")
-                member.size = len(media)
-                head = member.tobuf(tarfile.GNU_FORMAT)
-                sink = sink or files.open_output_stream(f"{path}/{name}", compression=None)
-                sink.write(head + media + bytes(-len(media) % 512))
-                found.append((digest, name, at + len(head), len(media), hashlib.sha256(media).hexdigest()))
-                at += len(head) + len(media) + -len(media) % 512
+                media = png(payload.as_py())
+                if shard and shard.at >= SHARD_BYTES:
+                    shard.close()
+                    shard = None
+                shard = shard or _Shard(folder)
+                found.append((digest, *shard.add(digest, media)))
             yield from batches(found, entry)
-        if sink:
-            sink.write(bytes(1024))
-            sink.close()
+        if shard:
+            shard.close()
 
     payload = picked(docs, text=text_col).select(payload_of(F.col("text")).alias("payload"))
-    blobs = payload.select(F.sha2("payload", 256).alias("digest"), "payload").mapInArrow(encode, "digest string, media binary")
-    return written(
-        blobs.repartition("digest").mapInArrow(shard, "digest string, shard string, offset long, length long, media_sha256 string"),
-        "media-index",
-    )
+    ddl = "digest binary, shard string, offset long, length long"
+    index = written(payload.select(digest_of("payload").alias("digest"), "payload").mapInArrow(run, ddl), "media-index", 1000)
+    place = F.min(F.struct("shard", "offset", "length")).alias("place")
+    return index.groupBy("digest").agg(place).select("digest", "place.*")
 
 
 def spread_by_bytes(index: DataFrame, file: str, task_bytes: int = TASK_BYTES) -> DataFrame:
@@ -162,41 +173,46 @@ def ranges(part: pd.DataFrame, folder: str, file: str, limit: int | None = None)
         source.close()
 
 
-def with_headers(index: DataFrame, folder: str) -> DataFrame:
-    """Metadata columns `width`, `height`, `bit_depth` from reads of each member's first 33 bytes."""
+HEADERS = ("width", "height", "bit_depth")
+FEATURES = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+KINDS = dict.fromkeys(HEADERS, "int") | dict(zip(FEATURES, ("long", "string", "long", "long", "string", "string")))
 
-    def read(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            heads = [png_header(head) for head in ranges(part, folder, "shard", HEAD)]
-            yield part.assign(**{n: [h[i] for h in heads] for i, n in enumerate(("width", "height", "bit_depth"))})
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema)
-    return index.mapInPandas(read, kinds + ", width int, height int, bit_depth int")
+def _headers(part: pd.DataFrame, folder: str) -> dict[str, list]:
+    heads = [png_header(head) for head in ranges(part, folder, "shard", HEAD)]
+    return {name: [head[i] for head in heads] for i, name in enumerate(HEADERS)}
+
+
+def _features(part: pd.DataFrame, folder: str) -> dict[str, list]:
+    found = []
+    for media in ranges(part, folder, "shard"):
+        payload = png_payload(media)
+        found.append(
+            (
+                len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media),
+                hashlib.sha256(media).hexdigest(), feature(payload),
+            )
+        )
+    return {name: [f[i] for f in found] for i, name in enumerate(FEATURES)}
+
 
+def with_metadata(index: DataFrame, folder: str, features: bool = True) -> DataFrame:
+    """Metadata columns from reads of each member's first 33 bytes: `width`, `height`, `bit_depth`.
 
-def with_features(index: DataFrame, folder: str) -> DataFrame:
-    """What the stored bytes hold: their own and the payload's SHA-256, its size, tail checksum and feature."""
+    With `features` the members are also read in full, and what they hold is
+    added: size and SHA-256 of payload and stored form, tail checksum, feature.
+    """
+    names = [*HEADERS, *(FEATURES if features else ())]
+    source = index.drop(*names)
 
     def read(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = []
-            for media in ranges(part, folder, "shard"):
-                payload = png_payload(media)
-                found.append(
-                    (
-                        len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media),
-                        hashlib.sha256(media).hexdigest(), feature(payload),
-                    )
-                )
-            names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-            yield part.assign(**{n: [f[i] for f in found] for i, n in enumerate(names)})
-
-    kept = [f for f in index.schema if f.name != "media_sha256"]
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
-    return index.drop("media_sha256").mapInPandas(
-        read,
-        kinds + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
-    )
+        for whole in parts:
+            for at in range(0, len(whole), 1024):
+                part = whole.iloc[at : at + 1024]
+                yield part.assign(**_headers(part, folder), **(_features(part, folder) if features else {}))
+
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema] + [f"{n} {KINDS[n]}" for n in names]
+    return source.mapInPandas(read, ", ".join(kinds))
 
 
 def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,10 +225,10 @@ def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc
     """
     folder = folder or shared_folder(docs.sparkSession, "media")
     index = spread_by_bytes(store_media(docs, folder, text_col), "shard")
-    stored = written(with_features(with_headers(index, folder), folder), "media-features")
+    stored = written(with_metadata(index, folder), "media-features")
     rows = picked(docs, doc_id=id_col, text=text_col).select(
         "doc_id",
         F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
-        F.sha2(payload_of(F.col("text")), 256).alias("digest"),
+        digest_of(payload_of(F.col("text"))).alias("digest"),
     )
     return rows.join(stored, "digest", "left")

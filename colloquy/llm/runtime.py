@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
@@ -18,26 +19,46 @@ OUT_BYTES = 16 << 20
 
 
 def once_per_process(key: tuple, make: Callable[[], Any]) -> Any:
-    """`make()` the first time a worker process asks for `key`.
+    """`make()` the first time a worker process asks for `key`; what it had for other keys goes.
 
     Kept on `sys`: functions travel to executors by value, so a module's own
-    globals would be new in every task.
+    globals would be new in every task. Workers live on from stage to stage, so
+    that only one operator's tables may stay.
     """
     kept = sys.__dict__.setdefault("_colloquy_once", {})
     if key not in kept:
+        forget()
         kept[key] = make()
     return kept[key]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def forget() -> None:
+    """Free what earlier tasks left in this worker process; for operators that keep nothing."""
+    kept = sys.__dict__.get("_colloquy_once")
+    if kept:
+        kept.clear()
+        gc.collect()
+
+
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
     """Write `df` once to the shared scratch folder and read it back.
 
     Cuts lineage, so that a lost executor costs a re-read and jobs with side
-    files run once.
+    files run once. `arrow_rows` bounds the rows of the batches that go to Python
+    meanwhile, for rows with whole texts.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(ARROW_ROWS)
+    try:
+        if arrow_rows:
+            spark.conf.set(ARROW_ROWS, str(arrow_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark, name: str) -> str:
