@@ -69,18 +69,20 @@ def test_units_join_to_the_text():
 
 
 def test_codec_equals_library(codec, tik, texts):
-    for text in [*odd_strings(3000), *texts.values()]:
-        ids = codec.encode(text)
+    every = [*odd_strings(3000), *texts.values()]
+    for text, ids in zip(every, codec.encode(every)):
         assert ids == packed(tik.encode_ordinary(text))
         assert codec.decode(ids) == text.encode()
 
 
-def test_memo_that_overflows(ranks, tik, texts):
+def test_memos_that_overflow(ranks, tik, texts, monkeypatch):
+    monkeypatch.setattr(wordtable, "MOST_WORDS", 50)
+    monkeypatch.setattr(wordtable, "MOST_LONGER", 5)
+    monkeypatch.setattr(wordtable, "POOL", 64)
     small = bpe.Codec(ranks, P.PATTERN)
-    for memo in (small.memo.later, small.pieces):
-        memo.most = 50
-    for text in list(texts.values())[:30]:
-        assert small.encode(text) == packed(tik.encode_ordinary(text))
+    small.pieces.most = 50
+    for text in [*list(texts.values())[:30], "x" * 500 + " " + "y" * 90]:
+        assert small.encode([text, "", text]) == [packed(tik.encode_ordinary(t)) for t in (text, "", text)]
 
 
 def test_prefix_table_appends_and_edits(codec, tik):
@@ -111,8 +113,10 @@ def test_editable_text(codec, tik):
 
 
 def test_counter_equals_library(counter, byte_library, texts):
-    for text in [*odd_strings(3000, 2), *texts.values()]:
-        assert counter.count(text) == len(byte_library.encode(text, add_special_tokens=False).ids)
+    every = [*odd_strings(3000, 2), *texts.values()]
+    want = [len(byte_library.encode(text, add_special_tokens=False).ids) for text in every]
+    assert [counter.count(text) for text in every] == want
+    assert counter.counts(every).tolist() == want
 
 
 def test_chunk_maps_compose(counter, byte_library, texts, monkeypatch):
@@ -193,7 +197,7 @@ def test_token_file_query(spark, sf, texts, word_library):
 
 def test_several_files_per_task(docs, texts, word_library, monkeypatch):
     monkeypatch.setattr(tokenfiles, "FILE_IDS", 500)
-    monkeypatch.setattr(tokenfiles, "GROUP", 2000)
+    monkeypatch.setattr(wordtable, "GROUP", 2000)
     got = sorted(tokenfiles.stored_tokens(docs, P.path("word_bpe_49k.json")).collect())
     start = 0
     for r in got:
