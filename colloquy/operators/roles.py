@@ -17,6 +17,7 @@ from colloquy.functions.replies import MAPPING, PAIR, parse_model_json, reply_co
 from colloquy.functions.text import contains_keywords, contains_keywords_nopunct, is_question_segment, strip_ws
 from colloquy.operators import ranking, stats
 from colloquy.operators.filters import UNKNOWN_LABELS
+from colloquy.session import scratch_path
 
 # Boost and ceiling of the vote share, and the wording of the method text.
 _CATEGORY_RULES = {
@@ -44,7 +45,11 @@ def category(text: str | Column, variant: str = "v5") -> Column:
 
 
 def classify_segments(segments: DataFrame, variant: str = "v5") -> DataFrame:
-    """Segments of each episode's best category, with that category."""
+    """Segments of each episode's best category, with that category.
+
+    Matching the phrases costs most, so the matched segments are written once, to
+    the shared scratch folder, and the best category is found and applied there.
+    """
     names = [name for name, _ in lexicons.DETECTION_VARIANTS[variant]["order"]]
     rank = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("category"))
     hits = (
@@ -52,6 +57,9 @@ def classify_segments(segments: DataFrame, variant: str = "v5") -> DataFrame:
         .filter(F.col("category").isNotNull())
         .withColumn("__rank", rank)
     )
+    path = scratch_path(segments.sparkSession, "hits")
+    hits.write.parquet(path)
+    hits = segments.sparkSession.read.schema(hits.schema).parquet(path)
     best = hits.groupBy("episode_id").agg(F.min("__rank").alias("__rank"))
     return hits.join(best, ["episode_id", "__rank"], "left_semi").drop("__rank")
 
