@@ -13,7 +13,9 @@ of every prefix is filled from left to right, and
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 from math import inf
 
 import numpy as np
@@ -22,12 +24,18 @@ import regex
 from pyspark.sql import DataFrame
 
 from colloquy.llm.runtime import batches, once_per_process, picked
-from colloquy.llm.segments import Memo, UnitMemo, plain_pieces, units
+from colloquy.llm.segments import Memo, plain_pieces, units
+from colloquy.llm.wordtable import UnitTable, grouped
 
 # Pairs of tokens whose compatibility is remembered.
-MOST_PAIRS = 500_000
+MOST_PAIRS = 400_000
 # Steps of prefix tables that are remembered.
-MOST_MOVES = 500_000
+MOST_MOVES = 300_000
+# Bits of a token id and of a place in the trie.
+TOKEN_BITS, NODE_BITS = 20, 24
+TOKENS, NODES = (1 << TOKEN_BITS) - 1, (1 << NODE_BITS) - 1
+# Stands for no token before: the largest id, which is never given.
+NO_TOKEN = TOKENS
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -54,12 +62,14 @@ class MergeRules:
                     self.ends.append(-1)
             self.ends[node] = token
         self.inner = {key >> 8 for key in self.child}
+        if len(self.ends) > NODES or max(tokens.values(), default=0) >= NO_TOKEN:
+            raise ValueError("the vocabulary is too large")
         ids, text = self.ids, self.text
         # Rank files merge any two neighbours that make up a token, in order of its id.
         self.rank = rank or (lambda a, b: ids.get(text[a] + text[b]))
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._spines: dict[tuple[bool, int], list[tuple[int, float]]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, data: bytes) -> list[tuple[int, tuple[int, int] | None, float]]:
         """Plain merging of a short byte string: tokens, each with its halves and the rank that joined them."""
@@ -111,7 +121,7 @@ class MergeRules:
         and one at the left edge of `b`, there at the same time, merge first. On
         equal ranks the left one of two merges comes first.
         """
-        key = (a, b)
+        key = a << 20 | b
         known = self.pairs.get(key)
         if known is None:
             known = True
@@ -134,8 +144,9 @@ class Columns:
     """The steps of the prefix table, remembered.
 
     What the next entry depends on, a column, are the starts from which a token
-    may still go on: the token before and the place in the trie, the longest
-    first. The same columns come again in many pieces.
+    may still go on: the token before and the place in the trie, packed in one
+    number, the longest first. The same columns come again in many pieces. A move
+    is the next column and the last token there, packed alike.
     """
 
     def __init__(self, rules: MergeRules):
@@ -143,27 +154,29 @@ class Columns:
         self.reset()
 
     def reset(self) -> None:
-        self.columns, self.numbers, self.moves = [((None, 0),)], {((None, 0),): 0}, {}
-
-    def step(self, column: int, byte: int) -> tuple[int, int]:
-        """The column after one more byte, and the last token there."""
-        rules, last, going = self.rules, None, []
-        for before, node in self.columns[column]:
-            node = rules.child.get(node << 8 | byte)
+        start = (NO_TOKEN << NODE_BITS,)
+        self.columns, self.numbers, self.moves = [start], {start: 0}, {}
+
+    def step(self, column: int, byte: int) -> int:
+        """The move from a column by one more byte."""
+        rules, last, going = self.rules, -1, []
+        for start in self.columns[column]:
+            node = rules.child.get((start & NODES) << 8 | byte)
             if node is None:
                 continue
+            before = start >> NODE_BITS
             if node in rules.inner:
-                going.append((before, node))
-            if last is None and (token := rules.ends[node]) >= 0:
-                if rules.reachable(token) if before is None else rules.compatible(before, token):
+                going.append(before << NODE_BITS | node)
+            if last < 0 and (token := rules.ends[node]) >= 0:
+                if rules.reachable(token) if before == NO_TOKEN else rules.compatible(before, token):
                     last = token
-        if last is None:
+        if last < 0:
             raise ValueError(f"byte {byte} has no token")
-        after = (*going, (last, 0))
+        after = (*going, last << NODE_BITS)
         number = self.numbers.setdefault(after, len(self.columns))
         if number == len(self.columns):
             self.columns.append(after)
-        self.moves[column << 8 | byte] = move = (number, last)
+        self.moves[column << 8 | byte] = move = number << TOKEN_BITS | last
         return move
 
 
@@ -178,9 +191,10 @@ class PrefixTable:
         """Add bytes at the end; the entries there are stay as they are."""
         known, step, column, last, at = self.columns.moves.get, self.columns.step, self.column, self.last, self.column[-1]
         for byte in more:
-            at, token = known(at << 8 | byte) or step(at, byte)
+            move = known(at << 8 | byte) or step(at, byte)
+            at = move >> TOKEN_BITS
             column.append(at)
-            last.append(token)
+            last.append(move & TOKENS)
         self.data += more
         return self
 
@@ -207,16 +221,19 @@ class Codec:
         self.rules = MergeRules(ranks)
         self.columns = Columns(self.rules)
         self.split = regex.compile(pattern).findall
-        self.packed = {i: i.to_bytes(4, "little") for i in ranks.values()}
-        self.pieces = Memo(self._piece)
-        self.memo = UnitMemo(self._unit)
+        self.pieces = Memo(lambda piece: array("I", self.piece(piece.encode())))
+        self.table = UnitTable(lambda found: list(map(self.unit, found)), True, self.whole)
+        self.bytes_of = [self.rules.text.get(i, b"") for i in range(max(ranks.values(), default=-1) + 1)]
 
-    def _unit(self, unit: str) -> bytes:
+    def unit(self, unit: str) -> array:
         found = plain_pieces(unit) or self.split(unit)
-        return self.pieces(found[0]) if len(found) == 1 else b"".join(map(self.pieces, found))
+        if len(found) == 1:
+            return self.pieces(found[0])
+        return array("I", chain.from_iterable(map(self.pieces, found)))
 
-    def _piece(self, piece: str) -> bytes:
-        return b"".join(map(self.packed.__getitem__, self.piece(piece.encode())))
+    def whole(self, text: str) -> array:
+        """Ids of a text unit by unit."""
+        return array("I", chain.from_iterable(map(self.unit, units(text))))
 
     def piece(self, data: bytes) -> list[int]:
         whole = self.rules.ids.get(data)
@@ -226,12 +243,14 @@ class Codec:
             self.columns.reset()
         return PrefixTable(self.columns, data).tokens()
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(self.memo.values(text)) if text else b""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        ids, n = self.table.encode(texts)
+        ends = np.cumsum(n).tolist()
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip([0, *ends], ends)]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.rules.text.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 class EditableText:
@@ -240,14 +259,14 @@ class EditableText:
     def __init__(self, codec: Codec, text: str = ""):
         self.codec = codec
         self.units = units(text)
-        self.ids = [codec._unit(u) for u in self.units]
+        self.ids = [codec.unit(u) for u in self.units]
 
     @property
     def text(self) -> str:
         return "".join(self.units)
 
     def encoded(self) -> bytes:
-        return b"".join(self.ids)
+        return np.array(list(chain.from_iterable(self.ids)), "<u4").tobytes()
 
     def append(self, more: str) -> None:
         end = sum(map(len, self.units))
@@ -266,7 +285,7 @@ class EditableText:
         old = "".join(self.units[first : last + 1])
         changed = units(old[: start - before] + new + old[stop - before :])
         self.units[first : last + 1] = changed
-        self.ids[first : last + 1] = [self.codec._unit(u) for u in changed]
+        self.ids[first : last + 1] = [self.codec.unit(u) for u in changed]
         return len(changed)
 
 
@@ -289,10 +308,10 @@ def encode_documents(
 
         def rows() -> Iterator[tuple]:
             for part in parts:
-                for key, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    ids = codec.encode(text.as_py() or "")
-                    row = (key, ids, len(ids) // 4)
-                    yield (*row, codec.decode(ids)) if decode else row
+                for keys, texts in grouped(part):
+                    for key, ids in zip(keys, codec.encode(texts)):
+                        row = (key, ids, len(ids) // 4)
+                        yield (*row, codec.decode(ids)) if decode else row
 
         yield from batches(rows(), schema, sized=1)
 

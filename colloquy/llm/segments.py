@@ -1,4 +1,4 @@
-"""Exact cuts of a text for tokenizers, and a bounded memo of what the cut parts give."""
+"""Exact cuts of a text for tokenizers, and a bounded memo of what short parts give."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from typing import Any
 # A segment longer than this is not remembered, so the memo's size is bounded.
 LONGEST_KEPT = 48
 # Entries of one memo; beyond, it starts anew.
-MOST_KEPT = 600_000
+MOST_KEPT = 150_000
 # Marks that the split pattern always takes apart from letters before them.
 MARKS = frozenset(".,;:!?")
 
@@ -52,6 +52,17 @@ def plain_pieces(unit: str) -> list[str] | None:
     return None
 
 
+def byte_characters() -> dict[str, int]:
+    """The printable characters that stand for bytes in a byte-level vocabulary.
+
+    Bytes that print in Latin-1 stand for themselves, the others for the
+    characters from 256 on.
+    """
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 class Memo:
     """Values of short strings in two generations, so that what is common stays known."""
 
@@ -69,38 +80,3 @@ class Memo:
                     self.older, self.known = self.known, {}
                 self.known[key] = value
         return value
-
-
-class UnitMemo:
-    """Values of a text's units, remembered by unit.
-
-    `value(unit)` may be dear; most units of a corpus are a few hundred thousand
-    words that come again and again.
-    """
-
-    def __init__(self, value: Callable[[str], Any], most: int = MOST_KEPT):
-        self.value, self.later = value, Memo(lambda part: value(" " + part), most)
-
-    def values(self, text: str) -> list:
-        """One value per unit, in order. Equal to `[value(u) for u in units(text)]`."""
-        parts = text.split(" ")
-        out = list(map(self.later.known.get, parts))
-        out[0] = self.value(parts[0])
-        at = -1
-        try:
-            while True:
-                at = out.index(None, at + 1)
-                part = parts[at]
-                if not clean(part) or at == 1 and not clean(parts[0]):
-                    return self._odd(text)
-                out[at] = self.later(part)
-        except ValueError:
-            pass
-        # a remembered part next to an unclean first one is no unit of its own
-        return out if len(parts) == 1 or clean(parts[0]) else self._odd(text)
-
-    def _odd(self, text: str) -> list:
-        found = units(text)
-        return [self.value(found[0])] + [
-            self.later(u[1:]) if u[0] == " " and clean(u[1:]) else self.value(u) for u in found[1:]
-        ]

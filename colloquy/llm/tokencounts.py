@@ -16,34 +16,26 @@ counts. Composition is associative, so a prefix scan joins the chunks.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from colloquy.llm.bpe import MergeRules
 from colloquy.llm.runtime import batches, once_per_process, picked
-from colloquy.llm.segments import Memo, UnitMemo, plain_pieces
+from colloquy.llm.segments import Memo, byte_characters, plain_pieces, units
+from colloquy.llm.wordtable import UnitTable, grouped
 
 # Transitions kept; beyond, compilation starts anew.
-MOST_TRANSITIONS = 500_000
+MOST_TRANSITIONS = 200_000
 # Characters of a chunk.
 CHUNK = 1 << 16
 
 
-def byte_characters() -> dict[str, int]:
-    """The printable characters that stand for bytes in a byte-level vocabulary.
-
-    Bytes that print in Latin-1 stand for themselves, the others for the
-    characters from 256 on.
-    """
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class CountTransducer:
     """Counts the tokens of one piece by reading its bytes once."""
 
@@ -129,11 +121,22 @@ class TokenCounter:
         names = sorted(special, key=len, reverse=True)
         self.specials = regex.compile("|".join(map(regex.escape, names))).split if names else None
         self.pieces = Memo(lambda piece: self.transducer.count(piece.encode()))
-        self.memo = UnitMemo(self.unit)
+        self.table = UnitTable(
+            lambda found: [array("I", [self.count(unit)]) for unit in found], True, lambda text: array("I", [self.count(text)])
+        )
 
     def unit(self, unit: str) -> int:
         return sum(map(self.pieces, plain_pieces(unit) or self.split(unit)))
 
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """Tokens of each text; long texts go through their chunk maps, the others by units from the table."""
+        long = [len(t) > CHUNK for t in texts]
+        found, n = self.table.encode(["" if far else t for t, far in zip(texts, long)])
+        out = np.bincount(np.repeat(np.arange(len(texts)), n), weights=found, minlength=len(texts)).astype(np.int64)
+        for i in np.flatnonzero(long).tolist():
+            out[i] = self.count(texts[i])
+        return out
+
     def chunk_map(self, text: str, first: bool) -> ChunkMap:
         """The map of one chunk; a text's first chunk starts at a cut."""
         at = 0 if first else self._cut(text, 0, 1)
@@ -142,7 +145,7 @@ class TokenCounter:
         end = self._cut(text, len(text), -1)
         end = max(end, at)
         body = text[at:end]
-        return ChunkMap(text[:at], True, sum(self.memo.values(body)) if body else 0, text[end:])
+        return ChunkMap(text[:at], True, self._closed(body), text[end:])
 
     @staticmethod
     def _cut(text: str, at: int, step: int) -> int:
@@ -162,7 +165,7 @@ class TokenCounter:
         return ChunkMap(a.head, True, a.count + self._closed(a.tail + b.head) + b.count, b.tail)
 
     def _closed(self, text: str) -> int:
-        return sum(self.memo.values(text)) if text else 0
+        return sum(map(self.unit, units(text))) if text else 0
 
     def _part(self, text: str) -> int:
         """Tokens of a text without special strings."""
@@ -202,10 +205,9 @@ def count_tokens(
 
         def rows() -> Iterator[tuple]:
             for part in parts:
-                for key, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    text = text.as_py() or ""
-                    n = counter.count(text)
-                    yield key, len(text.encode()), n, n > limit
+                for keys, texts in grouped(part):
+                    for key, text, n in zip(keys, texts, counter.counts(texts).tolist()):
+                        yield key, len(text.encode()), n, n > limit
 
         yield from batches(rows(), schema)
 

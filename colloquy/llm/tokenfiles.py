@@ -10,12 +10,9 @@ read without decoding those before it.
 from __future__ import annotations
 
 import json
-import os
 import struct
 import uuid
-from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm.runtime import batches, once_per_process, open_store, picked, shared_folder, written
-from colloquy.llm.segments import LONGEST_KEPT, MARKS, MOST_KEPT
+from colloquy.llm.wordtable import WordCodec, grouped
 
 MAGIC = b"DAC1"
 BLOCK_BITS = 512
 # Ids after which a task closes its file and starts another.
-FILE_IDS = 4_000_000
-# Texts whose unknown words go to the tokenizer at once.
-GROUP = 64
+FILE_IDS = 2_000_000
 
 Read = Callable[[int, int], bytes]
 
@@ -55,7 +50,7 @@ def encoded(ids: np.ndarray, doc_ids: list[int | None], starts: np.ndarray) -> b
         "known": add(np.packbits(known, bitorder="little").tobytes()),
         "starts": add(starts.astype("<i8").tobytes()),
     }
-    rest = ids.astype(np.uint64)
+    rest = ids
     while True:
         more = rest > 255
         bits = np.packbits(more, bitorder="little")
@@ -63,13 +58,13 @@ def encoded(ids: np.ndarray, doc_ids: list[int | None], starts: np.ndarray) -> b
         ranks = np.concatenate(([0], np.cumsum(blocks, dtype=np.int64)))
         levels.append(
             {
-                "count": len(rest), "chunks": add((rest & np.uint64(255)).astype(np.uint8).tobytes()),
+                "count": len(rest), "chunks": add(rest.astype(np.uint8).tobytes()),
                 "bits": add(bits.tobytes()), "ranks": add(ranks.astype("<i8").tobytes()),
             }
         )
         if not more.any():
             break
-        rest = rest[more] >> np.uint64(8)
+        rest = rest[more] >> np.uint32(8)
     head = json.dumps({"docs": docs, "levels": levels}).encode()
     return MAGIC + struct.pack("<I", len(head)) + head + b"".join(parts)
 
@@ -127,12 +122,12 @@ class TokenFile:
 
     def tokens(self, start: int, stop: int) -> np.ndarray:
         """Tokens start..stop; only the first needs a rank, those after it follow."""
-        out = np.zeros(stop - start, np.uint64)
+        out = np.zeros(stop - start, np.uint32)
         where = None
         for k, level in enumerate(self.levels):
             if start >= stop:
                 break
-            chunk = np.frombuffer(self._bytes(level["chunks"] + start, stop - start), np.uint8).astype(np.uint64) << np.uint64(8 * k)
+            chunk = np.frombuffer(self._bytes(level["chunks"] + start, stop - start), np.uint8).astype(np.uint32) << np.uint32(8 * k)
             more = self._bits(level, start, stop).astype(bool)
             if where is None:
                 out[:] = chunk
@@ -145,61 +140,6 @@ class TokenFile:
         return out.astype("<u4")
 
 
-class WordCodec:
-    """Ids of texts by a tokenizer that drops white space, so that every blank is a cut.
-
-    The library encodes words, in lower case and without a mark at the end where
-    that makes no difference to it; what it gave is remembered up to a fixed number.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        spec = json.loads(self.tokenizer.to_str())
-        steps = (spec["normalizer"] or {}).get("normalizers", [spec["normalizer"] or {}])
-        # lower case makes no difference to a tokenizer that has it itself
-        self.lower = any(step.get("type") == "Lowercase" for step in steps)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _ask(self, pieces: list[str]) -> None:
-        made = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        self.pieces.update((p, array("I", e.ids).tobytes()) for p, e in zip(pieces, made))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [text.split(" ") for text in texts]
-        new = set().union(*split).difference(self.words)
-        if self.lower:
-            cut = {word: plain_parts(word) for word in new}
-        else:
-            cut = {word: (word,) for word in new}
-        known = self.pieces
-        self._ask([p for p in set(chain.from_iterable(cut.values())) if p not in known])
-        self.words.update((word, b"".join([known[p] for p in parts])) for word, parts in cut.items())
-        found = [b"".join(map(self.words.__getitem__, words)) for words in split]
-        for kept in (self.words, self.pieces):
-            if len(kept) > MOST_KEPT:
-                kept.clear()
-        for word in new:
-            if len(word) > LONGEST_KEPT:
-                self.words.pop(word, None)
-                self.pieces.pop(word, None)
-        return found
-
-
-def plain_parts(word: str) -> tuple[str, ...]:
-    """A Latin-1 word in lower case and the mark after it; anything else as it is."""
-    body, mark = (word[:-1], word[-1]) if word[-1:] in MARKS else (word, "")
-    if body.isalpha() and max(body) <= "\xff":
-        return (body.lower(), mark) if mark else (body.lower(),)
-    return (word,)
-
-
 MANIFEST = "part int, seq int, file string, n_docs long, n_ids long, size long"
 
 
@@ -219,34 +159,34 @@ def write_tokens(
         codec = once_per_process(("words", tokenizer), lambda: WordCodec(tokenizer))
         files, path = open_store(folder)
         place, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
-        end = np.array([end_id], "<u4").tobytes()
         keys: list[int | None] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         size = seq = 0
 
         def close() -> tuple:
-            starts = np.concatenate(([0], np.cumsum([len(h) // 4 for h in held])))
-            data = encoded(np.frombuffer(b"".join(held), "<u4"), keys, starts)
+            starts = np.concatenate(([0], *counts)).cumsum()
+            data = encoded(np.concatenate(held), keys, starts)
             name = f"tokens-{attempt}-{seq:05d}.dac"
             with files.open_output_stream(f"{path}/{name}", compression=None) as sink:
                 sink.write(data)
             return place, seq, name, len(keys), int(starts[-1]), len(data)
 
         for part in parts:
-            for at in range(0, part.num_rows, GROUP):
-                piece = part.slice(at, GROUP)
-                for key, ids in zip(piece.column(0).to_pylist(), codec.encode([t or "" for t in piece.column(1).to_pylist()])):
-                    keys.append(key)
-                    held.append(ids + end)
-                    size += len(ids) // 4 + 1
+            for doc_ids, texts in grouped(part):
+                ids, n = codec.encode(texts)
+                keys += doc_ids
+                held.append(np.insert(ids, np.cumsum(n), end_id))
+                counts.append(n + 1)
+                size += len(held[-1])
                 if size >= FILE_IDS:
                     yield from batches([close()], schema)
-                    keys, held, size, seq = [], [], 0, seq + 1
+                    keys, held, counts, size, seq = [], [], [], 0, seq + 1
         if keys:
             yield from batches([close()], schema)
 
     ordered = picked(docs, doc_id=id_col, text=text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return written(ordered.mapInArrow(run, MANIFEST), "token-manifest")
+    return written(ordered.mapInArrow(run, MANIFEST), "token-manifest", 1000)
 
 
 def with_starts(manifest: DataFrame) -> DataFrame:

@@ -59,6 +59,10 @@ def packed(ids):
     return np.array(ids, "<u4").tobytes()
 
 
+def test_no_texts(codec, counter):
+    assert codec.encode([]) == [] and counter.counts([]).tolist() == [] and codec.encode([""]) == [b""]
+
+
 def test_every_token_is_reachable(codec):
     assert all(codec.rules.reachable(i) for i in codec.rules.ids.values())
 
