@@ -34,14 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.runtime import batches, once_per_process, open_store, picked, written
+from colloquy.llm.runtime import batches, forget, once_per_process, open_store, picked, written
 from colloquy.session import scratch_path
 
 WINDOW = 100
 ANCHOR = 50
 # Bytes that are hashed at a time, and bytes of texts that form a batch.
 BUFFER = 1 << 20
-BATCH = 16 << 20
+BATCH = 8 << 20
 BUCKETS_PER_TASK = 4
 LAST = np.iinfo(np.int64).max
 
@@ -372,6 +372,8 @@ def family_scan(parcels: DataFrame, buckets: int, partial: bool) -> DataFrame:
     """
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+
         def rows() -> Iterator[tuple]:
             family, repeated = IndexFamily(), []
             for part in parts:
@@ -416,7 +418,9 @@ def _per_part(files: DataFrame, parcels: DataFrame, n_parts: int, work, schema:
 
         yield from batches(rows(), schema, sized=sized)
 
-    return both.repartitionByRange(n_parts, "to").sortWithinPartitions("to", "kind").mapInArrow(run, ddl)
+    # a task takes one part after the other; more tasks than that would only add shuffle blocks
+    tasks = min(n_parts, 8 * files.sparkSession.sparkContext.defaultParallelism)
+    return both.repartitionByRange(tasks, "to").sortWithinPartitions("to", "kind").mapInArrow(run, ddl)
 
 
 def _places(held: list[tuple[int, bytes]], kind: int) -> dict[int, list[tuple[int, int]]]:

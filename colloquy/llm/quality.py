@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.runtime import picked
+from colloquy.llm.runtime import forget, once_per_process, picked
 
 # Hash values of character n-grams and of word n-grams.
 BUCKETS = 1 << 15
@@ -128,11 +128,12 @@ def _mean(values: np.ndarray, at: np.ndarray, texts: int) -> np.ndarray:
 
 
 def pieces(text: str) -> list[str]:
-    """A long text in blocks, cut at white space where there is some."""
+    """A long text in blocks, cut at white space only; a longer word makes a longer block."""
     out, at = [], 0
     while len(text) - at > BLOCK:
-        end = max(text.rfind(s, at + BLOCK // 2, at + BLOCK) for s in SPACES)
-        end = end if end > 0 else at + BLOCK
+        end = max(text.rfind(s, at + 1, at + BLOCK) for s in SPACES)
+        if end < 0:
+            end = min((i for i in (text.find(s, at + BLOCK) for s in SPACES) if i >= 0), default=len(text))
         out.append(text[at:end])
         at = end
     return [*out, text[at:]]
@@ -323,6 +324,7 @@ def train(
     sample = labelled_sample(docs, labels, max_rows, max_chars, id_col, text_col, label_col)
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         answers, features = [], []
         for part in parts:
             answers += part.column(0).to_pylist()
@@ -340,59 +342,59 @@ def train(
     return found and Model(np.frombuffer(found.weights, "<f4"), found.bias, found.slope, found.offset)
 
 
-def apply_rules(
-    docs: DataFrame,
-    model: Model | None,
-    threshold: float = 0.5,
-    min_words: int = 10,
-    max_repeat_percent: int = 20,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    keep: Iterable[str] = (),
-) -> DataFrame:
-    """Text statistics and verdict of every whole text, in Arrow batches without a shuffle.
+NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+VERDICT = pa.struct(
+    [(n, pa.int64()) for n in NUMBERS] + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("probability", pa.float64())]
+)
+VERDICT_DDL = ", ".join(f"{n} long" for n in NUMBERS) + ", base_failed boolean, kept boolean, probability double"
+
+
+def verdict(
+    text: Column, model: Model | None, threshold: float = 0.5, min_words: int = 10, max_repeat_percent: int = 20
+) -> Column:
+    """Statistics and verdict of a text as a struct, computed in Arrow batches.
 
     `base_failed`: fewer than `min_words` words, or over `max_repeat_percent` of
     the words in windows of five that come again. `kept`: no base rule failed and
     the calibrated probability of good quality is `threshold` or more; without a
     model the base rules decide and `probability` is null. A null text has no
-    words and fails. Repeated rows are judged alike. `keep` names further input
-    columns to pass on; the others are left out.
+    words and fails.
     """
-    kept = list(keep)
-    source = picked(docs, doc_id=id_col, text=text_col, **{f"_in_{i}": c for i, c in enumerate(kept)})
-    numbers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    passed = [source.schema[f"_in_{i}"] for i in range(len(kept))]
-    out = ", ".join(
-        ["doc_id long", *(f"{n} long" for n in numbers), "base_failed boolean", "kept boolean", "probability double"]
-        + [f"{f.name} {f.dataType.simpleString()}" for f in passed]
-    )
 
-    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for at in range(0, part.num_rows, 1024):
-                piece = part.slice(at, 1024)
-                texts = [t or "" for t in piece.column(1).to_pylist()]
-                rows = []
-                for text, (n, repeats, score) in zip(texts, judged(texts, model)):
-                    lines = [line for line in text.split("\n") if line.strip(SPACES)]
-                    failed = n < min_words or 100 * repeats > max_repeat_percent * n
-                    p = None if score is None else float(model.probability(np.float64(score)))
-                    rows.append(
-                        (
-                            n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)),
-                            len(lines) - len(set(lines)), repeats, failed, not failed and (p is None or p >= threshold), p,
-                        )
-                    )
-                kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
-                made = [pa.array(values, type=kind) for values, kind in zip(zip(*rows), kinds)]
-                names = [*numbers, "base_failed", "kept", "probability"]
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), *made, *piece.columns[2:]], names=["doc_id", *names, *(f.name for f in passed)]
-                )
-
-    judged_rows = source.mapInArrow(run, out)
-    return judged_rows.withColumnsRenamed({f"_in_{i}": f"in_{c}" for i, c in enumerate(kept)})
+    def judge(part: pa.Array) -> pa.Array:
+        once_per_process(("quality",), lambda: True)
+        rows = []
+        for at in range(0, len(part), 1024):
+            texts = [t or "" for t in part.slice(at, 1024).to_pylist()]
+            for t, (n, repeats, score) in zip(texts, judged(texts, model)):
+                lines = [line for line in t.split("\n") if line.strip(SPACES)]
+                failed = n < min_words or 100 * repeats > max_repeat_percent * n
+                p = None if score is None else float(model.probability(np.float64(score)))
+                rows.append(
+                    (
+                        n, len(t) - sum(map(t.count, SPACES)), sum(map(t.count, SYMBOLS)), len(lines) - len(set(lines)),
+                        repeats, failed, not failed and (p is None or p >= threshold), p,
+                    )
+                )
+        columns = zip(*rows) if rows else [()] * len(VERDICT)
+        return pa.StructArray.from_arrays(
+            [pa.array(values, type=field.type) for values, field in zip(columns, VERDICT)], fields=list(VERDICT)
+        )
+
+    # the annotations are looked up by name, which functions that travel by value lack
+    judge.__annotations__ = {"part": pa.Array, "return": pa.Array}
+    return F.arrow_udf(judge, VERDICT_DDL)(text)
 
 
+def apply_rules(
+    docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] = (), **limits
+) -> DataFrame:
+    """`doc_id` and the fields of `verdict` for every whole text, without a shuffle.
 
+    Repeated rows are judged alike; an empty table gives an empty result. `keep`
+    names further input columns to pass on as `in_<name>`; the others are left out.
+    """
+    source = picked(docs, doc_id=id_col, text=text_col, **{f"in_{c}": c for c in keep})
+    return source.select(
+        "doc_id", verdict(F.col("text"), model, **limits).alias("verdict"), *(f"in_{c}" for c in keep)
+    ).select("doc_id", "verdict.*", *(f"in_{c}" for c in keep))

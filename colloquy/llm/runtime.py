@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 from collections.abc import Callable, Iterable, Iterator
@@ -33,11 +34,17 @@ def once_per_process(key: tuple, make: Callable[[], Any]) -> Any:
 
 
 def forget() -> None:
-    """Free what earlier tasks left in this worker process; for operators that keep nothing."""
-    kept = sys.__dict__.get("_colloquy_once")
-    if kept:
-        kept.clear()
-        gc.collect()
+    """Give back what earlier tasks left in this worker process; for operators that keep nothing.
+
+    Freed memory stays with the allocators otherwise, and the workers of a
+    pipeline would grow to the sum of its stages.
+    """
+    sys.__dict__.setdefault("_colloquy_once", {}).clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.components import connected, stars
-from colloquy.llm.runtime import batches, picked, written
+from colloquy.llm.runtime import forget, picked, written
 
 SHINGLE = 4
 DISTANCE = 4
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("bits", pa.int64())])
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for part in parts:
             found = np.array([fingerprint(t.as_py()) for t in part.column(2)], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array(found)], schema=schema)
@@ -226,7 +227,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
     than all others (a component of null ids alone has none). Other columns are
     left out; an empty table gives an empty result.
     """
-    rows = written(fingerprints(docs, id_col, text_col).drop("mark"), "fingerprints")
+    rows = written(fingerprints(docs, id_col, text_col).drop("mark"), "fingerprints", 1000)
     placed = _grouped(rows, distance)
     first = rows.groupBy("bits").agg(F.min("doc_id").alias("first"))
     lowest = placed.join(first, "bits").groupBy("label").agg(F.min("first").alias("component_id"))
@@ -244,7 +245,7 @@ def representatives(
     Null ids come after all others. Only ids and hashes are grouped; texts are
     shuffled once, to the rows that stay.
     """
-    rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    rows = written(fingerprints(docs, id_col, text_col), "fingerprints", 1000)
     best = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
     of_bits = rows.groupBy("bits").agg(F.min(best).alias("best"))
     stays = of_bits.join(_grouped(rows, distance), "bits").groupBy("label").agg(F.min("best").alias("best"))
@@ -255,4 +256,5 @@ def representatives(
         docs, id=F.coalesce(key.cast("long"), F.lit(0)), unnamed=key.isNull(), mark=F.xxhash64(text),
         **{f"in_{i}": c for i, c in enumerate(keep)},
     )
-    return marked.join(stays, keys, "left_semi").dropDuplicates(keys).drop(*keys).toDF(*keep)
+    # repeated rows go before the shuffle, where each task sees them
+    return marked.dropDuplicates(keys).join(stays, keys, "left_semi").drop(*keys).toDF(*keep)
