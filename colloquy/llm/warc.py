@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.media import ranges, spread_by_bytes
-from colloquy.llm.runtime import batches, open_store, picked, shared_folder, written
+from colloquy.llm.runtime import batches, forget, open_store, picked, shared_folder, written
 
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -114,6 +114,7 @@ def write_archives(
     )
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         archive = _Archive(folder)
         for part in parts:
             found = []
@@ -125,7 +126,7 @@ def write_archives(
             yield from batches(found, schema)
         archive.close()
 
-    return written(picked(pages, row_id=id_col, uri=url_col, html=html_col).mapInArrow(run, INDEX), "warc-index")
+    return written(picked(pages, row_id=id_col, uri=url_col, html=html_col).mapInArrow(run, INDEX), "warc-index", 1000)
 
 
 def resolve_revisits(index: DataFrame, min_bytes: int = 1000) -> DataFrame:
@@ -142,7 +143,8 @@ def resolve_revisits(index: DataFrame, min_bytes: int = 1000) -> DataFrame:
         .agg(F.max(F.struct("row_id", "record_id")).alias("original"))
         .select("digest", F.col("original.record_id").alias("refers_to"))
     )
-    return index.join(originals, "digest", "left").withColumn(
+    # written first: adaptive execution splits a large key only between two plain exchanges
+    return index.join(written(originals, "warc-originals"), "digest", "left").withColumn(
         "refers_to", F.when(F.col("refers_to") != F.col("record_id"), F.col("refers_to"))
     )
 
