@@ -175,7 +175,7 @@ def ranges(part: pd.DataFrame, folder: str, file: str, limit: int | None = None)
 
 HEADERS = ("width", "height", "bit_depth")
 FEATURES = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-KINDS = dict.fromkeys(HEADERS, "int") | dict(zip(FEATURES, ("long", "string", "long", "long", "string", "string")))
+KINDS = dict.fromkeys(HEADERS, "int") | dict(zip(FEATURES, ("long", "binary", "long", "long", "binary", "string")))
 
 
 def _headers(part: pd.DataFrame, folder: str) -> dict[str, list]:
@@ -189,8 +189,8 @@ def _features(part: pd.DataFrame, folder: str) -> dict[str, list]:
         payload = png_payload(media)
         found.append(
             (
-                len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media),
-                hashlib.sha256(media).hexdigest(), feature(payload),
+                len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-16:]), len(media),
+                hashlib.sha256(media).digest(), feature(payload),
             )
         )
     return {name: [f[i] for f in found] for i, name in enumerate(FEATURES)}
@@ -231,4 +231,5 @@ def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc
         F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
         digest_of(payload_of(F.col("text"))).alias("digest"),
     )
-    return rows.join(stored, "digest", "left")
+    joined = rows.join(stored, "digest", "left")
+    return joined.withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")})
