@@ -38,27 +38,37 @@ CROWD = 2000
 CHUNK = 128
 
 BIN = ["episode_id", "level", "bin"]
+PLACED = ["level", "bin"]
 
 
 def _level(start: str, end: str) -> Column:
-    """The finest level whose bins are as wide as the interval."""
+    """The finest level whose bins are at least as wide as the interval."""
     length = F.col(end) - F.col(start)
     return sum(F.when(length > (1 << BIN_BITS + LEVEL_BITS * i), 1).otherwise(0) for i in range(LEVELS))
 
 
-def _with_bins(df: DataFrame, start: str, end: str, levels: DataFrame) -> DataFrame:
+def _levels(probes: DataFrame, turns: DataFrame) -> list[int]:
+    """The levels that intervals of either side have; LEVELS + 1 numbers at most."""
+    both = probes.select(_level("s0", "s1").alias("level")).union(turns.select(_level("t0", "t1").alias("level")))
+    return sorted(r.level for r in both.distinct().collect())
+
+
+def _with_bins(df: DataFrame, start: str, end: str, levels: list[int]) -> DataFrame:
     """Copies of each interval for the bins of its own level and of the coarser ones in use."""
-    own = df.withColumn("own", _level(start, end))
-    placed = join_on(own, levels, ["episode_id"]).withColumn("level", F.explode(F.filter("levels", lambda v: v >= F.col("own"))))
-    first, last = (_position(F.col(start)), _position(F.col(end) - 1))
-    bins = F.array_distinct(F.array(first, last))
-    return placed.withColumn("bin", F.explode(bins)).drop("levels")
+    placed = df.withColumn("own", _level(start, end) if levels != [0] else F.lit(0))
+    if len(levels) > 1:
+        used = F.array(*map(F.lit, levels))
+        placed = placed.withColumn("level", F.explode(F.filter(used, lambda v: v >= F.col("own"))))
+    else:
+        placed = placed.withColumn("level", F.col("own"))
+    first, last = (_position(F.col(start), levels), _position(F.col(end) - 1, levels))
+    return placed.withColumn("bin", F.explode(F.array_distinct(F.array(first, last))))
 
 
-def _position(at: Column) -> Column:
+def _position(at: Column, levels: list[int]) -> Column:
     """The bin of a time on the row's level."""
     wide = F.lit(None).cast("bigint")
-    for i in range(LEVELS, -1, -1):
+    for i in reversed(levels):
         wide = F.when(F.col("level") == i, F.shiftright(at, BIN_BITS + LEVEL_BITS * i)).otherwise(wide)
     return wide
 
@@ -109,36 +119,36 @@ def overlapping(probes: DataFrame, turns: DataFrame, per_speaker: bool) -> DataF
     Rows (episode_id, s0, s1, __spk, __idx, ov): one per overlapping pair, or for
     crowded bins one per interval (its best turn) or per interval and speaker (the
     sum over the speaker's turns). A pair that shares several bins counts only in
-    the one where the later of the two begins. Intervals have positive length.
+    the one where the later of the two begins. Intervals have positive length. Two
+    small jobs find the levels in use and whether a bin is crowded, so that the
+    plan has neither levels nor array branches that the data don't need.
     """
-    levels = (
-        probes.select("episode_id", _level("s0", "s1").alias("level"))
-        .union(turns.select("episode_id", _level("t0", "t1").alias("level")))
-        .groupBy("episode_id")
-        .agg(F.collect_set("level").alias("levels"))  # LEVELS + 1 of them at most
-    )
+    levels = _levels(probes, turns)
     left, right = _with_bins(probes, "s0", "s1", levels), _with_bins(turns, "t0", "t1", levels)
     crowded = right.groupBy(*BIN).count().filter(F.col("count") > CROWD).select(*BIN)
-    many = crowded.withColumn("__crowd", F.lit(True))
-    marked = join_on(right, many, BIN, "left")
     later = F.greatest(F.col("s0"), F.col("t0"))
-    sparse = marked.filter(F.col("__crowd").isNull()).withColumnsRenamed({"own": "__own"})
+    any_crowd = not crowded.isEmpty()
+    marked = join_on(right, crowded.withColumn("__crowd", F.lit(True)), BIN, "left", PLACED) if any_crowd else right
+    sparse = marked.filter(F.col("__crowd").isNull()) if any_crowd else right
+    sparse = sparse.withColumnsRenamed({"own": "__own"})
     pairs = (
-        join_on(left, sparse, BIN)
+        join_on(left, sparse, BIN, never_null=PLACED)
         .filter(
             (F.col("s0") < F.col("t1"))
             & (F.col("t0") < F.col("s1"))
             & (F.greatest("own", "__own") == F.col("level"))
-            & (F.col("bin") == _position(later))
+            & (F.col("bin") == _position(later, levels))
         )
         .select("episode_id", "s0", "s1", "__spk", "__idx", (overlap("s0", "s1", "t0", "t1") * F.col("__copies")).alias("ov"))
     )
+    if not any_crowd:
+        return pairs
     out = T.StructType(
         [turns.schema["episode_id"], T.StructField("s0", T.LongType()), T.StructField("s1", T.LongType()), turns.schema["__spk"]]
         + [T.StructField("__idx", T.LongType()), T.StructField("ov", T.LongType())]
     )
     dense = (
-        join_on(left, crowded, BIN)
+        join_on(left, crowded, BIN, never_null=PLACED)
         .groupBy(*BIN)
         .cogroup(marked.filter("__crowd").drop("__crowd").groupBy(*BIN))
         .applyInPandas(_dense(_in_arrays(turns.schema["__spk"].dataType, per_speaker)), out)
@@ -165,7 +175,7 @@ def _distinct_intervals(df: DataFrame) -> DataFrame:
 
 def _attach(df: DataFrame, best: DataFrame) -> DataFrame:
     keyed = best.withColumnsRenamed({"s0": "start_ms", "s1": "end_ms"})
-    return join_on(df, keyed, ["episode_id", "start_ms", "end_ms"], "left")
+    return join_on(df, keyed, ["episode_id", "start_ms", "end_ms"], "left", ["start_ms", "end_ms"])
 
 
 def assign_speaker(segments: DataFrame, turns: DataFrame, min_overlap_ms: int = 100) -> DataFrame:
