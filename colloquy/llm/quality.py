@@ -230,7 +230,7 @@ def fit(labels: np.ndarray, features: list[tuple[np.ndarray, np.ndarray]], held_
     return Model(w[:-1] * scale, float(w[-1]), slope, offset)
 
 
-def minimised(loss, w: np.ndarray, rounds: int = 60, memory: int = 8) -> np.ndarray:
+def minimised(loss, w: np.ndarray, rounds: int = 60, memory: int = 8, least: float = 1e-7) -> np.ndarray:
     """A smooth convex function's minimum by limited-memory BFGS with step halving."""
     value, slope = loss(w)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
@@ -256,7 +256,7 @@ def minimised(loss, w: np.ndarray, rounds: int = 60, memory: int = 8) -> np.ndar
             break
         if (new_slope - slope) @ (new - w) > 1e-12:
             steps = [*steps, (new - w, new_slope - slope)][-memory:]
-        done = value - new_value < 1e-7
+        done = value - new_value < least
         w, value, slope = new, new_value, new_slope
         if done:
             break
@@ -264,20 +264,23 @@ def minimised(loss, w: np.ndarray, rounds: int = 60, memory: int = 8) -> np.ndar
 
 
 def calibrated(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the log-odds that fit `y` best, by Newton's method on targets kept off 0 and 1."""
+    """Slope and offset of the log-odds that fit `y` best, on targets kept off 0 and 1.
+
+    The kept-off targets give a finite best line even for scores that separate
+    the classes; each step has to lower the loss, so it cannot run away.
+    """
     good = y.sum()
     target = np.where(y > 0, (good + 1) / (good + 2), 1 / (len(y) - good + 2))
-    line = np.array([1.0, 0.0])
-    design = np.stack((score, np.ones(len(score))), 1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ line, -500, 500)))
-        slope = design.T @ (p - target)
-        curve = (design * (p * (1 - p))[:, None]).T @ design + 1e-6 * np.eye(2)
-        step = np.linalg.solve(curve, slope)
-        line = line - np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(line[0]), float(line[1])
+    middle, spread = score.mean(), max(float(score.std()), 1e-9)
+    x = (score - middle) / spread
+
+    def loss(line: np.ndarray) -> tuple[float, np.ndarray]:
+        z = line[0] * x + line[1]
+        off = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - target
+        return float(np.mean(np.logaddexp(0, z) - target * z)), np.array([np.mean(off * x), np.mean(off)])
+
+    slope, offset = minimised(loss, np.array([1.0, 0.0]), rounds=200, least=1e-12)
+    return float(slope / spread), float(offset - slope * middle / spread)
 
 
 def labelled_sample(
@@ -321,6 +324,8 @@ def train(
 ) -> Model | None:
     """The model for `docs` from a bounded sample of labelled rows; None without rows of both classes.
 
+    Texts that a base rule fails by its defaults are no part of the fit, since
+    the model never decides on them.
     `max_rows` and `max_chars` bound the sample, which one task fits on; only the
     weights come to the driver.
     """
@@ -330,8 +335,11 @@ def train(
         forget()
         answers, features = [], []
         for part in parts:
-            answers += part.column(0).to_pylist()
-            features += [shares(t.as_py()) for t in part.column(1)]
+            texts = part.column(1).to_pylist()
+            for label, text, (n, repeats, _) in zip(part.column(0).to_pylist(), texts, judged(texts, None)):
+                if not base_failed(n, repeats):
+                    answers.append(label)
+                    features.append(shares(text))
         model = fit(np.array(answers), features)
         if model:
             yield pa.RecordBatch.from_pydict(
@@ -345,6 +353,10 @@ def train(
     return found and Model(np.frombuffer(found.weights, "<f4"), found.bias, found.slope, found.offset)
 
 
+def base_failed(words: int, repeats: int, min_words: int = 10, max_repeat_percent: int = 20) -> bool:
+    return words < min_words or 100 * repeats > max_repeat_percent * words
+
+
 NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 VERDICT = pa.struct(
     [(n, pa.int64()) for n in NUMBERS] + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("probability", pa.float64())]
@@ -371,7 +383,7 @@ def verdict(
             texts = [t or "" for t in part.slice(at, 1024).to_pylist()]
             for t, (n, repeats, score) in zip(texts, judged(texts, model)):
                 lines = [line for line in t.split("\n") if line.strip(SPACES)]
-                failed = n < min_words or 100 * repeats > max_repeat_percent * n
+                failed = base_failed(n, repeats, min_words, max_repeat_percent)
                 p = None if score is None else float(model.probability(np.float64(score)))
                 rows.append(
                     (

@@ -102,3 +102,18 @@ def test_fit_separates_and_calibrates():
     good = np.array(["$" not in t and "!" not in t and "*" not in t for t in texts[400:]])
     assert ((p >= 0.5) == good).mean() >= 0.95
     assert abs(p.mean() - np.mean(labels[400:])) < 0.1
+
+
+def test_calibration_of_scores_that_separate_the_classes():
+    rng = np.random.default_rng(1)
+    for gap in (0.1, 1.0, 8.0, 100.0):
+        y = (rng.random(900) < 0.88).astype(float)
+        score = np.where(y > 0, gap, -gap) + rng.normal(0, gap / 20, 900) + 3
+        slope, offset = quality.calibrated(score, y)
+        p = 1 / (1 + np.exp(-(slope * score + offset)))
+        assert slope > 0 and ((p >= 0.5) == (y == 1)).all()
+        assert p[y == 1].min() > 0.9 and p[y == 0].max() < 0.1
+    score = rng.normal(0, 1, 5000)
+    y = (rng.random(5000) < 1 / (1 + np.exp(-(1.5 * score - 0.5)))).astype(float)
+    slope, offset = quality.calibrated(score, y)
+    assert abs(slope - 1.5) < 0.2 and abs(offset + 0.5) < 0.2
