@@ -6,9 +6,10 @@ Two plans cover the need:
   time bins, so the join key is (episode, bin) and a pair is formed only when
   the two really overlap; a hot episode spreads over its bins. Equal intervals
   are merged before the join, so copies add no pairs. Bins have widths by levels,
-  and an interval lies in two bins of a level at most, however long it is. A bin
-  that very many turns share forms no pairs: its intervals are compared in arrays,
-  and only the result per interval leaves the task.
+  and an interval lies in two bins of a level at most, however long it is, and goes to
+  a coarser level only where it meets an interval of that level. A bin that very
+  many turns share forms no pairs: chunks of its intervals and turns are compared
+  in arrays, and only the results per interval leave the tasks.
 * a total overlap per group needs no pairs at all. With C(t) the covered time
   of all regions up to t, a segment's overlap is C(end) - C(start), and C comes
   from running sums over the region edges.
@@ -34,11 +35,14 @@ LEVEL_BITS = 4
 LEVELS = 12
 # Turns of one bin from which they are compared in arrays instead of a join.
 CROWD = 2000
-# Intervals compared with all turns of a crowded bin at a time.
+# Intervals, and turns, of a crowded bin that one group of a task holds, about.
+MEET = 4096
+# Intervals compared with all turns of such a group at a time.
 CHUNK = 128
 
-BIN = ["episode_id", "level", "bin"]
-PLACED = ["level", "bin"]
+BIN = ["episode_id", "level", "finer", "bin"]
+PLACED = ["level", "finer", "bin"]
+CELL = [*BIN, "of_probes", "of_turns"]
 
 
 def _level(start: str, end: str) -> Column:
@@ -47,22 +51,55 @@ def _level(start: str, end: str) -> Column:
     return sum(F.when(length > (1 << BIN_BITS + LEVEL_BITS * i), 1).otherwise(0) for i in range(LEVELS))
 
 
-def _levels(probes: DataFrame, turns: DataFrame) -> list[int]:
-    """The levels that intervals of either side have; LEVELS + 1 numbers at most."""
-    both = probes.select(_level("s0", "s1").alias("level")).union(turns.select(_level("t0", "t1").alias("level")))
-    return sorted(r.level for r in both.distinct().collect())
+def _levels(probes: DataFrame, turns: DataFrame) -> tuple[list[int], list[int]]:
+    """The levels that the probes and the turns have; LEVELS + 1 numbers each at most."""
+    sides = (probes, "s0", "s1"), (turns, "t0", "t1")
+    own = [df.select(F.lit(i).alias("side"), _level(start, end).alias("level")) for i, (df, start, end) in enumerate(sides)]
+    found = own[0].union(own[1]).distinct().collect()
+    return tuple(sorted(r.level for r in found if r.side == i) for i in (0, 1))
 
 
 def _with_bins(df: DataFrame, start: str, end: str, levels: list[int]) -> DataFrame:
-    """Copies of each interval for the bins of its own level and of the coarser ones in use."""
-    placed = df.withColumn("own", _level(start, end) if levels != [0] else F.lit(0))
-    if len(levels) > 1:
-        used = F.array(*map(F.lit, levels))
-        placed = placed.withColumn("level", F.explode(F.filter(used, lambda v: v >= F.col("own"))))
-    else:
-        placed = placed.withColumn("level", F.col("own"))
+    """Copies of each interval for the one or two bins of the row's level that hold its ends."""
     first, last = (_position(F.col(start), levels), _position(F.col(end) - 1, levels))
-    return placed.withColumn("bin", F.explode(F.array_distinct(F.array(first, last))))
+    return df.withColumn("bin", F.explode(F.array_distinct(F.array(first, last))))
+
+
+def _placed(probes: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Both sides with their bins, and the levels in use.
+
+    A pair meets on the coarser of its two levels. The rows of one bin with
+    `finer` are the probes of finer levels and the turns of the bin's own; those
+    without are the probes of its own level and the turns of its own or finer
+    ones, so that no two rows meet in more than one level. An interval is copied
+    to a coarser level only into bins where the other side has an interval of
+    that own level.
+    """
+    mine, theirs = _levels(probes, turns)
+    levels = sorted({*mine, *theirs})
+
+    def own(df: DataFrame, start: str, end: str) -> DataFrame:
+        return _with_bins(df.withColumn("level", _level(start, end) if levels != [0] else F.lit(0)), start, end, levels)
+
+    def copies(df: DataFrame, start: str, end: str, coarser: list[int], other: DataFrame) -> DataFrame:
+        above = F.filter(F.array(*map(F.lit, coarser)), lambda v: v > _level(start, end))
+        raised = _with_bins(df.withColumn("level", F.explode(above)), start, end, levels)
+        asked = other.filter(F.col("level").isin(coarser)).select("episode_id", "level", "bin").distinct()
+        return join_on(raised, asked, ["episode_id", "level", "bin"], "left_semi", ["level", "bin"])
+
+    left, right = own(probes, "s0", "s1"), own(turns, "t0", "t1")
+    raise_probes = [i for i in theirs if mine and i > mine[0]]
+    raise_turns = [i for i in mine if theirs and i > theirs[0]]
+    all_left, all_right = (df.withColumn("finer", F.lit(False)) for df in (left, right))
+    if raise_probes:
+        finer = copies(probes, "s0", "s1", raise_probes, right)
+        all_left = all_left.unionByName(finer.withColumn("finer", F.lit(True)))
+        both = F.when(F.col("level").isin(raise_probes), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+        all_right = right.withColumn("finer", F.explode(both))
+    if raise_turns:
+        finer = copies(turns, "t0", "t1", raise_turns, left)
+        all_right = all_right.unionByName(finer.withColumn("finer", F.lit(False)))
+    return all_left, all_right, levels
 
 
 def _position(at: Column, levels: list[int]) -> Column:
@@ -74,7 +111,7 @@ def _position(at: Column, levels: list[int]) -> Column:
 
 
 def _in_arrays(kind: T.DataType, per_speaker: bool):
-    """Compare a bin's intervals with its turns; rows (s0, s1, speaker, smallest index, overlap)."""
+    """Compare chunks of a bin's intervals and turns; rows (s0, s1, speaker, smallest index, overlap)."""
     columns = ["episode_id", "s0", "s1", "__spk", "__idx", "ov"]
 
     def compare(probes: pd.DataFrame, turns: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -83,16 +120,16 @@ def _in_arrays(kind: T.DataType, per_speaker: bool):
         name = turns["__spk"]
         code = pd.factorize(name, use_na_sentinel=False)[0] if per_speaker else np.zeros(len(turns), np.int64)
         order = np.lexsort((turns["__idx"].to_numpy(), code))
-        t0, t1, idx, n, own = (turns[c].to_numpy()[order] for c in ("t0", "t1", "__idx", "__copies", "own"))
+        t0, t1, idx, n = (turns[c].to_numpy()[order] for c in ("t0", "t1", "__idx", "__copies"))
         name, code = name.iloc[order].reset_index(drop=True), code[order]
         heads = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
         for k in range(0, len(probes), CHUNK):
             part = probes.iloc[k : k + CHUNK]
-            s0, s1, mine = (part[c].to_numpy()[:, None] for c in ("s0", "s1", "own"))
+            s0, s1 = (part[c].to_numpy()[:, None] for c in ("s0", "s1"))
             later = np.maximum(s0, t0)
             ov = np.minimum(s1, t1) - later
-            # each pair belongs to one level and there to the bin where the later of the two begins
-            ov[(later >> shift != at) | (np.maximum(mine, own) != level) | (ov < 0)] = 0
+            # each pair belongs to the bin where the later of the two begins
+            ov[(later >> shift != at) | (ov < 0)] = 0
             if per_speaker:
                 total = np.add.reduceat(ov * n, heads, axis=1)
                 first = np.minimum.reduceat(np.where(ov > 0, idx, np.iinfo(np.int64).max), heads, axis=1)
@@ -118,27 +155,23 @@ def overlapping(probes: DataFrame, turns: DataFrame, per_speaker: bool) -> DataF
 
     Rows (episode_id, s0, s1, __spk, __idx, ov): one per overlapping pair, or for
     crowded bins one per interval (its best turn) or per interval and speaker (the
-    sum over the speaker's turns). A pair that shares several bins counts only in
-    the one where the later of the two begins. Intervals have positive length. Two
-    small jobs find the levels in use and whether a bin is crowded, so that the
-    plan has neither levels nor array branches that the data don't need.
+    sum over the speaker's turns) and chunk of turns. A pair that shares several
+    bins counts only in the one where the later of the two begins. Intervals have
+    positive length. Two small jobs find the levels in use and whether a bin is
+    crowded, so that the plan has neither levels nor array branches that the data
+    don't need. The intervals and the turns of a crowded bin are cut into chunks
+    that meet pairwise, each pair of chunks in a group of its own.
     """
-    levels = _levels(probes, turns)
-    left, right = _with_bins(probes, "s0", "s1", levels), _with_bins(turns, "t0", "t1", levels)
-    crowded = right.groupBy(*BIN).count().filter(F.col("count") > CROWD).select(*BIN)
+    left, right, levels = _placed(probes, turns)
+    crowded = right.groupBy(*BIN).agg(F.count("*").alias("n_turns")).filter(F.col("n_turns") > CROWD)
     later = F.greatest(F.col("s0"), F.col("t0"))
     any_crowd = not crowded.isEmpty()
-    marked = join_on(right, crowded.withColumn("__crowd", F.lit(True)), BIN, "left", PLACED) if any_crowd else right
+    flag = crowded.select(*BIN, F.lit(True).alias("__crowd"))
+    marked = join_on(right, flag, BIN, "left", PLACED) if any_crowd else right
     sparse = marked.filter(F.col("__crowd").isNull()) if any_crowd else right
-    sparse = sparse.withColumnsRenamed({"own": "__own"})
     pairs = (
         join_on(left, sparse, BIN, never_null=PLACED)
-        .filter(
-            (F.col("s0") < F.col("t1"))
-            & (F.col("t0") < F.col("s1"))
-            & (F.greatest("own", "__own") == F.col("level"))
-            & (F.col("bin") == _position(later, levels))
-        )
+        .filter((F.col("s0") < F.col("t1")) & (F.col("t0") < F.col("s1")) & (F.col("bin") == _position(later, levels)))
         .select("episode_id", "s0", "s1", "__spk", "__idx", (overlap("s0", "s1", "t0", "t1") * F.col("__copies")).alias("ov"))
     )
     if not any_crowd:
@@ -147,15 +180,26 @@ def overlapping(probes: DataFrame, turns: DataFrame, per_speaker: bool) -> DataF
         [turns.schema["episode_id"], T.StructField("s0", T.LongType()), T.StructField("s1", T.LongType()), turns.schema["__spk"]]
         + [T.StructField("__idx", T.LongType()), T.StructField("ov", T.LongType())]
     )
+    met = join_on(left, crowded, BIN, never_null=PLACED).groupBy(*BIN).agg(
+        F.count("*").alias("n_probes"), F.first("n_turns").alias("n_turns")
+    )
+    met = met.select(*BIN, *(F.ceil(F.col(f"n_{c}") / MEET).cast("int").alias(f"n_{c}") for c in ("probes", "turns")))
     dense = (
-        join_on(left, crowded, BIN, never_null=PLACED)
-        .groupBy(*BIN)
-        .cogroup(marked.filter("__crowd").drop("__crowd").groupBy(*BIN))
+        _dealt(left, met, ["s0", "s1"], "probes", "turns")
+        .groupBy(*CELL)
+        .cogroup(_dealt(right, met, ["t0", "t1", "__spk"], "turns", "probes").groupBy(*CELL))
         .applyInPandas(_dense(_in_arrays(turns.schema["__spk"].dataType, per_speaker)), out)
     )
     return pairs.unionByName(dense)
 
 
+def _dealt(df: DataFrame, met: DataFrame, by: list[str], side: str, other: str) -> DataFrame:
+    """Rows of crowded bins with the number of their chunk, once for each chunk of the other side."""
+    chunk = F.pmod(F.xxhash64(*by), F.col(f"n_{side}")).cast("int")
+    dealt = join_on(df, met, BIN, never_null=PLACED).withColumn(f"of_{side}", chunk)
+    return dealt.withColumn(f"of_{other}", F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1))).drop("n_probes", "n_turns")
+
+
 def _dense(compare):
     def run(probes: pd.DataFrame, turns: pd.DataFrame) -> pd.DataFrame:
         if probes.empty or turns.empty:

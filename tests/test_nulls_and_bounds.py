@@ -137,6 +137,69 @@ def test_a_turn_without_a_sane_end_is_one_interval(spark):
     assert [(r.assigned, r.overlap_ms) for r in got] == [("A", 1000), ("A", 500)]
 
 
+def _both_joins(spark, left, right):
+    words = left.withColumnRenamed("seg_idx", "word_idx")
+    best = {r.seg_idx: (r.overlap_ms, r.assigned) for r in intervals.assign_speaker(left, right, 0).collect()}
+    return best, {r.word_idx: (r.overlap_ms, r.assigned) for r in intervals.assign_word_speakers(words, right).collect()}
+
+
+def _want(probes, turns):
+    found = ({p[1]: of(p, turns) for p in probes} for of in (_best_turn, _best_speaker))
+    return tuple({k: (ov, spk or "Unknown") for k, (ov, spk) in f.items()} for f in found)
+
+
+def test_groups_of_a_crowded_bin_are_bounded(spark, monkeypatch):
+    """Chunks of its intervals and turns meet pairwise; none holds all."""
+    compare = intervals._in_arrays
+
+    def bounded(*args):
+        run = compare(*args)
+
+        def checked(probes, turns):
+            assert max(len(probes), len(turns)) < 150, "a group holds a whole bin"
+            return run(probes, turns)
+
+        return checked
+
+    monkeypatch.setattr(intervals, "CROWD", 50)
+    monkeypatch.setattr(intervals, "MEET", 60, raising=False)
+    monkeypatch.setattr(intervals, "_in_arrays", bounded)
+    probes, left = _intervals(spark, 5, 500, "seg_idx", 50_000)
+    turns, right = _intervals(spark, 6, 400, "turn_idx", 50_000)
+    assert _both_joins(spark, left, right) == _want(probes, turns)
+
+
+@pytest.mark.parametrize("side", ["turn", "segment"])
+def test_one_long_interval_crowds_no_bin(spark, monkeypatch, side):
+    """It takes nobody but those of its own episode to its level, and only on the other side."""
+    monkeypatch.setattr(intervals, "CROWD", 100)
+    monkeypatch.setattr(intervals, "_in_arrays", lambda *_: pytest.fail("a bin is crowded"))
+    probes, _ = _intervals(spark, 7, 300, "seg_idx", 20_000_000)
+    turns, _ = _intervals(spark, 8, 300, "turn_idx", 20_000_000)
+    # episode 2 has a segment and a turn, one of them without a sane end
+    probes.append((2, 300, "S0", 5, 10**15 if side == "segment" else 900))
+    turns.append((2, 300, "S1", 7, 10**15 if side == "turn" else 800))
+    if side == "turn":
+        turns.append((1, 301, "S2", 3, 10**15))
+    left = spark.createDataFrame(probes, SCHEMA.replace("idx", "seg_idx", 1))
+    right = spark.createDataFrame(turns, SCHEMA.replace("idx", "turn_idx", 1))
+    assert _both_joins(spark, left, right) == _want(probes, turns)
+
+
+@pytest.mark.parametrize("crowd", [2000, 5])
+def test_joins_of_many_levels_on_both_sides(spark, monkeypatch, crowd):
+    monkeypatch.setattr(intervals, "CROWD", crowd)
+    monkeypatch.setattr(intervals, "MEET", 7, raising=False)
+    rng = np.random.default_rng(9)
+    rows = []
+    for n, offset in ((130, 0), (110, 1)):
+        start = rng.integers(-(10**7), 10**8, n)
+        end = start + 2 ** rng.integers(4 + offset, 40, n)
+        rows.append([(1 if i % 5 else None, i, f"S{rng.integers(4)}", int(a), int(b)) for i, (a, b) in enumerate(zip(start, end))])
+    left, right = (spark.createDataFrame(r, SCHEMA.replace("idx", x, 1)) for r, x in zip(rows, ("seg_idx", "turn_idx")))
+    assert _both_joins(spark, left, right) == _want(*rows)
+
+
 # Two for each input; the last four read their input once more for totals.
 SCANS = {
     "ag04_summarize_median": 2, "seq03_chunk_words": 2, "rl01_classify_segments_v5": 2, "rl11_labeled_transcript": 2,
