@@ -53,13 +53,13 @@ def tokens_of(url: Column) -> Column:
 
 
 def mine_rules(
-    labelled: DataFrame, min_count: int = 10, min_share: float = 0.0005, min_confidence: float = 0.6, max_items: int = 3
+    labelled: DataFrame, min_count: int = 10, min_share: float = 0.0005, min_confidence: float = 0.6, max_items: int | None = None
 ) -> DataFrame:
     """Rules (`items`, `anchor`, `count`, `confidence`) from rows (`tokens`, `blocked`).
 
-    Kept are combinations of `max_items` tokens or fewer that at least `min_count`
-    blocked rows and a share of `min_share` of all rows have, and of whose rows
-    `min_confidence` or more are blocked. `anchor` is the rarest token.
+    Kept are combinations of tokens, of `max_items` or fewer if given, that at least
+    `min_count` blocked rows and a share of `min_share` of all rows have, and of whose
+    rows `min_confidence` or more are blocked. `anchor` is the rarest token.
     """
     spark = labelled.sparkSession
     n = labelled.count()
@@ -77,7 +77,7 @@ def mine_rules(
         F.array_remove("items", BLOCKED).alias("items"), F.col("freq").alias("count")
     )
     rules = (
-        bad.where(F.size("items") <= max_items)
+        (bad if max_items is None else bad.where(F.size("items") <= max_items))
         .join(sets, "items")
         .withColumn("confidence", F.col("count") / F.col("freq"))
         .where(F.col("confidence") >= min_confidence)

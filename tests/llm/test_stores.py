@@ -166,6 +166,24 @@ def test_mined_rules_equal_counting(spark):
     assert all(r.anchor == min(r["items"], key=lambda t: (single[t], t)) for r in got)
 
 
+def test_rules_of_any_length(spark):
+    """Four tokens together block; each three of them do not."""
+    from itertools import combinations
+
+    four = ["h:bad", "h:info", "p:x", "q:spam"]
+    rows = [(four, True)] * 12 + [(list(three), False) for three in combinations(four, 3)] * 12
+    rules = urlrules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"))
+    want = {}
+    for size in range(1, 5):
+        for items in combinations(four, size):
+            having = [b for t, b in rows if set(items) <= set(t)]
+            if sum(having) >= 10 and sum(having) / len(having) >= 0.6:
+                want[items] = (sum(having), sum(having) / len(having))
+    assert {tuple(r["items"]): (r["count"], r.confidence) for r in rules.collect()} == want == {tuple(four): (12, 1.0)}
+    pages = spark.createDataFrame([(1, "http://bad.info/x?spam=1"), (2, "http://bad.info/x")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urlrules.judge_urls(pages, rules, []).collect()} == {1: "block", 2: "allow"}
+
+
 def test_no_labels_no_rules(spark, sf):
     none = spark.createDataFrame([], "tokens array<string>, blocked boolean")
     rules = urlrules.mine_rules(none)
