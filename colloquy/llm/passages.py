@@ -43,6 +43,8 @@ ANCHOR = 50
 BUFFER = 1 << 20
 BATCH = 8 << 20
 BUCKETS_PER_TASK = 4
+# Bytes of text whose claims one task takes in, about; more text makes more tasks.
+TASK_BYTES = 64 << 20
 LAST = np.iinfo(np.int64).max
 
 _U = np.uint64
@@ -476,10 +478,12 @@ def remove_repeats(
     source = picked(docs, doc_id=id_col, text=text_col, **{f"in_{c}": c for c in kept})
     copy = scratch_path(spark, "passage-texts")
     source.write.option("compression", "zstd").parquet(copy)
-    found = spark.read.schema(source.schema).parquet(copy).select(F.input_file_name().alias("file")).distinct()
-    files = written(found.select(F.xxhash64("file").alias("part"), "file"), "passage-parts")
+    found = spark.read.schema(source.schema).parquet(copy).groupBy(F.input_file_name().alias("file"))
+    found = found.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n_bytes"))
+    files = written(found.select(F.xxhash64("file").alias("part"), "file", "n_bytes"), "passage-parts")
     n_parts = max(1, files.count())
-    buckets = BUCKETS_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = files.agg(F.sum("n_bytes")).first()[0] or 0
+    buckets = BUCKETS_PER_TASK * max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
     nothing = spark.createDataFrame([], PARCEL_DDL)
 
     def index_part(part: int, file: str, _: list) -> Iterator[tuple]:

@@ -181,6 +181,17 @@ def test_passages_in_batches_and_slices(spark, monkeypatch):
         assert "�" not in r.text and set(r.text) <= set("abcdeé #")
 
 
+def test_more_text_makes_more_scan_tasks(spark, docs, texts, monkeypatch):
+    scan, asked = passages.family_scan, []
+    monkeypatch.setattr(passages, "TASK_BYTES", 20_000, raising=False)
+    monkeypatch.setattr(passages, "family_scan", lambda parcels, buckets, partial: asked.append(buckets) or scan(parcels, buckets, partial))
+    keys = sorted(texts)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in passages.remove_repeats(docs).collect()}
+    assert got == dict(zip(keys, plain_cut([texts[k].encode() for k in keys])))
+    total = sum(len(t.encode()) for t in texts.values())
+    assert len(asked) == 2 and all(n // passages.BUCKETS_PER_TASK >= total / 20_000 > 4 for n in asked)
+
+
 def test_family_levels_grow_geometrically():
     rng = np.random.default_rng(1)
     family, seen, repeated = passages.IndexFamily(), {}, 0
