@@ -8,7 +8,9 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, media, mixing, passages, quality, simhash, tokencounts, tokenfiles, urlrules, warc
+from colloquy.llm import (
+    bpe, media, mixing, ngramjoin, passages, quality, resampling, simhash, tokencounts, tokenfiles, urlrules, vectorcodes, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -193,3 +195,91 @@ def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash")
 def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op11_importance_resampling")
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def _round_sql(books: str) -> str:
+    """Each part's nearest entry of the codebook table `books`."""
+    return f"""
+      SELECT row_no, p, min(distance) AS distance, arg_min(e, distance * 64 + e) AS e FROM (
+        SELECT v.row_no, v.p, b.e, list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - b.x[i]) * (v.x[i] - b.x[i])))::BIGINT AS distance
+        FROM v JOIN {books} b ON v.p = b.p) GROUP BY row_no, p"""
+
+
+def _moved_sql(books: str, assigned: str) -> str:
+    """The codebook after a round: floored means of the parts assigned to each entry."""
+    return f"""
+      SELECT b.p, b.e, CASE WHEN n.x IS NULL THEN b.x ELSE n.x END AS x FROM {books} b LEFT JOIN (
+        SELECT p, e, list(x ORDER BY i) AS x FROM (
+          SELECT p, e, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS x FROM (
+            SELECT p, e, i, sum(c)::BIGINT AS s, count(*) AS n
+            FROM (SELECT a.p, a.e, unnest(v.x) AS c, unnest(range(len(v.x))) AS i FROM {assigned} a JOIN v ON a.row_no = v.row_no AND a.p = v.p)
+            GROUP BY p, e, i)) GROUP BY p, e) n ON b.p = n.p AND b.e = n.e"""
+
+
+@query(
+    "op12_vector_codes",
+    f"""
+    WITH f AS (
+      SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row_no, vec_id, label,
+        list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS w
+      FROM embeddings
+      WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+    ), v AS (
+      SELECT row_no, p, w[p * (len(w) // 16) + 1 : (p + 1) * (len(w) // 16)] AS x FROM f, range(16) r(p)
+    ), b0 AS (
+      SELECT p, row_no - 1 AS e, x FROM v WHERE row_no <= 64
+    ), a0 AS MATERIALIZED ({_round_sql("b0")}
+    ), b1 AS MATERIALIZED ({_moved_sql("b0", "a0")}
+    ), a1 AS MATERIALIZED ({_round_sql("b1")}
+    ), b2 AS MATERIALIZED ({_moved_sql("b1", "a1")}
+    ), a2 AS MATERIALIZED ({_round_sql("b2")}
+    ), c AS (
+      SELECT f.vec_id, f.label, a.code, a.error FROM f JOIN (
+        SELECT row_no, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, sum(distance)::BIGINT AS error FROM a2 GROUP BY row_no
+      ) a USING (row_no)
+    )
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+      (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256
+    FROM c
+    """,
+)
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compressed(table(spark, sf_dir, "embeddings")).select(
+        "vec_id", "code", "error", "label_error", "codebooks_sha256"
+    )
+
+
+@query(
+    "op13_ngram_join",
+    r"""
+    WITH RECURSIVE d AS (
+      SELECT row_number() OVER () AS row_no, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+      FROM documents
+    ), g AS (
+      SELECT row_no, doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s
+      FROM d
+    ), e AS (
+      SELECT row_no, len(s) AS n, unnest(s) AS x FROM g
+    ), p AS (
+      SELECT a.row_no AS a, b.row_no AS b FROM e a JOIN e b ON a.x = b.x AND a.row_no < b.row_no
+      GROUP BY a.row_no, b.row_no, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+    ), l AS (
+      SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+    ), t AS (
+      SELECT row_no, row_no AS other FROM g UNION SELECT l.b, t.other FROM t JOIN l ON t.row_no = l.a
+    ), c AS (
+      SELECT t.row_no, min(o.doc_id) AS component_id FROM t JOIN g o ON t.other = o.row_no GROUP BY t.row_no
+    )
+    SELECT doc_id, len(s) AS n_shingles, component_id FROM g JOIN c USING (row_no)
+    """,
+)
+def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.similar_documents(table(spark, sf_dir, "documents"))
