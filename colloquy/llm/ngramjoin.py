@@ -12,9 +12,10 @@ intersected before anything is verified:
   frequent shingles: those that one set alone has come first and the most common
   ones last. Candidates share a prefix member under each of the three.
 
-Equal sets are one. Sets that share a prefix member are not paired with each
-other: each is verified against one of them, the hub, and only sets that are not
-connected after some such rounds are paired, component against component.
+Equal sets are one. No pairs leave a task: sets that share a prefix member meet
+in the group of that member's hub, the least of the sets that have it in their
+prefix, and a group hands back links that connect what it found linked. Large
+groups are cut into chunks that meet pairwise.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.components import connected
@@ -44,8 +45,8 @@ PER_BATCH = 1_000_000
 SEVERAL = 0xFFFF
 # Sets of a batch whose smallest hashes are sent together.
 MOST_SETS = 10_000
-# Hub rounds end when so many pairs an entry are left, or when they no longer help.
-PAIRS_AN_ENTRY = 4
+# Shingles of a group's chunk, about.
+PER_CHUNK = 1_000_000
 
 _U = np.uint64
 _ODD = [_U(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -268,7 +269,7 @@ def chosen_sets(docs: DataFrame, sets: DataFrame, keys: DataFrame, size: int, id
 
 
 def signatures(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """`key`, `n` and the prefixes `p0`, `p1`, `p2` of each set under three orders by frequency.
+    """`key`, `n`, `tokens` and the prefixes `p0`, `p1`, `p2` of each set under three orders by frequency.
 
     Members that no other set has fill a prefix first and are left out, and so
     are sets of which nothing else is left. A batch sends a shingle once with its
@@ -334,10 +335,10 @@ def signatures(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
                     continue
                 rough = np.log2(often).astype(np.int64)
                 orders = [np.lexsort((members, often))] + [np.lexsort((_mixed(members, salt), rough)) for salt in (1, 2)]
-                made.append((key, n, *(_signed(members[o[:left]]) for o in orders)))
+                made.append((key, n, found.tobytes(), *(_signed(members[o[:left]]) for o in orders)))
             if made:
                 columns = [pa.array(c) for c in zip(*made)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "p0", "p1", "p2"])
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "tokens", "p0", "p1", "p2"])
 
     sent = sets.select("batch", "tokens").mapInArrow(deal, "bucket int, batch long, tokens binary, counts binary")
     back = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
@@ -345,90 +346,122 @@ def signatures(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     rows = sets.select("batch", "key", "n", "tokens", F.lit(None).cast("binary").alias("counts")).unionByName(back)
     return rows.repartition("batch").sortWithinPartitions("batch").mapInArrow(
-        sign, "key long, n long, p0 array<long>, p1 array<long>, p2 array<long>"
+        sign, "key long, n long, tokens binary, p0 array<long>, p1 array<long>, p2 array<long>"
     )
 
 
-def _similar_sizes(percent: int) -> Column:
-    return percent * F.greatest("a_n", "b_n") <= 100 * F.least("a_n", "b_n")
-
-
-def hub_pairs(posts: DataFrame, percent: int, salt: int) -> DataFrame:
-    """Pairs (a, b) of each set with one set of every shingle that it has a prefix with, if their labels differ."""
-    choice = F.struct(F.xxhash64("key", F.lit(salt)), "key", "n", "label")
-    hubs = written(posts.groupBy("t").agg(F.min(choice).alias("hub")).select("t", "hub.key", "hub.n", "hub.label"), "hubs")
-    met = posts.toDF("t", "a", "a_n", "a_label").join(hubs.toDF("t", "b", "b_n", "b_label"), "t")
-    return _ordered(met.where("a_label <> b_label").where(_similar_sizes(percent)))
-
-
-def all_pairs(posts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets that share a prefix shingle and whose labels differ."""
-    met = posts.toDF("t", "a", "a_n", "a_label").join(posts.toDF("t", "b", "b_n", "b_label"), "t")
-    return _ordered(met.where("a < b and a_label <> b_label").where(_similar_sizes(percent)))
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def verified(pairs: DataFrame, signs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs that share a member of every prefix and are similar enough."""
-    near = pairs
-    for side in ("a", "b"):
-        near = near.join(signs.select(F.col("key").alias(side), *(F.col(f"p{i}").alias(f"{side}{i}") for i in (1, 2))), side)
-    near = near.where(F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2")).select("a", "b")
-    near = written(near, "near")
-    for side in ("a", "b"):
-        near = near.join(sets.select(F.col("key").alias(side), F.col("tokens").alias(f"{side}_set")), side)
+def groups(signs: DataFrame) -> DataFrame:
+    """`group`, `side`, `key`: each set in the groups of its prefix members' hubs, once for each pair of chunks."""
+    posts = signs.select(F.explode("p0").alias("t"), "key", "n")
+    choice = F.struct(F.xxhash64("key").alias("place"), "key")
+    hubs = posts.groupBy("t").agg(F.min(choice).alias("hub"), F.count("*").alias("c")).where("c > 1")
+    hubs = written(hubs.select("t", F.col("hub.key").alias("hub")), "hubs")
+    members = written(posts.join(hubs, "t").select("hub", "key", "n").distinct(), "members")
+    sizes = members.groupBy("hub").agg(F.ceil(F.sum("n") / PER_CHUNK).cast("int").alias("chunks"))
+    sizes = written(sizes, "sizes")
+    met = members.join(sizes, "hub").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    number = F.xxhash64("hub", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    side = F.when(F.col("chunk") == F.col("other"), 0).when(F.col("chunk") < F.col("other"), 1).otherwise(2)
+    return met.select(number.alias("group"), side.alias("side"), "key")
+
+
+class _Flat:
+    """Lists of numbers laid end to end, to ask which of them have members in common with one."""
+
+    def __init__(self, lists: list[np.ndarray], values: np.ndarray):
+        self.edges = np.cumsum([0] + [len(x) for x in lists])
+        self.flat = np.searchsorted(values, np.concatenate(lists))
+        self.mark = np.zeros(len(values), bool)
+
+    def common(self, i: int, lo: int, hi: int) -> np.ndarray:
+        """How many members list `i` shares with each of the lists from `lo` up to `hi`."""
+        mine = self.flat[self.edges[i] : self.edges[i + 1]]
+        self.mark[mine] = True
+        found = np.add.reduceat(self.mark[self.flat[self.edges[lo] : self.edges[hi]]], self.edges[lo:hi] - self.edges[lo], dtype=np.int64)
+        self.mark[mine] = False
+        return found
+
+    def common_with(self, i: int, others: np.ndarray) -> np.ndarray:
+        if not len(others):
+            return others
+        mine = self.flat[self.edges[i] : self.edges[i + 1]]
+        self.mark[mine] = True
+        found = np.array([np.count_nonzero(self.mark[self.flat[self.edges[j] : self.edges[j + 1]]]) for j in others.tolist()])
+        self.mark[mine] = False
+        return found
+
+
+def group_links(
+    keys: np.ndarray, sides: np.ndarray, tokens: list[np.ndarray], prefixes: list[list[np.ndarray]], percent: int = PERCENT
+) -> tuple[list[int], list[int]]:
+    """Links that connect the linked sets of a group; only between the sides 1 and 2 where there are sides.
+
+    Candidates of a set have a similar size, are not yet connected to it and
+    share a member of every prefix; the others' members are not looked at.
+    """
+    order = np.argsort([len(t) for t in tokens], kind="stable")
+    keys, sides, tokens = keys[order], sides[order], [tokens[i] for i in order]
+    n = np.array([len(t) for t in tokens])
+    values = np.unique(np.concatenate(tokens))
+    whole = _Flat(tokens, values)
+    filters = [_Flat([p[i] for i in order], values) for p in prefixes]
+    until = np.searchsorted(percent * n, 100 * n, side="right")
+    label = np.arange(len(keys))
+    a: list[int] = []
+    b: list[int] = []
+    for i in range(len(keys)):
+        lo, hi = i + 1, int(until[i])
+        if lo >= hi:
+            continue
+        open_ = label[lo:hi] != label[i]
+        if sides[i]:
+            open_ &= sides[lo:hi] != sides[i]
+        for f in filters:
+            if not open_.any():
+                break
+            open_ &= f.common(i, lo, hi) > 0
+        near = lo + np.flatnonzero(open_)
+        common = whole.common_with(i, near)
+        linked = near[100 * common >= percent * (n[i] + n[near] - common)]
+        # one link to each component that it meets
+        found, first = np.unique(label[linked], return_index=True)
+        a += [int(keys[i])] * len(found)
+        b += keys[linked[first]].tolist()
+        if len(found):
+            label[np.isin(label, np.append(found, label[i]))] = min(int(found[0]), int(label[i]))
+    return a, b
+
+
+def set_links(signs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) that connect all sets that are linked, directly or through others."""
+    met = groups(signs).join(signs.drop("n"), "key").select("group", "side", "key", "tokens", "p0", "p1", "p2")
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        for part in parts:
-            linked = []
-            for x, y in zip(part.column(2), part.column(3)):
-                x, y = np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U)
-                both = np.sort(np.concatenate((x, y)), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * common >= percent * (len(both) - common))
-            keep = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([part.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
+        number, held = None, []
 
-    return near.select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long")
+        def flush() -> pa.RecordBatch | None:
+            sides, keys, tokens, *prefixes = zip(*held)
+            if len(keys) < 2:
+                return None
+            links = group_links(np.array(keys), np.array(sides), list(tokens), [list(p) for p in prefixes], percent)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], names=["a", "b"])
 
+        for part in parts:
+            group, side, key = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for i in range(part.num_rows):
+                if held and group[i] != number:
+                    if found := flush():
+                        yield found
+                    held = []
+                number = group[i]
+                lists = [part.column(c)[i].values.to_numpy().view(_U) for c in (4, 5, 6)]
+                held.append((int(side[i]), int(key[i]), np.frombuffer(part.column(3)[i].as_py(), _U), *lists))
+        if held and (found := flush()):
+            yield found
 
-def set_links(signs: DataFrame, sets: DataFrame, percent: int = PERCENT, most_rounds: int = 6) -> DataFrame:
-    """Links (a, b) that connect all sets that are linked, directly or through others.
-
-    Rounds verify each set against hubs only. When few pairs of different
-    components are left, or rounds no longer help, these pairs are verified.
-    """
-    spark = sets.sparkSession
-    entries = written(signs.select(F.explode("p0").alias("t"), "key", "n"), "entries")
-    n_entries = entries.count()
-    links = spark.createDataFrame([], "a long, b long")
-    tested, before = links, None
-    labels = spark.createDataFrame([], "node long, label long")
-    for salt in range(most_rounds + 1):
-        now = entries.join(labels, entries["key"] == labels["node"], "left").select(
-            "t", "key", "n", F.coalesce("label", "key").alias("label")
-        )
-        mixed = now.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("t")
-        posts = written(now.join(written(mixed, "mixed"), "t", "left_semi"), "posts")
-        of_label = posts.groupBy("t", "label").agg(F.count("*").cast("double").alias("c"))
-        of_token = of_label.groupBy("t").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same"))
-        left = of_token.agg(F.sum((F.col("c") * F.col("c") - F.col("same")) / 2)).first()[0] or 0.0
-        if not left:
-            break
-        last = salt == most_rounds or left <= PAIRS_AN_ENTRY * n_entries or (before is not None and left > 0.8 * before)
-        before = left
-        pairs = all_pairs(posts, percent) if last else hub_pairs(posts, percent, salt)
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = written(links.union(verified(pairs, signs, sets, percent)), "similar")
-        if last:
-            break
-        tested = written(tested.union(pairs), "tested")
-        labels = connected(links)
-    return links
+    return met.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
 
 
 def similar_documents(
@@ -451,7 +484,8 @@ def similar_documents(
     keys = written(open_sets(rows, percent), "open")
     sets = written(chosen_sets(docs, rows, keys, size, id_col, text_col), "chosen_sets", TEXT_ROWS)
     signs = written(signatures(sets, percent), "signs")
-    labels = connected(set_links(signs, sets, percent))
+    links = written(set_links(signs, percent), "similar", TEXT_ROWS)
+    labels = connected(links)
     least = written(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least")), "least")
     placed = written(
         least.join(labels, least["key"] == labels["node"], "left").select("key", "least", F.coalesce("label", "key").alias("label")),

@@ -80,7 +80,7 @@ def near_copies(n, words, seed, edits):
 @pytest.mark.parametrize("small", [False, True])
 def test_join_of_large_groups(spark, monkeypatch, small):
     if small:
-        for name, value in (("PER_BUCKET", 500), ("PER_BATCH", 2000), ("MOST_SETS", 7), ("BLOCK", 50), ("PAIRS_AN_ENTRY", 0)):
+        for name, value in (("PER_BUCKET", 500), ("PER_BATCH", 2000), ("MOST_SETS", 7), ("BLOCK", 50), ("PER_CHUNK", 900)):
             monkeypatch.setattr(ngramjoin, name, value)
     texts = near_copies(120, 90, 1, 6) + near_copies(60, 25, 2, 4) + ["all of one text"] * 40 + near_copies(30, 4, 3, 2)
     passage = " ".join(f"p{i}" for i in range(60))
