@@ -2,14 +2,13 @@
 
 Two plans cover the need:
 
-* the best or the total partner per interval needs real pairs. Both sides go to
-  time bins, so the join key is (episode, bin) and a pair is formed only when
-  the two really overlap; a hot episode spreads over its bins. Equal intervals
-  are merged before the join, so copies add no pairs. Bins have widths by levels,
-  and an interval lies in two bins of a level at most, however long it is, and goes to
-  a coarser level only where it meets an interval of that level. A bin that very
-  many turns share forms no pairs: chunks of its intervals and turns are compared
-  in arrays, and only the results per interval leave the tasks.
+* the best or the total partner per interval is a plane sweep. Intervals and
+  turns go, as one table, to time bins of an episode and are sorted by where they
+  begin. A task walks along them, some thousand rows at a time, and carries only
+  what is still open; whatever overlaps in a stretch is compared in arrays, and one
+  row per interval (and speaker) leaves the task. Equal intervals are merged first,
+  so copies cost nothing. The few intervals that cross very many bins go only to
+  bins in which something of the other side begins.
 * a total overlap per group needs no pairs at all. With C(t) the covered time
   of all regions up to t, a segment's overlap is C(end) - C(start), and C comes
   from running sums over the region edges.
@@ -17,202 +16,178 @@ Two plans cover the need:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from colloquy.functions.numeric import round_ratio
-from colloquy.functions.timefmt import overlap
 from colloquy.operators.blocks import TIME_BITS, Run, join_on, with_running
 from colloquy.operators.filters import drop_unknown_speaker, positive_length, voiced_gender_only
 
-BIN_BITS = 16  # about 65 seconds on the finest level
-LEVEL_BITS = 4
-LEVELS = 12
-# Turns of one bin from which they are compared in arrays instead of a join.
-CROWD = 2000
-# Intervals, and turns, of a crowded bin that one group of a task holds, about.
-MEET = 4096
-# Intervals compared with all turns of such a group at a time.
-CHUNK = 128
+BIN_BITS = 18  # about four minutes
+# Bins from which an interval goes only where something of the other side begins.
+FAR = 64
+# Rows of a stretch of the sweep, and pairs that are compared at a time.
+STRETCH = 1 << 16
+AT_ONCE = 1 << 20
+
+ROW = ["episode_id", "bin", "at", "a", "b", "__idx", "__spk", "__copies"]
+
+
+def _bin(at: Column) -> Column:
+    return F.shiftright(at, BIN_BITS)
+
+
+def _cells(df: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows for each bin that an interval (a, b) crosses; for the far ones, its first bin and those where others begin."""
+    first, last = _bin(F.col("a")), _bin(F.col("b") - 1)
+    is_far = last - first >= FAR
+    near = df.withColumn("bin", F.explode(F.sequence(first, F.when(is_far, first).otherwise(last))))
+    begins = other.select(F.col("episode_id").alias("__ep"), _bin(F.col("a")).alias("bin")).distinct()
+    crossed = F.col("episode_id").eqNullSafe(F.col("__ep")) & (F.col("bin") > first) & (F.col("bin") <= last)
+    return near.unionByName(df.filter(is_far).join(begins, crossed).drop("__ep"))
+
+
+class _Stretch:
+    """Sorted rows of the sweep as arrays; `fresh` tells rows from those carried over."""
+
+    def __init__(self, rows: pa.Table, carried: int):
+        self.rows = rows
+        codes = rows["episode_id"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        bins, at, a, b, copies = (rows[c].to_numpy() for c in ("bin", "at", "a", "b", "__copies"))
+        new = np.concatenate(([True], (codes[1:] != codes[:-1]) | (bins[1:] != bins[:-1])))
+        self.group = np.cumsum(new) - 1
+        base = bins << BIN_BITS
+        # places inside the bin, group after group on one axis
+        axis = self.group << (BIN_BITS + 1)
+        self.begin, self.end = axis + at - base, axis + np.minimum(b - base, 1 << BIN_BITS)
+        self.a, self.b, self.base, self.copies = a, b, base, copies
+        self.fresh = np.arange(len(a)) >= carried
+        self.probes, self.turns = np.flatnonzero(copies == 0), np.flatnonzero(copies > 0)
+
+    def open_rows(self) -> pa.Array:
+        """Rows that reach beyond the last one's begin."""
+        return pa.array(np.flatnonzero((self.group == self.group[-1]) & (self.end > self.begin[-1])))
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Overlapping rows (probe, turn, overlap), all of a probe together.
+
+        A pair belongs to the bin where the later of the two begins, and to the
+        stretch that first has both.
+        """
+        p, t = self.probes, self.turns
+        if not len(p) or not len(t):
+            return
+        furthest = np.maximum.accumulate(self.end[t])
+        lo = np.searchsorted(furthest, self.begin[p], side="right")
+        hi = np.searchsorted(self.begin[t], self.end[p], side="left")
+        n = np.maximum(hi - lo, 0)
+        upto = np.cumsum(n)
+        at = 0
+        while at < len(p):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + AT_ONCE, side="right")))
+            size = n[at:stop]
+            i = np.repeat(p[at:stop], size)
+            within = np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size)
+            j = t[np.repeat(lo[at:stop], size) + within]
+            later = np.maximum(self.a[i], self.a[j])
+            ov = np.minimum(self.b[i], self.b[j]) - later
+            keep = (ov > 0) & (later >= self.base[i]) & (self.fresh[i] | self.fresh[j])
+            yield i[keep], j[keep], ov[keep]
+            at = stop
+
+
+def _heads(values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else values
+
+
+def _best_turns(s: _Stretch, i: np.ndarray, j: np.ndarray, ov: np.ndarray, idx: np.ndarray, _) -> tuple:
+    """The turn that overlaps most, by probe; of equal ones that with the smaller index."""
+    order = np.lexsort((idx[j], -ov, i))
+    first = order[_heads(i[order])]
+    return i[first], j[first], idx[j[first]], ov[first]
+
+
+def _speaker_sums(s: _Stretch, i: np.ndarray, j: np.ndarray, ov: np.ndarray, idx: np.ndarray, code: np.ndarray) -> tuple:
+    """The summed overlap and the smallest index, by probe and speaker."""
+    order = np.lexsort((idx[j], code[j], i))
+    i, j, ov = i[order], j[order], (ov * s.copies[j])[order]
+    heads = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (code[j[1:]] != code[j[:-1]]))))
+    return i[heads], j[heads], idx[j[heads]], np.add.reduceat(ov, heads)
+
+
+def _sweep(found, out: list[str]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        carried, size = None, 0
+
+        def walk() -> Iterator[pa.RecordBatch]:
+            nonlocal carried
+            parts = [pa.Table.from_batches(held)]
+            if carried is not None:
+                parts.insert(0, carried)
+            rows = pa.concat_tables(parts).combine_chunks()
+            s = _Stretch(rows, len(rows) - sum(len(h) for h in held))
+            idx = rows["__idx"].to_numpy()
+            code = rows["__spk"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            for i, j, ov in s.pairs():
+                if len(i):
+                    probe, turn, first, total = found(s, i, j, ov, idx, code)
+                    take = pa.array(probe)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(rows[c].combine_chunks().take(take) for c in ("episode_id", "a", "b")),
+                            rows["__spk"].combine_chunks().take(pa.array(turn)), pa.array(first), pa.array(total),
+                        ],
+                        names=out,
+                    )
+            carried = rows.take(s.open_rows())
+
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                size += len(batch)
+            if size >= STRETCH:
+                yield from walk()
+                held.clear()
+                size = 0
+        if held:
+            yield from walk()
 
-BIN = ["episode_id", "level", "finer", "bin"]
-PLACED = ["level", "finer", "bin"]
-CELL = [*BIN, "of_probes", "of_turns"]
-
-
-def _level(start: str, end: str) -> Column:
-    """The finest level whose bins are at least as wide as the interval."""
-    length = F.col(end) - F.col(start)
-    return sum(F.when(length > (1 << BIN_BITS + LEVEL_BITS * i), 1).otherwise(0) for i in range(LEVELS))
-
-
-def _levels(probes: DataFrame, turns: DataFrame) -> tuple[list[int], list[int]]:
-    """The levels that the probes and the turns have; LEVELS + 1 numbers each at most."""
-    sides = (probes, "s0", "s1"), (turns, "t0", "t1")
-    own = [df.select(F.lit(i).alias("side"), _level(start, end).alias("level")) for i, (df, start, end) in enumerate(sides)]
-    found = own[0].union(own[1]).distinct().collect()
-    return tuple(sorted(r.level for r in found if r.side == i) for i in (0, 1))
-
-
-def _with_bins(df: DataFrame, start: str, end: str, levels: list[int]) -> DataFrame:
-    """Copies of each interval for the one or two bins of the row's level that hold its ends."""
-    first, last = (_position(F.col(start), levels), _position(F.col(end) - 1, levels))
-    return df.withColumn("bin", F.explode(F.array_distinct(F.array(first, last))))
-
-
-def _placed(probes: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
-    """Both sides with their bins, and the levels in use.
-
-    A pair meets on the coarser of its two levels. The rows of one bin with
-    `finer` are the probes of finer levels and the turns of the bin's own; those
-    without are the probes of its own level and the turns of its own or finer
-    ones, so that no two rows meet in more than one level. An interval is copied
-    to a coarser level only into bins where the other side has an interval of
-    that own level.
-    """
-    mine, theirs = _levels(probes, turns)
-    levels = sorted({*mine, *theirs})
-
-    def own(df: DataFrame, start: str, end: str) -> DataFrame:
-        return _with_bins(df.withColumn("level", _level(start, end) if levels != [0] else F.lit(0)), start, end, levels)
-
-    def copies(df: DataFrame, start: str, end: str, coarser: list[int], other: DataFrame) -> DataFrame:
-        above = F.filter(F.array(*map(F.lit, coarser)), lambda v: v > _level(start, end))
-        raised = _with_bins(df.withColumn("level", F.explode(above)), start, end, levels)
-        asked = other.filter(F.col("level").isin(coarser)).select("episode_id", "level", "bin").distinct()
-        return join_on(raised, asked, ["episode_id", "level", "bin"], "left_semi", ["level", "bin"])
-
-    left, right = own(probes, "s0", "s1"), own(turns, "t0", "t1")
-    raise_probes = [i for i in theirs if mine and i > mine[0]]
-    raise_turns = [i for i in mine if theirs and i > theirs[0]]
-    all_left, all_right = (df.withColumn("finer", F.lit(False)) for df in (left, right))
-    if raise_probes:
-        finer = copies(probes, "s0", "s1", raise_probes, right)
-        all_left = all_left.unionByName(finer.withColumn("finer", F.lit(True)))
-        both = F.when(F.col("level").isin(raise_probes), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-        all_right = right.withColumn("finer", F.explode(both))
-    if raise_turns:
-        finer = copies(turns, "t0", "t1", raise_turns, left)
-        all_right = all_right.unionByName(finer.withColumn("finer", F.lit(False)))
-    return all_left, all_right, levels
-
-
-def _position(at: Column, levels: list[int]) -> Column:
-    """The bin of a time on the row's level."""
-    wide = F.lit(None).cast("bigint")
-    for i in reversed(levels):
-        wide = F.when(F.col("level") == i, F.shiftright(at, BIN_BITS + LEVEL_BITS * i)).otherwise(wide)
-    return wide
-
-
-def _in_arrays(kind: T.DataType, per_speaker: bool):
-    """Compare chunks of a bin's intervals and turns; rows (s0, s1, speaker, smallest index, overlap)."""
-    columns = ["episode_id", "s0", "s1", "__spk", "__idx", "ov"]
-
-    def compare(probes: pd.DataFrame, turns: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        level, at = int(probes["level"].iloc[0]), int(probes["bin"].iloc[0])
-        shift = BIN_BITS + LEVEL_BITS * level
-        name = turns["__spk"]
-        code = pd.factorize(name, use_na_sentinel=False)[0] if per_speaker else np.zeros(len(turns), np.int64)
-        order = np.lexsort((turns["__idx"].to_numpy(), code))
-        t0, t1, idx, n = (turns[c].to_numpy()[order] for c in ("t0", "t1", "__idx", "__copies"))
-        name, code = name.iloc[order].reset_index(drop=True), code[order]
-        heads = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-        for k in range(0, len(probes), CHUNK):
-            part = probes.iloc[k : k + CHUNK]
-            s0, s1 = (part[c].to_numpy()[:, None] for c in ("s0", "s1"))
-            later = np.maximum(s0, t0)
-            ov = np.minimum(s1, t1) - later
-            # each pair belongs to the bin where the later of the two begins
-            ov[(later >> shift != at) | (ov < 0)] = 0
-            if per_speaker:
-                total = np.add.reduceat(ov * n, heads, axis=1)
-                first = np.minimum.reduceat(np.where(ov > 0, idx, np.iinfo(np.int64).max), heads, axis=1)
-                i, j = np.nonzero(total)
-                found = (total[i, j], first[i, j], heads[j])
-            else:
-                best = ov.argmax(axis=1)
-                i = np.flatnonzero(ov[np.arange(len(part)), best])
-                found = (ov[i, best[i]], idx[best[i]], best[i])
-            yield pd.DataFrame(
-                {
-                    "episode_id": part["episode_id"].iloc[i].to_numpy(), "s0": s0[i, 0], "s1": s1[i, 0],
-                    "__spk": name.iloc[found[2]].to_numpy(), "__idx": found[1], "ov": found[0],
-                },
-                columns=columns,
-            )
-
-    return compare
+    return run
 
 
 def overlapping(probes: DataFrame, turns: DataFrame, per_speaker: bool) -> DataFrame:
-    """Overlaps of `probes(episode_id, s0, s1)` with `turns(episode_id, t0, t1, __spk, __idx, __copies)`.
-
-    Rows (episode_id, s0, s1, __spk, __idx, ov): one per overlapping pair, or for
-    crowded bins one per interval (its best turn) or per interval and speaker (the
-    sum over the speaker's turns) and chunk of turns. A pair that shares several
-    bins counts only in the one where the later of the two begins. Intervals have
-    positive length. Two small jobs find the levels in use and whether a bin is
-    crowded, so that the plan has neither levels nor array branches that the data
-    don't need. The intervals and the turns of a crowded bin are cut into chunks
-    that meet pairwise, each pair of chunks in a group of its own.
+    """Overlaps of `probes(episode_id, a, b)` with `turns(episode_id, a, b, __spk, __idx, __copies)`.
+
+    Rows (episode_id, s0, s1, __spk, __idx, ov): an interval's best turn, or its sum
+    for each speaker, in every bin and stretch where it has one. Intervals have
+    positive length.
     """
-    left, right, levels = _placed(probes, turns)
-    crowded = right.groupBy(*BIN).agg(F.count("*").alias("n_turns")).filter(F.col("n_turns") > CROWD)
-    later = F.greatest(F.col("s0"), F.col("t0"))
-    any_crowd = not crowded.isEmpty()
-    flag = crowded.select(*BIN, F.lit(True).alias("__crowd"))
-    marked = join_on(right, flag, BIN, "left", PLACED) if any_crowd else right
-    sparse = marked.filter(F.col("__crowd").isNull()) if any_crowd else right
-    pairs = (
-        join_on(left, sparse, BIN, never_null=PLACED)
-        .filter((F.col("s0") < F.col("t1")) & (F.col("t0") < F.col("s1")) & (F.col("bin") == _position(later, levels)))
-        .select("episode_id", "s0", "s1", "__spk", "__idx", (overlap("s0", "s1", "t0", "t1") * F.col("__copies")).alias("ov"))
-    )
-    if not any_crowd:
-        return pairs
-    out = T.StructType(
-        [turns.schema["episode_id"], T.StructField("s0", T.LongType()), T.StructField("s1", T.LongType()), turns.schema["__spk"]]
-        + [T.StructField("__idx", T.LongType()), T.StructField("ov", T.LongType())]
-    )
-    met = join_on(left, crowded, BIN, never_null=PLACED).groupBy(*BIN).agg(
-        F.count("*").alias("n_probes"), F.first("n_turns").alias("n_turns")
-    )
-    met = met.select(*BIN, *(F.ceil(F.col(f"n_{c}") / MEET).cast("int").alias(f"n_{c}") for c in ("probes", "turns")))
-    dense = (
-        _dealt(left, met, ["s0", "s1"], "probes", "turns")
-        .groupBy(*CELL)
-        .cogroup(_dealt(right, met, ["t0", "t1", "__spk"], "turns", "probes").groupBy(*CELL))
-        .applyInPandas(_dense(_in_arrays(turns.schema["__spk"].dataType, per_speaker)), out)
+    kind = turns.schema["__spk"].dataType.simpleString()
+    none = F.lit(0).cast("bigint")
+    asked = probes.select("*", none.alias("__idx"), F.lit(None).cast(kind).alias("__spk"), none.alias("__copies"))
+    cells = _cells(asked, turns).unionByName(_cells(turns, probes))
+    rows = cells.withColumn("at", F.greatest("a", F.shiftleft("bin", BIN_BITS))).select(*ROW)
+    out = ["episode_id", "s0", "s1", "__spk", "__idx", "ov"]
+    episode = turns.schema["episode_id"].dataType.simpleString()
+    return (
+        rows.repartition("episode_id", "bin")
+        .sortWithinPartitions("episode_id", "bin", "at")
+        .mapInArrow(
+            _sweep(_speaker_sums if per_speaker else _best_turns, out),
+            f"episode_id {episode}, s0 long, s1 long, __spk {kind}, __idx long, ov long",
+        )
     )
-    return pairs.unionByName(dense)
-
-
-def _dealt(df: DataFrame, met: DataFrame, by: list[str], side: str, other: str) -> DataFrame:
-    """Rows of crowded bins with the number of their chunk, once for each chunk of the other side."""
-    chunk = F.pmod(F.xxhash64(*by), F.col(f"n_{side}")).cast("int")
-    dealt = join_on(df, met, BIN, never_null=PLACED).withColumn(f"of_{side}", chunk)
-    return dealt.withColumn(f"of_{other}", F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1))).drop("n_probes", "n_turns")
-
-
-def _dense(compare):
-    def run(probes: pd.DataFrame, turns: pd.DataFrame) -> pd.DataFrame:
-        if probes.empty or turns.empty:
-            return pd.DataFrame({c: [] for c in ("episode_id", "s0", "s1", "__spk", "__idx", "ov")})
-        return pd.concat(list(compare(probes, turns)), ignore_index=True)
-
-    return run
 
 
 def _distinct_intervals(df: DataFrame) -> DataFrame:
     return (
         positive_length(df)
-        .select("episode_id", F.col("start_ms").alias("s0"), F.col("end_ms").alias("s1"))
+        .select("episode_id", F.col("start_ms").alias("a"), F.col("end_ms").alias("b"))
         .distinct()
     )
 
@@ -230,7 +205,7 @@ def assign_speaker(segments: DataFrame, turns: DataFrame, min_overlap_ms: int =
     """
     builds = (
         positive_length(turns)
-        .groupBy("episode_id", F.col("start_ms").alias("t0"), F.col("end_ms").alias("t1"))
+        .groupBy("episode_id", F.col("start_ms").alias("a"), F.col("end_ms").alias("b"))
         .agg(F.min_by("speaker", "turn_idx").alias("__spk"), F.min("turn_idx").alias("__idx"))
         .withColumn("__copies", F.lit(1).cast("bigint"))
     )
@@ -257,7 +232,7 @@ def assign_word_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:
     """
     builds = (
         positive_length(turns)
-        .groupBy("episode_id", F.col("start_ms").alias("t0"), F.col("end_ms").alias("t1"), F.col("speaker").alias("__spk"))
+        .groupBy("episode_id", F.col("start_ms").alias("a"), F.col("end_ms").alias("b"), F.col("speaker").alias("__spk"))
         .agg(F.min("turn_idx").alias("__idx"), F.count(F.lit(1)).alias("__copies"))
     )
     pairs = overlapping(_distinct_intervals(words), builds, per_speaker=True)

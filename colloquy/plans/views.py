@@ -80,8 +80,15 @@ def _spark_sql(spark: SparkSession, template: str, **tables: DataFrame) -> DataF
     return spark.sql(template, **tables)
 
 
+# Setting by table: how many partitions to deal its rows to. A row group is not split, so
+# a table with fewer row groups than cores keeps cores idle. Off unless set.
+SPREAD = "spark.colloquy.spread."
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    spread = spark.conf.get(SPREAD + name, None)
+    return rows.repartition(int(spread)) if spread else rows
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:

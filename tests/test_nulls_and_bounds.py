@@ -105,10 +105,15 @@ def _best_speaker(word, turns):
     return (sums.get(best, 0), best)
 
 
-@pytest.mark.parametrize("crowd", [2000, 5])
+def _small_stretches(monkeypatch, rows, bits=18, far=64):
+    for name, value in (("STRETCH", rows), ("AT_ONCE", 3 * rows), ("BIN_BITS", bits), ("FAR", far)):
+        monkeypatch.setattr(intervals, name, value)
+
+
+@pytest.mark.parametrize("rows, bits, far", [(1 << 16, 18, 64), (5, 18, 64), (5, 10, 3)])
 @pytest.mark.parametrize("longest", [9000, 10_000_000])
-def test_joins_in_arrays_equal_pairs(spark, monkeypatch, crowd, longest):
-    monkeypatch.setattr(intervals, "CROWD", crowd)
+def test_sweeps_equal_pairs(spark, monkeypatch, rows, bits, far, longest):
+    _small_stretches(monkeypatch, rows, bits, far)
     probes, left = _intervals(spark, 1, 150, "seg_idx", 200_000)
     turns, right = _intervals(spark, 2, 120, "turn_idx", 200_000, longest)
     got = {r.seg_idx: (r.overlap_ms, r.assigned) for r in intervals.assign_speaker(left, right, 0).collect()}
@@ -148,32 +153,29 @@ def _want(probes, turns):
     return tuple({k: (ov, spk or "Unknown") for k, (ov, spk) in f.items()} for f in found)
 
 
-def test_groups_of_a_crowded_bin_are_bounded(spark, monkeypatch):
-    """Chunks of its intervals and turns meet pairwise; none holds all."""
-    compare = intervals._in_arrays
-
-    def bounded(*args):
-        run = compare(*args)
+def test_a_sweep_carries_only_what_is_open(spark, monkeypatch):
+    """A crowded bin is walked in stretches; a task never holds the bin."""
+    made = intervals._Stretch
 
-        def checked(probes, turns):
-            assert max(len(probes), len(turns)) < 150, "a group holds a whole bin"
-            return run(probes, turns)
+    class Bounded(made):
+        def __init__(self, rows, carried):
+            assert len(rows) < 300, "a stretch holds a whole bin"
+            super().__init__(rows, carried)
 
-        return checked
-
-    monkeypatch.setattr(intervals, "CROWD", 50)
-    monkeypatch.setattr(intervals, "MEET", 60, raising=False)
-    monkeypatch.setattr(intervals, "_in_arrays", bounded)
-    probes, left = _intervals(spark, 5, 500, "seg_idx", 50_000)
-    turns, right = _intervals(spark, 6, 400, "turn_idx", 50_000)
-    assert _both_joins(spark, left, right) == _want(probes, turns)
+    _small_stretches(monkeypatch, 50)
+    monkeypatch.setattr(intervals, "_Stretch", Bounded)
+    probes, left = _intervals(spark, 5, 500, "seg_idx", 50_000, 2000)
+    turns, right = _intervals(spark, 6, 400, "turn_idx", 50_000, 2000)
+    with_rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert _both_joins(spark, left, right) == _want(probes, turns)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", with_rows)
 
 
 @pytest.mark.parametrize("side", ["turn", "segment"])
-def test_one_long_interval_crowds_no_bin(spark, monkeypatch, side):
-    """It takes nobody but those of its own episode to its level, and only on the other side."""
-    monkeypatch.setattr(intervals, "CROWD", 100)
-    monkeypatch.setattr(intervals, "_in_arrays", lambda *_: pytest.fail("a bin is crowded"))
+def test_one_long_interval_goes_only_where_others_begin(spark, monkeypatch, side):
     probes, _ = _intervals(spark, 7, 300, "seg_idx", 20_000_000)
     turns, _ = _intervals(spark, 8, 300, "turn_idx", 20_000_000)
     # episode 2 has a segment and a turn, one of them without a sane end
@@ -184,12 +186,14 @@ def test_one_long_interval_crowds_no_bin(spark, monkeypatch, side):
     left = spark.createDataFrame(probes, SCHEMA.replace("idx", "seg_idx", 1))
     right = spark.createDataFrame(turns, SCHEMA.replace("idx", "turn_idx", 1))
     assert _both_joins(spark, left, right) == _want(probes, turns)
+    named = right.select("episode_id", F.col("start_ms").alias("a"), F.col("end_ms").alias("b"), "speaker")
+    others = left.select("episode_id", F.col("start_ms").alias("a"), F.col("end_ms").alias("b"))
+    assert intervals._cells(named, others).count() < 3 * len(turns)
 
 
-@pytest.mark.parametrize("crowd", [2000, 5])
-def test_joins_of_many_levels_on_both_sides(spark, monkeypatch, crowd):
-    monkeypatch.setattr(intervals, "CROWD", crowd)
-    monkeypatch.setattr(intervals, "MEET", 7, raising=False)
+@pytest.mark.parametrize("rows", [1 << 16, 5])
+def test_joins_of_intervals_of_all_lengths(spark, monkeypatch, rows):
+    _small_stretches(monkeypatch, rows, far=8)
     rng = np.random.default_rng(9)
     rows = []
     for n, offset in ((130, 0), (110, 1)):
@@ -203,7 +207,7 @@ def test_joins_of_many_levels_on_both_sides(spark, monkeypatch, crowd):
 # Two for each input; the last four read their input once more for totals.
 SCANS = {
     "ag04_summarize_median": 2, "seq03_chunk_words": 2, "rl01_classify_segments_v5": 2, "rl11_labeled_transcript": 2,
-    "rl12_diarized_to_roles": 2, "j02_gender_overlap": 4, "j03_assign_word_speakers": 5, "j01_assign_speaker": 5,
+    "rl12_diarized_to_roles": 2, "j02_gender_overlap": 4, "j03_assign_word_speakers": 3, "j01_assign_speaker": 3,
     "seq07_adaptive_gap": 3, "seq04_smooth_turns": 4,
 }
 
