@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import strip_ws
+from colloquy.operators.blocks import join_on
 from colloquy.operators.sequences import words_to_segments
 from colloquy.operators.stats import speaker_stats, talk_time_turns
 
@@ -14,7 +15,7 @@ UTTERANCE, FALLBACK = "utterance (sentence-like)", "segment (fallback)"
 
 def without_utterances(words: DataFrame, utterances: DataFrame) -> DataFrame:
     """Words of the episodes that have no utterance."""
-    return words.join(utterances.select("episode_id").distinct(), "episode_id", "left_anti")
+    return join_on(words, utterances.select("episode_id").distinct(), ["episode_id"], "left_anti")
 
 
 def word_segments(words: DataFrame, utterances: DataFrame, gap_ms: int = 800) -> DataFrame:

@@ -2,7 +2,7 @@
 
 No side is broadcast by hint. Catalyst and AQE broadcast a mapping when its
 measured size is below spark.sql.autoBroadcastJoinThreshold; otherwise the join
-shuffles and AQE splits a hot episode.
+shuffles and AQE splits a hot episode. NULL episodes and speakers match each other.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.labels import relabel_host_guest
+from colloquy.operators.blocks import join_on
 
 # --- fixed values: preference among audio files of the same stem --------------
 MEDIA_PREFERENCE = [".wav", ".mp3", ".mp4", ".m4a", ".flac", ".ogg"]
@@ -21,13 +22,13 @@ MEDIA_PREFERENCE = [".wav", ".mp3", ".mp4", ".m4a", ".flac", ".ogg"]
 def map_speakers(segments: DataFrame, mapping: DataFrame, default: str = "Unknown", on: str = "speaker_raw") -> DataFrame:
     """Add `mapped` from `mapping(episode_id, speaker, label)`."""
     names = mapping.select("episode_id", F.col("speaker").alias(on), F.col("label").alias("mapped"))
-    return segments.join(names, ["episode_id", on], "left").withColumn("mapped", F.coalesce("mapped", F.lit(default)))
+    return join_on(segments, names, ["episode_id", on], "left").withColumn("mapped", F.coalesce("mapped", F.lit(default)))
 
 
 def apply_gender(rows: DataFrame, genders: DataFrame) -> DataFrame:
     """Add `gender` and `gender_confidence`; unknown and 0.0 where there is none."""
     side = genders.select("episode_id", "speaker", "gender", F.col("confidence").alias("gender_confidence"))
-    return rows.join(side, ["episode_id", "speaker"], "left").fillna({"gender": "unknown", "gender_confidence": 0.0})
+    return join_on(rows, side, ["episode_id", "speaker"], "left").fillna({"gender": "unknown", "gender_confidence": 0.0})
 
 
 def apply_host(segments: DataFrame, hosts: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
@@ -35,7 +36,7 @@ def apply_host(segments: DataFrame, hosts: DataFrame, carry: Sequence[str] = ())
 
     `carry` names further columns of `hosts` to add, such as the method.
     """
-    joined = segments.join(hosts.select("episode_id", "host", *carry), "episode_id", "left")
+    joined = join_on(segments, hosts.select("episode_id", "host", *carry), ["episode_id"], "left")
     label = relabel_host_guest("speaker", "host")
     return (
         joined.withColumn("__l", label)
@@ -56,8 +57,7 @@ def apply_model_labels(segments: DataFrame, replies: DataFrame) -> DataFrame:
         F.col("mapping").alias("__m"), F.col("reasoning_brief").alias("__r"), F.col("confidence").alias("__c"),
     )
     return (
-        segments.withColumnRenamed("confidence", "original_confidence")
-        .join(side, "episode_id", "left")
+        join_on(segments.withColumnRenamed("confidence", "original_confidence"), side, ["episode_id"], "left")
         .withColumns(
             {
                 "role": F.coalesce(F.try_element_at("__m", key), F.lit("UNKNOWN")),
@@ -70,7 +70,7 @@ def apply_model_labels(segments: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 def keep_top_speakers(segments: DataFrame, top: DataFrame) -> DataFrame:
-    return segments.join(top.select("episode_id", "speaker"), ["episode_id", "speaker"], "left_semi")
+    return join_on(segments, top.select("episode_id", "speaker"), ["episode_id", "speaker"], "left_semi")
 
 
 def skip_processed(inputs: DataFrame, outputs: DataFrame, required: int = 1, overwrite: bool = False) -> DataFrame:
@@ -101,6 +101,5 @@ def pair_media(documents: DataFrame, media: DataFrame) -> DataFrame:
 
 def accept_candidate(candidates: DataFrame, samples: DataFrame) -> DataFrame:
     """Candidates (episode_id, speaker) that are among the sampled speakers."""
-    return candidates.join(
-        samples.select("episode_id", "speaker").distinct(), ["episode_id", "speaker"], "left_semi"
-    )
+    sampled = samples.select("episode_id", "speaker").distinct()
+    return join_on(candidates, sampled, ["episode_id", "speaker"], "left_semi")

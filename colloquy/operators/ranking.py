@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from colloquy.functions.labels import render_line
 from colloquy.functions.text import squash_ws, strip_ws, truncate_ellipsis
 from colloquy.functions.timefmt import duration, fmt_hms
+from colloquy.operators.blocks import join_on
 
 
 def first_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str | None = None) -> DataFrame:
@@ -53,7 +54,7 @@ def consolidate_speakers(segments: DataFrame, k: int = 2) -> DataFrame:
     top = first_k(per, ["episode_id"], [F.desc("total_ms"), F.asc("first_idx")], k, "__r").select(
         "episode_id", "speaker", (F.col("__r") - 1).alias("new_id")
     )
-    return segments.join(top, ["episode_id", "speaker"]).withColumn(
+    return join_on(segments, top, ["episode_id", "speaker"]).withColumn(
         "speaker_label", F.concat(F.lit("Speaker "), (F.col("new_id") + 1).cast("string"))
     )
 
@@ -109,7 +110,7 @@ def head_mid_tail_lines(
         ),
         lambda p: p.isNotNull(),
     )
-    picked = numbered.join(sizes, "episode_id").withColumn("__part", F.explode(marks))
+    picked = join_on(numbered, sizes, ["episode_id"]).withColumn("__part", F.explode(marks))
     ordered = F.sort_array(F.collect_list(F.struct("__i", "line")))
     parts = picked.groupBy("episode_id").pivot("__part", [0, 1, 2]).agg(
         F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")

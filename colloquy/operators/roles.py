@@ -16,6 +16,7 @@ from colloquy.functions.numeric import percent_text
 from colloquy.functions.replies import MAPPING, PAIR, parse_model_json, reply_content
 from colloquy.functions.text import contains_keywords, contains_keywords_nopunct, is_question_segment, strip_ws
 from colloquy.operators import ranking, stats
+from colloquy.operators.blocks import join_on
 from colloquy.operators.filters import UNKNOWN_LABELS
 from colloquy.session import scratch_path
 
@@ -61,7 +62,7 @@ def classify_segments(segments: DataFrame, variant: str = "v5") -> DataFrame:
     hits.write.parquet(path)
     hits = segments.sparkSession.read.schema(hits.schema).parquet(path)
     best = hits.groupBy("episode_id").agg(F.min("__rank").alias("__rank"))
-    return hits.join(best, ["episode_id", "__rank"], "left_semi").drop("__rank")
+    return join_on(hits, best, ["episode_id", "__rank"], "left_semi", ["__rank"]).drop("__rank")
 
 
 def _known(speaker: str = "speaker") -> Column:
@@ -241,9 +242,9 @@ def map_roles(turns: DataFrame, segments: DataFrame, mode: str = "heuristic", mi
     """
     top = ranking.top_speakers(turns, 2, "turn_idx")
     first = turns.groupBy("episode_id", "speaker").agg(F.min_by("start_ms", "turn_idx").alias("first_ms"))
-    scored = top.join(first, ["episode_id", "speaker"])
+    scored = join_on(top, first, ["episode_id", "speaker"])
     if mode == "heuristic":
-        scored = scored.join(stats.host_score(segments), ["episode_id", "speaker"], "left").fillna({"score": 0.0})
+        scored = join_on(scored, stats.host_score(segments), ["episode_id", "speaker"], "left").fillna({"score": 0.0})
     else:
         scored = scored.withColumn("score", F.lit(0.0))
     a, b = F.col("rank") == 1, F.col("rank") == 2
@@ -264,7 +265,7 @@ def map_roles(turns: DataFrame, segments: DataFrame, mode: str = "heuristic", mi
         a_hosts = F.when(F.abs(F.col("sa") - F.col("sb")) >= min_gap, F.col("sa") > F.col("sb")).otherwise(True)
     a_hosts = F.col("b").isNull() | a_hosts
     label = F.when(a_hosts == (F.col("rank") == 1), "Host").otherwise("Guest")
-    return scored.join(pair, "episode_id").select("episode_id", "speaker", label.alias("label"))
+    return join_on(scored, pair, ["episode_id"]).select("episode_id", "speaker", label.alias("label"))
 
 
 def host_by_time(segments: DataFrame) -> DataFrame:
@@ -277,7 +278,7 @@ def host_by_time(segments: DataFrame) -> DataFrame:
 
 def _one_host(scores: DataFrame, metric: str) -> DataFrame:
     winner = ranking.argmax_speaker(scores, metric).select("episode_id", F.col("speaker").alias("__host"))
-    return scores.join(winner, "episode_id").select(
+    return join_on(scores, winner, ["episode_id"]).select(
         "episode_id", "speaker", F.when(F.col("speaker") == F.col("__host"), "HOST").otherwise("GUEST").alias("role")
     )
 
@@ -303,14 +304,14 @@ def resolve_roles(responses: DataFrame, segments: DataFrame, asr: bool = False)
         "episode_id",
         F.get_json_object(parse_model_json(reply_content("response")), "$.host_speaker_raw").alias("candidate"),
     )
-    accepted = scores.join(named, "episode_id").filter(F.col("speaker") == F.col("candidate")).select(
+    accepted = join_on(scores, named, ["episode_id"]).filter(F.col("speaker") == F.col("candidate")).select(
         "episode_id", "candidate"
     )
-    host = fallback.join(accepted, "episode_id", "left").select(
+    host = join_on(fallback, accepted, ["episode_id"], "left").select(
         "episode_id", F.coalesce("candidate", "by_score").alias("__host"),
         F.when(F.col("candidate").isNotNull(), "model").otherwise("score").alias("source"),
     )
-    return scores.join(host, "episode_id").select(
+    return join_on(scores, host, ["episode_id"]).select(
         "episode_id", "speaker",
         F.when(F.col("speaker") == F.col("__host"), "HOST").otherwise("GUEST").alias("role"), "source",
     )
@@ -329,14 +330,14 @@ def roles_from_pair_reply(replies: DataFrame, segments: DataFrame) -> DataFrame:
         F.max(F.when(F.col("rank") == 2, F.col("speaker"))).alias("t2"),
     )
     same = (F.col("host_speaker") == F.col("guest_speaker")) & F.col("t2").isNotNull()
-    named = pair.join(top, "episode_id").select(
+    named = join_on(pair, top, ["episode_id"]).select(
         "episode_id",
         F.when(same, F.col("t1")).otherwise(F.col("host_speaker")).alias("h"),
         F.when(same, F.col("t2")).otherwise(F.col("guest_speaker")).alias("g"),
     )
     speakers = segments.select("episode_id", "speaker").distinct()
     role = F.when(F.col("speaker") == F.col("g"), "GUEST").when(F.col("speaker") == F.col("h"), "HOST")
-    return speakers.join(named, "episode_id", "left").select(
+    return join_on(speakers, named, ["episode_id"], "left").select(
         "episode_id", "speaker", F.coalesce(role, F.lit("UNKNOWN")).alias("role")
     )
 

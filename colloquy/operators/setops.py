@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.operators.blocks import join_on
+
 
 def union_formats(*frames: DataFrame) -> DataFrame:
     """One table from sources that may lack some columns."""
@@ -19,11 +21,13 @@ def distinct_keys(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    return left.join(right.select(*keys), keys, "left_anti")
+    """Rows of `left` whose keys `right` lacks; NULL keys equal each other."""
+    return join_on(left, right.select(*keys), keys, "left_anti")
 
 
 def intersection(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    return left.join(right.select(*keys), keys, "left_semi").select(*keys).distinct()
+    """The keys that both have, once each; NULL keys equal each other."""
+    return join_on(left, right.select(*keys), keys, "left_semi").select(*keys).distinct()
 
 
 def route(df: DataFrame, column: str, value: str) -> DataFrame:

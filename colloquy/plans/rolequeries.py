@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from colloquy import lexicons
 from colloquy.operators import intervals, lookups, ranking, roles, stats
+from colloquy.operators.blocks import join_on
 from colloquy.plans import views as V
 from colloquy.plans.aggregates import SCORES
 from colloquy.plans.joins import BEST_TURN, MAPPING, SAMPLES
@@ -334,4 +335,4 @@ def rl12(spark, sf):
     mapped.write.parquet(path)
     mapped = spark.read.schema(mapped.schema).parquet(path)
     hosts = roles.identify_host_questions_first(mapped, "combined", interview_style=True)
-    return stats.category_counts(lookups.apply_host(mapped, hosts)).join(hosts, "episode_id")
+    return join_on(stats.category_counts(lookups.apply_host(mapped, hosts)), hosts, ["episode_id"])

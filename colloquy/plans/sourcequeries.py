@@ -314,6 +314,41 @@ def snk03(spark, sf):
     )
 
 
+@query(
+    "snk03_write_stats_json_fallback",
+    f"""WITH {WORD}, {FACTS.replace("FROM seg", "FROM seg WHERE episode_id % 3 <> 1", 1)}, sp AS (SELECT episode_id, speaker, {_speaker_sql()} FROM fact GROUP BY 1, 2),
+      lagged AS (SELECT *, lag(speaker) OVER o AS ps, lag(end_ms) OVER o AS pe FROM word WHERE speaker IS NOT NULL AND episode_id % 3 = 1
+        WINDOW o AS (PARTITION BY episode_id ORDER BY word_idx)),
+      marked AS (SELECT *, sum(CASE WHEN ps IS NULL OR ps <> speaker OR start_ms - pe > 800 THEN 1 ELSE 0 END)
+        OVER (PARTITION BY episode_id ORDER BY word_idx) AS island FROM lagged),
+      built AS (SELECT episode_id, island, min(speaker) AS speaker, arg_max(end_ms, word_idx) - arg_min(start_ms, word_idx) AS d FROM marked GROUP BY 1, 2),
+      brief AS (SELECT episode_id, speaker::VARCHAR AS speaker, sum(greatest(0, d))::DOUBLE / 1000 AS talk_time_s, count(*) AS turns,
+        sum(count(*)) OVER (PARTITION BY episode_id)::BIGINT AS num_segments FROM built GROUP BY episode_id, speaker)
+    SELECT episode_id, 'utterance (sentence-like)' AS unit, NULL::BIGINT AS num_segments,
+      (row_number() OVER (PARTITION BY episode_id ORDER BY total_speech_s DESC, speaker) - 1)::INTEGER AS pos, speaker,
+      total_speech_s AS seconds, NULL::BIGINT AS turns FROM sp
+    UNION ALL SELECT episode_id, 'segment (fallback)', num_segments,
+      (row_number() OVER (PARTITION BY episode_id ORDER BY talk_time_s DESC, speaker) - 1)::INTEGER, speaker, talk_time_s, turns FROM brief""",
+)
+def snk03_fallback(spark, sf):
+    """Documents of both kinds: a third of the episodes has words and no utterances."""
+    path = scratch_path(spark, "stats")
+    s = V.segments(spark, sf)
+    uttered = s.filter("episode_id % 3 <> 1")
+    built = asrstats.word_segments(V.words_of(s), uttered).withColumn("speaker", F.col("speaker_id").cast("string"))
+    writers.write_stats_json(uttered, path, built)
+    schema = (
+        "episode_id bigint, unit string, num_segments bigint, per_speaker array<struct<speaker:string,total_speech_s:double>>, "
+        "speakers array<struct<speaker:string,talk_time_s:double,turns:bigint>>"
+    )
+    rows = spark.read.schema(schema).json(path)
+    item = lambda x, seconds, turns: F.struct(x["speaker"].alias("speaker"), x[seconds].alias("seconds"), turns.alias("turns"))
+    full = F.transform("per_speaker", lambda x: item(x, "total_speech_s", F.lit(None).cast("bigint")))
+    brief = F.transform("speakers", lambda x: item(x, "talk_time_s", x["turns"]))
+    listed = rows.select("episode_id", "unit", "num_segments", F.posexplode(F.coalesce(full, brief)).alias("pos", "s"))
+    return listed.select("episode_id", "unit", "num_segments", "pos", "s.speaker", "s.seconds", "s.turns")
+
+
 @query(
     "snk04_write_stats_csv",
     f"""SELECT 'ep' || doc_id AS episode, {wc('text')} AS word_count,

@@ -61,7 +61,7 @@ def labeled_documents(segments: DataFrame, provenance: DataFrame) -> DataFrame:
         (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), "text", "speaker",
         "speaker_original",
     )
-    return _parts(segments, "seg_idx", item, "segments").join(provenance, "episode_id", "left")
+    return join_on(_parts(segments, "seg_idx", item, "segments"), provenance, ["episode_id"], "left")
 
 
 def write_labeled_json(segments: DataFrame, provenance: DataFrame, path: str) -> None:
@@ -90,7 +90,7 @@ def stats_documents(segments: DataFrame) -> DataFrame:
         "audio_duration_s_est", summary("duration").alias("global_sentence_duration_s"),
         summary("words").alias("global_sentence_word_count"),
     )
-    return whole.join(listed, "episode_id")
+    return join_on(whole, listed, ["episode_id"])
 
 
 def fallback_stats_documents(segments: DataFrame) -> DataFrame:
@@ -104,8 +104,18 @@ def fallback_stats_documents(segments: DataFrame) -> DataFrame:
     )
 
 
-def write_stats_json(segments: DataFrame, path: str) -> None:
-    stats_documents(segments).write.mode("overwrite").json(path)
+def response_stats_documents(utterances: DataFrame, built: DataFrame) -> DataFrame:
+    """A statistics document per episode: of its utterances, or the fallback form of the segments built from its words.
+
+    `built` has segments of episodes without utterances (`asrstats.word_segments`).
+    """
+    return stats_documents(utterances).unionByName(fallback_stats_documents(built), allowMissingColumns=True)
+
+
+def write_stats_json(segments: DataFrame, path: str, built: DataFrame | None = None) -> None:
+    """Statistics documents; with `built` also those of the episodes that have no utterances."""
+    docs = stats_documents(segments) if built is None else response_stats_documents(segments, built)
+    docs.write.mode("overwrite").json(path)
 
 
 def write_stats_csv(stats: DataFrame, path: str) -> None:
@@ -132,9 +142,7 @@ def sentence_documents(episodes: DataFrame, utterances: DataFrame) -> DataFrame:
     docs = _parts(utterances, "seg_idx", item, "segments")
     missing = F.col("part").isNull()
     return (
-        episodes.select("episode_id")
-        .distinct()
-        .join(docs, "episode_id", "left")
+        join_on(episodes.select("episode_id").distinct(), docs, ["episode_id"], "left")
         .select(
             "episode_id", F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
             F.lit("utterance (sentence-like)").alias("unit"),
@@ -169,8 +177,7 @@ def write_questions(docs: DataFrame, questions: DataFrame, path: str, key: str =
         F.count(F.lit(1)).alias("n_questions"),
     )
     (
-        docs.select(key)
-        .join(listed, key, "left")
+        join_on(docs.select(key), listed, [key], "left")
         .select(key, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("n_questions", F.lit(0)).alias("n_questions"))
         .write.mode("overwrite")
         .json(path)

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from colloquy.operators import blocks, folds, intervals, sequences, stats
+from colloquy.operators import asrstats, blocks, folds, intervals, lookups, ranking, roles, sequences, setops, stats
+from colloquy.sources import writers
 
 SCHEMA = "episode_id bigint, idx bigint, speaker string, start_ms bigint, end_ms bigint"
 LABELS = ["A", "B", None]
@@ -80,6 +81,85 @@ def test_words_of_a_null_episode_join_across_blocks(spark, monkeypatch):
     assert [r.n_tokens for r in sequences.words_to_segments(df).collect()] == [9]
 
 
+def _spoken(spark):
+    """Eight segments of two speakers in episode 1 and in the NULL episode."""
+    texts = ["Welcome back to the show.", "Thanks for having me.", "What do you think?", "I think so."] * 2
+    rows = [
+        (e, i, f"Speaker {i % 2 + 1}", i % 2, f"S{i % 2}", text, i * 1000, i * 1000 + 900 - 300 * (i % 2), 0.5, f"line {i}")
+        for e in (1, None) for i, text in enumerate(texts)
+    ]
+    return spark.createDataFrame(
+        rows, "episode_id bigint, seg_idx bigint, speaker string, speaker_id int, speaker_raw string, text string, start_ms bigint, "
+        "end_ms bigint, confidence double, line string",
+    )
+
+
+def _hosts(df):
+    return df.select("episode_id").distinct().withColumns({"host": F.lit("Speaker 1"), "method": F.lit("m")})
+
+
+def _reply(text):
+    return lambda s: s.select("episode_id").distinct().withColumn("reply", F.lit(text))
+
+
+MODEL = '{"choices": [{"message": {"content": "{\\"host_speaker_raw\\": \\"Speaker 2\\"}"}}]}'
+PAIR = '{"host_speaker": "Speaker 2", "guest_speaker": "Speaker 1"}'
+# What each operator gives for the NULL episode has to be what it gives for episode 1.
+OF_EPISODES = {
+    "RL01": roles.classify_segments,
+    "RL02": roles.identify_host_keywords_first,
+    "RL03": roles.identify_host_questions_first,
+    "RL04": roles.identify_host_dominance,
+    "RL05": lambda s: roles.map_roles(s.withColumn("turn_idx", F.col("seg_idx")), s),
+    "RL06": roles.host_by_time,
+    "RL07": roles.host_by_score,
+    "RL08": lambda s: roles.resolve_roles(s.select("episode_id").distinct().withColumn("response", F.lit(MODEL)), s),
+    "RL09": lambda s: roles.roles_from_pair_reply(_reply(PAIR)(s), s),
+    "RL10": lambda s: roles.label_provenance(roles.identify_host_dominance(s)),
+    "TK01": lambda s: ranking.speaker_mapping(s.withColumn("turn_idx", F.col("seg_idx"))),
+    "TK02": ranking.consolidate_speakers,
+    "TK03": ranking.first_n_per_speaker,
+    "TK05": lambda s: ranking.head_tail_sample(s, 4),
+    "TK06": lambda s: ranking.head_mid_tail_lines(s.withColumn("line_idx", F.col("seg_idx"))),
+    "TK11": ranking.top_speakers,
+    "J04": lambda s: lookups.map_speakers(
+        s, s.select("episode_id", F.col("speaker_raw").alias("speaker"), F.lit("named").alias("label")).distinct()
+    ),
+    "J05": lambda s: lookups.apply_gender(
+        s.drop("confidence"), s.select("episode_id", "speaker", F.lit("female").alias("gender"), F.lit(0.5).alias("confidence")).distinct()
+    ),
+    "J06": lambda s: lookups.apply_host(s, _hosts(s), ["method"]),
+    "J07": lambda s: lookups.apply_model_labels(
+        s, s.select("episode_id").distinct().selectExpr("*", "map('0', 'HOST') mapping", "map('0', 'r') reasoning_brief", "map('0', 0.9D) confidence")
+    ),
+    "J08": lambda s: lookups.keep_top_speakers(s, ranking.top_speakers(s, 1)),
+    "J11": lambda s: lookups.accept_candidate(s.select("episode_id", "speaker").distinct(), s),
+    "SET05": lambda s: setops.intersection(s, s, ["episode_id", "speaker"]),
+    "AG01": stats.speaker_stats,
+    "AG03": stats.two_grain_stats,
+    "SNK02": lambda s: writers.labeled_documents(
+        s.withColumn("speaker_original", F.col("speaker")), roles.label_provenance(roles.identify_host_dominance(s))
+    ),
+    "SNK03": writers.stats_documents,
+    "SNK05": lambda s: writers.sentence_documents(s, s),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OF_EPISODES))
+def test_the_null_episode_is_an_episode(spark, name):
+    rows = [r.asDict(True) for r in OF_EPISODES[name](_spoken(spark)).collect()]
+    found = {e: sorted(repr({k: v for k, v in r.items() if k != "episode_id"}) for r in rows if r["episode_id"] == e) for e in (1, None)}
+    assert found[1] and found[1] == found[None]
+
+
+def test_null_keys_are_equal_in_set_operations(spark):
+    s = _spoken(spark)
+    assert setops.difference(s, s, ["episode_id", "speaker"]).count() == 0
+    words = s.select("episode_id", F.col("seg_idx").alias("word_idx"), "speaker", "start_ms", "end_ms", F.col("text").alias("token"))
+    assert asrstats.word_segments(words, s).count() == 0
+    assert asrstats.word_segments(words, s.filter("episode_id = 1")).select("episode_id").distinct().collect()[0][0] is None
+
+
 def _intervals(spark, seed, n, index, far=60_000, longest=9000):
     rng = np.random.default_rng(seed)
     start = rng.integers(0, far, n)
