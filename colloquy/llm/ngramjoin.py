@@ -26,7 +26,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.components import connected
@@ -464,6 +464,32 @@ def set_links(signs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return met.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
 
 
+def _labelled(docs: DataFrame, rows: DataFrame, least: Column, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
+    """`key`, `label` (a key, the same for all that are connected) and `least` of the rows of each set."""
+    keys = written(open_sets(rows, percent), "open")
+    sets = written(chosen_sets(docs, rows, keys, size, id_col, text_col), "chosen_sets", TEXT_ROWS)
+    signs = written(signatures(sets, percent), "signs")
+    labels = connected(written(set_links(signs, percent), "similar", TEXT_ROWS))
+    first = written(rows.where("n > 0").groupBy("key").agg(least.alias("least")), "least")
+    return first.join(labels, first["key"] == labels["node"], "left").select("key", "least", F.coalesce("label", "key").alias("label"))
+
+
+def kept_rows(
+    docs: DataFrame, among: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Those rows of `among` (`unnamed`, `id`, `mark`) that no smaller one of their group goes with, and all without words.
+
+    A group is a component of the links of `similar_documents` between these rows.
+    """
+    rows = written(document_sets(docs, size, percent, id_col, text_col), "sets", TEXT_ROWS)
+    place = [F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("mark")]
+    named = rows.select("doc_id", "n", "key", "smallest", *place).join(among, ["unnamed", "id", "mark"], "left_semi")
+    rows = written(named, "among")
+    placed = _labelled(docs, rows, F.min(F.struct("unnamed", "id", "mark")), percent, size, id_col, text_col)
+    stays = placed.groupBy("label").agg(F.min("least").alias("least")).select("least.*")
+    return stays.unionByName(rows.where("n = 0").select("unnamed", "id", "mark").distinct())
+
+
 def similar_documents(
     docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -481,16 +507,7 @@ def similar_documents(
     Other columns are left out; an empty table gives an empty result.
     """
     rows = written(document_sets(docs, size, percent, id_col, text_col), "sets", TEXT_ROWS)
-    keys = written(open_sets(rows, percent), "open")
-    sets = written(chosen_sets(docs, rows, keys, size, id_col, text_col), "chosen_sets", TEXT_ROWS)
-    signs = written(signatures(sets, percent), "signs")
-    links = written(set_links(signs, percent), "similar", TEXT_ROWS)
-    labels = connected(links)
-    least = written(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least")), "least")
-    placed = written(
-        least.join(labels, least["key"] == labels["node"], "left").select("key", "least", F.coalesce("label", "key").alias("label")),
-        "placed",
-    )
+    placed = written(_labelled(docs, rows, F.min("doc_id"), percent, size, id_col, text_col), "placed")
     lowest = written(placed.groupBy("label").agg(F.min("least").alias("component_id")), "lowest")
     component = written(placed.join(lowest, "label").select("key", "component_id"), "component")
     grouped = rows.where("n > 0").join(component, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -175,13 +175,27 @@ def judged(texts: list[str], model: Model | None) -> Iterator[tuple[int, int, fl
         yield from flush()
 
 
-def _long(text: str, model: Model | None) -> tuple[int, int, float | None]:
-    words, sums = [], np.zeros(4)
+def _piecewise(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Words, trigrams and word n-grams of a text, block by block; those across a cut come with the block after it."""
+    at, last = 0, np.zeros(0, _U)
     for piece in pieces(text):
         found, grams, _ = _grams([piece])
-        words.append(found.words)
+        chars = found.chars
+        if at:
+            chars = np.concatenate((chars, analyse([text[max(0, at - 2) : at] + piece[:2]]).chars))
+            pair = word_grams(np.concatenate((last, found.words[:1])), np.zeros(len(last) + len(found.words[:1]), np.int64))[0]
+            grams = np.concatenate((grams, pair[2:]))
+        last = found.words[-1:] if len(found.words) else last
+        at += len(piece)
+        yield found.words, chars, grams
+
+
+def _long(text: str, model: Model | None) -> tuple[int, int, float | None]:
+    words, sums = [], np.zeros(4)
+    for found, chars, grams in _piecewise(text):
+        words.append(found)
         if model:
-            sums += model.weights[found.chars].sum(), len(found.chars), model.weights[grams].sum(), len(grams)
+            sums += model.weights[chars].sum(), len(chars), model.weights[grams].sum(), len(grams)
     every = np.concatenate(words)
     score = model.bias + sums[0] / max(sums[1], 1) + sums[2] / max(sums[3], 1) if model else None
     return len(every), int(repeated_words(every, np.zeros(len(every), np.int64), 1)[0]), score
@@ -190,9 +204,8 @@ def _long(text: str, model: Model | None) -> tuple[int, int, float | None]:
 def shares(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The features of one text: hash values, and their shares among the n-grams of their kind."""
     total = np.zeros(2 * BUCKETS)
-    for piece in pieces(text):
-        found, grams, _ = _grams([piece])
-        total += np.bincount(np.concatenate((found.chars, grams)), minlength=2 * BUCKETS)
+    for _, chars, grams in _piecewise(text):
+        total += np.bincount(np.concatenate((chars, grams)), minlength=2 * BUCKETS)
     for half in (total[:BUCKETS], total[BUCKETS:]):
         half /= max(half.sum(), 1)
     where = np.flatnonzero(total)

@@ -237,24 +237,35 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
     )
 
 
-def representatives(
-    docs: DataFrame, keep: Sequence[str], distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """The columns `keep` of one row of each component: that with the smallest id, then the least text hash.
+# What names a row: whether it has no id, its id or 0, and a hash of its text. In this order the first row stays.
+PLACE = ["unnamed", "id", "mark"]
 
-    Null ids come after all others. Only ids and hashes are grouped; texts are
-    shuffled once, to the rows that stay.
+
+def kept_rows(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`unnamed`, `id`, `mark` of one row of each component: that with the smallest id, then the least text hash.
+
+    Null ids come after all others; repeated rows are one.
     """
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints", 1000)
-    best = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    best = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("id"), "mark")
     of_bits = rows.groupBy("bits").agg(F.min(best).alias("best"))
     stays = of_bits.join(_grouped(rows, distance), "bits").groupBy("label").agg(F.min("best").alias("best"))
-    keys = ["id", "unnamed", "mark"]
-    stays = stays.select(F.coalesce("best.doc_id", F.lit(0)).alias("id"), "best.unnamed", "best.mark")
+    return stays.select("best.*")
+
+
+def take_rows(docs: DataFrame, kept: DataFrame, keep: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns `keep` of the rows that `kept` names, repeated rows once; texts are shuffled once."""
     key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     marked = picked(
         docs, id=F.coalesce(key.cast("long"), F.lit(0)), unnamed=key.isNull(), mark=F.xxhash64(text),
         **{f"in_{i}": c for i, c in enumerate(keep)},
     )
     # repeated rows go before the shuffle, where each task sees them
-    return marked.dropDuplicates(keys).join(stays, keys, "left_semi").drop(*keys).toDF(*keep)
+    return marked.dropDuplicates(PLACE).join(kept, PLACE, "left_semi").drop(*PLACE).toDF(*keep)
+
+
+def representatives(
+    docs: DataFrame, keep: Sequence[str], distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The columns `keep` of the rows of `kept_rows`. Only ids and hashes are grouped."""
+    return take_rows(docs, kept_rows(docs, distance, id_col, text_col), keep, id_col, text_col)

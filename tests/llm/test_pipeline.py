@@ -10,6 +10,7 @@ import corpus_pipeline
 from colloquy.llm import bpe, mixing, passages, quality
 from colloquy.llm.runtime import written
 from tests.llm.test_dedup import plain_components, plain_cut, plain_fingerprint
+from tests.llm.test_joins import plain_join
 from tests.llm.test_quality import plain_base
 
 
@@ -34,8 +35,11 @@ def test_stages_follow_their_operators(spark, sf, docs):
 
     unique = written(stage("near_duplicates")(spark, kept, sf), "n")
     found = [(k, plain_fingerprint(r.text)) for k, r in after.items()]
+    of_bits = [(k, after[k].text) for k in plain_components(found)]
     left = rows_of(unique)
-    assert set(left) == set(plain_components(found)) and all(left[k] == after[k] for k in left)
+    assert set(left) == {component for _, _, component in plain_join(of_bits)} and all(left[k] == after[k] for k in left)
+    # no two that stay share 80 in a hundred of their shingles, and some went that the fingerprints kept
+    assert all(k == component for k, _, component in plain_join([(k, r.text) for k, r in left.items()])) and len(left) < len(of_bits)
 
     cut = written(stage("passages")(spark, unique, sf), "p")
     order = sorted(left)
@@ -78,3 +82,29 @@ def test_empty_documents(spark, sf, docs):
     for name, fn in corpus_pipeline.STAGES:
         none = written(fn(spark, none, sf), name)
         assert none.count() == 0
+
+
+def test_odd_documents(spark, sf, odd):
+    """Nulls, empty and long texts, ties, repeated rows and columns with the stages' own names."""
+    texts = [r.text for r in odd.select("text").collect()]
+    kept = written(stage("quality")(spark, odd, sf), "q")
+    want = sorted((t for t in texts if not plain_base(t)[-1]), key=repr)
+    assert sorted((r.text for r in kept.collect()), key=repr) == want and kept.columns == corpus_pipeline.COLUMNS
+
+    near = written(stage("near_duplicates")(spark, odd, sf), "n").collect()
+    # copies once, texts without words once
+    assert sorted(((r.doc_id, r.text) for r in near), key=repr) == sorted(
+        [(i, t) for i, t in dict((t, (i, t)) for i, t in reversed(rows_with_words(odd))).values()] + [(1, None)], key=repr
+    )
+    cut = written(stage("passages")(spark, odd, sf), "p").collect()
+    assert len(cut) == len(texts) and sum(r.text == "" for r in cut) == 5
+    mix = written(stage("mix")(spark, odd, sf), "m")
+    assert {r.doc_id for r in mix.collect()} == {r.doc_id for r in odd.collect()} and mix.columns == corpus_pipeline.COLUMNS
+    ids = stage("token_ids")(spark, odd, sf).collect()
+    assert len(ids) == len(texts) and sum(r.n_tokens == 0 for r in ids) == 3
+
+
+def rows_with_words(odd):
+    """Ids and texts with words, the smallest id of a text first and nulls last."""
+    rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect() if (r.text or "").strip(" \t\n\x0b\x0c\r")]
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))

@@ -44,17 +44,21 @@ def test_odd_rows_without_a_model(odd, empty):
     assert quality.apply_rules(empty, None).count() == 0
 
 
-def test_blocks_give_what_whole_texts_give(monkeypatch, texts):
+@pytest.mark.parametrize("block", [1, 50, 1000])
+def test_blocks_give_what_whole_texts_give(monkeypatch, texts, block):
     rng = np.random.default_rng(1)
     model = quality.Model(rng.normal(size=2 * quality.BUCKETS), 0.1, 1.0, 0.0)
-    every = [*texts.values(), "a b " * 500, "x" * 3000, "", " "]
+    every = [*texts.values(), "a b " * 500, "x" * 3000, "", " ", " a  bc d ", "\n\n" * 40 + "end"]
+    every = every[-60:] if block == 1 else every
     want = list(quality.judged(every, model))
-    monkeypatch.setattr(quality, "BLOCK", 1000)
+    shares = [quality.shares(t) for t in every]
+    monkeypatch.setattr(quality, "BLOCK", block)
     got = list(quality.judged(every, model))
     assert [g[:2] for g in got] == [w[:2] for w in want]
-    for text, g, w in zip(every, got, want):
-        # only n-grams across a cut between blocks are missing
-        assert g[2] == pytest.approx(w[2], abs=0.0 if len(text) <= 1000 else 0.5)
+    for text, g, w, (where, share) in zip(every, got, want, shares):
+        assert g[2] == pytest.approx(w[2], abs=1e-9)
+        now = quality.shares(text)
+        assert np.array_equal(now[0], where) and np.array_equal(now[1], share)
 
 
 def test_scores_are_means_of_weights(texts):
