@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, mixing, passages, quality, simhash
+from colloquy.llm import bpe, mixing, ngramjoin, passages, quality, simhash
 from colloquy.llm.runtime import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,19 +17,34 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the text rules and the classifier keep; it is fitted on the labelled ones among `docs`."""
+    """Documents that the text rules and the classifier keep; it is fitted on the labelled ones among `docs`.
+
+    Null and empty texts fail the rules. Rows with null ids, repeated rows and very
+    long texts are judged like all others; without labels of both kinds the rules decide alone.
+    """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     judged = quality.apply_rules(docs, model, keep=COLUMNS[1:])
     return judged.where("kept").select("doc_id", *(F.col(f"in_{c}").alias(c) for c in COLUMNS[1:]))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.representatives(docs, keep=COLUMNS)
+    """One document of each group of near copies: that with the smallest id, then the least text hash.
+
+    First the groups of SimHash fingerprints. Most texts that share 80 in a hundred
+    of their five-word shingles differ in more bits than those allow, so of what
+    stays, the groups by shingles follow. Null ids come last in a group, repeated rows
+    are one, texts of any length count whole, and texts without words are one SimHash group.
+    """
+    kept = ngramjoin.kept_rows(docs, written(simhash.kept_rows(docs), "kept"))
+    return simhash.take_rows(docs, written(kept, "kept"), COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that an earlier document, or an earlier place of the same one, has."""
+    """Texts without passages that an earlier document, or an earlier place of the same one, has.
+
+    No row goes: a repeated row keeps an empty text. Null texts become empty, null
+    ids come after all others, and texts of any length count whole.
+    """
     cut = passages.remove_repeats(docs, keep=["lang", "source"], characters=True)
     text = F.col("kept").cast("string")
     return cut.select(
@@ -39,12 +54,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, those of smaller sources again up to their weight."""
+    """Every document once, those of smaller sources again up to their weight.
+
+    A null source is one of its own; documents without words come once. Repeated
+    rows are rows of their own, and all rows with one id get the same key.
+    """
     return mixing.realised(docs, mixing.mixing_plan(mixing.token_table(docs))).select(COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of every text, little-endian unsigned 32-bit."""
+    """Byte-level BPE ids of every text, little-endian unsigned 32-bit; null and empty texts have none."""
     return bpe.encode_documents(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
 
 
