@@ -558,6 +558,20 @@ def _live_words(spark, sf) -> DataFrame:
     return words.withColumn("ts", F.timestamp_millis("start_ms"))
 
 
+def _ended_words(spark, sf) -> DataFrame:
+    """The word feed as a stream of files that a row without a speaker, a day after the last word, ends."""
+    path = scratch_path(spark, "feed")
+    words = V.words(spark, sf).select(
+        "episode_id", "word_idx", F.col("speaker").cast("string").alias("speaker"), "start_ms", "end_ms", "token",
+        F.timestamp_millis("start_ms").alias("ts"),
+    )
+    words.write.parquet(path)
+    end = spark.read.parquet(path).agg(F.max("ts").alias("ts")).select(F.col("ts") + F.expr("interval 1 day"))
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in words.schema.fields[:-1]]
+    end.toDF("ts").select(*nothing, "ts").where("ts is not null").write.mode("append").parquet(path)
+    return live.file_stream(spark, path, words.schema)
+
+
 @query(
     "st03_streaming_gap_sessions",
     f"""WITH {WORD}, l AS (SELECT *, lag(start_ms) OVER (PARTITION BY episode_id, speaker ORDER BY start_ms) AS p FROM word WHERE speaker IS NOT NULL),
@@ -565,7 +579,9 @@ def _live_words(spark, sf) -> DataFrame:
     SELECT episode_id, speaker, min(start_ms) AS start_ms, count(*) AS n_words, max(end_ms) AS end_ms FROM s GROUP BY episode_id, speaker, i""",
 )
 def st03(spark, sf):
-    out = _collected(live.gap_sessions(_live_words(spark, sf)), "complete")
+    """Append mode: a session comes out once the watermark has passed it."""
+    words = _ended_words(spark, sf).withColumn("speaker", F.col("speaker").cast("int"))
+    out = _collected(live.gap_sessions(words), "append").where("speaker is not null")
     return out.select("episode_id", "speaker", F.unix_millis("session_start").alias("start_ms"), "n_words", "end_ms")
 
 
@@ -576,8 +592,27 @@ def st03(spark, sf):
       FROM marked GROUP BY episode_id, island)
     SELECT episode_id, head_idx, speaker, start_ms, end_ms, text FROM i""",
 )
-def st03_exact(spark, sf):
+def st03_batches(spark, sf):
     """All segments: the closed ones, and at the end of the feed those still open."""
     path = scratch_path(spark, "stream")
     live.keep_gap_segments(_live_words(spark, sf), path, scratch_path(spark, "checkpoint"))
     return live.all_gap_segments(spark, path)
+
+
+@query(
+    "st03_streaming_gap_segments_live",
+    f"""WITH {WORD}, lagged AS (SELECT *, lag(speaker) OVER o AS ps, lag(end_ms) OVER o AS pe FROM word WHERE speaker IS NOT NULL
+        WINDOW o AS (PARTITION BY episode_id ORDER BY start_ms, word_idx)),
+      marked AS (SELECT *, sum(CASE WHEN ps IS NULL OR ps <> speaker OR start_ms - pe > 800 THEN 1 ELSE 0 END)
+        OVER (PARTITION BY episode_id ORDER BY start_ms, word_idx ROWS UNBOUNDED PRECEDING) AS island FROM lagged),
+      placed AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY start_ms, word_idx) AS place FROM marked)
+    SELECT episode_id, arg_min(word_idx, place) AS head_idx, min(speaker)::VARCHAR AS speaker, min(start_ms) AS start_ms,
+      arg_max(end_ms, place) AS end_ms, string_agg(token, ' ' ORDER BY place) AS text FROM placed GROUP BY episode_id, island""",
+)
+def st03_live(spark, sf):
+    """Every segment once, when no word can follow it any more; timers close them and empty the state."""
+    path = scratch_path(spark, "stream")
+    stream = live.gap_segments(_ended_words(spark, sf))
+    live.append_available(stream, path, scratch_path(spark, "checkpoint"))
+    rows = spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(path)
+    return rows.select("episode_id", "head_idx", "speaker", "start_ms", "end_ms", "text")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from colloquy.operators.blocks import join_on
 from colloquy.operators.sequences import words_to_segments
@@ -19,8 +22,8 @@ def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", ma
     return reader.load(path)
 
 
-def run_available(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], mode: str) -> None:
-    """Process what is there now; a later call with the same checkpoint takes only new input."""
+def run_available(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], mode: str) -> StreamingQuery:
+    """Process what is there now; a later call with the same checkpoint takes only new input. The ended query."""
     query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
@@ -29,6 +32,7 @@ def run_available(stream: DataFrame, checkpoint: str, handle: Callable[[DataFram
         .start()
     )
     query.awaitTermination()
+    return query
 
 
 def incremental_ingest(
@@ -84,6 +88,117 @@ def gap_sessions(words: DataFrame, gap: str = "800 milliseconds", lateness: str
     )
 
 
+WAITING = "word_idx long, speaker string, start_ms long, end_ms long, token string"
+OPEN = "head_idx long, speaker string, start_ms long, end_ms long, text string"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _GapSegments(StatefulProcessor):
+    """Segments of one episode: words wait until none before them can come, a segment closes when none can follow."""
+
+    def __init__(self, gap_ms: int):
+        self.gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", WAITING)
+        self.open = handle.getValueState("open", OPEN)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            frame = frame[frame["whole"]]
+            if len(frame):
+                fields = [frame[c].tolist() for c in ("word_idx", "speaker", "start_ms", "end_ms", "token")]
+                self.waiting.appendList(list(zip(*fields)))
+                self.handle.registerTimer(int(frame["start_ms"].max()) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        words = pd.DataFrame(list(self.waiting.get()), columns=[f.split()[0] for f in WAITING.split(", ")])
+        done = []
+        due = words[words["start_ms"] < now].sort_values(["start_ms", "word_idx"], ignore_index=True)
+        if len(due):
+            later = words[words["start_ms"] >= now]
+            if len(later):
+                self.waiting.put(list(later.itertuples(index=False, name=None)))
+            else:
+                self.waiting.clear()
+            done = self._joined(due)
+            self.open.update(done.pop())
+        if self.open.exists():
+            last = tuple(self.open.get())
+            if last[3] + self.gap_ms < now:
+                done.append(last)
+                self.open.clear()
+            else:
+                self.handle.registerTimer(int(last[3]) + self.gap_ms + 1)
+        if done:
+            columns = [f.split()[0] for f in OPEN.split(", ")]
+            episode = None if key[0] else key[1]
+            yield pd.DataFrame(done, columns=columns).assign(episode_id=episode)[["episode_id", *columns]]
+
+    def _joined(self, due: pd.DataFrame) -> list[tuple]:
+        """The open segment and the words in order, as segments; only the last one may go on."""
+        if self.open.exists():
+            head, *held = tuple(self.open.get())
+            before = pd.DataFrame([(head, *held)], columns=due.columns)
+            due = pd.concat([before, due], ignore_index=True)
+        start, end, speaker = due["start_ms"].to_numpy(), due["end_ms"].to_numpy(), due["speaker"].to_numpy()
+        cut = np.concatenate(([True], (speaker[1:] != speaker[:-1]) | (start[1:] - end[:-1] > self.gap_ms)))
+        heads = np.flatnonzero(cut)
+        stops = np.append(heads[1:], len(due))
+        idx, token = due["word_idx"].to_numpy(), due["token"].tolist()
+        return [
+            (int(idx[a]), str(speaker[a]), int(start[a]), int(end[b - 1]), " ".join(token[a:b])) for a, b in zip(heads, stops)
+        ]
+
+    def close(self) -> None:
+        pass
+
+
+def gap_segments(words: DataFrame, gap_ms: int = 800, lateness: str = "1 minute") -> DataFrame:
+    """Segments of a live word feed by the exact rule, each given out once when it is complete.
+
+    `words(episode_id, word_idx, speaker, start_ms, end_ms, token, ts)`, `ts` being the
+    time of `start_ms`. Words may come `lateness` out of order; they are joined in
+    the order of their start. A word waits until the watermark has passed it, and a
+    segment closes by a timer once the watermark is over the gap after its end, so
+    the state holds what is in flight only and is empty after a pause. Words
+    without speaker, start or end are left out; any such row with a later `ts` moves the
+    feed on, and one far in the future ends it.
+    """
+    kind = words.schema["episode_id"].dataType.simpleString()
+    whole = F.col("speaker").isNotNull() & F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull()
+    # no NULL gets to pandas, which would make its whole column floating point
+    unset = F.lit("" if kind == "string" else 0).cast(kind)
+    rows = words.select(
+        F.col("episode_id").isNull().alias("no_episode"), F.coalesce("episode_id", unset).alias("episode"), whole.alias("whole"),
+        *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("word_idx", "start_ms", "end_ms")),
+        *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("speaker", "token")), "ts",
+    )
+    return rows.withWatermark("ts", lateness).groupBy("no_episode", "episode").transformWithStateInPandas(
+        _GapSegments(gap_ms), f"episode_id {kind}, {OPEN}", "Append", "EventTime"
+    )
+
+
+def append_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write what is there now below `path`, a folder per batch, with the state in RocksDB. The ended query."""
+    spark = stream.sparkSession
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    before = spark.conf.get(STATE_STORE)
+    # a query copies the settings when it starts
+    spark.conf.set(STATE_STORE, ROCKS)
+    try:
+        return run_available(stream, checkpoint, handle, "append")
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
 FIELDS = ["episode_id", "head_idx", "speaker", "start_ms", "end_ms", "text"]
 
 

@@ -1,6 +1,7 @@
 """Readers on files as they come, writers in the one-folder-per-episode layout, plans and streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,3 +198,44 @@ def test_one_exchange_for_speaker_stats(spark, sf):
 def test_top_k_is_limited_before_the_shuffle(spark, sf):
     plan = queries()["tk04_first_n_per_speaker_then_m"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def _spoken_words(rng, episode, n):
+    """Words of an episode in order of their start, with pauses about the gap."""
+    rows, at = [], 1_700_000_000_000
+    for i in range(n):
+        at += rng.choice([0, 200, 700, 799, 800, 801, 900, 3000])
+        rows.append((episode, i, rng.choice(["0", "0", "1"]), at, at + rng.choice([0, 100, 300]), f"w{i}"))
+    return rows
+
+
+def _plain_segments(rows, gap=800):
+    out = []
+    for e, i, speaker, start, end, token in sorted(rows, key=lambda r: (repr(r[0]), r[3], r[1])):
+        last = out[-1] if out else None
+        if last and last[0] == e and last[2] == speaker and start - last[4] <= gap:
+            out[-1] = (*last[:4], end, last[5] + " " + token)
+        else:
+            out.append((e, i, speaker, start, end, token))
+    return sorted(out, key=repr)
+
+
+def test_late_words_and_an_empty_state(spark, tmp_path):
+    """Words up to a minute late, three batches and the end of the feed: every segment once, and no state left."""
+    rng = random.Random(5)
+    rows = [(*r[:1], r[1] + 2**60, *r[2:]) for e in (1, 2, 3, 4, 5, None) for r in _spoken_words(rng, e, 120)]
+    schema = "episode_id bigint, word_idx bigint, speaker string, start_ms bigint, end_ms bigint, token string"
+    order = sorted(rows, key=lambda r: r[3] + rng.randint(0, 50_000))
+    feed, out, checkpoint = (str(tmp_path / n) for n in ("feed", "out", "cp"))
+    cut = len(order) // 3
+    batches = [order[:cut], order[cut : 2 * cut], order[2 * cut :], [(None, None, None, 1_900_000_000_000, None, None)]]
+    sizes = []
+    for i, batch in enumerate(batches):
+        frame = spark.createDataFrame(batch, schema).withColumn("ts", F.timestamp_millis("start_ms"))
+        frame.coalesce(1).write.mode("append").parquet(feed)
+        words = live.file_stream(spark, feed, frame.schema, max_files=1)
+        query = live.append_available(live.gap_segments(words), out, checkpoint)
+        sizes.append(query.recentProgress[-1].stateOperators[0].numRowsTotal)
+    got = spark.read.option("recursiveFileLookup", True).parquet(out)
+    assert sorted((tuple(r[c] for c in ("episode_id", "head_idx", "speaker", "start_ms", "end_ms", "text")) for r in got.collect()), key=repr) == _plain_segments(rows)
+    assert sizes[0] > 0 and sizes[-1] == 0
