@@ -192,17 +192,25 @@ def open_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         return rows
 
     def count(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(keys: np.ndarray, needs: np.ndarray, shared: np.ndarray) -> pa.RecordBatch:
-            columns = [pa.array(c.astype(np.int64)) for c in (keys, needs, shared)]
-            return pa.RecordBatch.from_arrays(columns, names=["key", "need", "shared"])
-
+        """What each set shares, bucket by bucket, handed on in a row per range of keys."""
         forget()
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            keys, needs, shared = (np.concatenate(c).astype("<i8") for c in zip(*held))
+            held.clear()
+            rows = [(r, keys[at].tobytes(), needs[at].tobytes(), shared[at].tobytes()) for r, at in _dealt(keys.view(_U), buckets)]
+            made = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
+            return pa.RecordBatch.from_arrays(made, names=["range", "keys", "needs", "counts"])
+
         for _, rows in _groups(parts):
+            if sum(len(h[0]) for h in held) >= PER_BUCKET:
+                yield flush()
             tokens, keys, needs, common = [], [], [], []
             for _, of, need, counts, places, found in rows:
                 of, need, found = np.frombuffer(of, np.int64), np.frombuffer(need, "<u4"), np.frombuffer(found, _U)
                 if counts:
-                    yield made(of, need, np.frombuffer(counts, "<u4"))
+                    held.append((of, need, np.frombuffer(counts, "<u4")))
                     continue
                 at = np.frombuffer(places, "<u2")
                 one = at != SEVERAL
@@ -223,13 +231,25 @@ def open_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             shared = np.repeat((size > 1) | np.isin(tokens[heads], common), size)
             where, at, n = np.unique(keys[shared], return_index=True, return_counts=True)
             if len(where):
-                yield made(where, needs[shared][at], n)
+                held.append((where, needs[shared][at], n))
+        if held:
+            yield flush()
+
+    def total_of(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(parts):
+            keys, needs, shared = (np.frombuffer(b"".join(r[i] for r in rows), "<i8") for i in (1, 2, 3))
+            found, first, at = np.unique(keys, return_index=True, return_inverse=True)
+            sums = np.zeros(len(found), np.int64)
+            np.add.at(sums, at, shared)
+            yield pa.RecordBatch.from_arrays([pa.array(found[sums >= needs[first]])], names=["key"])
 
     sent = sets.where("n > 0").select("n", "key", "smallest").mapInArrow(
         deal, "bucket int, keys binary, needs binary, counts binary, places binary, tokens binary"
     )
-    credit = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "key long, need long, shared long")
-    return credit.groupBy("key").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("key")
+    shared = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
+        count, "range int, keys binary, needs binary, counts binary"
+    )
+    return shared.repartition(buckets, "range").sortWithinPartitions("range").mapInArrow(total_of, "key long")
 
 
 def chosen_sets(docs: DataFrame, sets: DataFrame, keys: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
