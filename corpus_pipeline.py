@@ -59,6 +59,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is one of its own; documents without words come once. Repeated
     rows are rows of their own, and all rows with one id get the same key.
     """
+    docs = docs.select(COLUMNS)
     return mixing.realised(docs, mixing.mixing_plan(mixing.token_table(docs))).select(COLUMNS)
 
 
