@@ -6,6 +6,8 @@ combined before it is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,26 +39,42 @@ def utterance_facts(segments: DataFrame, question: str = "final") -> DataFrame:
     )
 
 
-def _summaries(prefix: str, value: str, scale: int) -> list[Column]:
+AGGREGATES = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+# What partial rows hold; "rows" is 1 in every utterance.
+PARTS = [("count", "rows")] + [(kind, value) for value in ("dur_ms", "n_words", "is_q") for kind in AGGREGATES]
+
+
+def _of_rows(kind: str, value: str) -> Column:
+    return AGGREGATES[kind](F.lit(1) if value == "rows" else F.col(value))
+
+
+def _of_parts(kind: str, value: str) -> Column:
+    """The same aggregate from partial rows: counts add up."""
+    return AGGREGATES["sum" if kind == "count" else kind](f"{value}_{kind}")
+
+
+def _summaries(prefix: str, value: str, scale: int, of: Callable[[str, str], Column] = _of_rows) -> list[Column]:
     """count, mean, min, max of an integer column; `scale` 1000 turns ms into s."""
     return [
-        F.count(value).alias(f"{prefix}_count"),
-        round_ratio(F.sum(value), F.count(value) * scale, 3).alias(f"{prefix}_mean"),
-        (F.min(value) / scale).alias(f"{prefix}_min"),
-        (F.max(value) / scale).alias(f"{prefix}_max"),
+        of("count", value).alias(f"{prefix}_count"),
+        round_ratio(of("sum", value), of("count", value) * scale, 3).alias(f"{prefix}_mean"),
+        (of("min", value) / scale).alias(f"{prefix}_min"),
+        (of("max", value) / scale).alias(f"{prefix}_max"),
     ]
 
 
-def _speaker_measures(wpm_places: int = 2, rate_places: int = 4) -> list[Column]:
+def _speaker_measures(
+    wpm_places: int = 2, rate_places: int = 4, of: Callable[[str, str], Column] = _of_rows
+) -> list[Column]:
     return [
-        F.count(F.lit(1)).alias("num_sentences"),
-        (F.sum("dur_ms") / 1000).alias("total_speech_s"),
-        F.sum("n_words").alias("total_words"),
-        round_ratio(F.sum("n_words") * 60000, F.sum("dur_ms"), wpm_places).alias("wpm_est"),
-        F.sum("is_q").alias("question_count"),
-        round_ratio(F.sum("is_q"), F.count(F.lit(1)), rate_places).alias("question_rate_per_sentence"),
-        *_summaries("duration", "dur_ms", 1000),
-        *_summaries("words", "n_words", 1),
+        of("count", "rows").alias("num_sentences"),
+        (of("sum", "dur_ms") / 1000).alias("total_speech_s"),
+        of("sum", "n_words").alias("total_words"),
+        round_ratio(of("sum", "n_words") * 60000, of("sum", "dur_ms"), wpm_places).alias("wpm_est"),
+        of("sum", "is_q").alias("question_count"),
+        round_ratio(of("sum", "is_q"), of("count", "rows"), rate_places).alias("question_rate_per_sentence"),
+        *_summaries("duration", "dur_ms", 1000, of),
+        *_summaries("words", "n_words", 1, of),
     ]
 
 
@@ -64,6 +82,20 @@ def speaker_stats(segments: DataFrame) -> DataFrame:
     return utterance_facts(segments).groupBy("episode_id", "speaker").agg(*_speaker_measures())
 
 
+def speaker_parts(segments: DataFrame) -> DataFrame:
+    """Partial rows per (episode, speaker), from which `merged_parts` and `stats_of_parts` go on."""
+    return utterance_facts(segments).groupBy("episode_id", "speaker").agg(*(_of_rows(*p).alias(f"{p[1]}_{p[0]}") for p in PARTS))
+
+
+def merged_parts(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("episode_id", "speaker").agg(*(_of_parts(*p).alias(f"{p[1]}_{p[0]}") for p in PARTS))
+
+
+def stats_of_parts(parts: DataFrame) -> DataFrame:
+    """`speaker_stats` of all utterances that went into the partial rows."""
+    return parts.groupBy("episode_id", "speaker").agg(*_speaker_measures(of=_of_parts))
+
+
 def episode_stats(segments: DataFrame) -> DataFrame:
     return (
         utterance_facts(segments)

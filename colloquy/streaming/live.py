@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +13,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from colloquy.operators.blocks import join_on
 from colloquy.operators.sequences import words_to_segments
-from colloquy.operators.stats import speaker_stats
+from colloquy.operators.stats import merged_parts, speaker_parts, stats_of_parts
+
+RANGE = re.compile(r"\d+-\d+")
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
@@ -51,27 +54,59 @@ def incremental_ingest(
     run_available(stream, checkpoint, handle, "append")
 
 
-def keep_speaker_stats(utterances: DataFrame, path: str, checkpoint: str) -> None:
-    """Speaker statistics kept up to date as utterances arrive.
-
-    The same expressions as the batch form; the state is one row per speaker of
-    an episode. A batch writes the rows it changed, not all of them, to a folder
-    of its own; `latest_speaker_stats` reads the last row of each speaker. The
-    median form is batch only.
+def _file_system(spark: SparkSession, path: str):
+    """The file system of `path` as Spark's own writers see it, and the path in it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _ranges(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """Fewest folders `first-last` that hold every batch written so far, each once."""
+    files, root = _file_system(spark, path)
+    if not files.exists(root):
+        return []
+    names = (status.getPath().getName() for status in files.listStatus(root))
+    found = sorted((tuple(map(int, n.split("-"))) for n in names if RANGE.fullmatch(n)), key=lambda r: (r[0], -r[1]))
+    chosen, following = [], 0
+    for first, last in found:
+        if first == following and files.exists(_file_system(spark, f"{path}/{first}-{last}/_SUCCESS")[1]):
+            chosen.append((first, last))
+            following = last + 1
+    return chosen
+
+
+def keep_speaker_stats(utterances: DataFrame, path: str, checkpoint: str, fan: int = 8) -> StreamingQuery:
+    """Speaker statistics kept up to date as utterances arrive, however late. The ended query.
+
+    The stream keeps no state. A batch writes partial rows of its own utterances to
+    a folder `first-last` named after the batches in it; `fan` folders of one
+    length are merged into one when the next batch comes, so a row is
+    written again only once per power of `fan`, and `latest_speaker_stats` reads at
+    most `fan` folders for each of these. A batch that is run again overwrites the same folders
+    with the same rows. Folders that a longer one replaces stay for readers that
+    began before; they may be removed at any time. The median form is batch only.
     """
+    if fan < 2:
+        raise ValueError("fan must be 2 or more")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark, length = batch.sparkSession, 1
+        while batch_id and batch_id % (length * fan) == 0:
+            first = batch_id - length * fan
+            steps = [f"{path}/{at}-{at + length - 1}" for at in range(first, batch_id, length)]
+            merged_parts(spark.read.parquet(*steps)).write.mode("overwrite").parquet(f"{path}/{first}-{batch_id - 1}")
+            length *= fan
+        speaker_parts(batch).write.mode("overwrite").parquet(f"{path}/{batch_id}-{batch_id}")
 
-    run_available(speaker_stats(utterances), checkpoint, handle, "update")
+    return run_available(utterances, checkpoint, handle, "append")
 
 
 def latest_speaker_stats(spark: SparkSession, path: str) -> DataFrame:
-    """The newest row of each (episode, speaker)."""
-    rows = spark.read.parquet(path)
-    found = [c for c in rows.columns if c not in ("episode_id", "speaker", "batch")]
-    newest = rows.groupBy("episode_id", "speaker").agg(F.max_by(F.struct(*found), "batch").alias("row"))
-    return newest.select("episode_id", "speaker", "row.*")
+    """Speaker statistics over all batches written so far, by the batch operator's own expressions."""
+    chosen = _ranges(spark, path)
+    if not chosen:
+        raise FileNotFoundError(f"no batch has been written below {path}")
+    return stats_of_parts(spark.read.parquet(*(f"{path}/{first}-{last}" for first, last in chosen)))
 
 
 def gap_sessions(words: DataFrame, gap: str = "800 milliseconds", lateness: str = "1 minute") -> DataFrame:

@@ -150,6 +150,42 @@ def test_statistics_of_a_stream_in_batches(spark, sf, tmp_path):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
+def test_speaker_stats_without_state(spark, tmp_path):
+    """Eleven batches of the same speakers: merged in threes, run again after a lost commit, equal to one batch."""
+    rng = random.Random(8)
+    schema = "episode_id bigint, speaker string, start_ms bigint, end_ms bigint, text string"
+    rows = [
+        (rng.choice([1, 2, None]), rng.choice(["a", "b", None]), at, rng.choice([None, at - 5, at + rng.randint(0, 9999)]), rng.choice(["", None, "so be it?", "yes no"]))
+        for at in range(0, 220_000, 1000)
+    ]
+    feed, out, checkpoint = (str(tmp_path / n) for n in ("feed", "out", "cp"))
+
+    def run():
+        return live.keep_speaker_stats(live.file_stream(spark, feed, schema, max_files=1), out, checkpoint, fan=3)
+
+    def check(held, folders):
+        want = stats.speaker_stats(spark.createDataFrame(held, schema))
+        got = live.latest_speaker_stats(spark, out).select(want.columns)
+        assert got.dtypes == want.dtypes
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+        assert live._ranges(spark, out) == folders
+
+    with pytest.raises(FileNotFoundError):
+        live.latest_speaker_stats(spark, out)
+    for i in range(10):
+        spark.createDataFrame(rows[20 * i : 20 * i + 20], schema).coalesce(1).write.mode("append").parquet(feed)
+    query = run()
+    assert not query.recentProgress[-1].stateOperators
+    check(rows[:200], [(0, 8), (9, 9)])
+    for name in ("9", ".9.crc"):
+        (tmp_path / "cp" / "commits" / name).unlink()
+    run()
+    check(rows[:200], [(0, 8), (9, 9)])
+    spark.createDataFrame(rows[200:], schema).coalesce(1).write.mode("append").parquet(feed)
+    run()
+    check(rows, [(0, 8), (9, 9), (10, 10)])
+
+
 def test_long_episodes_are_counted_whole(spark, tmp_path):
     rows = spark.range(5000).selectExpr("1L episode_id", "id seg_idx", "0 speaker_id", "id start_ms", "id + 1 end_ms", "'x' text")
     writers.write_sentence_json(rows, rows, str(tmp_path / "docs"))
