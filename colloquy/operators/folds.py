@@ -11,12 +11,12 @@ second run per block writes the result. No task ever sees more than a block.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import groupby, product
-from operator import itemgetter
+from itertools import product
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,28 +26,67 @@ from pyspark.sql import types as T
 from colloquy.functions.text import line_list
 from colloquy.operators.blocks import with_islands, with_row_number
 
-SEP = "\x1f"
-# Stands for a NULL label inside the folds: a label like any other.
-NONE = "\x00"
+# Rounds in which rows that cannot change are told from the others before the rule runs over the rest.
+ROUNDS = 3
 
 
-def _smooth(raw: list[str], before: list[str], first: int, total: int, k: int, share: float) -> list[str]:
-    """Smoothed labels for rows `first..`; `raw` holds the block and its right halo."""
-    done = list(before)
-    offset = len(before)
-    labels = done + raw
-    for i in range(len(raw)):
-        at = first + i
-        if 0 < at < total - 1:
-            j = offset + i
-            near = labels[max(0, j - min(k, at)):j] + labels[j + 1:j + 1 + k]
-            top = max(set(near), key=near.count)
-            if top != labels[j] and near.count(top) >= len(near) * share:
-                labels[j] = top
-    return labels[offset:]
-
-
-def _smooth_options(context: list[str], j: int, k: int, share: float) -> set[str]:
+@dataclass(frozen=True)
+class _Rows:
+    """Rows of one or more blocks in order; labels are small integers, equal where the labels are."""
+
+    label: np.ndarray
+    block: np.ndarray
+    place: np.ndarray
+    total: np.ndarray
+    fixed: np.ndarray
+
+    def shifted(self, by: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value `by` rows on, and whether that row is of the same block."""
+        moved, same = np.roll(values, -by), np.roll(self.block, -by) == self.block
+        if by > 0:
+            same[-by:] = False
+        else:
+            same[:-by] = False
+        return moved, same
+
+
+Rule = Callable[[_Rows], np.ndarray]
+
+
+def _smooth(rows: _Rows, k: int, share: float) -> np.ndarray:
+    """Labels after smoothing; the right neighbours of a block's last rows may follow it."""
+    label = rows.label
+    size = len(label)
+    right = [rows.shifted(b, label) for b in range(1, min(k, size - 1) + 1)]
+    n_left = np.minimum(k, rows.place)
+    n_right = np.zeros(size, dtype=np.int64)
+    for _, there in right:
+        n_right += there
+    needed = (n_left + n_right) * share
+    open_rows = ~rows.fixed & (rows.place > 0) & (rows.place < rows.total - 1)
+    # A row changes only to a label with `needed` votes. The votes of the right are
+    # known; a row on the left votes for its raw label, or for any if it may change.
+    votes = [sum(((there & (value == want)).astype(np.int64) for value, there in right), np.zeros(size, np.int64)) for want, _ in right]
+    may = open_rows
+    for _ in range(ROUNDS):
+        found = open_rows & (n_left >= needed)
+        left = [(*rows.shifted(-b, label), rows.shifted(-b, may)[0]) for b in range(1, min(k, size - 1) + 1)]
+        for (want, there), vote in zip(right, votes):
+            possible = vote.copy()
+            for value, same, loose in left:
+                possible += same & (loose | (value == want))
+            found = found | (open_rows & there & (want != label) & (possible >= needed))
+        may = found
+    out = label.tolist()
+    for j, before, after in zip(np.flatnonzero(may).tolist(), n_left[may].tolist(), n_right[may].tolist()):
+        near = out[j - before:j] + out[j + 1:j + 1 + after]
+        top = max(near, key=near.count)
+        if top != out[j] and near.count(top) >= len(near) * share:
+            out[j] = top
+    return np.array(out, dtype=np.int64)
+
+
+def _smooth_options(context: list[int], j: int, k: int, share: float) -> set[int]:
     """Labels row j can end up with, whatever came before it."""
     options = {context[j]}
     right = context[j + 1:j + 1 + k]
@@ -58,50 +97,72 @@ def _smooth_options(context: list[str], j: int, k: int, share: float) -> set[str
     return options
 
 
-def _unflicker(raw: list[str], before: list[str], first: int, total: int) -> list[str]:
+def _unflicker(rows: _Rows) -> np.ndarray:
     """Third of a run A, B, A becomes B."""
-    labels = list(before) + raw
-    offset = len(before)
-    for i in range(len(raw)):
-        j = offset + i
-        if first + i > 1:
-            one, two = labels[j - 1], labels[j - 2]
-            if labels[j] == two and labels[j] != one:
-                labels[j] = one
-    return labels[offset:]
+    label = rows.label
+    one, two, three = (rows.shifted(-b, label) if len(label) > b else (label, np.zeros(len(label), bool)) for b in (1, 2, 3))
+    # Equal to its raw predecessor, a row stays as it is; so after three equal raw labels the next one stays too.
+    steady = two[1] & three[1] & (one[0] == two[0]) & (two[0] == three[0])
+    may = ~rows.fixed & (rows.place > 1) & (label != one[0]) & ~steady
+    out = label.tolist()
+    for j in np.flatnonzero(may).tolist():
+        if out[j] == out[j - 2] and out[j] != out[j - 1]:
+            out[j] = out[j - 1]
+    return np.array(out, dtype=np.int64)
+
+
+_BLOCK_COLUMNS = ["__ep", "__b", "__pos", "__raw", "__n", "__state", "__key"]
+
+
+def _whole_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames of whole blocks, from a partition that is sorted by episode, block and position."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        ids = batch[["__ep", "__b"]]
+        start = int((ids == ids.iloc[-1]).all(axis=1).to_numpy().argmax())
+        if start or (held and tuple(held[0][["__ep", "__b"]].iloc[0]) != tuple(ids.iloc[0])):
+            yield pd.concat([*held, batch[:start]], ignore_index=True)
+            held = []
+        held.append(batch[start:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 @dataclass(frozen=True)
 class _Block:
-    """One block of an episode with the raw labels around it."""
+    """One block of an episode: integer labels of the rows around and in it, and what they stand for."""
 
-    episode: object
-    number: int
+    begin: int
+    own: int
     total: int
-    state: str | None
-    context: list[str]
-    body: list[str]
-    keys: list[int]
+    context: list[int]
+    body: np.ndarray
+    names: list
 
-    def begin(self, size: int) -> int:
-        return self.number * size
+    def run(self, rule: Rule, before: list[int], rows: int | None = None) -> np.ndarray:
+        """New labels of the body, or its first `rows`, given the labels just before it."""
+        body = self.body[:rows]
+        size = len(before) + len(body)
+        label = np.concatenate((np.array(before, dtype=np.int64), body))
+        place = np.arange(self.begin - len(before), self.begin + len(body))
+        done = rule(_Rows(label, np.zeros(size, np.int64), place, np.full(size, self.total), np.arange(size) < len(before)))
+        return done[len(before):]
 
 
-_BLOCK_COLUMNS = ["__ep", "__b", "__pos", "__raw", "__n", "__state", "__key"]
+def _one_block(frame: pd.DataFrame, size: int) -> _Block:
+    label, names = _coded(frame["__raw"])
+    number, total = int(frame["__b"].iat[0]), int(frame["__n"].iat[0])
+    begin = number * size
+    cut = int(np.searchsorted(frame["__pos"].to_numpy(), begin))
+    return _Block(begin, min(size, total - begin), total, label[:cut].tolist(), label[cut:], names)
 
 
-def _blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[_Block]:
-    """Blocks of a partition that is sorted by episode, block and position."""
-    rows = (row for batch in batches for row in zip(*[batch[c].tolist() for c in _BLOCK_COLUMNS]))
-    for (episode, number), group in groupby(rows, key=itemgetter(0, 1)):
-        members = list(group)
-        labels, places = [m[3] for m in members], [m[2] for m in members]
-        cut = bisect_left(places, number * size)
-        state = members[0][5]
-        yield _Block(
-            episode, number, members[0][4], state if isinstance(state, str) else None,
-            labels[:cut], labels[cut:], [m[6] for m in members[cut:]],
-        )
+def _coded(labels: pd.Series) -> tuple[np.ndarray, list]:
+    """Labels as integers and the list they index; a NULL label is one like any other."""
+    codes, names = pd.factorize(labels.to_numpy(dtype=object), use_na_sentinel=False)
+    return codes.astype(np.int64), [None if pd.isna(name) else name for name in names]
 
 
 def _per_block(spread: DataFrame, work, schema: T.StructType) -> DataFrame:
@@ -122,22 +183,24 @@ def _fold(
     block: int,
     memory: int,
     lookahead: int,
-    run: Callable[[list[str], list[str], int, int], list[str]],
-    options: Callable[[list[str], int], set[str]],
+    rule: Rule,
+    options: Callable[[list[int], int], set[int]],
 ) -> DataFrame:
     """Run a label rule with `memory` rows of its own output and `lookahead` raw rows.
 
     `options(context, j)` lists every label row j may end up with; one raw row
-    before `memory` rows is available as context.
+    before `memory` rows is available as context. Labels before and at the end of a
+    block travel as JSON lists, so that any text can be a label.
     """
+    if block < memory:
+        raise ValueError(f"a block needs {memory} rows or more")
     left = memory + 1
     # a NULL episode is one of its own
-    rows = df.withColumn("__ep", F.coalesce(F.col("episode_id").cast("string"), F.lit(NONE)))
+    name = F.coalesce(F.concat(F.lit("="), F.col("episode_id").cast("string")), F.lit(""))
+    rows = df.withColumn("__ep", name)
     numbered = with_row_number(rows, ["__ep"], order, "__rn").withColumn("__pos", F.col("__rn") - 1).drop("__rn")
     sizes = rows.groupBy("__ep").agg(F.count(F.lit(1)).alias("__n"))
-    slim = numbered.select(
-        "__ep", "__pos", F.coalesce(label, F.lit(NONE)).alias("__raw"), F.col(order).alias("__key")
-    )
+    slim = numbered.select("__ep", "__pos", F.col(label).cast("string").alias("__raw"), F.col(order).alias("__key"))
     slim = slim.join(sizes, "__ep")
 
     home = F.floor(F.col("__pos") / block).cast("bigint")
@@ -154,34 +217,31 @@ def _fold(
     copies = slim.withColumn("__last", last_block).withColumn("__b", F.explode(targets))
     id_field = T.StructField("__ep", T.StringType())
 
-    def ends(body: list[str], start: list[str], begin: int, total: int, own: int) -> list[str]:
-        return (start + run(body, start, begin, total)[:own])[-memory:]
+    def ends(b: _Block, start: list[int], own: int, rows: int | None = None) -> list[int]:
+        return (start + b.run(rule, start, rows)[:own].tolist())[-memory:]
 
     def pairs(b: _Block) -> dict[str, str]:
         """Labels before the block to labels at its end, for every possible start."""
-        begin, own = b.begin(block), min(block, b.total - b.begin(block))
-        whole = b.context + b.body
+        whole = b.context + b.body[:lookahead + 1].tolist()
         near = range(max(0, len(b.context) - memory), len(b.context))
-        starts = list(product(*[sorted(options(whole, j)) for j in near]))
-        lead = list(starts[0])
-        found = {SEP.join(lead): SEP.join(ends(b.body, lead, begin, b.total, own))}
-        for start in map(list, starts[1:]):
+        starts = [list(s) for s in product(*[sorted(options(whole, j)) for j in near])]
+        lead = starts[0]
+        found = {tuple(lead): ends(b, lead, b.own)}
+        for start in starts[1:]:
             # Two runs whose last labels agree somewhere agree from there on.
             reach, met = 64, False
-            while reach < own and not met:
-                piece = b.body[:reach + lookahead]
-                met = ends(piece, start, begin, b.total, reach) == ends(piece, lead, begin, b.total, reach)
+            while reach < b.own and not met:
+                met = ends(b, start, reach, reach + lookahead) == ends(b, lead, reach, reach + lookahead)
                 reach *= 4
-            labels = found[SEP.join(lead)] if met else SEP.join(ends(b.body, start, begin, b.total, own))
-            found[SEP.join(start)] = labels
-        return found
+            found[tuple(start)] = found[tuple(lead)] if met else ends(b, start, b.own)
+        text = lambda codes: json.dumps([b.names[c] for c in codes])
+        return {text(start): text(end) for start, end in found.items()}
 
     def tabulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _blocks(batches, block):
-            found = pairs(b)
-            yield pd.DataFrame(
-                {"__ep": [b.episode], "__b": [b.number], "frm": [list(found)], "to": [list(found.values())]}
-            )
+        for frame in _whole_blocks(batches):
+            for (episode, number), members in frame.groupby(["__ep", "__b"], sort=False):
+                found = pairs(_one_block(members, block))
+                yield pd.DataFrame({"__ep": [episode], "__b": [number], "frm": [list(found)], "to": [list(found.values())]})
 
     labels_type = T.ArrayType(T.StringType())
     table_schema = T.StructType(
@@ -213,23 +273,38 @@ def _fold(
         .select("__ep", (F.col("chain") + F.col("__p") + 1).cast("bigint").alias("__b"), "__state")
     )
 
+    def first_blocks(frame: pd.DataFrame) -> np.ndarray:
+        """New labels of all rows of blocks that begin their episode, in one run of the rule."""
+        codes, names = _coded(frame["__raw"])
+        number = frame.groupby("__ep", sort=False).ngroup().to_numpy()
+        place, total = frame["__pos"].to_numpy(), frame["__n"].to_numpy()
+        done = rule(_Rows(codes, number, place, total, np.zeros(len(frame), bool)))
+        return np.array(names, dtype=object)[done]
+
+    def later_block(frame: pd.DataFrame) -> np.ndarray:
+        b = _one_block(frame, block)
+        names = list(b.names)
+        before = []
+        for name in json.loads(frame["__state"].iat[0]):
+            if name not in names:
+                names.append(name)
+            before.append(names.index(name))
+        done = np.concatenate((np.zeros(len(b.context), np.int64), b.run(rule, before)))
+        return np.array(names, dtype=object)[done]
+
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, keys, labels = [], [], []
-        for b in _blocks(batches, block):
-            begin, own = b.begin(block), min(block, b.total - b.begin(block))
-            before = b.state.split(SEP) if b.state is not None else []
-            ids += [b.episode] * own
-            keys += b.keys[:own]
-            labels += run(b.body, before, begin, b.total)[:own]
-            if len(ids) >= block:
-                yield pd.DataFrame({"__ep": ids, order: keys, out: labels})
-                ids, keys, labels = [], [], []
-        if ids:
-            yield pd.DataFrame({"__ep": ids, order: keys, out: labels})
+        for frame in _whole_blocks(batches):
+            parts = [frame[frame["__b"] == 0]]
+            parts += [part for _, part in frame[frame["__b"] > 0].groupby(["__ep", "__b"], sort=False)]
+            for part in parts:
+                if len(part):
+                    new = later_block(part) if part["__b"].iat[0] else first_blocks(part)
+                    own = part["__pos"].floordiv(block) == part["__b"]
+                    done = pd.DataFrame({"__ep": part["__ep"], order: part["__key"], out: pd.Series(new, part.index, dtype=object)})
+                    yield done[own]
 
     done_schema = T.StructType([id_field, T.StructField(order, T.LongType()), T.StructField(out, T.StringType())])
     labelled = _per_block(copies.join(states, ["__ep", "__b"], "left"), finish, done_schema)
-    labelled = labelled.withColumn(out, F.nullif(F.col(out), F.lit(NONE)))
     return rows.join(labelled, ["__ep", order]).select(*df.columns, out)
 
 
@@ -243,7 +318,7 @@ def smooth_turns(
     """
     return _fold(
         turns, "turn_idx", "speaker", out, block, k, k,
-        lambda raw, before, first, total: _smooth(raw, before, first, total, k, share),
+        lambda rows: _smooth(rows, k, share),
         lambda context, j: _smooth_options(context, j, k, share),
     )
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -168,6 +169,38 @@ def test_folds(spark, operator, model, order, block, labels):
         assert new == model(raw)
 
 
+def test_rules_skip_only_rows_that_cannot_change():
+    """Both rules over many short episodes at once, of every degree of unrest, against the plain loops."""
+    rng = random.Random(1)
+    for _ in range(400):
+        k, share, calm = rng.randint(1, 4), rng.choice([0.4, 0.5, 0.6, 0.75, 1.0]), rng.random()
+        episodes = []
+        for _ in range(rng.randint(1, 4)):
+            raw = [0]
+            for _ in range(rng.randint(0, 30)):
+                raw.append(raw[-1] if rng.random() < calm else rng.randrange(4))
+            episodes.append(raw)
+        sizes = [len(e) for e in episodes]
+        rows = folds._Rows(
+            np.concatenate(episodes), np.repeat(np.arange(len(sizes)), sizes), np.concatenate([np.arange(n) for n in sizes]),
+            np.repeat(sizes, sizes), np.zeros(sum(sizes), bool),
+        )
+        assert folds._smooth(rows, k, share).tolist() == sum((_smooth_model(e, k, share) for e in episodes), [])
+        assert folds._unflicker(rows).tolist() == sum((_flicker_model(e) for e in episodes), [])
+
+
+def test_labels_may_hold_any_text(spark):
+    """Separators and control characters inside labels, across blocks, are no special values."""
+    names = ["\x1f", "a\x1fb", "\x00", None, '"', "a", "b"]
+    rng = random.Random(4)
+    rows = [(e, i, rng.choice(names[e : e + 3]), i, i + 1) for e in range(5) for i in range(60)]
+    for operator, model, order in ((folds.smooth_turns, _smooth_model, "turn_idx"), (folds.fix_flicker, _flicker_model, "seg_idx")):
+        got = operator(_frame(spark, rows, order), out="new", block=4).collect()
+        for e in range(5):
+            new = [r["new"] for r in sorted((x for x in got if x.episode_id == e), key=lambda x: x[order])]
+            assert new == model([r[2] for r in rows if r[0] == e])
+
+
 def test_flicker_example(spark):
     rows = [(1, i, s, i, i + 1) for i, s in enumerate("ABAA")]
     got = folds.fix_flicker(_frame(spark, rows, "seg_idx"), out="new").orderBy("seg_idx").collect()
