@@ -33,7 +33,8 @@ def connected(links: DataFrame) -> DataFrame:
 
     Each round hangs larger neighbours of a node on the smallest one, then the
     smaller ones, with a combined minimum and a join; no neighbourhood is ever
-    collected. The number of rounds grows with the logarithm of the longest
+    collected. The minima are written before the join, so that the join of a node
+    with very many neighbours can be split. The number of rounds grows with the logarithm of the longest
     chain. Rounds are written to shared storage; nodes without links are absent,
     loops and repeated links do no harm.
     """
@@ -53,13 +54,13 @@ def _both(links: DataFrame) -> DataFrame:
 
 def _large(both: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest of node and neighbours."""
-    lowest = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+    lowest = written(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "lowest")
     made = both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return made.where("a <> b").distinct()
 
 
 def _small(down: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them; both directions."""
-    lowest = down.groupBy("a").agg(F.min("b").alias("low"))
+    lowest = written(down.groupBy("a").agg(F.min("b").alias("low")), "lowest")
     hung = down.join(lowest, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return _both(hung.union(lowest.select("a", F.col("low").alias("b")))).distinct()

@@ -228,9 +228,10 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
     left out; an empty table gives an empty result.
     """
     rows = written(fingerprints(docs, id_col, text_col).drop("mark"), "fingerprints", 1000)
-    placed = _grouped(rows, distance)
+    placed = written(_grouped(rows, distance), "placed")
     first = rows.groupBy("bits").agg(F.min("doc_id").alias("first"))
-    lowest = placed.join(first, "bits").groupBy("label").agg(F.min("first").alias("component_id"))
+    # written first: adaptive execution splits a large component only if the join's stage does not aggregate by it
+    lowest = written(placed.join(first, "bits").groupBy("label").agg(F.min("first").alias("component_id")), "lowest")
     component = placed.join(lowest, "label").select("bits", "component_id")
     return rows.join(component, "bits").select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
