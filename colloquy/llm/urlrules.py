@@ -52,23 +52,52 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(found))
 
 
+def _token_classes(rows: DataFrame, least: int) -> DataFrame:
+    """`token` and `members`: tokens that exactly the same rows have, under the least of them.
+
+    Only tokens that `least` blocked rows have. Row sets are compared by their size
+    and two 64-bit sums of row hashes; a class has no more members than one row.
+    """
+    rows = rows.withColumn("token", F.explode("tokens"))
+    wide = [F.sum(F.xxhash64("row", F.lit(seed)).cast("decimal(38,0)")).alias(f"s{seed}") for seed in (1, 2)]
+    found = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("blocked").alias("bad"), *wide)
+    merged = found.where(F.col("bad") >= least).groupBy("n", "s1", "s2").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    return written(merged.select(F.col("members")[0].alias("token"), "members"), "url-classes")
+
+
 def mine_rules(
     labelled: DataFrame, min_count: int = 10, min_share: float = 0.0005, min_confidence: float = 0.6, max_items: int | None = None
 ) -> DataFrame:
-    """Rules (`items`, `anchor`, `count`, `confidence`) from rows (`tokens`, `blocked`).
+    """Rules (`items`, `members`, `anchor`, `count`, `confidence`) from rows (`tokens`, `blocked`).
 
     Kept are combinations of tokens, of `max_items` or fewer if given, that at least
     `min_count` blocked rows and a share of `min_share` of all rows have, and of whose
     rows `min_confidence` or more are blocked. `anchor` is the rarest token.
+
+    k tokens that always come together would give 2^k - 1 combinations with the
+    same rows. They are one item, named by the least of them; `members` lists for
+    each item the tokens that may stand for it. Null tokens or sets count as absent,
+    a null `blocked` as false, repeated rows each; an empty table gives no rule.
     """
     spark = labelled.sparkSession
-    n = labelled.count()
+    tokens = F.array_distinct(F.array_compact(F.coalesce("tokens", F.array().cast("array<string>"))))
+    rows = labelled.select(
+        F.monotonically_increasing_id().alias("row"), tokens.alias("tokens"), F.coalesce("blocked", F.lit(False)).alias("blocked")
+    )
+    # written, so that row numbers stay the same
+    rows = written(rows, "url-labelled")
+    n = rows.count()
     if not n:
-        return spark.createDataFrame([], "items array<string>, anchor string, count long, confidence double")
+        kind = "items array<string>, members array<array<string>>, anchor string, count long, confidence double"
+        return spark.createDataFrame([], kind)
     least = max(min_count, -int(-min_share * n // 1))
-    baskets = labelled.select(
-        F.concat("tokens", F.when(F.col("blocked"), F.array(F.lit(BLOCKED))).otherwise(F.array().cast("array<string>"))).alias("items")
-    )
+    classes = _token_classes(rows, least)
+    named = rows.select("row", F.explode("tokens").alias("token")).join(classes.select("token"), "token", "left_semi")
+    items = named.groupBy("row").agg(F.collect_list("token").alias("items"))
+    blocked = F.when(F.col("blocked"), F.array(F.lit(BLOCKED))).otherwise(F.array().cast("array<string>"))
+    baskets = rows.select("row", blocked.alias("verdict")).join(items, "row", "left").select(
+        F.concat(F.coalesce("items", F.array().cast("array<string>")), "verdict").alias("items")
+    )
     # half a row less than the count, so that rounding cannot raise the bound
     model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=0.0).fit(baskets)
     sets = written(model.freqItemsets, "url-itemsets")
@@ -83,18 +112,26 @@ def mine_rules(
         .where(F.col("confidence") >= min_confidence)
     )
     single = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), F.col("freq").alias("rows"))
-    filed = rules.withColumn("token", F.explode("items")).join(single, "token").groupBy("items", "count", "confidence")
-    return written(
-        filed.agg(F.min_by("token", F.struct("rows", "token")).alias("anchor")).select("items", "anchor", "count", "confidence"),
-        "url-rules",
+    filed = (
+        rules.withColumn("token", F.explode("items"))
+        .join(single, "token")
+        .join(classes, "token")
+        .groupBy("items", "count", "confidence")
+        .agg(
+            F.min_by("token", F.struct("rows", "token")).alias("anchor"),
+            F.array_sort(F.collect_list(F.struct("token", "members"))).alias("parts"),
+        )
     )
+    return written(filed.select("items", F.col("parts.members").alias("members"), "anchor", "count", "confidence"), "url-rules")
 
 
 def matched(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """Those of the distinct sets in `tokens` that contain a rule, found by the rules' anchors."""
-    asked = token_sets.select("tokens", F.explode("tokens").alias("anchor"))
-    hits = asked.join(rules.select("anchor", "items"), "anchor").where(F.size(F.array_except("items", "tokens")) == 0)
-    return hits.select("tokens").distinct()
+    """Those of the distinct sets in `tokens` that have a member of each item of a rule, found by the members of the anchor."""
+    asked = token_sets.select("tokens", F.explode("tokens").alias("key"))
+    place = F.array_position("items", F.col("anchor")).cast("int")
+    filed = rules.select("members", F.explode(F.element_at("members", place)).alias("key"))
+    fits = F.forall("members", lambda m: F.arrays_overlap(m, F.col("tokens")))
+    return asked.join(filed, "key").where(fits).select("tokens").distinct()
 
 
 def listed(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
@@ -126,7 +163,8 @@ def judge_urls(
 
     One output row per input row; a null URL, or one without `://`, has an empty
     host and path, fits no rule of the list and is allowed unless its other
-    tokens match; other columns are left out. Rows are compared once per distinct
+    tokens match; other columns are left out. Repeated rows are each judged, an empty
+    table gives an empty result. Rows are compared once per distinct
     token set, so a URL form that most rows share is matched once.
     """
     rows = picked(pages, page_id=id_col, url=url_col)

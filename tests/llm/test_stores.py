@@ -184,6 +184,23 @@ def test_rules_of_any_length(spark):
     assert {r.page_id: r.verdict for r in urlrules.judge_urls(pages, rules, []).collect()} == {1: "block", 2: "allow"}
 
 
+def test_tokens_that_always_come_together_are_one_item(spark):
+    """Forty such tokens, of which any one stands for all; beside them single tokens that need company."""
+    many = [f"q:k{i:02}" for i in range(40)]
+    rows = [([*many, "h:bad"], True)] * 12 + [(["h:bad", "p:x"], False)] * 30 + [(["p:x"], True)] * 11 + [(["p:x", None], None), (None, True), ([], False)]
+    rules = urlrules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"))
+    got = {tuple(r["items"]): (r["count"], r.confidence, r.anchor, r["members"]) for r in rules.collect()}
+    assert got == {
+        ("q:k00",): (12, 1.0, "q:k00", [many]),
+        ("h:bad", "q:k00"): (12, 1.0, "q:k00", [["h:bad"], many]),
+    }
+    urls = ["http://a/?k07=1", "http://bad/x", "http://a/x", "http://a/?k39", "http://a/?k40", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    verdicts = {r.page_id: r.verdict for r in urlrules.judge_urls(pages, rules, []).collect()}
+    # what a plain list of all combinations gives: each of the forty alone is one
+    assert verdicts == {0: "block", 1: "allow", 2: "allow", 3: "block", 4: "allow", 5: "allow"}
+
+
 def test_no_labels_no_rules(spark, sf):
     none = spark.createDataFrame([], "tokens array<string>, blocked boolean")
     rules = urlrules.mine_rules(none)
