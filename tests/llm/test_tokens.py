@@ -123,14 +123,61 @@ def test_counter_equals_library(counter, byte_library, texts):
     assert counter.counts(every).tolist() == want
 
 
-def test_chunk_maps_compose(counter, byte_library, texts, monkeypatch):
-    monkeypatch.setattr(tokencounts, "CHUNK", 7)
-    for text in [*odd_strings(500, 4), *list(texts.values())[:20], "x" * 100]:
-        assert counter.count(text) == len(byte_library.encode(text, add_special_tokens=False).ids)
-    maps = [counter.chunk_map(t, i == 0) for i, t in enumerate(["ab cd e", "f gh", "ij", "k l m"])]
-    left = counter.compose(counter.compose(maps[0], maps[1]), counter.compose(maps[2], maps[3]))
-    right = counter.compose(maps[0], counter.compose(maps[1], counter.compose(maps[2], maps[3])))
-    assert left == right
+def by_chunks(counter, text):
+    chunks = list(counter.chunks(text))
+    assert "".join(c for _, c in chunks) == text
+    maps = counter.chunk_maps([(counter.live(before, i == 0), c) for i, (before, c) in enumerate(chunks)])
+    return [tokencounts.unpacked(tokencounts.packed(m)) for m in maps]
+
+
+MARKED = ["<|endoftext|>", "'", "'r", "'re", "'ll ", " 'v", "'s", "  ", "\n", "\u3000", " a", "b'", "1", "é", "!", "語", " <|endoftext|> "]
+
+
+@pytest.mark.parametrize("size, before", [(1, 0), (3, 2), (7, 512)])
+def test_chunk_maps_compose(counter, byte_library, texts, monkeypatch, size, before):
+    monkeypatch.setattr(tokencounts, "CHUNK", size)
+    monkeypatch.setattr(tokencounts, "BEFORE", before)
+    rnd = random.Random(size)
+    marked = ["".join(rnd.choices(MARKED, k=rnd.randrange(1, 12))) for _ in range(800)]
+    for text in [*odd_strings(300, 4), *marked, *[t[:1500] for t in list(texts.values())[:10]], "x" * 100, "the" * 60]:
+        if not text:
+            continue
+        want = len(byte_library.encode(text, add_special_tokens=False).ids)
+        maps = by_chunks(counter, text)
+        left = maps[0]
+        for m in maps[1:]:
+            left = counter.compose(left, m)
+        right = maps[-1]
+        for m in maps[-2::-1]:
+            right = counter.compose(m, right)
+        tree = maps
+        while len(tree) > 1:
+            tree = [counter.compose(*tree[i : i + 2]) if i + 1 < len(tree) else tree[i] for i in range(0, len(tree), 2)]
+        found = [counter.applied(m, tokencounts.CLOSED) for m in (left, right, tree[0])]
+        assert found[0][1] == want, text
+        assert found[0] == found[1] == found[2]
+
+
+def test_state_missing_from_a_table_is_read(counter):
+    whole, part = counter.read(tokencounts.CLOSED, "internat"), "ionalization of"
+    blind, = counter.chunk_maps([({tokencounts.CLOSED}, part)])
+    seen, = counter.chunk_maps([({whole[0]}, part)])
+    assert whole[0] not in blind.table
+    assert counter.applied(blind, whole[0]) == counter.applied(seen, whole[0])
+    assert whole[1] + counter.applied(seen, whole[0])[1] == counter.count("internat" + part)
+
+
+def test_chunks_of_long_texts_in_several_tasks(spark, byte_library, texts):
+    """Copies, repeated ids, null ids, texts without blanks and special strings across the cuts."""
+    rnd = random.Random(8)
+    words = [w for t in list(texts.values())[:40] for w in t.split(" ")]
+    far = [" ".join(rnd.choices(words, k=9000)), "語" * 40000, "ab" * 20000, " " * 33000, "<|endoftext|>" * 3000, "x " + "'ll" * 12000]
+    rows = [(i, t) for i, t in enumerate(far)] + [(0, far[0]), (0, far[1]), (None, far[0]), (7, "short"), (8, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = tokencounts.count_tokens(docs, P.path("byte_bpe_50k.json")).collect()
+    want = [(i, len((t or "").encode()), len(byte_library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    assert sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in got), key=key) == sorted(want, key=key)
 
 
 def test_transducer_that_starts_anew(counter, byte_library, monkeypatch):
