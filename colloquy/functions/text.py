@@ -71,9 +71,14 @@ def normalize_text(text: Column | str) -> Column:
     return strip_ws(t)
 
 
+def all_lines(text: Column | str) -> Column:
+    """Lines of a text; after a final break one more, empty line."""
+    return F.split(_col(text), "\r\n|[\n\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]")
+
+
 def line_list(text: Column | str) -> Column:
     """Lines of a text as str.splitlines gives them: a final break adds no line."""
-    parts = F.split(_col(text), "\r\n|[\n\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]")
+    parts = all_lines(text)
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 

@@ -19,12 +19,12 @@ from itertools import product
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.functions.text import line_list
-from colloquy.operators.blocks import with_islands, with_row_number
+from colloquy.functions.text import all_lines, line_list
+from colloquy.operators.blocks import join_on, with_islands, with_row_number
 
 # Rounds in which rows that cannot change are told from the others before the rule runs over the rest.
 ROUNDS = 3
@@ -331,9 +331,12 @@ def fix_flicker(segments: DataFrame, out: str = "fixed", block: int = 65536) ->
     )
 
 
-def pack_lines(lengths: list[int], max_len: int) -> list[tuple[int, int, int]]:
-    """Chunks of lines as (first line, number of lines, offset in the line); hard cuts have 0 lines."""
-    chunks, first, size = [], 0, 0
+def pack_lines(lengths: list[int], max_len: int, size: int = 0) -> list[tuple[int, int, int]]:
+    """Chunks of lines as (first line, number of lines, offset in the line); hard cuts have 0 lines.
+
+    `size` is what a chunk that is open before the first line holds already.
+    """
+    chunks, first = [], 0
     for i, length in enumerate(lengths):
         if length > max_len or size + length + 1 > max_len:
             if i > first:
@@ -349,6 +352,10 @@ def pack_lines(lengths: list[int], max_len: int) -> list[tuple[int, int, int]]:
     return chunks
 
 
+def _without_trail(line: Column) -> Column:
+    return F.regexp_replace(line, "(?U)[\\s\\x1c-\\x1f]+$", "")
+
+
 def chunk_lines(docs: DataFrame, max_len: int = 1200, text: str = "text") -> DataFrame:
     """Pack the lines of a text greedily into chunks of at most `max_len` characters.
 
@@ -356,7 +363,7 @@ def chunk_lines(docs: DataFrame, max_len: int = 1200, text: str = "text") -> Dat
     collected so far. The fold sees the lengths of a text's lines only and takes
     one step per line; it needs no shuffle.
     """
-    lines = F.transform(line_list(text), lambda s: F.regexp_replace(s, "(?U)[\\s\\x1c-\\x1f]+$", ""))
+    lines = F.transform(line_list(text), _without_trail)
 
     @F.arrow_udf("array<struct<first:int,n:int,at:int>>")
     def pack(lengths: pa.Array) -> pa.Array:
@@ -374,3 +381,130 @@ def chunk_lines(docs: DataFrame, max_len: int = 1200, text: str = "text") -> Dat
     )
     others = [c for c in docs.columns if c != text]
     return cut.select(*others, F.posexplode(chunk).alias("chunk_idx", "chunk"))
+
+
+def carry_table(lengths: list[int], max_len: int) -> list[tuple[int, int, int]]:
+    """What lines do to the chunk that is open before them, as (least size, size after, chunks begun).
+
+    An entry holds for sizes from its own to the next one's; 0 means that no
+    chunk is open. A size after of -1 stands for lines that all join the open
+    chunk. Each line points to the line at which the next chunk would begin if
+    one began at it; the pointers are doubled until they reach the last chunk.
+    """
+    n = len(lengths)
+    if not n:
+        return [(0, -1, 0)]
+    length = np.asarray(lengths, np.int64)
+    upto = np.concatenate(([0], np.cumsum(length + 1)))
+    line = np.arange(n)
+    far = length > max_len
+    next_far = np.minimum.accumulate(np.where(far, line, n)[::-1])[::-1]
+    follow = np.minimum(np.searchsorted(upto, upto[:-1] + max_len, "right") - 1, next_far)
+    follow = np.where(far, line + 1, np.maximum(follow, line + 1))
+    begun = np.where(far, -(-length // max_len), 1)
+    # the last chunk points to itself and adds nothing
+    jump = np.where(follow < n, follow, line)
+    before = np.where(follow < n, begun, 0)
+    while (jump[jump] != jump).any():
+        before = before + before[jump]
+        jump = jump[jump]
+    after = np.where(far[jump], 0, upto[n] - upto[jump])
+    total = before + begun[jump]
+    # sizes of an open chunk from 1 to that of a line that fills one alone
+    stop = np.searchsorted(upto, max_len - np.arange(1, max_len + 2), "right") - 1
+    stop = np.minimum(np.maximum(stop, 0), next_far[0])
+    at = np.minimum(stop, n - 1)
+    out = np.where(stop < n, after[at], -1)
+    made = np.where(stop < n, total[at], 0)
+    new = np.concatenate(([True], (out[1:] != out[:-1]) | (made[1:] != made[:-1])))
+    sizes = np.flatnonzero(new)
+    table = [(0, int(after[0]), int(total[0]))]
+    return table + [(int(i) + 1, int(out[i]), int(made[i])) for i in sizes]
+
+
+def chunk_parts(
+    parts: DataFrame, key: str = "doc_id", order: str = "offset", max_len: int = 1200, text: str = "text"
+) -> DataFrame:
+    """The chunks of `chunk_lines` for documents that come in parts: (`key`, chunk_idx, chunk).
+
+    The texts of a key in order of the bigint `order`, unique within it, joined
+    by newlines are the document. Every part yields a small table "size of the
+    chunk open before it -> size after it, chunks begun"; one task follows the
+    tables of a document, never its text. Then each part is cut on its own, and
+    only a chunk's pieces, at most `max_len` characters, meet again. NULL keys are
+    one document, a NULL text has no lines, other columns are left out.
+    """
+    lines = F.coalesce(all_lines(text), F.array().cast("array<string>"))
+    # a break at a part's end is followed by one more, empty line unless the document ends there
+    held = parts.select(
+        key, F.col(order).cast("bigint").alias("__o"), F.transform(lines, _without_trail).alias("__lines"),
+        F.coalesce(F.element_at(lines, -1) == "", F.lit(False)).alias("__ended"),
+    )
+    entry = T.StructType([T.StructField(c, T.LongType()) for c in ("size", "after", "begun")])
+
+    @F.arrow_udf(T.ArrayType(entry))
+    def table(lengths: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("size", pa.int64()), ("after", pa.int64()), ("begun", pa.int64())]))
+        rows = [[dict(zip(("size", "after", "begun"), e)) for e in carry_table(row, max_len)] for row in lengths.to_pylist()]
+        return pa.array(rows, type=kind)
+
+    id_field = parts.schema[key]
+    carried = T.StructType(
+        [id_field, *(T.StructField(c, T.LongType()) for c in ("__o", "__size", "__begun")), T.StructField("__last", T.BooleanType())]
+    )
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, begun = None, 0, 0
+        for batch in batches:
+            columns: list[list] = [[], [], [], [], []]
+            kind = pa.schema([(f.name, f.type) for f in batch.schema if f.name != "table"])
+            kind = kind.append(pa.field("__size", pa.int64())).append(pa.field("__begun", pa.int64()))
+            kind = kind.append(pa.field("__last", pa.bool_()))
+            for row in batch.to_pylist():
+                if held is None or held != (row[key],):
+                    held, size, begun = (row[key],), 0, 0
+                for column, value in zip(columns, (row[key], row["__o"], size, begun, row["__o"] == row["__end"])):
+                    column.append(value)
+                e = [e for e in row["table"] if e["size"] <= size][-1]
+                size = size + row["__sum"] if e["after"] < 0 else e["after"]
+                begun += e["begun"]
+            kind = pa.schema([f for f in kind if f.name not in ("__sum", "__end")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
+
+    lengths = F.transform("__lines", F.length)
+    cost = F.aggregate(lengths, F.lit(0).cast("bigint"), lambda total, n: total + n + 1)
+    steps = held.select(key, "__o", table(lengths).alias("table"), cost.alias("__sum"))
+    ends = parts.groupBy(key).agg(F.max(F.col(order).cast("bigint")).alias("__end"))
+    steps = join_on(steps, ends, [key]).repartition(key).sortWithinPartitions(key, "__o")
+    states = steps.select(key, "__o", "table", "__sum", "__end").mapInArrow(scan, carried)
+
+    @F.arrow_udf("array<struct<first:int,n:int,at:int>>")
+    def pack(lengths: pa.Array, sizes: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("at", pa.int32())]))
+        rows = [pack_lines(row, max_len, size) for row, size in zip(lengths.to_pylist(), sizes.to_pylist())]
+        return pa.array([[dict(zip(("first", "n", "at"), c)) for c in row] for row in rows], type=kind)
+
+    cut = join_on(held, states, [key, "__o"], never_null=["__o"]).withColumn(
+        "__lines", F.when(F.col("__last") & F.col("__ended"), F.slice("__lines", F.lit(1), F.size("__lines") - 1))
+        .otherwise(F.col("__lines")),
+    )
+    cut = cut.withColumn("__cuts", pack(F.transform("__lines", F.length), "__size"))
+    piece = F.transform(
+        "__cuts",
+        lambda c: F.when(c["n"] == 0, F.substr(F.get("__lines", c["first"]), c["at"] + 1, F.lit(max_len))).otherwise(
+            F.array_join(F.slice("__lines", c["first"] + 1, c["n"]), "\n")
+        ),
+    )
+    # lines before the first break belong to the chunk that is open
+    first = F.get("__cuts", F.lit(0))
+    joins = (F.col("__size") > 0) & (first["n"] > 0) & (first["first"] == 0) & (
+        F.col("__size") + F.length(F.get("__lines", F.lit(0))) + 1 <= max_len
+    )
+    pieces = cut.select(key, "__o", "__begun", joins.alias("__joins"), F.posexplode(piece).alias("__k", "__piece")).select(
+        key, "__o", "__piece",
+        (F.col("__begun") + F.col("__k") - F.when(F.col("__joins"), 1).otherwise(0)).cast("int").alias("chunk_idx"),
+    )
+    in_order = F.sort_array(F.collect_list(F.struct("__o", "__piece")))
+    return pieces.groupBy(key, "chunk_idx").agg(
+        F.array_join(F.transform(in_order, lambda p: p["__piece"]), "\n").alias("chunk")
+    )

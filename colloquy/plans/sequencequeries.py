@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colloquy.operators import folds, sequences
+from colloquy.operators import folds, sequences, textops
 from colloquy.plans import views as V
 from colloquy.plans.aggregates import EVEN
 from colloquy.plans.joins import feed_segments, feed_turns
@@ -146,9 +146,7 @@ def seq09(spark, sf):
 LINE_LIST = "CASE WHEN ends_with(text, chr(10)) THEN list_slice(string_split(text, chr(10)), 1, -2) ELSE string_split(text, chr(10)) END"
 
 
-@query(
-    "seq10_chunk_lines",
-    f"""WITH RECURSIVE l AS (SELECT doc_id, list_transform({LINE_LIST}, lambda x: regexp_replace(x, '\\s+$', '')) AS lines FROM documents),
+CHUNKS_SQL = f"""WITH RECURSIVE l AS (SELECT doc_id, list_transform({LINE_LIST}, lambda x: regexp_replace(x, '\\s+$', '')) AS lines FROM documents),
     r AS (SELECT doc_id, lines, 0 AS i, []::VARCHAR[] AS chunks, []::VARCHAR[] AS held, 0::BIGINT AS size FROM l
       UNION ALL SELECT doc_id, lines, i + 1,
         CASE WHEN length(lines[i + 1]) > 1200 THEN list_concat(CASE WHEN len(held) > 0 THEN list_append(chunks, array_to_string(held, chr(10))) ELSE chunks END,
@@ -161,12 +159,24 @@ LINE_LIST = "CASE WHEN ends_with(text, chr(10)) THEN list_slice(string_split(tex
           ELSE length(lines[i + 1]) + 1 END
       FROM r WHERE i < len(lines)),
     done AS (SELECT doc_id, CASE WHEN len(held) > 0 THEN list_append(chunks, array_to_string(held, chr(10))) ELSE chunks END AS chunks FROM r WHERE i = len(lines))
-    SELECT doc_id, (k - 1)::INTEGER AS chunk_idx, chunks[k] AS chunk FROM done, range(1, len(chunks) + 1) t(k)""",
-)
+    SELECT doc_id, (k - 1)::INTEGER AS chunk_idx, chunks[k] AS chunk FROM done, range(1, len(chunks) + 1) t(k)"""
+
+
+@query("seq10_chunk_lines", CHUNKS_SQL)
 def seq10(spark, sf):
     return folds.chunk_lines(V.documents(spark, sf).select("doc_id", "text"))
 
 
+@query("seq10_chunk_parts", CHUNKS_SQL)
+def seq10_parts(spark, sf):
+    """The same chunks from documents that come in parts of eight lines."""
+    lines = sequences.split_lines(V.documents(spark, sf).select("doc_id", "text"))
+    parts = textops.reassemble_text(lines, "doc_id", "line_idx", "line", part_bits=3)
+    # the lines hold an empty last one only if a break of its own followed it
+    closed = F.when(F.col("part") == F.col("n_parts") - 1, F.concat("text", F.lit("\n"))).otherwise(F.col("text"))
+    return folds.chunk_parts(parts.select("doc_id", F.col("part").alias("offset"), closed.alias("text")))
+
+
 @query("seq11_even_sample", f"WITH {FEED}, {EVEN} SELECT episode_id, speaker, idx FROM picked")
 def seq11(spark, sf):
     return sequences.even_sample(V.feed(spark, sf), order="idx").select("episode_id", "speaker", "idx")
