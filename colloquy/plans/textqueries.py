@@ -29,6 +29,38 @@ def tx01(spark, sf):
     return textops.split_sentences(asking(spark, sf))
 
 
+# The text as one line, the counts of words with and without a period, and those that pass the test.
+LEARNED = f"""d AS (SELECT doc_id, trim(regexp_replace({_ASKING}, '\\s+', ' ', 'g')) AS t FROM documents),
+    w AS (SELECT unnest(string_split(t, ' ')) AS w FROM d),
+    a AS (SELECT lower(regexp_extract(w, '^[^\\p{{L}}]*(\\p{{L}}+(?:\\.\\p{{L}}+)*)(?:\\.|[^\\p{{L}}.]*)$', 1)) AS abbreviation,
+      ends_with(w, '.') AS dot FROM w),
+    c AS (SELECT abbreviation, count_if(dot)::BIGINT AS n_with, count_if(NOT dot)::BIGINT AS n_without FROM a WHERE abbreviation <> '' GROUP BY 1),
+    s AS (SELECT (sum(n_with) + 1)::DOUBLE / (sum(n_with) + sum(n_without) + 2)::DOUBLE AS p FROM c),
+    learned AS (SELECT abbreviation, n_with, n_without FROM c, s WHERE n_with > 0
+      AND 2 * (n_with * ln(0.99::DOUBLE) + n_without * ln(0.01::DOUBLE) - n_with * ln(p) - n_without * ln(1 - p))
+        * exp(-length(replace(abbreviation, '.', ''))) * (1 + length(abbreviation) - length(replace(abbreviation, '.', '')))
+        * pow(length(replace(abbreviation, '.', ''))::DOUBLE, -n_without::DOUBLE) >= 0.3::DOUBLE)"""
+
+
+@query("tx01_learned_abbreviations", f"WITH {LEARNED} SELECT * FROM learned")
+def tx01_learned(spark, sf):
+    return textops.learn_abbreviations(asking(spark, sf))
+
+
+@query(
+    "tx01_learned_sentences",
+    f"""WITH {LEARNED}, known AS (SELECT coalesce(list(abbreviation), []) AS known FROM learned),
+    p AS (SELECT doc_id, list_transform(string_split(regexp_replace(t, '([.?!]) ', '\\1' || chr(10), 'g'), chr(10)), lambda x: x ||
+      CASE WHEN list_contains(known, lower(regexp_extract(x, '(?:^| )[^\\p{{L}} ]*(\\p{{L}}+(?:\\.\\p{{L}}+)*)\\.$', 1))) THEN ' ' ELSE chr(10) END) AS parts
+      FROM d, known),
+    q AS (SELECT doc_id, string_split(array_to_string(parts, ''), chr(10)) AS parts FROM p)
+    SELECT doc_id, (k - 1)::INTEGER AS sentence_idx, rtrim(parts[k], ' ') AS sentence FROM q, range(1, len(parts) + 1) r(k) WHERE trim(parts[k]) <> ''""",
+)
+def tx01_learned_sentences(spark, sf):
+    docs = asking(spark, sf)
+    return textops.split_sentences(docs, abbreviations=textops.learn_abbreviations(docs))
+
+
 @query(
     "tx02_extract_questions",
     f"WITH {SENTENCES} SELECT * FROM sent WHERE sentence <> '' AND {is_question_sentence_sql('sentence')}",
