@@ -67,13 +67,15 @@ def learn_abbreviations(docs: DataFrame, text: str = "text", threshold: float =
     larger for periods inside. Words are counted before the shuffle; NULL texts
     have none, repeated rows count again, without periods nothing is learned.
     """
-    word = F.explode(F.split(squash_ws(text), " "))
-    parts = docs.select(word.alias("w")).select(
+    # equal words are counted first, so that the pattern sees each once
+    words = docs.select(F.explode(F.split(squash_ws(text), " ")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    parts = words.select(
         F.lower(F.regexp_extract("w", r"^[^\p{L}]*(\p{L}+(?:\.\p{L}+)*)(?:\.|[^\p{L}.]*)$", 1)).alias("abbreviation"),
-        F.col("w").endswith(".").alias("dot"),
-    )
+        F.col("w").endswith(".").alias("dot"), "n",
+    )
     counted = parts.where(F.col("abbreviation") != "").groupBy("abbreviation").agg(
-        F.count_if("dot").alias("n_with"), F.count_if(~F.col("dot")).alias("n_without")
+        F.sum(F.when(F.col("dot"), F.col("n")).otherwise(0)).alias("n_with"),
+        F.sum(F.when(F.col("dot"), 0).otherwise(F.col("n"))).alias("n_without"),
     )
     share = counted.agg((F.sum("n_with") + 1) / (F.sum("n_with") + F.sum("n_without") + 2))
     rated = counted.where(F.col("n_with") > 0).withColumn("__p", share.scalar())
