@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -123,41 +124,63 @@ def gap_sessions(words: DataFrame, gap: str = "800 milliseconds", lateness: str
     )
 
 
-WAITING = "word_idx long, speaker string, start_ms long, end_ms long, token string"
+WAITING = pa.schema(
+    [("word_idx", pa.int64()), ("speaker", pa.string()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("token", pa.string())]
+)
+PACKED_ROWS = 1 << 15
 OPEN = "head_idx long, speaker string, start_ms long, end_ms long, text string"
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _packed(words: pd.DataFrame) -> list[tuple]:
+    """Words as Arrow bytes, one value for at most `PACKED_ROWS` of them."""
+    pieces = []
+    for at in range(0, len(words), PACKED_ROWS):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, WAITING) as out:
+            out.write_batch(pa.RecordBatch.from_pandas(words.iloc[at : at + PACKED_ROWS], WAITING, preserve_index=False))
+        pieces.append((sink.getvalue().to_pybytes(),))
+    return pieces
+
+
+def _unpacked(pieces: Iterator[tuple]) -> pd.DataFrame:
+    """The words of all pieces, in their order."""
+    tables = [pa.ipc.open_stream(piece).read_all() for (piece,) in pieces]
+    return (pa.concat_tables(tables) if tables else WAITING.empty_table()).to_pandas()
+
+
 class _GapSegments(StatefulProcessor):
-    """Segments of one episode: words wait until none before them can come, a segment closes when none can follow."""
+    """Segments of one episode: words wait until none before them can come, a segment closes when none can follow.
+
+    Each value of the state costs a call to the JVM, so the words of a frame wait as one.
+    """
 
     def __init__(self, gap_ms: int):
         self.gap_ms = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", WAITING)
+        self.waiting = handle.getListState("waiting", "words binary")
         self.open = handle.getValueState("open", OPEN)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
             frame = frame[frame["whole"]]
             if len(frame):
-                fields = [frame[c].tolist() for c in ("word_idx", "speaker", "start_ms", "end_ms", "token")]
-                self.waiting.appendList(list(zip(*fields)))
+                self.waiting.appendList(_packed(frame[WAITING.names]))
                 self.handle.registerTimer(int(frame["start_ms"].max()) + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        words = pd.DataFrame(list(self.waiting.get()), columns=[f.split()[0] for f in WAITING.split(", ")])
+        words = _unpacked(self.waiting.get())
         done = []
         due = words[words["start_ms"] < now].sort_values(["start_ms", "word_idx"], ignore_index=True)
         if len(due):
             later = words[words["start_ms"] >= now]
             if len(later):
-                self.waiting.put(list(later.itertuples(index=False, name=None)))
+                self.waiting.put(_packed(later))
             else:
                 self.waiting.clear()
             done = self._joined(due)
