@@ -31,7 +31,7 @@ PART = "seg_idx // 4096"
 def _raw_table(rows: DataFrame, order: str, item: Column, wrap, suffix: str | Column = ".json") -> str:
     """Write rows as raw JSON documents, in bounded parts, and return the path."""
     spark = rows.sparkSession
-    parts = writers._parts(rows, order, item, "items")
+    parts = writers.listed_parts(rows, order, item, "items")
     path = scratch_path(spark, "raw")
     end = F.lit(suffix) if isinstance(suffix, str) else suffix
     parts.select(

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE does the run-time work the operators rely on: it splits skewed join
 # partitions, coalesces small ones and turns a join into a broadcast only once
@@ -64,3 +64,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             atexit.register(shutil.rmtree, _local_roots[app_id], ignore_errors=True)
         root = _local_roots[app_id]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def read_back(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` once to the shared folder and read it back, so that what reads it twice does not make it twice."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -19,6 +19,7 @@ from colloquy.functions.timefmt import to_ms
 from colloquy.operators.blocks import with_rank, with_row_number
 from colloquy.operators.filters import drop_empty_text
 from colloquy.operators.sequences import chunk_words
+from colloquy.session import read_back
 
 _SUFFIXES = r"(_raw)?(\.(deepgram|sentences|whisperx|labeled|final|diarized))*\.(json|txt)$"
 
@@ -125,7 +126,9 @@ def simple_diarized_from(raw: DataFrame) -> DataFrame:
 def document_kind(raw: DataFrame) -> DataFrame:
     """Add `kind`: sentences or asr, by file suffix and then by structure."""
     v = F.col("value")
-    has = lambda field: F.array_contains(F.json_object_keys(v), field)
+    # a key shows in the text unless it is escaped, and looking for it is cheaper than parsing
+    shows = lambda field: v.contains(field) | v.contains("\\")
+    has = lambda field: shows(field) & F.array_contains(F.json_object_keys(v), field)
     return raw.withColumn(
         "kind",
         F.when(F.col("name").endswith(".sentences.json"), "sentences")
@@ -140,16 +143,19 @@ def any_from(raw: DataFrame) -> DataFrame:
 
     Word documents are cut every twelve words per speaker. Equal starts keep the
     order of the list, or of speaker and chunk. Documents of neither kind are
-    listed by `unreadable_from`.
+    listed by `unreadable_from`. Places are counted before they are given out, so
+    words and segments are parsed once and kept in the shared folder meanwhile.
     """
     kinds = document_kind(raw)
     spoken = sentences_from(kinds.filter(F.col("kind") == "sentences")).withColumnRenamed("seg_idx", "__tie")
-    chunks = chunk_words(asr_words_from(kinds.filter(F.col("kind") == "asr"))).select(
+    words = read_back(asr_words_from(kinds.filter(F.col("kind") == "asr")), "words")
+    chunks = chunk_words(words).select(
         "episode_id", (F.shiftleft(F.col("speaker").cast("bigint"), 32) + F.col("chunk")).alias("__tie"),
         "start_ms", "end_ms", "text", F.format_string("SPEAKER_%02d", "speaker").alias("speaker_raw"),
         speaker_label("speaker").alias("speaker"),
     )
-    placed = with_rank(spoken.unionByName(chunks), ["episode_id"], "start_ms", "__tie", "__rn")
+    found = read_back(spoken.unionByName(chunks), "segments")
+    placed = with_rank(found, ["episode_id"], "start_ms", "__tie", "__rn")
     return placed.withColumn("seg_idx", F.col("__rn") - 1).drop("__rn", "__tie")
 
 

@@ -45,14 +45,19 @@ def write_transcript_text(segments: DataFrame, path: str, style: str = "range",
     write_lines(transcript_lines(segments, style), path, layout=layout)
 
 
-def _parts(df: DataFrame, order: str, item: Column, name: str) -> DataFrame:
-    """Group rows to (episode_id, part, offset, name) with an ordered list, and totals of the whole episode."""
+def listed_parts(df: DataFrame, order: str, item: Column, name: str) -> DataFrame:
+    """Group rows to (episode_id, part, offset, name) with an ordered list."""
     in_order = F.sort_array(F.collect_list(F.struct(F.col(order).alias("__o"), item.alias("__i"))))
     parts = df.withColumn("part", F.shiftright(F.col(order), PART_BITS))
-    listed = parts.groupBy("episode_id", "part").agg(
+    return parts.groupBy("episode_id", "part").agg(
         F.min(order).alias("offset"), F.transform(in_order, lambda x: x["__i"]).alias(name)
     )
-    return join_on(listed, part_totals(parts, "episode_id"), ["episode_id"])
+
+
+def _parts(df: DataFrame, order: str, item: Column, name: str) -> DataFrame:
+    """The listed parts with totals of the whole episode."""
+    totals = part_totals(df.withColumn("part", F.shiftright(F.col(order), PART_BITS)), "episode_id")
+    return join_on(listed_parts(df, order, item, name), totals, ["episode_id"])
 
 
 def labeled_documents(segments: DataFrame, provenance: DataFrame) -> DataFrame:

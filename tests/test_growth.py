@@ -1,5 +1,10 @@
 """What may not grow with the rows: values of a state, texts held by Python, steps made twice."""
 
+import json
+
+from pyspark.sql import functions as F
+
+from colloquy.sources import readers
 from colloquy.streaming import live
 
 FIELDS = ["word_idx", "speaker", "start_ms", "end_ms", "token"]
@@ -40,3 +45,26 @@ def test_packed_words_come_back(monkeypatch):
     pieces = live._packed(words)
     assert len(pieces) == 3
     live.pd.testing.assert_frame_equal(live._unpacked(iter(pieces)), words)
+
+
+def test_any_document_is_parsed_once_for_each_kind(spark):
+    parsed = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(value):
+        parsed.add(1)
+        return value
+
+    spoken = json.dumps({"segments": [{"speaker_id": 1, "start": 2, "end": 3, "transcript": "s"}]})
+    words = [{"word": f"w{i}", "start": i, "end": i + 1, "speaker": 0} for i in range(14)]
+    heard = json.dumps({"results": {"channels": [{"alternatives": [{"words": words}]}]}})
+    docs = [("a", spoken), ("b", heard), ("c", spoken.replace("segments", "seg\\u006dents")), ("d", '{"other": 1}'), ("a", heard), ("e", None)]
+    raw = spark.createDataFrame([(f"{n}.json", n, 0, v) for n, v in docs], "name string, episode_id string, offset bigint, value string")
+    raw = raw.withColumn("value", read.asNondeterministic()("value"))
+    got = sorted((r.episode_id, r.seg_idx, r.start_ms, r.end_ms, r.text, r.speaker) for r in readers.any_from(raw).collect())
+    long, short = " ".join(f"w{i}" for i in range(12)), "w12 w13"
+    assert got == [
+        ("a", 0, 0, 12000, long, "Speaker 1"), ("a", 1, 2000, 3000, "s", "Speaker 2"), ("a", 2, 12000, 14000, short, "Speaker 1"),
+        ("b", 0, 0, 12000, long, "Speaker 1"), ("b", 1, 12000, 14000, short, "Speaker 1"), ("c", 0, 2000, 3000, "s", "Speaker 2"),
+    ]
+    assert parsed.value <= 2 * len(docs)
