@@ -6,7 +6,6 @@ import re
 import unicodedata
 from collections.abc import Sequence
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -43,11 +42,19 @@ def strip_ws(text: Column | str) -> Column:
     return F.btrim(_col(text), F.lit(WS_CHARS))
 
 
+# Texts that are Python strings at one time.
+NFKC_ROWS = 128
+
+
 # Arrow's own kernel for this form leaves letters with accents decomposed, so it
-# is no substitute.
-@F.pandas_udf(StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+# is no substitute. A batch as Python strings takes several times its bytes.
+@F.arrow_udf(StringType())
+def _nfkc(text: pa.Array) -> pa.Array:
+    done = [
+        pa.array([None if s is None else unicodedata.normalize("NFKC", s) for s in text[at : at + NFKC_ROWS].to_pylist()], text.type)
+        for at in range(0, len(text), NFKC_ROWS)
+    ]
+    return pa.concat_arrays(done) if done else text
 
 
 def normalize_text(text: Column | str) -> Column:

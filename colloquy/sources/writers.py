@@ -162,15 +162,27 @@ def write_sentence_json(episodes: DataFrame, utterances: DataFrame, path: str) -
     sentence_documents(episodes, utterances).write.mode("overwrite").json(path)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS = 500
+
+
 def write_clean_pair(normalized: DataFrame, path: str, key: str = "doc_id") -> None:
     """Cleaned text below `clean`, its lower-case copy below `lower`.
 
     Normalising costs more than writing, so the cleaned text is written once and
-    the copy is made from what was written.
+    the copy is made from what was written. Whole texts go to Python meanwhile,
+    in batches of at most `TEXT_ROWS`.
     """
     spark = normalized.sparkSession
     clean = f"{path}/clean"
-    normalized.select(key, F.col("clean").alias("text")).write.mode("overwrite").parquet(clean)
+    before = spark.conf.get(ARROW_ROWS)
+    # zero or less is no bound
+    if not 0 < int(before) <= TEXT_ROWS:
+        spark.conf.set(ARROW_ROWS, str(TEXT_ROWS))
+    try:
+        normalized.select(key, F.col("clean").alias("text")).write.mode("overwrite").parquet(clean)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     spark.read.parquet(clean).withColumn("text", F.lower("text")).write.mode("overwrite").parquet(f"{path}/lower")
 
 

@@ -2,9 +2,12 @@
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from colloquy.sources import readers
+from colloquy.functions import text
+from colloquy.sources import readers, writers
 from colloquy.streaming import live
 
 FIELDS = ["word_idx", "speaker", "start_ms", "end_ms", "token"]
@@ -47,6 +50,24 @@ def test_packed_words_come_back(monkeypatch):
     live.pd.testing.assert_frame_equal(live._unpacked(iter(pieces)), words)
 
 
+def test_texts_become_python_strings_in_small_numbers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text, "NFKC_ROWS", 2)
+    assert text._nfkc.func(pa.array(["ﬁ", None, "e\u0301", "", "①"])).to_pylist() == ["fi", None, "é", "", "1"]
+    assert text._nfkc.func(pa.array([], pa.string())).to_pylist() == []
+
+    @F.arrow_udf(StringType())
+    def batch_rows(ids: pa.Array) -> pa.Array:
+        return pa.array([f"N{len(ids)}"] * len(ids))
+
+    before = spark.conf.get(writers.ARROW_ROWS)
+    rows = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), batch_rows("id").alias("clean"))
+    writers.write_clean_pair(rows, str(tmp_path))
+    seen = [r.text for r in spark.read.parquet(f"{tmp_path}/clean").collect()]
+    assert len(seen) == 3000 and max(int(s[1:]) for s in seen) <= writers.TEXT_ROWS
+    assert spark.read.parquet(f"{tmp_path}/lower").where("text like 'n%'").count() == 3000
+    assert spark.conf.get(writers.ARROW_ROWS) == before
+
+
 def test_any_document_is_parsed_once_for_each_kind(spark):
     parsed = spark.sparkContext.accumulator(0)
 
