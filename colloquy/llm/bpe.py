@@ -27,10 +27,14 @@ from colloquy.llm.runtime import batches, once_per_process, picked
 from colloquy.llm.segments import Memo, plain_pieces, units
 from colloquy.llm.wordtable import UnitTable, grouped
 
-# Pairs of tokens whose compatibility is remembered.
-MOST_PAIRS = 400_000
+# Pairs of tokens whose compatibility is remembered; beyond 174,762 entries a dict takes twice the memory.
+MOST_PAIRS = 170_000
 # Steps of prefix tables that are remembered.
 MOST_MOVES = 300_000
+# Pieces that are remembered besides the units of the table.
+MOST_PIECES = 80_000
+# Characters encoded at a time, and bytes of ids handed back at a time: workers share an executor's memory.
+GROUP, OUT_BYTES = 1 << 18, 4 << 20
 # Bits of a token id and of a place in the trie.
 TOKEN_BITS, NODE_BITS = 20, 24
 TOKENS, NODES = (1 << TOKEN_BITS) - 1, (1 << NODE_BITS) - 1
@@ -145,7 +149,8 @@ class Columns:
 
     What the next entry depends on, a column, are the starts from which a token
     may still go on: the token before and the place in the trie, packed in one
-    number, the longest first. The same columns come again in many pieces. A move
+    number, the longest first, and all of them in one byte string, which takes a
+    third of a tuple's memory. The same columns come again in many pieces. A move
     is the next column and the last token there, packed alike.
     """
 
@@ -154,13 +159,13 @@ class Columns:
         self.reset()
 
     def reset(self) -> None:
-        start = (NO_TOKEN << NODE_BITS,)
+        start = array("Q", [NO_TOKEN << NODE_BITS]).tobytes()
         self.columns, self.numbers, self.moves = [start], {start: 0}, {}
 
     def step(self, column: int, byte: int) -> int:
         """The move from a column by one more byte."""
-        rules, last, going = self.rules, -1, []
-        for start in self.columns[column]:
+        rules, last, going = self.rules, -1, array("Q")
+        for start in memoryview(self.columns[column]).cast("Q"):
             node = rules.child.get((start & NODES) << 8 | byte)
             if node is None:
                 continue
@@ -172,7 +177,8 @@ class Columns:
                     last = token
         if last < 0:
             raise ValueError(f"byte {byte} has no token")
-        after = (*going, last << NODE_BITS)
+        going.append(last << NODE_BITS)
+        after = going.tobytes()
         number = self.numbers.setdefault(after, len(self.columns))
         if number == len(self.columns):
             self.columns.append(after)
@@ -221,7 +227,7 @@ class Codec:
         self.rules = MergeRules(ranks)
         self.columns = Columns(self.rules)
         self.split = regex.compile(pattern).findall
-        self.pieces = Memo(lambda piece: array("I", self.piece(piece.encode())))
+        self.pieces = Memo(lambda piece: array("I", self.piece(piece.encode())), MOST_PIECES)
         self.table = UnitTable(lambda found: list(map(self.unit, found)), True, self.whole)
         self.bytes_of = [self.rules.text.get(i, b"") for i in range(max(ranks.values(), default=-1) + 1)]
 
@@ -308,12 +314,12 @@ def encode_documents(
 
         def rows() -> Iterator[tuple]:
             for part in parts:
-                for keys, texts in grouped(part):
+                for keys, texts in grouped(part, GROUP):
                     for key, ids in zip(keys, codec.encode(texts)):
                         row = (key, ids, len(ids) // 4)
                         yield (*row, codec.decode(ids)) if decode else row
 
-        yield from batches(rows(), schema, sized=1)
+        yield from batches(rows(), schema, sized=1, most=OUT_BYTES)
 
     out = "doc_id long, ids binary, n_tokens long" + ", decoded binary" * decode
     return picked(docs, doc_id=id_col, text=text_col).mapInArrow(run, out)

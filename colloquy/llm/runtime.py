@@ -81,14 +81,15 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def batches(rows: Iterable[tuple], schema: pa.Schema, sized: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Rows as record batches of bounded size; `sized` is a column of texts or bytes that counts towards it."""
+def batches(rows: Iterable[tuple], schema: pa.Schema, sized: int | None = None, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of bounded size, `most` bytes if given; `sized` is a column of texts or bytes that counts towards it."""
+    most = most or OUT_BYTES
     held: list[tuple] = []
     size = 0
     for row in rows:
         held.append(row)
         size += 64 + (len(row[sized]) if sized is not None and row[sized] is not None else 0)
-        if size >= OUT_BYTES:
+        if size >= most:
             yield _batch(held, schema)
             held, size = [], 0
     if held:

@@ -190,8 +190,9 @@ class UnitTable:
         return [(b, joined[s:e]) for b, s, e in zip(before.tolist(), starts.tolist(), (starts + sized).tolist())]
 
 
-def grouped(part: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts of a batch (null texts as empty) in groups of bounded size."""
+def grouped(part: pa.RecordBatch, most: int | None = None) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of a batch (null texts as empty) in groups that end with the text that reaches `most` characters."""
+    most = most or GROUP
     keys: list = []
     texts: list[str] = []
     size = 0
@@ -199,7 +200,7 @@ def grouped(part: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
         keys.append(key)
         texts.append(text.as_py() or "")
         size += len(texts[-1])
-        if size >= GROUP:
+        if size >= most:
             yield keys, texts
             keys, texts, size = [], [], 0
     if keys:

@@ -15,6 +15,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+# Rows of a batch of texts that goes to the encoder: Spark's own 10,000 take tens of MB of an executor several times over.
+TEXT_ROWS = 500
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the text rules and the classifier keep; it is fitted on the labelled ones among `docs`.
@@ -64,8 +67,12 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of every text, little-endian unsigned 32-bit; null and empty texts have none."""
-    return bpe.encode_documents(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+    """Byte-level BPE ids of every text, little-endian unsigned 32-bit; null and empty texts have none.
+
+    They are written here, as only then the batches of texts that go to Python are small.
+    """
+    coded = bpe.encode_documents(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+    return written(coded, "ids", TEXT_ROWS)
 
 
 STAGES: list[tuple[str, Stage]] = [

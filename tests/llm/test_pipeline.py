@@ -8,7 +8,7 @@ import tiktoken
 
 import corpus_pipeline
 from colloquy.llm import bpe, mixing, passages, quality
-from colloquy.llm.runtime import written
+from colloquy.llm.runtime import ARROW_ROWS, written
 from tests.llm.test_dedup import plain_components, plain_cut, plain_fingerprint
 from tests.llm.test_joins import plain_join
 from tests.llm.test_quality import plain_base
@@ -104,6 +104,23 @@ def test_odd_documents(spark, sf, odd):
     assert len(ids) == len(texts) and sum(r.n_tokens == 0 for r in ids) == 3
 
 
+def test_token_ids_take_small_batches(spark, docs, tmp_path, monkeypatch):
+    """The encoder gets at most TEXT_ROWS texts at a time, and the session's own bound is as before."""
+    cut = bpe.grouped
+
+    def seen(part, *most):
+        (tmp_path / f"{part.num_rows}").touch()
+        return cut(part, *most)
+
+    monkeypatch.setattr(bpe, "grouped", seen)
+    before = spark.conf.get(ARROW_ROWS)
+    many = docs.crossJoin(spark.range(8).select()).coalesce(1)
+    ids = written(stage("token_ids")(spark, many, ""), "t")
+    assert ids.count() == many.count() > corpus_pipeline.TEXT_ROWS
+    assert max(int(f.name) for f in tmp_path.iterdir()) <= corpus_pipeline.TEXT_ROWS
+    assert spark.conf.get(ARROW_ROWS) == before
+
+
 def rows_with_words(odd):
     """Ids and texts with words, the smallest id of a text first and nulls last."""
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect() if (r.text or "").strip(" \t\n\x0b\x0c\r")]

@@ -2,16 +2,19 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
 from colloquy.llm import bpe, segments, tokencounts, tokenfiles, wordtable
 from colloquy.llm.queries import QUERIES
+from colloquy.llm.runtime import batches
 from tests.llm.conftest import ODD_TEXTS
 
 PIECES = [
@@ -221,6 +224,31 @@ def test_addressable_codes_give_any_token():
         file[3000]
 
 
+def test_encoder_memory(ranks, tik):
+    """What the encoder works with, besides what it remembers, follows its group of texts and stays small."""
+    draw = random.Random(3)
+    words = ["".join(draw.choices("aeiounrstlhd", k=draw.randint(2, 6))) for _ in range(3000)]
+    texts = [" ".join(draw.choices(words, k=1000)) for _ in range(300)]
+    part = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    codec, got = bpe.Codec(ranks, P.PATTERN), []
+    codec.encode([" ".join(words)])
+    tracemalloc.start()
+    try:
+        for _, group in bpe.grouped(part, bpe.GROUP):
+            got.append(codec.encode(group)[::40])
+            peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert peak < 24
+    assert len(got) > 3 and got[1][0] in {packed(tik.encode_ordinary(t)) for t in texts}
+
+
+def test_output_batches_are_bounded():
+    schema = pa.schema([("ids", pa.binary())])
+    made = list(batches(((bytes(1000),) for _ in range(10_000)), schema, sized=0, most=1 << 20))
+    assert sum(b.num_rows for b in made) == 10_000 and max(b.nbytes for b in made) < 1.1 * (1 << 20)
+
+
 def test_bpe_query(spark, sf, texts, tik):
     for r in QUERIES["op6_byte_bpe"](spark, sf).collect():
         ids = tik.encode_ordinary(texts[r.doc_id])
