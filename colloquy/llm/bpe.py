@@ -27,14 +27,16 @@ from colloquy.llm.runtime import batches, once_per_process, picked
 from colloquy.llm.segments import Memo, plain_pieces, units
 from colloquy.llm.wordtable import UnitTable, grouped
 
-# Pairs of tokens whose compatibility is remembered; beyond 174,762 entries a dict takes twice the memory.
-MOST_PAIRS = 170_000
+# Pairs of tokens whose compatibility is remembered; beyond 87,381 entries a dict takes twice the memory.
+MOST_PAIRS = 85_000
 # Steps of prefix tables that are remembered.
 MOST_MOVES = 300_000
 # Pieces that are remembered besides the units of the table.
-MOST_PIECES = 80_000
+MOST_PIECES = 40_000
+# The table of units has so many bits of slots: half as many as other operators'.
+TABLE_BITS = 20
 # Characters encoded at a time, and bytes of ids handed back at a time: workers share an executor's memory.
-GROUP, OUT_BYTES = 1 << 18, 4 << 20
+GROUP, OUT_BYTES = 1 << 16, 1 << 20
 # Bits of a token id and of a place in the trie.
 TOKEN_BITS, NODE_BITS = 20, 24
 TOKENS, NODES = (1 << TOKEN_BITS) - 1, (1 << NODE_BITS) - 1
@@ -228,7 +230,7 @@ class Codec:
         self.columns = Columns(self.rules)
         self.split = regex.compile(pattern).findall
         self.pieces = Memo(lambda piece: array("I", self.piece(piece.encode())), MOST_PIECES)
-        self.table = UnitTable(lambda found: list(map(self.unit, found)), True, self.whole)
+        self.table = UnitTable(lambda found: list(map(self.unit, found)), True, self.whole, TABLE_BITS)
         self.bytes_of = [self.rules.text.get(i, b"") for i in range(max(ranks.values(), default=-1) + 1)]
 
     def unit(self, unit: str) -> array:

@@ -17,7 +17,7 @@ from colloquy.llm.segments import MARKS, byte_characters
 # Longest word, in bytes, that the table holds; the last byte of a key has its length and what precedes it.
 LONGEST = 23
 SLOT_BITS = 21
-# Words after which the table starts anew.
+# Words after which the table starts anew; smaller tables hold as great a share of their slots.
 MOST_WORDS = (1 << SLOT_BITS) * 5 // 8
 # Longer words, and pieces of words, that are remembered apart from the table.
 MOST_LONGER = 40_000
@@ -49,15 +49,19 @@ class UnitTable:
     """
 
     def __init__(
-        self, values: Callable[[list[str]], list[array]], joined: bool = False, whole: Callable[[str], array] | None = None
+        self,
+        values: Callable[[list[str]], list[array]],
+        joined: bool = False,
+        whole: Callable[[str], array] | None = None,
+        slot_bits: int | None = None,
     ):
-        self.values, self.joined, self.whole = values, joined, whole
+        self.values, self.joined, self.whole, self.slot_bits = values, joined, whole, slot_bits or SLOT_BITS
         self.longer: dict[tuple[int, bytes], array] = {}
         self.reset()
 
     def reset(self) -> None:
         # three words of key, then where the values lie: offset and number
-        self.table = np.zeros((1 << SLOT_BITS, 4), _U)
+        self.table = np.zeros((1 << self.slot_bits, 4), _U)
         self.pool = np.zeros(POOL, np.uint32)
         self.used = self.words = 0
 
@@ -66,15 +70,16 @@ class UnitTable:
         counts = np.array([len(f) for f in found], np.int64)
         total = int(counts.sum())
         while self.used + total > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros(len(self.pool), np.uint32)))
+            # new pages take memory only once they are written
+            held, self.pool = self.pool, np.zeros(2 * len(self.pool), np.uint32)
+            self.pool[: len(held)] = held
         self.pool[self.used : self.used + total] = np.frombuffer(b"".join(f.tobytes() for f in found), np.uint32)
         return np.cumsum(counts) - counts + self.used, counts
 
-    @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
         h = (keys[:, 0] ^ (keys[:, 1] * _MIX[0])) * _MIX[1] ^ keys[:, 2] * _MIX[2]
         h ^= h >> _U(32)
-        return (h * _MIX[0] >> _U(64 - SLOT_BITS)).astype(np.int64)
+        return (h * _MIX[0] >> _U(64 - self.slot_bits)).astype(np.int64)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key's values as in the table; 0 for unknown keys."""
@@ -155,7 +160,7 @@ class UnitTable:
         short = np.flatnonzero(sized <= LONGEST)
         keys = np.lib.stride_tricks.as_strided(letters, (n, 24), (1, 1))[starts[short]].view(_U) & _MASKS[sized[short]]
         keys[:, 2] |= (sized[short] + 32 * before[short]).astype(_U) << _U(56)
-        if self.words > MOST_WORDS:
+        if self.words > min(MOST_WORDS, len(self.table) * 5 // 8):
             self.reset()
         places = np.zeros(len(starts), _U)
         found = self._find(keys)
@@ -168,8 +173,14 @@ class UnitTable:
             self.used += int(count.sum())
             # one more than the number of values, so that no place is 0
             made = offset.astype(_U) << _U(24) | (count + 1).astype(_U)
-            self._insert(keys[unknown[np.fromiter(first.values(), np.int64, len(first))]], made)
-            found[unknown] = self._find(keys[unknown])
+            if self.words + len(first) <= len(self.table) * 7 // 8:
+                self._insert(keys[unknown[np.fromiter(first.values(), np.int64, len(first))]], made)
+                found[unknown] = self._find(keys[unknown])
+            else:
+                # more than the table takes, as a long text may have: for this batch alone, then the table starts anew
+                rank = {unit: i for i, unit in enumerate(first)}
+                found[unknown] = made[[rank[unit] for unit in units]]
+                self.words = len(self.table)
         places[short] = found
         offset, count = (places >> _U(24)).astype(np.int64), (places & _U(0xFFFFFF)).astype(np.int64) - 1
         far = np.flatnonzero(sized > LONGEST)

@@ -243,6 +243,38 @@ def test_encoder_memory(ranks, tik):
     assert len(got) > 3 and got[1][0] in {packed(tik.encode_ordinary(t)) for t in texts}
 
 
+def test_encoder_tables_memory(ranks, tik):
+    """What the encoder remembers, its table of units and what it hands back stay small, as two encoders share an executor."""
+    draw = random.Random(4)
+    texts = [" ".join("".join(draw.choices("aeiounrstlhd     ", k=20_000)).split()) for _ in range(60)]
+    part = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    read = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    tracemalloc.start()
+    try:
+        codec = bpe.Codec(read, P.PATTERN)
+        made = [ids for _, group in bpe.grouped(part, bpe.GROUP) for ids in codec.encode(group)]
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert peak < 140
+    assert made[::20] == [packed(tik.encode_ordinary(t)) for t in texts[::20]]
+    out = batches(((ids,) for ids in made), pa.schema([("ids", pa.binary())]), sized=0, most=bpe.OUT_BYTES)
+    assert max(b.nbytes for b in out) < 1.1 * (1 << 20)
+
+
+@pytest.mark.parametrize("repeats", [1, 3])
+def test_more_words_than_the_table_takes(ranks, tik, monkeypatch, repeats):
+    """A text with more distinct words than the table has slots is encoded all the same, and so is what follows."""
+    monkeypatch.setattr(bpe, "TABLE_BITS", 8)
+    long = " ".join(f"w{i}x" for i in range(1000))
+    texts = [long, "a few words", long + " and more", "a few words"] * repeats
+    codec = bpe.Codec(ranks, P.PATTERN)
+    assert codec.table.table.shape[0] == 256
+    for group in (texts[:1], texts[1:2], texts):
+        assert codec.encode(group) == [packed(tik.encode_ordinary(t)) for t in group]
+    assert codec.table.words <= 256
+
+
 def test_output_batches_are_bounded():
     schema = pa.schema([("ids", pa.binary())])
     made = list(batches(((bytes(1000),) for _ in range(10_000)), schema, sized=0, most=1 << 20))
